@@ -149,17 +149,25 @@ def tokenise_terms(
     tokens = F.regexp_extract_all(F.lower(text_or_empty(col)), F.lit(f"({WORD}{{2,}})"), F.lit(1))
     if stopwords:
         tokens = F.filter(tokens, lambda w: ~w.isin(*stopwords))
-    parts = []
-    for n in range(ngram[0], ngram[1] + 1):
-        if n == 1:
-            parts.append(tokens)
-        else:
-            grams = F.transform(
-                F.sequence(F.lit(1), F.size(tokens) - (n - 1)),
-                lambda i, n=n: F.array_join(F.slice(tokens, i, n), " "),
+    if ngram == (1, 1):
+        return tokens
+    # The lambda variable holds the tokens, so they are extracted once per text.
+    return F.element_at(F.transform(F.array(tokens), lambda words: _ngrams(words, *ngram)), 1)
+
+
+def _ngrams(words: Column, low: int, high: int) -> Column:
+    """Runs of ``low`` to ``high`` neighbouring words, each joined by blanks."""
+    parts, grams = [], words
+    for n in range(1, high + 1):
+        if n > 1:
+            # A run of n is a run of n - 1 and the word after it.
+            pairs = F.greatest(F.size(words) - (n - 1), F.lit(0))
+            grams = F.zip_with(
+                F.slice(grams, F.lit(1), pairs), F.slice(words, F.lit(n), pairs), lambda a, b: F.concat_ws(" ", a, b)
             )
-            parts.append(F.when(F.size(tokens) >= n, grams).otherwise(F.array().cast("array<string>")))
-    return parts[0] if len(parts) == 1 else F.concat(*parts)
+        if n >= low:
+            parts.append(grams)
+    return F.concat(*parts)
 
 
 def contains_keyword(col: Column, keyword: str, whole_word: bool = False) -> Column:

@@ -11,22 +11,18 @@ from pyspark.sql import functions as F
 
 from ticketloom.functions import constants as K
 from ticketloom.functions import text as T
-from ticketloom.functions.rules import STARTER_RULES, Rule, RuleBase
+from ticketloom.functions.matching import HAS_AUTOMATON, match_rules
+from ticketloom.functions.rules import STARTER_RULES, RuleBase
 from ticketloom.operators import columns as C
 from ticketloom.operators.corpus import dedupe_keep_first
 from ticketloom.operators.sampling import sample_n
 
 MIN_RULE_TEXT = 5
-_LOWER, _PADDED, _SCORES = "_lower", "_padded", "_scores"
 
 
 def phrase_label(col: Column, rules: RuleBase = STARTER_RULES) -> Column:
     """Category of the first phrase, in rule order, that the lower-cased text contains."""
     text = F.lower(T.text_or_empty(col))
-    return _first_phrase(text, rules)
-
-
-def _first_phrase(lowered: Column, rules: RuleBase) -> Column:
     # Neighbouring phrases of one category share a branch; the first hit still wins.
     branches: list[tuple[str, list[str]]] = []
     for phrase, category in rules.phrases:
@@ -36,82 +32,58 @@ def _first_phrase(lowered: Column, rules: RuleBase) -> Column:
             branches.append((category, [phrase]))
     label = F
     for category, phrases in branches:
-        label = label.when(T.contains_any(lowered, phrases), F.lit(category))
+        label = label.when(T.contains_any(text, phrases), F.lit(category))
     return label if branches else F.lit(None).cast("string")
 
 
-def _rule_points(rule: Rule, lowered: Column, padded: Column) -> Column:
-    """Points of one rule, times 100; the whole-word test runs only after a substring hit."""
-    points = F.lit(rule.points)
-    if rule.word_points:
-        if rule.keyword.replace("_", "").isalnum():
-            # One word: in the blank-padded text a whole-word hit is a substring hit.
-            whole = F.contains(padded, F.lit(f" {rule.keyword} "))
-        else:
-            whole = F.rlike(lowered, F.lit(T.whole_word_pattern(rule.keyword)))
-        points = F.when(whole, F.lit(rule.points + rule.word_points)).otherwise(points)
-    return F.when(F.contains(lowered, F.lit(rule.keyword)), points).otherwise(F.lit(0))
-
-
-def _with_scores(df: DataFrame, text_col: str, rules: RuleBase) -> DataFrame:
-    """Add the lower-cased text, its padded form and one integer score per category."""
-    lowered = df.withColumn(_LOWER, F.lower(T.text_or_empty(F.col(text_col))))
-    padded = lowered.withColumn(
-        _PADDED, F.concat(F.lit(" "), F.regexp_replace(_LOWER, T.NOT_WORD, " "), F.lit(" "))
-    )
-    scores = []
-    for category in rules.categories:
-        total = F.lit(0)
-        for rule in rules.rules:
-            if rule.category == category:
-                total = total + _rule_points(rule, F.col(_LOWER), F.col(_PADDED))
-        scores.append(total)
-    return padded.withColumn(_SCORES, F.array(*scores))
+def _with_match(df: DataFrame, text_col: str, rules: RuleBase, native: bool) -> DataFrame:
+    """Add the match struct of the lower-cased text."""
+    lowered = F.lower(T.text_or_empty(F.col(text_col)))
+    return df.withColumn("_match", match_rules(lowered, rules, native))
 
 
-def keyword_scores(df: DataFrame, key: str, text_col: str, rules: RuleBase = STARTER_RULES) -> DataFrame:
+def keyword_scores(
+    df: DataFrame, key: str, text_col: str, rules: RuleBase = STARTER_RULES, native: bool = not HAS_AUTOMATON
+) -> DataFrame:
     """Positive keyword scores (times 100) in long form: key, category, score_x100."""
     names = F.array(*[F.lit(c) for c in rules.categories])
-    scored = _with_scores(df.select(key, text_col), text_col, rules)
-    pairs = F.arrays_zip(names.alias("category"), F.col(_SCORES).alias("score_x100"))
+    scored = _with_match(df.select(key, text_col), text_col, rules, native)
     return (
-        scored.select(key, F.explode(pairs).alias("p"))
-        .select(key, F.col("p.category").alias("category"), F.col("p.score_x100").cast("long").alias("score_x100"))
+        scored.select(key, F.posexplode("_match.scores").alias("_pos", "score_x100"))
         .filter(F.col("score_x100") > 0)
+        .select(key, F.element_at(names, F.col("_pos") + 1).alias("category"), F.col("score_x100").cast("long").alias("score_x100"))
     )
 
 
-def categorize(df: DataFrame, text_col: str, rules: RuleBase = STARTER_RULES) -> DataFrame:
+def categorize(
+    df: DataFrame, text_col: str, rules: RuleBase = STARTER_RULES, native: bool = not HAS_AUTOMATON
+) -> DataFrame:
     """Add ``category`` and ``confidence``: short text, then phrases, then keyword scores."""
-    scored = _with_scores(df, text_col, rules)
-    scores = F.col(_SCORES)
+    matched = _with_match(df, text_col, rules, native)
+    scores = F.col("_match.scores")
     best = F.array_max(scores)
-    # array_position returns the first match, so ties go to the earlier category.
-    category = F.element_at(
-        F.array(*[F.lit(c) for c in rules.categories]), F.array_position(scores, best).cast("int")
-    )
     total = F.lit(0)
     for i in range(len(rules.categories)):
         total = total + scores[i]
-    share = F.least(best / total, F.lit(K.KEYWORD_CONFIDENCE))
-
-    def answer(label: Column, confidence: Column) -> Column:
-        return F.struct(label.alias("category"), confidence.cast("double").alias("confidence"))
-
-    phrase = _first_phrase(F.col(_LOWER), rules)
-    result = (
-        F.when(F.length(T.text_or_empty(F.col(text_col))) < MIN_RULE_TEXT, answer(F.lit(K.DEFAULT_CATEGORY), F.lit(0.5)))
-        .when(F.col("_phrase").isNotNull(), answer(F.col("_phrase"), F.lit(K.KEYWORD_CONFIDENCE)))
-        .when(best == 0, answer(F.lit(K.DEFAULT_CATEGORY), F.lit(0.5)))
-        .otherwise(answer(category, share))
+    names = F.array(*[F.lit(c) for c in rules.categories])
+    phrase_names = F.array(*[F.lit(c) for _, c in rules.phrases])
+    # array_position returns the first match, so ties go to the earlier category.
+    winner = F.element_at(names, F.array_position(scores, best).cast("int"))
+    is_short = F.length(T.text_or_empty(F.col(text_col))) < MIN_RULE_TEXT
+    has_phrase = F.col("_match.phrase") >= 0
+    category = (
+        F.when(is_short, F.lit(K.DEFAULT_CATEGORY))
+        .when(has_phrase, F.element_at(phrase_names, F.col("_match.phrase") + 1))
+        .when(best == 0, F.lit(K.DEFAULT_CATEGORY))
+        .otherwise(winner)
     )
-    return (
-        scored.withColumn("_phrase", phrase)
-        .withColumn("_result", result)
-        .withColumn("category", F.col("_result.category"))
-        .withColumn("confidence", F.col("_result.confidence"))
-        .drop(_LOWER, _PADDED, _SCORES, "_phrase", "_result")
+    confidence = (
+        F.when(is_short, F.lit(0.5))
+        .when(has_phrase, F.lit(K.KEYWORD_CONFIDENCE))
+        .when(best == 0, F.lit(0.5))
+        .otherwise(F.least(best / total, F.lit(K.KEYWORD_CONFIDENCE)))
     )
+    return matched.withColumns({"category": category, "confidence": confidence}).drop("_match")
 
 
 def process_messages(

@@ -133,10 +133,8 @@ def balance_classes(df: DataFrame, label: str, key: str, target: int, seed: int
         blocks = blocks.repartition(label, "_block")
     first = F.col("_block") * block
     draws = blocks.select(
-        label,
-        "_n",
-        F.explode(F.sequence(first + 1, F.least(first + block, F.lit(target)))).cast("long").alias("copy"),
-    )
+        label, "_n", F.explode(F.sequence(first + 1, F.least(first + block, F.lit(target)))).alias("copy")
+    ).withColumn("copy", F.col("copy").cast("long"))
     digest = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(label).cast("string"), F.col("copy").cast("string")))
     pick = F.conv(F.substring(digest, 1, 12), 16, 10).cast("long") % F.col("_n") + 1
     picked = draws.select(label, "copy", pick.alias("_rank"))

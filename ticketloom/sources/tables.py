@@ -23,10 +23,20 @@ MESSAGE_SCHEMA = ST.StructType(
 )
 
 
+def _file_system(spark: SparkSession, path: str):
+    jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return jvm_path.getFileSystem(spark._jsc.hadoopConfiguration()), jvm_path
+
+
 def path_exists(spark: SparkSession, path: str) -> bool:
     """Existence check on whatever file system the path names."""
-    jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return jvm_path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(jvm_path)
+    fs, jvm_path = _file_system(spark, path)
+    return fs.exists(jvm_path)
+
+
+def is_folder(spark: SparkSession, path: str) -> bool:
+    fs, jvm_path = _file_system(spark, path)
+    return fs.exists(jvm_path) and fs.getFileStatus(jvm_path).isDirectory()
 
 
 def _check_format(fmt: str) -> None:
