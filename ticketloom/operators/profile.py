@@ -184,20 +184,13 @@ def validate_training_data(
 def dataset_fingerprint(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
     """Content hash of a dataset version that does not depend on row order or layout."""
     cols = list(cols or df.columns)
-    digest = F.xxhash64(F.to_json(F.struct(*cols), {"ignoreNullFields": "false"}))
-    # Two 32-bit halves keep the sums far from overflow.
-    low = digest.bitwiseAND(F.lit(0xFFFFFFFF).cast("long"))
-    high = F.shiftrightunsigned(digest, 32)
-    return df.select(low.alias("_lo"), high.alias("_hi")).agg(
+    # Unit separator between fields, a control character for null.
+    content = F.concat_ws("\x1f", *[F.coalesce(F.col(c).cast("string"), F.lit("\x01")) for c in cols])
+    digest = F.md5(content)
+    halves = [F.conv(F.substring(digest, at, 8), 16, 10).cast("decimal(38,0)") for at in (1, 9)]
+    return df.agg(
         F.count("*").alias("rows"),
-        F.sha2(
-            F.concat_ws(
-                ":", F.count("*").cast("string"),
-                F.sum(F.col("_lo").cast("decimal(20,0)")).cast("string"),
-                F.sum(F.col("_hi").cast("decimal(20,0)")).cast("string"),
-            ),
-            256,
-        ).alias("fingerprint"),
+        F.sha2(F.concat_ws(":", F.count("*"), *[F.sum(h).cast("string") for h in halves]), 256).alias("fingerprint"),
     )
 
 

@@ -6,8 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ticketloom.plans import (  # noqa: F401
     label_queries,
+    report_queries,
     source_queries,
     text_queries,
+    vector_queries,
 )
 from ticketloom.plans.registry import ORACLES, QUERIES, Query
 

@@ -112,7 +112,7 @@ def contains_keyword(spark, sf_dir):
     )
 
 
-def _template_sql(template: str, **values: str) -> str:
+def template_sql(template: str, **values: str) -> str:
     sql = "'" + template.replace("'", "''") + "'"
     for name, value in values.items():
         sql = f"replace({sql}, '{{{name}}}', {value})"
@@ -126,11 +126,11 @@ _LISTING = "'" + "\n".join(f"- {c}" for c in K.TICKET_CATEGORIES) + "'"
     "build_prompt",
     with_views(
         "SELECT event_id, "
-        + _template_sql(
+        + template_sql(
             K.CLASSIFICATION_TEMPLATE, categories=_LISTING, context="truth", ticket_content="coalesce(text, '')"
         )
         + " AS prompt, "
-        + _template_sql(K.RAG_TEMPLATE, context="truth", question="coalesce(text, '')")
+        + template_sql(K.RAG_TEMPLATE, context="truth", question="coalesce(text, '')")
         + " AS answer_prompt FROM ticket_view"
     ),
 )

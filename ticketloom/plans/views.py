@@ -149,4 +149,7 @@ def with_views(sql: str, **extra: str) -> str:
     used = {n: body for n, body in views.items() if n in sql or any(n in b for b in extra.values())}
     if not used:
         return sql
-    return "WITH " + ",\n".join(f"{n} AS ({b})" for n, b in used.items()) + "\n" + sql
+    views_sql = "WITH " + ",\n".join(f"{n} AS ({b})" for n, b in used.items())
+    body = sql.strip()
+    # A statement with its own WITH list joins the same list.
+    return f"{views_sql},\n{body[4:]}" if body.startswith("WITH") else f"{views_sql}\n{body}"
