@@ -190,9 +190,17 @@ def top_features(model: PipelineModel, spark, n: int = 5) -> DataFrame:
 
 # --- comparison, tuning, validation ------------------------------------------------
 def compare_models(
-    train_df: DataFrame, test_df: DataFrame, estimators: Mapping[str, object], label: str
+    train_df: DataFrame,
+    test_df: DataFrame,
+    estimators: Mapping[str, object],
+    label: str,
+    predictors: Mapping[str, Callable[[DataFrame, DataFrame], DataFrame]] | None = None,
 ) -> DataFrame:
-    """Accuracy and training time per estimator on a shared, prepared split, best first."""
+    """Accuracy and training time per classifier on a shared, prepared split, best first.
+
+    ``predictors`` are classifiers without a training step, such as nearest
+    neighbours: (train, test) -> rows with the label and a ``prediction``.
+    """
     train_df.persist()
     test_df.persist()
     rows = []
@@ -202,6 +210,9 @@ def compare_models(
             model = train(train_df, estimator, label)
             elapsed = time.time() - started
             rows.append((name, score(test_df, model, label), elapsed))
+        for name, predict in (predictors or {}).items():
+            right = E.accuracy(predict(train_df, test_df), label, "prediction").first()["accuracy"]
+            rows.append((name, float(right or 0.0), 0.0))
     finally:
         train_df.unpersist()
         test_df.unpersist()

@@ -293,7 +293,8 @@ def fuse(
     a = first.select(query, doc, F.col("score").alias("_a"))
     b = second.select(query, doc, F.col("score").alias("_b"))
     score = F.coalesce("_a", F.lit(0.0)) * weights[0] + F.coalesce("_b", F.lit(0.0)) * weights[1]
-    joined = a.join(b, [query, doc], "full").select(query, doc, F.round(score, SCORE_DIGITS).alias("score"))
+    # Two more digits than the inputs, so that a weighted mean of them is kept as it is.
+    joined = a.join(b, [query, doc], "full").select(query, doc, F.round(score, SCORE_DIGITS + 2).alias("score"))
     order = W.partitionBy(query).orderBy(F.desc("score"), doc)
     return joined.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ticketloom.plans import (  # noqa: F401
     label_queries,
+    model_queries,
     report_queries,
     source_queries,
     text_queries,

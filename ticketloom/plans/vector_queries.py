@@ -169,7 +169,7 @@ SECOND_QUERIES_SQL = f"SELECT qid, vec[1:32] AS vec FROM ({CENTROID_QUERIES_SQL}
 FUSED_SQL = f"""
 SELECT * FROM (
     SELECT qid, doc, score, row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc) AS rank FROM (
-        SELECT qid, id AS doc, round(coalesce(a.score, 0) * 0.5 + coalesce(b.score, 0) * 0.5, 6) AS score
+        SELECT qid, id AS doc, round(coalesce(a.score, 0) * 0.5 + coalesce(b.score, 0) * 0.5, 8) AS score
         FROM ({topk_sql(CENTROID_QUERIES_SQL, CORPUS_SQL, 5)}) a
         FULL JOIN ({topk_sql(SECOND_QUERIES_SQL, SECOND_CORPUS_SQL, 5)}) b USING (qid, id)))
 WHERE rank <= 5

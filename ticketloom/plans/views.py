@@ -99,7 +99,11 @@ def pick(values, position):
 
 def ticket_view(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One support message per event, with a logged prediction."""
-    events = table(spark, sf_dir, "events")
+    return tickets_of(table(spark, sf_dir, "events"))
+
+
+def tickets_of(events: DataFrame) -> DataFrame:
+    """The view over a batch or streaming events table."""
     which = F.col("event_id") % len(MESSAGES)
     sentence = pick([m for m, _ in MESSAGES], which)
     roll = F.regexp_extract("props", "[0-9]+", 0).cast("int")
