@@ -25,6 +25,9 @@ from pyspark.sql import functions as F
 from ticketloom.functions import constants as K
 from ticketloom.functions import text as T
 
+# Training rows one task handles per pass.
+ROWS_PER_TASK = 10_000
+
 
 def term_frequencies(
     df: DataFrame, key: str, text_col: str, stopwords: Sequence[str] = (), ngram: tuple[int, int] = (1, 1)
@@ -106,6 +109,14 @@ def with_class_weight(df: DataFrame, label: str, out: str = "weight") -> DataFra
     return df.join(weights, label)
 
 
+def sized(df: DataFrame, rows: int, per_task: int = ROWS_PER_TASK) -> DataFrame:
+    """Fewer partitions for a small training set: an iteration costs at least one task each.
+
+    Only ever reduces, so a large table keeps all of its partitions.
+    """
+    return df.coalesce(max(1, -(-rows // per_task)))
+
+
 def fit_tfidf(
     df: DataFrame,
     text_col: str,
@@ -129,14 +140,15 @@ def fit_tfidf(
         if n > 1:
             text_stages.append(NGram(n=n, inputCol="_kept", outputCol=f"_gram{n}"))
     text_stages.append(SQLTransformer(statement=f"SELECT *, concat({', '.join(columns)}) AS _terms FROM __THIS__"))
-    prepared = PipelineModel(text_stages).transform(df).select("_terms").persist()
+    terms = PipelineModel(text_stages).transform(df).select("_terms").persist()
     try:
+        prepared = sized(terms, terms.count())
         counter = CountVectorizer(
             inputCol="_terms", outputCol="_counts", vocabSize=max_features, minDF=min_df, maxDF=max_df
         ).fit(prepared)
         idf = IDF(inputCol="_counts", outputCol="_idf").fit(counter.transform(prepared)).idf
     finally:
-        prepared.unpersist()
+        terms.unpersist()
     # Spark's idf is ln((n + 1) / (df + 1)); the weight used here adds one to it.
     scale = ElementwiseProduct(
         inputCol="_counts", outputCol="_scaled", scalingVec=DenseVector([float(x) + 1.0 for x in idf])

@@ -30,6 +30,8 @@ from ticketloom.operators.columns import filter_nonempty
 from ticketloom.session import materialise
 
 MAX_TREE_DEPTH = 30
+# Models of one grid or one-vs-rest set that are fitted at the same time.
+PARALLEL_FITS = 4
 
 
 # --- estimators --------------------------------------------------------------------
@@ -47,13 +49,13 @@ def one_vs_rest_logreg(rows: int, features="features", label="label_index", c=1.
     base = LogisticRegression(
         regParam=X.regularisation(c, rows), elasticNetParam=0.0, standardization=False, maxIter=max_iter, tol=1e-4
     )
-    return OneVsRest(classifier=base, featuresCol=features, labelCol=label)
+    return OneVsRest(classifier=base, featuresCol=features, labelCol=label, parallelism=PARALLEL_FITS)
 
 
 def linear_svm(rows: int, features="features", label="label_index", c=1.0, max_iter=100) -> OneVsRest:
     """One-vs-rest linear SVM (hinge loss)."""
     base = LinearSVC(regParam=X.regularisation(c, rows), standardization=False, maxIter=max_iter, tol=1e-4)
-    return OneVsRest(classifier=base, featuresCol=features, labelCol=label)
+    return OneVsRest(classifier=base, featuresCol=features, labelCol=label, parallelism=PARALLEL_FITS)
 
 
 def naive_bayes(features="features", label="label_index") -> NaiveBayes:
@@ -72,7 +74,7 @@ def random_forest(features="features", label="label_index", trees=100, depth=MAX
 
 def gradient_boosting(features="features", label="label_index", rounds=100, depth=3, rate=0.1) -> OneVsRest:
     base = GBTClassifier(maxIter=rounds, maxDepth=depth, stepSize=rate, seed=S.SEED)
-    return OneVsRest(classifier=base, featuresCol=features, labelCol=label)
+    return OneVsRest(classifier=base, featuresCol=features, labelCol=label, parallelism=PARALLEL_FITS)
 
 
 # --- training ----------------------------------------------------------------------
@@ -81,14 +83,28 @@ def _with_label_names(model_stages: list, indexer) -> PipelineModel:
     return PipelineModel([*model_stages, names])
 
 
-def train(df: DataFrame, estimator, label: str, features: str = "features", stages: Sequence = ()) -> PipelineModel:
+def train(
+    df: DataFrame,
+    estimator: object | Callable[[int], object],
+    label: str,
+    features: str = "features",
+    weight: str | None = None,
+    stages: Sequence = (),
+) -> PipelineModel:
     """Fit a classifier on a prepared feature column; the result maps rows to ``predicted_label``.
 
-    ``stages`` are the fitted feature stages that made the column; they become
-    part of the saved model, the label indexer does not.
+    ``estimator`` is an estimator or a function of the row count, such as
+    ``logreg``.  ``stages`` are the fitted feature stages that made the column;
+    they become part of the saved model, the label indexer does not.
     """
-    indexer = X.label_indexer(label).fit(df)
-    fitted = estimator.fit(indexer.transform(df))
+    narrow = df.select(label, features, *([weight] if weight else [])).persist()
+    try:
+        rows = narrow.count()
+        indexer = X.label_indexer(label).fit(narrow)
+        chosen = estimator(rows) if callable(estimator) else estimator
+        fitted = chosen.fit(indexer.transform(X.sized(narrow, rows)))
+    finally:
+        narrow.unpersist()
     return _with_label_names([*stages, fitted], indexer)
 
 
@@ -102,20 +118,15 @@ def train_logreg(
 ) -> PipelineModel:
     """TF-IDF and multinomial logistic regression as one savable text model."""
     text_model = X.fit_tfidf(df, text_col, **tfidf)
-    weighted = X.with_class_weight(df, label) if balanced else df
-    prepared = text_model.transform(weighted).select(label, "features", *(["weight"] if balanced else []))
-    prepared.persist()
-    try:
-        estimator = logreg(prepared.count(), c=c, weight="weight" if balanced else None)
-        return train(prepared, estimator, label, stages=text_model.stages)
-    finally:
-        prepared.unpersist()
+    weight = "weight" if balanced else None
+    weighted = X.with_class_weight(df, label, weight) if balanced else df
+    make = lambda rows: logreg(rows, c=c, weight=weight)
+    return train(text_model.transform(weighted), make, label, weight=weight, stages=text_model.stages)
 
 
 def train_on_vectors(df: DataFrame, vec: str, label: str, c: float = 1.0, max_iter: int = 1000) -> PipelineModel:
     """Logistic regression on an ``array<float>`` embedding column (see ``with_features``)."""
-    prepared = with_features(df, vec)
-    return train(prepared, logreg(prepared.count(), c=c, max_iter=max_iter), label)
+    return train(with_features(df, vec), lambda rows: logreg(rows, c=c, max_iter=max_iter), label)
 
 
 def with_features(df: DataFrame, vec: str, out: str = "features") -> DataFrame:
@@ -138,7 +149,7 @@ def train_hybrid(
 ) -> PipelineModel:
     """Logistic regression on TF-IDF and embedding together."""
     both, _ = hybrid_features(df, key, text_col, vectors, vec, **tfidf)
-    return train(both, logreg(both.count(), c=c), label)
+    return train(both, lambda rows: logreg(rows, c=c), label)
 
 
 def reduce_dims(df: DataFrame, vec: str, k: int = 50, out: str = "reduced") -> tuple[DataFrame, float]:
@@ -243,7 +254,7 @@ def grid_search(
     tune_rows: int | None = None,
     weight: str | None = None,
     max_iter: int = 1000,
-    parallelism: int = 2,
+    parallelism: int = PARALLEL_FITS,
 ) -> tuple[DataFrame, PipelineModel]:
     """Grid over C and solver with stratified folds and macro F1; refits the best on all rows.
 
@@ -252,10 +263,11 @@ def grid_search(
     """
     indexer = X.label_indexer(label).fit(df)
     subset = S.sample_n(df, tune_rows, key) if tune_rows else df
-    tuned = S.kfold_assign(indexer.transform(subset), label, key, folds).persist()
-    rows, best = [], None
+    assigned = S.kfold_assign(indexer.transform(subset), label, key, folds).persist()
+    rows = []
     try:
-        n = tuned.count()
+        n = assigned.count()
+        tuned = X.sized(assigned, n)
         solvers = {
             "multinomial": logreg(n, weight=weight, max_iter=max_iter),
             "one-vs-rest": one_vs_rest_logreg(n, max_iter=max_iter),
@@ -274,7 +286,7 @@ def grid_search(
             ).fit(tuned)
             rows += [(solver, float(c), float(m)) for c, m in zip(c_values, search.avgMetrics)]
     finally:
-        tuned.unpersist()
+        assigned.unpersist()
     best = max(rows, key=lambda r: r[2])
     total = df.count()
     estimator = (
@@ -339,14 +351,13 @@ def train_baseline(
     return model, predict_batch(split.filter("is_test"), model, [key, label])
 
 
-def default_estimators(rows: int) -> dict[str, object]:
+def default_estimators() -> dict[str, object]:
     """The classifiers of the standard comparison."""
     return {
-        "Logistic Regression": logreg(rows),
-        "Linear SVM": linear_svm(rows),
+        "Logistic Regression": logreg,
+        "Linear SVM": linear_svm,
         "Naive Bayes": naive_bayes(),
         "Decision Tree": decision_tree(),
         "Random Forest": random_forest(),
         "Gradient Boosting": gradient_boosting(),
     }
-

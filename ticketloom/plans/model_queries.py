@@ -130,10 +130,26 @@ def _test_report(model, test):
     return E.per_class_prf(M.predicted_labels(test, model, [LABEL]), LABEL, "prediction")
 
 
+_FITTED: dict[tuple, object] = {}
+
+
+def _fitted(name, spark, sf_dir, fit):
+    """A model that several queries apply is fitted once per session and data set."""
+    key = (name, spark.sparkContext.applicationId, sf_dir)
+    if key not in _FITTED:
+        _FITTED[key] = fit()
+    return _FITTED[key]
+
+
+def _text_model(spark, sf_dir):
+    train, _ = _text_split(spark, sf_dir)
+    return _fitted("text", spark, sf_dir, lambda: M.train_logreg(train, "text", LABEL, **TFIDF))
+
+
 @query("train_logreg")
 def train_logreg(spark, sf_dir):
-    train, test = _text_split(spark, sf_dir)
-    return _test_report(M.train_logreg(train, "text", LABEL, **TFIDF), test)
+    _, test = _text_split(spark, sf_dir)
+    return _test_report(_text_model(spark, sf_dir), test)
 
 
 @query("train_logreg_balanced")
@@ -144,15 +160,14 @@ def train_logreg_balanced(spark, sf_dir):
 
 @query("predict_batch")
 def predict_batch(spark, sf_dir):
-    train, test = _text_split(spark, sf_dir)
-    model = M.train_logreg(train, "text", LABEL, **TFIDF)
-    return M.predict_batch(test, model, ["doc_id"]).select("doc_id", "prediction", F.round("confidence", 4).alias("confidence"))
+    _, test = _text_split(spark, sf_dir)
+    return M.predict_batch(test, _text_model(spark, sf_dir), ["doc_id"]).select("doc_id", "prediction", F.round("confidence", 4).alias("confidence"))
 
 
 @query("train_linear_svm")
 def train_linear_svm(spark, sf_dir):
     train, test = _text_features(spark, sf_dir)
-    return _test_report(M.train(train, M.linear_svm(train.count()), LABEL), test)
+    return _test_report(M.train(train, M.linear_svm, LABEL), test)
 
 
 @query("train_naive_bayes")
@@ -202,7 +217,7 @@ def train_hybrid(spark, sf_dir):
     both, _ = M.hybrid_features(documents, "doc_id", "text", _document_vectors(spark, sf_dir), "vec", **TFIDF)
     split = S.stratified_split(both, LABEL, "doc_id")
     train, test = split.filter(~F.col("is_test")), split.filter("is_test")
-    return _test_report(M.train(train, M.logreg(train.count()), LABEL), test)
+    return _test_report(M.train(train, M.logreg, LABEL), test)
 
 
 @query("reduce_dims", "SELECT vec_id, 50 AS dims FROM embeddings")
@@ -220,10 +235,9 @@ def _knn_predictor(train, test):
 def compare_models(spark, sf_dir):
     """Logistic regression, linear SVM, random forest and nearest neighbours on the vectors."""
     train, test = _vector_split(spark, sf_dir)
-    rows = train.count()
     estimators = {
-        "Logistic Regression": M.logreg(rows),
-        "Linear SVM": M.linear_svm(rows),
+        "Logistic Regression": M.logreg,
+        "Linear SVM": M.linear_svm,
         "Random Forest (200)": M.random_forest(trees=200),
     }
     results = M.compare_models(train, test, estimators, LABEL, {"KNN (k=10)": _knn_predictor})
@@ -269,7 +283,10 @@ def _language_model(spark, sf_dir):
     """Text model on ticket-cleaned documents, as the labeller applies it."""
     train, _ = _text_split(spark, sf_dir)
     clean = train.select("doc_id", LABEL, T.clean_ticket_text(F.col("text")).alias("clean_text"))
-    return M.train_logreg(clean.filter(F.col("clean_text") != ""), "clean_text", LABEL, min_df=2, max_features=5000)
+    usable = clean.filter(F.col("clean_text") != "")
+    return _fitted(
+        "language", spark, sf_dir, lambda: M.train_logreg(usable, "clean_text", LABEL, min_df=2, max_features=5000)
+    )
 
 
 @query("save_model", "SELECT 'type' AS key, 'tfidf-logreg' AS value UNION ALL SELECT 'classes', 'de,en,es,fr'")
