@@ -14,6 +14,17 @@ from ticketloom.functions import text as T
 CORPUS_COLUMNS = ("clean_text", "category", "source", "confidence")
 
 
+def compute_once(df: DataFrame, **columns: Column) -> DataFrame:
+    """Add costly columns that later filters must not repeat.
+
+    A filter on a computed column is pushed below the projection by repeating
+    the whole expression, and even below an aggregate.  A generator of one row
+    keeps the expression, and the filter, in their places.
+    """
+    made = F.struct(*[c.alias(name) for name, c in columns.items()])
+    return df.select("*", F.inline(F.array(made)))
+
+
 def standardise(df: DataFrame, mapping: Mapping[str, Column], keep: Sequence[str] = ()) -> DataFrame:
     """Project to named columns, optionally keeping key columns."""
     return df.select(*keep, *[c.alias(name) for name, c in mapping.items()])

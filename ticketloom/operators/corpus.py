@@ -56,7 +56,7 @@ def clean_then_dedupe(df: DataFrame, key: str, text_col: str, label_col: str) ->
         F.col(label_col).cast("string").alias("Issue_Category"),
     )
     once = dedupe_keep_first(raw, ["_raw"], key)
-    clean = once.select(key, T.clean_ticket_text(F.col("_raw")).alias("clean_text"), "Issue_Category")
+    clean = C.compute_once(once, clean_text=T.clean_ticket_text(F.col("_raw"))).drop("_raw")
     kept = clean.filter(F.col("clean_text") != "")
     return dedupe_keep_first(kept, ["clean_text"], key).withColumn("source", F.lit("ticket"))
 

@@ -39,7 +39,7 @@ def phrase_label(col: Column, rules: RuleBase = STARTER_RULES) -> Column:
 def _with_match(df: DataFrame, text_col: str, rules: RuleBase, native: bool) -> DataFrame:
     """Add the match struct of the lower-cased text."""
     lowered = F.lower(T.text_or_empty(F.col(text_col)))
-    return df.withColumn("_match", match_rules(lowered, rules, native))
+    return C.compute_once(df, _match=match_rules(lowered, rules, native))
 
 
 def keyword_scores(
@@ -100,7 +100,7 @@ def process_messages(
     if sample is not None:
         df = sample_n(df, sample, key)
     inbound = C.filter_inbound(df, inbound_col)
-    clean = inbound.select(key, T.clean_tweet_text(F.col(text_col)).alias("clean_text"))
+    clean = C.compute_once(inbound.select(key, text_col), clean_text=T.clean_tweet_text(F.col(text_col))).drop(text_col)
     long_enough = C.filter_min_length(clean, "clean_text", min_length)
     unique = dedupe_keep_first(long_enough, ["clean_text"], key)
     labelled = C.filter_confidence(categorize(unique, "clean_text", rules), min_confidence)
@@ -200,8 +200,8 @@ def pseudo_label(
 
     The model reads ``clean_text`` and yields ``probability`` and ``predicted_label``.
     """
-    clean = df.withColumn("clean_text", T.clean_ticket_text(F.col(text_col)))
-    scored = model.transform(C.filter_nonempty(clean, ["clean_text"]))
+    clean = C.compute_once(df, clean_text=T.clean_ticket_text(F.col(text_col)))
+    scored = model.transform(clean.filter(F.col("clean_text") != ""))
     return scored.select(
         *clean.columns,
         F.col("predicted_label").alias("predicted_category"),

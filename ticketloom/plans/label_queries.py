@@ -12,7 +12,7 @@ from ticketloom.operators import label as L
 from ticketloom.operators import profile as A
 from ticketloom.operators import sampling as X
 from ticketloom.plans import sqltext as Q
-from ticketloom.plans.registry import query, table
+from ticketloom.plans.registry import query, table, text_table
 from ticketloom.plans.views import sql_in, ticket_view, with_views
 
 VIEW = "SELECT event_id, text FROM ticket_view"
@@ -42,7 +42,7 @@ def keyword_scores(spark, sf_dir):
     f"SELECT doc_id, category, score_x100 FROM ({Q.scores_sql('SELECT doc_id, text FROM documents', 'doc_id', 'text')})",
 )
 def keyword_scores_documents(spark, sf_dir):
-    return L.keyword_scores(table(spark, sf_dir, "documents"), "doc_id", "text")
+    return L.keyword_scores(text_table(spark, sf_dir, "documents"), "doc_id", "text")
 
 
 @query(
@@ -205,7 +205,7 @@ def pseudo_label_precision(spark, sf_dir):
 )
 def union_sources(spark, sf_dir):
     first = ticket_view(spark, sf_dir).select(F.col("event_id").alias("id"), "text")
-    second = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
+    second = text_table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
     return U.union_sources([first, second])
 
 
@@ -215,7 +215,7 @@ def union_sources(spark, sf_dir):
     "FROM documents GROUP BY text",
 )
 def dedupe_keep_first(spark, sf_dir):
-    documents = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
+    documents = text_table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
     return U.dedupe_keep_first(documents, ["text"], "doc_id")
 
 
@@ -266,7 +266,7 @@ def merge_corpora(spark, sf_dir):
     "AS duplicate_rows FROM documents",
 )
 def duplicate_rows(spark, sf_dir):
-    return U.duplicate_rows(table(spark, sf_dir, "documents"), ["lang", "source", "text"])
+    return U.duplicate_rows(text_table(spark, sf_dir, "documents"), ["lang", "source", "text"])
 
 
 @query(
@@ -275,7 +275,7 @@ def duplicate_rows(spark, sf_dir):
     "count(*) = count(DISTINCT text) AS all_unique FROM documents",
 )
 def duplicate_texts(spark, sf_dir):
-    return U.duplicate_texts(table(spark, sf_dir, "documents"), "text")
+    return U.duplicate_texts(text_table(spark, sf_dir, "documents"), "text")
 
 
 @query(
@@ -306,7 +306,7 @@ def duplicate_rate(spark, sf_dir):
     """,
 )
 def vocab_overlap(spark, sf_dir):
-    return U.vocab_overlap(table(spark, sf_dir, "documents"), "lang", "text")
+    return U.vocab_overlap(text_table(spark, sf_dir, "documents"), "lang", "text")
 
 
 def hash_rank_sql(key: str, group: str | None = None, seed: int = 42) -> str:
@@ -321,7 +321,7 @@ FROM (SELECT doc_id, text, lang FROM documents)
 
 
 def _split(spark, sf_dir):
-    documents = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    documents = text_table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     return X.stratified_split(documents, "lang", "doc_id")
 
 
@@ -391,7 +391,7 @@ def cap_per_class(spark, sf_dir):
     f"SELECT doc_id, lang, ({hash_rank_sql('doc_id', 'lang')} - 1) % 5 AS fold FROM documents",
 )
 def kfold_assign(spark, sf_dir):
-    return X.kfold_assign(table(spark, sf_dir, "documents").select("doc_id", "lang"), "lang", "doc_id")
+    return X.kfold_assign(text_table(spark, sf_dir, "documents").select("doc_id", "lang"), "lang", "doc_id")
 
 
 @query(

@@ -20,7 +20,7 @@ from ticketloom.operators import sampling as S
 from ticketloom.operators import vectors as V
 from ticketloom.plans import sqltext as Q
 from ticketloom.plans.label_queries import CLEAN_SQL
-from ticketloom.plans.registry import query, table, table_stream
+from ticketloom.plans.registry import query, table, table_stream, text_table
 from ticketloom.plans.report_queries import DAY, WEEK
 from ticketloom.plans.views import ticket_view, tickets_of, with_views
 from ticketloom.session import work_path
@@ -51,20 +51,20 @@ def tfidf_sql(max_features: int, min_df: int, max_df: float, ngram: bool = False
 
 @query("tfidf", tfidf_sql(3000, 2, 0.7))
 def tfidf(spark, sf_dir):
-    weights = X.tfidf(table(spark, sf_dir, "documents"), "doc_id", "text", 3000, 2, 0.7)
+    weights = X.tfidf(text_table(spark, sf_dir, "documents"), "doc_id", "text", 3000, 2, 0.7)
     return weights.withColumn("weight", F.round("weight", 6))
 
 
 @query("tfidf_bigrams", tfidf_sql(3000, 2, 0.7, ngram=True))
 def tfidf_bigrams(spark, sf_dir):
-    weights = X.tfidf(table(spark, sf_dir, "documents"), "doc_id", "text", 3000, 2, 0.7, ngram=(1, 2))
+    weights = X.tfidf(text_table(spark, sf_dir, "documents"), "doc_id", "text", 3000, 2, 0.7, ngram=(1, 2))
     return weights.withColumn("weight", F.round("weight", 6))
 
 
 @query("tfidf_vectors", tfidf_sql(1 << 18, 3, 0.7))
 def tfidf_vectors(spark, sf_dir):
     """The MLlib form, unfolded to terms: the same weights."""
-    documents = table(spark, sf_dir, "documents").select("doc_id", "text")
+    documents = text_table(spark, sf_dir, "documents").select("doc_id", "text")
     model = X.fit_tfidf(documents, "text", max_features=1 << 18, min_df=3, max_df=0.7)
     counter = next(s for s in model.stages if type(s).__name__ == "CountVectorizerModel")
     terms = spark.createDataFrame(list(enumerate(counter.vocabulary)), "index int, term string")
@@ -80,12 +80,12 @@ def tfidf_vectors(spark, sf_dir):
     "GROUP BY term ORDER BY n DESC, term LIMIT 50",
 )
 def term_counts(spark, sf_dir):
-    return X.term_counts(table(spark, sf_dir, "documents"), "text")
+    return X.term_counts(text_table(spark, sf_dir, "documents"), "text")
 
 
 @query("label_index", "SELECT source, CAST(dense_rank() OVER (ORDER BY source) - 1 AS INTEGER) AS index FROM documents GROUP BY source")
 def label_index(spark, sf_dir):
-    return X.label_index(table(spark, sf_dir, "documents"), "source")
+    return X.label_index(text_table(spark, sf_dir, "documents"), "source")
 
 
 @query(
@@ -101,7 +101,7 @@ def class_weights(spark, sf_dir):
 
 # --- classifiers -------------------------------------------------------------------
 def _documents(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", "text", F.col("lang").alias(LABEL))
+    return text_table(spark, sf_dir, "documents").select("doc_id", "text", F.col("lang").alias(LABEL))
 
 
 def _text_split(spark, sf_dir):
@@ -301,7 +301,7 @@ def save_model(spark, sf_dir):
 
 
 def _messages(spark, sf_dir):
-    return table(spark, sf_dir, "conversations").select("conv_id", "turn", "text")
+    return text_table(spark, sf_dir, "conversations").select("conv_id", "turn", "text")
 
 
 @query("pseudo_label")

@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ticketloom.session import spread
 from ticketloom.sources.tables import is_folder
 from ticketloom.streaming.jobs import stream_messages
 
@@ -31,6 +32,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def text_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table whose rows are costly to process; small single-split files are spread over the cores."""
+    return spread(table(spark, sf_dir, name))
+
+
 def table_stream(spark: SparkSession, sf_dir: str, name: str, max_files: int = 100) -> DataFrame:
     """A table as a file stream, whether it is stored as one file or as a folder of files."""
     path = f"{sf_dir}/{name}.parquet"

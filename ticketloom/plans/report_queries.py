@@ -10,7 +10,7 @@ from ticketloom.operators import evaluate as E
 from ticketloom.operators import monitor as M
 from ticketloom.operators import profile as A
 from ticketloom.plans import sqltext as Q
-from ticketloom.plans.registry import query, table
+from ticketloom.plans.registry import query, table, text_table
 from ticketloom.plans.views import sql_in, ticket_view, with_views
 from ticketloom.session import work_path
 from ticketloom.sources import logs as G
@@ -36,7 +36,7 @@ def category_distribution(spark, sf_dir):
     """,
 )
 def text_stats_by_category(spark, sf_dir):
-    return A.text_stats_by_category(table(spark, sf_dir, "documents"), "lang", "text")
+    return A.text_stats_by_category(text_table(spark, sf_dir, "documents"), "lang", "text")
 
 
 @query(
@@ -68,7 +68,7 @@ def _histogram_sql(bins: int) -> str:
 
 @query("length_histogram", _histogram_sql(30))
 def length_histogram(spark, sf_dir):
-    lengths = table(spark, sf_dir, "documents").select(T.char_length(F.col("text")).alias("length"))
+    lengths = text_table(spark, sf_dir, "documents").select(T.char_length(F.col("text")).alias("length"))
     return A.length_histogram(lengths, "length", 30)
 
 
@@ -82,7 +82,7 @@ _MARKS = (("min", 0.0), ("q1", 0.25), ("median", 0.5), ("q3", 0.75), ("max", 1.0
     + " FROM documents GROUP BY lang",
 )
 def length_quantiles(spark, sf_dir):
-    lengths = table(spark, sf_dir, "documents").select("lang", T.char_length(F.col("text")).alias("length"))
+    lengths = text_table(spark, sf_dir, "documents").select("lang", T.char_length(F.col("text")).alias("length"))
     return A.length_quantiles(lengths, "lang", "length")
 
 
@@ -93,7 +93,7 @@ def length_quantiles(spark, sf_dir):
     "FROM (SELECT lang, count(*) AS n, sum(length(coalesce(text, ''))) AS c FROM documents GROUP BY lang)",
 )
 def imbalance_ratio(spark, sf_dir):
-    return A.imbalance_ratio(table(spark, sf_dir, "documents"), "lang", "text")
+    return A.imbalance_ratio(text_table(spark, sf_dir, "documents"), "lang", "text")
 
 
 @query(
@@ -138,7 +138,7 @@ _STOPPED = Q.tokens("text", K.ENGLISH_STOPWORDS)
     """,
 )
 def term_profile_by_class(spark, sf_dir):
-    return A.term_profile_by_class(table(spark, sf_dir, "documents"), "lang", "text")
+    return A.term_profile_by_class(text_table(spark, sf_dir, "documents"), "lang", "text")
 
 
 @query(
@@ -147,7 +147,7 @@ def term_profile_by_class(spark, sf_dir):
     "GROUP BY source",
 )
 def class_vocab_size(spark, sf_dir):
-    return A.class_vocab_size(table(spark, sf_dir, "documents"), "source", "text")
+    return A.class_vocab_size(text_table(spark, sf_dir, "documents"), "source", "text")
 
 
 RESULTS_SQL = (
@@ -229,7 +229,7 @@ def _half(at: int) -> str:
     """,
 )
 def dataset_fingerprint(spark, sf_dir):
-    return A.dataset_fingerprint(table(spark, sf_dir, "documents"))
+    return A.dataset_fingerprint(text_table(spark, sf_dir, "documents"))
 
 
 WEEK = "time_bucket(INTERVAL '7 days', ts, TIMESTAMP '1970-01-01')"
@@ -369,7 +369,7 @@ def most_confused_with(spark, sf_dir):
 )
 def prediction_truth(spark, sf_dir):
     """A length rule as the prediction; ground truth exists for some documents only."""
-    documents = table(spark, sf_dir, "documents")
+    documents = text_table(spark, sf_dir, "documents")
     guess = documents.select("doc_id", (F.col("n_chars") >= 500).cast("int").alias("prediction"))
     return E.prediction_truth(guess, table(spark, sf_dir, "labels").select("doc_id", "quality"), "doc_id")
 
@@ -380,7 +380,7 @@ def prediction_truth(spark, sf_dir):
     "FROM documents) WHERE rank <= 5",
 )
 def first_per_category(spark, sf_dir):
-    return E.first_n(table(spark, sf_dir, "documents").select("doc_id", "lang", "source"), "source", "doc_id", 5)
+    return E.first_n(text_table(spark, sf_dir, "documents").select("doc_id", "lang", "source"), "source", "doc_id", 5)
 
 
 @query(

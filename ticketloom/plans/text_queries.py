@@ -8,7 +8,7 @@ from ticketloom.functions import constants as K
 from ticketloom.functions import prompts as P
 from ticketloom.functions import text as T
 from ticketloom.plans import sqltext as Q
-from ticketloom.plans.registry import query, table
+from ticketloom.plans.registry import query, text_table
 from ticketloom.plans.views import ticket_view, with_views
 
 DOCS = ("documents", "doc_id", "text")
@@ -16,7 +16,7 @@ DOCS = ("documents", "doc_id", "text")
 
 @query("truncate_at_punctuation", Q.truncate_sql(*DOCS, "head"))
 def truncate_at_punctuation(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", T.truncate_at_punctuation(F.col("text")).alias("head"))
+    return text_table(spark, sf_dir, "documents").select("doc_id", T.truncate_at_punctuation(F.col("text")).alias("head"))
 
 
 @query("remove_greetings", with_views(Q.greetings_sql("ticket_view", "event_id", "text", "body")))
@@ -31,7 +31,7 @@ def clean_ticket_text(spark, sf_dir):
 
 @query("clean_ticket_text_documents", Q.ticket_sql(*DOCS))
 def clean_ticket_text_documents(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", T.clean_ticket_text(F.col("text")).alias("clean_text"))
+    return text_table(spark, sf_dir, "documents").select("doc_id", T.clean_ticket_text(F.col("text")).alias("clean_text"))
 
 
 @query("clean_ticket_text_twitter", with_views(Q.ticket_sql("ticket_view", "event_id", "text", twitter=True)))
@@ -47,23 +47,23 @@ def clean_tweet_text(spark, sf_dir):
 
 @query("clean_tweet_text_documents", Q.tweet_sql(*DOCS))
 def clean_tweet_text_documents(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", T.clean_tweet_text(F.col("text")).alias("clean_text"))
+    return text_table(spark, sf_dir, "documents").select("doc_id", T.clean_tweet_text(F.col("text")).alias("clean_text"))
 
 
 @query("clean_eda_text", Q.eda_sql(*DOCS))
 def clean_eda_text(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", T.clean_eda_text(F.col("text")).alias("clean_text"))
+    return text_table(spark, sf_dir, "documents").select("doc_id", T.clean_eda_text(F.col("text")).alias("clean_text"))
 
 
 @query("clean_label_text", Q.label_text_sql(*DOCS))
 def clean_label_text(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", T.clean_label_text(F.col("text")).alias("clean_text"))
+    return text_table(spark, sf_dir, "documents").select("doc_id", T.clean_label_text(F.col("text")).alias("clean_text"))
 
 
 @query("clean_query_text", Q.query_text_sql("pages", "page_id", "html"))
 def clean_query_text(spark, sf_dir):
     """Raw pages: URLs, mark-up and symbols."""
-    return table(spark, sf_dir, "pages").select("page_id", T.clean_query_text(F.col("html")).alias("clean_text"))
+    return text_table(spark, sf_dir, "pages").select("page_id", T.clean_query_text(F.col("html")).alias("clean_text"))
 
 
 @query(
@@ -72,7 +72,7 @@ def clean_query_text(spark, sf_dir):
 )
 def text_metrics(spark, sf_dir):
     text = F.col("text")
-    return table(spark, sf_dir, "documents").select(
+    return text_table(spark, sf_dir, "documents").select(
         "doc_id", T.char_length(text).alias("text_length"), T.word_count(text).alias("word_count")
     )
 
@@ -91,7 +91,7 @@ _TOKENS = Q.tokens("text", K.ENGLISH_STOPWORDS)
 )
 def tokenise_terms(spark, sf_dir):
     terms = T.tokenise_terms(F.col("text"), K.ENGLISH_STOPWORDS, (1, 2))
-    return table(spark, sf_dir, "documents").select(
+    return text_table(spark, sf_dir, "documents").select(
         "doc_id", F.size(terms).cast("long").alias("n_terms"), F.array_join(terms, "|").alias("terms")
     )
 
@@ -145,4 +145,4 @@ def build_prompt(spark, sf_dir):
 
 @query("preview", "SELECT doc_id, substr(coalesce(text, ''), 1, 150) || '...' AS preview FROM documents")
 def preview(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", T.preview(F.col("text"), 150).alias("preview"))
+    return text_table(spark, sf_dir, "documents").select("doc_id", T.preview(F.col("text"), 150).alias("preview"))

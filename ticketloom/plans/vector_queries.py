@@ -15,7 +15,7 @@ from ticketloom.operators import sampling as X
 from ticketloom.operators import vectors as V
 from ticketloom.plans import sqltext as Q
 from ticketloom.plans.label_queries import hash_rank_sql
-from ticketloom.plans.registry import query, table
+from ticketloom.plans.registry import query, table, text_table
 from ticketloom.plans.text_queries import template_sql
 
 DIM = 64
@@ -85,7 +85,7 @@ def vector_profile(spark, sf_dir):
     "SELECT d.doc_id, d.lang, e.label, len(e.embedding) AS dim FROM documents d JOIN embeddings e ON e.vec_id = d.doc_id",
 )
 def attach_vectors(spark, sf_dir):
-    documents = table(spark, sf_dir, "documents").select("doc_id", "lang")
+    documents = text_table(spark, sf_dir, "documents").select("doc_id", "lang")
     vectors = table(spark, sf_dir, "embeddings").withColumnRenamed("vec_id", "doc_id")
     return V.attach_vectors(documents, vectors, "doc_id").select(
         "doc_id", "lang", "label", F.size("embedding").alias("dim")
@@ -227,7 +227,7 @@ def embed_sql(source: str, key: str, col: str, dim: int = DIM) -> str:
 
 
 def _embedded_documents(spark, sf_dir):
-    documents = table(spark, sf_dir, "documents").select(
+    documents = text_table(spark, sf_dir, "documents").select(
         F.col("doc_id").alias("id"), T.clean_query_text(F.col("text")).alias("clean_text"), F.col("lang").alias("category")
     )
     return V.embed_texts(documents, "clean_text", "vec", DIM)
@@ -369,7 +369,7 @@ CONTEXT_SQL = (
 @query("rag_context", CONTEXT_SQL)
 def rag_context(spark, sf_dir):
     results = V.search(_embedded_queries(spark, sf_dir), _embedded_documents(spark, sf_dir), k=3)
-    documents = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
+    documents = text_table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
     return V.rag_context(results, documents, "qid", "id", "text")
 
 
@@ -390,7 +390,7 @@ _LISTING = "'" + "\n".join(f"- {c}" for c in K.TICKET_CATEGORIES) + "'"
 )
 def rag_batch(spark, sf_dir):
     """Context, prompt and neighbour-vote response for every benchmark text."""
-    documents = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
+    documents = text_table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
     corpus = _embedded_documents(spark, sf_dir).join(documents, "id")
     return V.rag_batch(_embedded_queries(spark, sf_dir), corpus, K.TICKET_CATEGORIES, k=3)
 

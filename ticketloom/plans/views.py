@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ticketloom.functions.constants import TWEET_CATEGORIES
-from ticketloom.plans.registry import table
+from ticketloom.plans.registry import text_table
 
 # (message, true category)
 MESSAGES = (
@@ -99,7 +99,7 @@ def pick(values, position):
 
 def ticket_view(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One support message per event, with a logged prediction."""
-    return tickets_of(table(spark, sf_dir, "events"))
+    return tickets_of(text_table(spark, sf_dir, "events"))
 
 
 def tickets_of(events: DataFrame) -> DataFrame:

@@ -31,6 +31,16 @@ def local_session(cores: str = "8", shuffle_partitions: int = 8, **conf: str) ->
     return spark
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Give costly per-row work to all cores when the input has fewer splits than that.
+
+    A file of one row group is one task however many cores there are.  A large
+    table has more splits than cores and is left as it is: no shuffle.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """Folder every executor can reach: the one the cluster names, or a local one in tests."""
     base = spark.conf.get("spark.checkpoint.dir", None)

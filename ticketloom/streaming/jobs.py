@@ -51,7 +51,8 @@ def stream_label(
 ) -> DataFrame:
     """Clean and label messages; stateless, so it equals the batch result row by row."""
     inbound = C.filter_inbound(stream, inbound_col)
-    clean = inbound.select(key, *keep, T.clean_tweet_text(F.col(text_col)).alias("clean_text"))
+    narrow = inbound.select(key, *keep, text_col)
+    clean = C.compute_once(narrow, clean_text=T.clean_tweet_text(F.col(text_col))).drop(text_col)
     labelled = categorize(C.filter_min_length(clean, "clean_text", min_length), "clean_text", rules)
     return C.filter_confidence(labelled, min_confidence).withColumn("source", F.lit("twitter"))
 
