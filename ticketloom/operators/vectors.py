@@ -9,7 +9,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.ml.feature import CountVectorizerModel, Normalizer
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as ST
@@ -300,24 +300,33 @@ def fuse(
 
 
 # --- retrieval context -------------------------------------------------------------
+def _majority(labels: Column) -> Column:
+    """Most frequent label of a short list; ties go to the smallest."""
+    distinct = F.array_sort(F.array_distinct(labels))
+    votes = F.transform(distinct, lambda name: F.size(F.filter(labels, lambda x: x == name)))
+    return F.element_at(distinct, F.array_position(votes, F.array_max(votes)).cast("int"))
+
+
+def _ranked(results: DataFrame, corpus: DataFrame, query: str, corpus_id: str, cols: Sequence[str]) -> DataFrame:
+    """Columns of the top-k rows of every query as one list in rank order: at most k entries."""
+    found = results.select(query, "rank", corpus_id).join(corpus.select(corpus_id, *cols), corpus_id)
+    return found.groupBy(query).agg(F.array_sort(F.collect_list(F.struct("rank", *cols))).alias("_top"))
+
+
+def _context(text_col: str) -> Column:
+    return F.array_join(F.transform("_top", lambda s: s[text_col]), "\n")
+
+
 def rag_context(results: DataFrame, corpus: DataFrame, query: str, corpus_id: str, text_col: str) -> DataFrame:
     """Texts of the top-k results in rank order, one per line."""
-    texts = results.select(query, "rank", corpus_id).join(corpus.select(corpus_id, text_col), corpus_id)
-    # At most k rows per query.
-    ranked = F.array_sort(F.collect_list(F.struct("rank", text_col)))
-    return texts.groupBy(query).agg(F.array_join(F.transform(ranked, lambda s: s[text_col]), "\n").alias("context"))
+    ranked = _ranked(results, corpus, query, corpus_id, [text_col])
+    return ranked.select(query, _context(text_col).alias("context"))
 
 
 def neighbour_vote(results: DataFrame, corpus: DataFrame, query: str, corpus_id: str, label: str) -> DataFrame:
     """Most frequent class among the results of each query: the default responder."""
-    votes = (
-        results.select(query, corpus_id)
-        .join(corpus.select(corpus_id, label), corpus_id)
-        .groupBy(query, label)
-        .agg(F.count("*").alias("_votes"))
-    )
-    order = F.struct((-F.col("_votes")).alias("v"), F.col(label).alias("l"))
-    return votes.groupBy(query).agg(F.min_by(label, order).alias("response"))
+    ranked = _ranked(results, corpus, query, corpus_id, [label])
+    return ranked.select(query, _majority(F.transform("_top", lambda s: s[label])).alias("response"))
 
 
 def rag_batch(
@@ -339,11 +348,12 @@ def rag_batch(
     without one the response is the neighbours' majority class.
     """
     results = search(tickets, corpus, k, query, corpus_id, vec)
-    context = rag_context(results, corpus, query, corpus_id, corpus_text)
-    joined = tickets.select(query, F.col(query_text).alias("ticket")).join(context, query, "left")
-    filled = joined.withColumn("context", F.coalesce("context", F.lit(""))).withColumn(
+    # One search and one join give both the context and the neighbours' classes.
+    ranked = _ranked(results, corpus, query, corpus_id, [corpus_text, label])
+    joined = tickets.select(query, F.col(query_text).alias("ticket")).join(ranked, query, "left")
+    filled = joined.withColumn("context", F.coalesce(_context(corpus_text), F.lit(""))).withColumn(
         "prompt", build_prompt(F.col("ticket"), F.col("context"), categories)
     )
-    if responder is not None:
-        return filled.withColumn("response", F.pandas_udf(responder, "string")("prompt"))
-    return filled.join(neighbour_vote(results, corpus, query, corpus_id, label), query, "left")
+    vote = _majority(F.transform("_top", lambda s: s[label]))
+    response = vote if responder is None else F.pandas_udf(responder, "string")("prompt")
+    return filled.withColumn("response", response).drop("_top")

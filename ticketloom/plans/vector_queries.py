@@ -228,7 +228,10 @@ def embed_sql(source: str, key: str, col: str, dim: int = DIM) -> str:
 
 def _embedded_documents(spark, sf_dir):
     documents = text_table(spark, sf_dir, "documents").select(
-        F.col("doc_id").alias("id"), T.clean_query_text(F.col("text")).alias("clean_text"), F.col("lang").alias("category")
+        F.col("doc_id").alias("id"),
+        "text",
+        T.clean_query_text(F.col("text")).alias("clean_text"),
+        F.col("lang").alias("category"),
     )
     return V.embed_texts(documents, "clean_text", "vec", DIM)
 
@@ -390,8 +393,6 @@ _LISTING = "'" + "\n".join(f"- {c}" for c in K.TICKET_CATEGORIES) + "'"
 )
 def rag_batch(spark, sf_dir):
     """Context, prompt and neighbour-vote response for every benchmark text."""
-    documents = text_table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
-    corpus = _embedded_documents(spark, sf_dir).join(documents, "id")
-    return V.rag_batch(_embedded_queries(spark, sf_dir), corpus, K.TICKET_CATEGORIES, k=3)
+    return V.rag_batch(_embedded_queries(spark, sf_dir), _embedded_documents(spark, sf_dir), K.TICKET_CATEGORIES, k=3)
 
 
