@@ -144,7 +144,12 @@ def fit_tfidf(
     try:
         prepared = sized(terms, terms.count())
         counter = CountVectorizer(
-            inputCol="_terms", outputCol="_counts", vocabSize=max_features, minDF=min_df, maxDF=max_df
+            inputCol="_terms",
+            outputCol="_counts",
+            vocabSize=max_features,
+            minDF=min_df,
+            # Here max_df is a share of the documents; Spark reads 1.0 and above as a count.
+            maxDF=max_df if max_df < 1.0 else float(2**63 - 1),
         ).fit(prepared)
         idf = IDF(inputCol="_counts", outputCol="_idf").fit(counter.transform(prepared)).idf
     finally:
