@@ -20,6 +20,9 @@ from pyspark.sql import functions as F
 
 from ticketloom.functions import text as T
 from ticketloom.functions.rules import RuleBase
+from ticketloom.session import ship_by_value
+
+ship_by_value(__name__)
 
 # first phrase: number of the phrase or -1; scores: one integer per category, times 100.
 MATCH_TYPE = "phrase int, scores array<int>"

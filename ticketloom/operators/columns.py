@@ -6,6 +6,7 @@ from collections.abc import Callable, Mapping, Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ticketloom.functions import constants as K
@@ -149,10 +150,9 @@ def assign_index(df: DataFrame, key: str, out: str = "embedding_index", width: i
     ``width`` rows; each range is numbered on its own and shifted by the number
     of rows in earlier ranges.  No global sort, no single-task numbering.
     """
-    from pyspark.sql import Window as W
-
     ranges = F.floor(F.col(key) / width)
     sized = df.select(ranges.alias("_range")).groupBy("_range").agg(F.count("*").alias("_n"))
+    # One row per range of keys: a small table.
     shift = W.orderBy("_range").rowsBetween(W.unboundedPreceding, -1)
     offsets = sized.select("_range", F.coalesce(F.sum("_n").over(shift), F.lit(0)).alias("_offset"))
     within = F.row_number().over(W.partitionBy("_range").orderBy(key))

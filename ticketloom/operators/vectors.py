@@ -8,7 +8,8 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.ml.feature import CountVectorizerModel, Normalizer
-from pyspark.ml.functions import vector_to_array
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -16,6 +17,9 @@ from pyspark.sql import types as ST
 
 from ticketloom.functions import text as T
 from ticketloom.functions.prompts import build_prompt
+from ticketloom.session import ship_by_value
+
+ship_by_value(__name__)
 
 # Query vectors shipped to every task: checked before use, see ``search``.
 MAX_SHIPPED_QUERIES = 4096
@@ -80,20 +84,15 @@ def vector_profile(df: DataFrame, vec: str) -> DataFrame:
     )
 
 
-def centroid_components(df: DataFrame, label: str, vec: str) -> DataFrame:
-    """Mean of every vector component per class: (label, pos, value)."""
-    return (
-        df.select(label, F.posexplode(vec).alias("pos", "x"))
-        .groupBy(label, "pos")
-        .agg(F.avg(F.col("x").cast("double")).alias("value"))
-    )
+def category_centroids(df: DataFrame, label: str, vec: str, out: str = "centroid") -> DataFrame:
+    """Mean vector per class; partial means are merged, vectors are never unfolded to rows."""
+    mean = Summarizer.mean(array_to_vector(F.col(vec)))
+    return df.groupBy(label).agg(vector_to_array(mean).alias(out))
 
 
-def category_centroids(df: DataFrame, label: str, vec: str, out: str = "centroid") -> DataFrame:
-    """Mean vector per class."""
-    parts = centroid_components(df, label, vec)
-    ordered = F.array_sort(F.collect_list(F.struct("pos", "value")))
-    return parts.groupBy(label).agg(F.transform(ordered, lambda s: s["value"]).alias(out))
+def centroid_components(df: DataFrame, label: str, vec: str) -> DataFrame:
+    """Centroids in long form: (label, pos, value)."""
+    return category_centroids(df, label, vec, "_mean").select(label, F.posexplode("_mean").alias("pos", "value"))
 
 
 def centroid_similarity(df: DataFrame, label: str, vec: str, threshold: float | None = None) -> DataFrame:

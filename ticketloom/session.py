@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import os
+import sys
 import tempfile
 import uuid
 
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,6 +15,11 @@ from pyspark.sql import functions as F
 MAX_BROADCAST_ROWS = 200_000
 
 
+def ship_by_value(module: str) -> None:
+    """Send a module's functions to the Python workers as code, so that workers need no copy of this package."""
+    cloudpickle.register_pickle_by_value(sys.modules[module])
+
+
 def local_session(cores: str = "8", shuffle_partitions: int = 8, **conf: str) -> SparkSession:
     """Session for tests and benchmarks; on a cluster use the session you are given."""
     builder = (
