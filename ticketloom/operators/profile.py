@@ -135,8 +135,19 @@ def term_profile_by_class(
         .join(sizes, group)
         .select(group, "term", F.round(F.col("tf") / F.col("_docs"), 6).alias("mean_count"))
     )
-    order = W.partitionBy(group).orderBy(F.desc("mean_count"), "term")
-    return profile.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= per_class)
+    return _best_terms(profile, group, "mean_count", per_class)
+
+
+def _best_terms(scored: DataFrame, group: str, value: str, n: int) -> DataFrame:
+    order = W.partitionBy(group).orderBy(F.desc(value), "term")
+    return scored.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= n)
+
+
+def top_terms_per_class(
+    df: DataFrame, group: str, text_col: str, n: int = 10, stopwords: Sequence[str] = K.ENGLISH_STOPWORDS
+) -> DataFrame:
+    """Most frequent terms of each class."""
+    return _best_terms(class_terms(df, group, text_col, stopwords), group, "tf", n)
 
 
 def class_vocab_size(df: DataFrame, group: str, text_col: str, approximate: bool = False) -> DataFrame:

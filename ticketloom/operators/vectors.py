@@ -298,6 +298,20 @@ def fuse(
     return joined.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 
 
+def hybrid_retrieve(
+    first: tuple[DataFrame, DataFrame],
+    second: tuple[DataFrame, DataFrame],
+    weights: tuple[float, float] = (0.5, 0.5),
+    k: int = 5,
+    query_id: str = "qid",
+    corpus_id: str = "id",
+    **options,
+) -> DataFrame:
+    """Search two (queries, corpus) pairs and fuse the top-k lists."""
+    lists = [search(q, c, k, query_id, corpus_id, **options) for q, c in (first, second)]
+    return fuse(*lists, query=query_id, doc=corpus_id, weights=weights, k=k)
+
+
 # --- retrieval context -------------------------------------------------------------
 def _majority(labels: Column) -> Column:
     """Most frequent label of a short list; ties go to the smallest."""

@@ -141,6 +141,19 @@ def term_profile_by_class(spark, sf_dir):
     return A.term_profile_by_class(text_table(spark, sf_dir, "documents"), "lang", "text")
 
 
+@query(
+    "top_terms_per_class",
+    f"""
+    SELECT * FROM (SELECT source, term, tf, row_number() OVER (PARTITION BY source ORDER BY tf DESC, term) AS rank
+                   FROM (SELECT source, term, count(*) AS tf
+                         FROM (SELECT source, unnest({_STOPPED}) AS term FROM documents) GROUP BY source, term))
+    WHERE rank <= 10
+    """,
+)
+def top_terms_per_class(spark, sf_dir):
+    return A.top_terms_per_class(text_table(spark, sf_dir, "documents"), "source", "text")
+
+
 @query(
     "class_vocab_size",
     f"SELECT source, count(DISTINCT term) AS vocab_size FROM (SELECT source, unnest({Q.tokens('text')}) AS term FROM documents) "

@@ -31,12 +31,13 @@ CORPUS_SQL = "SELECT vec_id AS id, CAST(embedding AS DOUBLE[]) AS vec, label AS
 
 
 def topk_sql(queries: str, corpus: str, k: int, extra: str = "true") -> str:
-    """Exact cosine top-k of (qid, vec) against (id, vec, ...)."""
+    """Exact cosine top-k of (qid, vec) against (id, vec, ...); a zero vector is similar to nothing."""
+    cosine = "list_cosine_similarity(q.vec, c.vec)"
     return f"""
     SELECT qid, id, score, rank FROM (
-        SELECT q.qid, c.id, round(list_cosine_similarity(q.vec, c.vec), 6) AS score,
-               row_number() OVER (PARTITION BY q.qid ORDER BY round(list_cosine_similarity(q.vec, c.vec), 6) DESC, c.id) AS rank
-        FROM ({queries}) q JOIN ({corpus}) c ON {extra})
+        SELECT qid, id, score, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) AS rank FROM (
+            SELECT q.qid, c.id, CASE WHEN isnan({cosine}) THEN 0 ELSE round({cosine}, 6) END AS score
+            FROM ({queries}) q JOIN ({corpus}) c ON {extra}))
     WHERE rank <= {k}
     """
 
@@ -186,6 +187,12 @@ def hybrid_fusion(spark, sf_dir):
     return V.fuse(first, second, k=5)
 
 
+def _text_vector_halves(spark, sf_dir):
+    queries, corpus = _embedded_queries(spark, sf_dir), _embedded_documents(spark, sf_dir)
+    low, high = F.slice("vec", 1, DIM // 2).alias("vec"), F.slice("vec", DIM // 2 + 1, DIM // 2).alias("vec")
+    return [(queries.select("qid", part), corpus.select("id", part)) for part in (low, high)]
+
+
 # --- classification by neighbours --------------------------------------------------
 KNN_SPLIT_SQL = f"""
 SELECT *, {hash_rank_sql('id', 'category')} <= floor(count(*) OVER (PARTITION BY category) * 0.2::DOUBLE + 0.5::DOUBLE) AS is_test
@@ -362,6 +369,30 @@ def search_miss_analysis(spark, sf_dir):
     return E.search_miss_analysis(results, hits, 20)
 
 
+def _part_sql(source: str, key: str, low: int, high: int) -> str:
+    return f"SELECT {key}, vec[{low}:{high}] AS vec FROM ({source})"
+
+
+def _half_top_sql(low: int, high: int) -> str:
+    return topk_sql(_part_sql(ITEM_VECTORS_SQL, "qid", low, high), _part_sql(DOC_VECTORS_SQL, "id", low, high), 5)
+
+
+@query(
+    "hybrid_retrieve",
+    f"""
+    SELECT * FROM (
+        SELECT qid, id, round(score, 5) AS score, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) AS rank FROM (
+            SELECT qid, id, round(coalesce(a.score, 0) * 0.7 + coalesce(b.score, 0) * 0.3, 8) AS score
+            FROM ({_half_top_sql(1, DIM // 2)}) a FULL JOIN ({_half_top_sql(DIM // 2 + 1, DIM)}) b USING (qid, id)))
+    WHERE rank <= 5
+    """,
+)
+def hybrid_retrieve(spark, sf_dir):
+    """Benchmark texts against all documents by two retrievers, one per half of the hashed vector."""
+    first, second = _text_vector_halves(spark, sf_dir)
+    return V.hybrid_retrieve(first, second, weights=(0.7, 0.3)).withColumn("score", F.round("score", 5))
+
+
 # --- retrieval context -------------------------------------------------------------
 CONTEXT_SQL = (
     f"SELECT qid, string_agg(text, chr(10) ORDER BY rank) AS context FROM ({TEXT_TOP_SQL}) JOIN documents ON doc_id = id "
