@@ -162,6 +162,14 @@ def fit_tfidf(
     return PipelineModel([*text_stages, counter, scale, unit])
 
 
+def vector_entries(df: DataFrame, key: str, vec: str) -> DataFrame:
+    """(key, index, value) for the stored entries of sparse vectors; zeros are never expanded."""
+    stored = "v struct<indices: array<int>, values: array<double>>"
+    parsed = F.from_json(F.to_json(F.struct(F.col(vec).alias("v"))), stored)["v"]
+    pairs = F.arrays_zip(parsed["indices"].alias("index"), parsed["values"].alias("value"))
+    return df.select(key, F.inline(pairs))
+
+
 def regularisation(c: float, rows: int) -> float:
     """Spark's regParam for an inverse regularisation strength C on ``rows`` rows."""
     return 1.0 / (c * rows) if rows else math.inf

@@ -6,7 +6,6 @@ stored embeddings; both use the hash split.
 
 from __future__ import annotations
 
-from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from ticketloom.functions import constants as K
@@ -68,10 +67,8 @@ def tfidf_vectors(spark, sf_dir):
     model = X.fit_tfidf(documents, "text", max_features=1 << 18, min_df=3, max_df=0.7)
     counter = next(s for s in model.stages if type(s).__name__ == "CountVectorizerModel")
     terms = spark.createDataFrame(list(enumerate(counter.vocabulary)), "index int, term string")
-    # The sparse vector's own entries, not its zeros.
-    parts = model.transform(documents).select("doc_id", F.expr("_terms"), vector_to_array("features").alias("w"))
-    entries = parts.select("doc_id", F.posexplode("w").alias("index", "weight")).filter(F.col("weight") > 0)
-    return entries.join(F.broadcast(terms), "index").select("doc_id", "term", F.round("weight", 6).alias("weight"))
+    entries = X.vector_entries(model.transform(documents), "doc_id", "features")
+    return entries.join(F.broadcast(terms), "index").select("doc_id", "term", F.round("value", 6).alias("weight"))
 
 
 @query(
