@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ticketloom.llm import exact_dedup as exact
 from ticketloom.llm import jaccard_join as jaccard
+from ticketloom.llm import licenses, mixing
 from ticketloom.llm import quality_rules as rules
 from ticketloom.llm import token_counts as tokens
 
@@ -83,3 +84,13 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op5_jaccard_join")
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.jaccard_components(documents(spark, sf_dir))
+
+
+@query("op2_mix_sources")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mixture(documents(spark, sf_dir))
+
+
+@query("op4_license_scan")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan_licenses(documents(spark, sf_dir))
