@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ticketloom.llm import exact_dedup as exact
 from ticketloom.llm import jaccard_join as jaccard
-from ticketloom.llm import licenses, mixing
+from ticketloom.llm import licenses, line_dedup, mixing
 from ticketloom.llm import quality_rules as rules
 from ticketloom.llm import token_counts as tokens
 
@@ -94,3 +94,30 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op4_license_scan")
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan_licenses(documents(spark, sf_dir))
+
+
+@query(
+    "op1_line_dedup",
+    r"""
+WITH l AS (SELECT doc_id, unnest(range(len(x))) AS line, unnest(x) AS t
+           FROM (SELECT doc_id, string_split(text, chr(10)) AS x FROM documents WHERE text IS NOT NULL)),
+w AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY line) AS pos
+      FROM (SELECT *, len(regexp_extract_all(t, '[^ 	-
+]+')) AS n FROM l) WHERE n > 0),
+s AS (SELECT doc_id, pos, list(n) OVER a AS na, list(t) OVER a AS ta, list(n) OVER b AS nb, list(t) OVER b AS tb
+      FROM w WINDOW a AS (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN CURRENT ROW AND 49 FOLLOWING),
+                    b AS (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN 49 PRECEDING AND CURRENT ROW)),
+r AS (SELECT *, list_filter(range(1, len(na) + 1), lambda k: list_sum(na[1:k]) >= 50)[1] AS ka,
+             list_filter(range(1, len(nb) + 1), lambda k: list_sum(nb[len(nb) - k + 1:]) >= 50)[1] AS kb FROM s),
+p AS (SELECT doc_id, pos, ka AS k, ta[1:ka] AS run FROM r WHERE ka IS NOT NULL
+      UNION SELECT doc_id, pos - kb + 1, kb, tb[len(tb) - kb + 1:] FROM r WHERE kb IS NOT NULL),
+o AS (SELECT *, row_number() OVER (PARTITION BY run ORDER BY doc_id, pos) AS copy FROM p),
+g AS (SELECT DISTINCT doc_id, unnest(range(pos, pos + k)) AS pos FROM o WHERE copy > 1),
+k AS (SELECT l.doc_id, count(*) AS n_lines, count(g.pos) AS n_removed, count(w.pos) - count(g.pos) AS n_worded_left,
+             coalesce(string_agg(l.t, chr(10) ORDER BY l.line) FILTER (WHERE g.pos IS NULL), '') AS text
+      FROM l LEFT JOIN w USING (doc_id, line) LEFT JOIN g ON g.doc_id = l.doc_id AND g.pos = w.pos GROUP BY l.doc_id)
+SELECT d.doc_id, coalesce(n_lines, 0) AS n_lines, coalesce(n_removed, 0) AS n_removed,
+       coalesce(n_worded_left, 0) AS n_worded_left, k.text FROM documents d LEFT JOIN k USING (doc_id)""",
+)
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.dedup_lines(documents(spark, sf_dir))
