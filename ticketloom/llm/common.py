@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -73,17 +74,20 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _POWERS["up"][:n], _POWERS["down"][:n]
 
 
-def hashed_words(data: np.ndarray, is_word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Start positions and 64-bit hashes of the maximal runs of word bytes."""
+def hashed_words(data: np.ndarray, is_word: np.ndarray, stem: int = 0) -> tuple[np.ndarray, ...]:
+    """Start positions and 64-bit hashes of the maximal runs of word bytes; with `stem`, also of their first bytes."""
     if not len(data):
-        return np.empty(0, np.int64), np.empty(0, np.uint64)
+        return np.empty(0, np.int64), *[np.empty(0, np.uint64)] * (2 if stem else 1)
     edges = np.flatnonzero(np.diff(is_word.astype(np.int8), prepend=0, append=0))
     starts, ends = edges[0::2], edges[1::2]
     up, down = _powers(len(data) + 1)
     sums = np.zeros(len(data) + 1, np.uint64)
     np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[: len(data)], out=sums[1:])
-    raw = (sums[ends] - sums[starts]) * down[starts]
-    return starts, mixed(raw + (ends - starts).astype(np.uint64) * MULTIPLIER)
+
+    def of(stops: np.ndarray) -> np.ndarray:
+        return mixed((sums[stops] - sums[starts]) * down[starts] + (stops - starts).astype(np.uint64) * MULTIPLIER)
+
+    return (starts, of(ends), of(np.minimum(ends, starts + stem))) if stem else (starts, of(ends))
 
 
 SPACE_BYTES = np.zeros(256, bool)
@@ -111,4 +115,43 @@ def block_words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
     return hashes, np.searchsorted(starts, offsets)
 
 
+# Counters of one row when counts of a fixed number of slots are gathered.
+SLOT_PART = 1 << 14
+
+
+def counted(texts: DataFrame, slots: int, slots_of: Callable[[list[str | None]], Iterable[np.ndarray]]) -> np.ndarray:
+    """How often each of a fixed number of slots occurs over all texts; `slots_of` gives the slots of each of a list.
+
+    Tasks count for themselves, sums go through two levels of tasks, and the
+    driver gets the same few rows whatever the input.
+    """
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, lane = np.zeros(slots, np.int64), 0
+        for batch in batches:
+            lane = batch.column(1)[0].as_py()
+            for at in range(0, batch.num_rows, 512):
+                total += np.bincount(np.concatenate([np.zeros(0, np.int64), *slots_of(batch.slice(at, 512).column(0).to_pylist())]), minlength=slots)
+        if total.any():
+            n = slots // SLOT_PART
+            parts = [total[k * SLOT_PART : (k + 1) * SLOT_PART].tobytes() for k in range(n)]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(range(n), pa.int32()), pa.array([lane] * n, pa.int32()), pa.array(parts, pa.binary())], ["part", "lane", "counts"]
+            )
+
+    def add(group):
+        import pandas as pd
+
+        total = np.sum([np.frombuffer(x, np.int64) for x in group["counts"]], axis=0)
+        return pd.DataFrame({"part": group["part"][:1], "lane": group["lane"][:1], "counts": [total.tobytes()]})
+
+    schema = "part int, lane int, counts binary"
+    parts = texts.select("text", (F.spark_partition_id() % 32).alias("lane")).mapInArrow(count, schema)
+    sums = parts.groupBy("part", "lane").applyInPandas(add, schema).groupBy("part").applyInPandas(add, schema)
+    found = np.zeros(slots, np.int64)
+    for row in sums.collect():
+        found[row["part"] * SLOT_PART : (row["part"] + 1) * SLOT_PART] = np.frombuffer(row["counts"], np.int64)
+    return found
+
+
 ship_by_value(__name__)

@@ -22,14 +22,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ticketloom.llm.common import block_words, mixed, store, text_blocks
+from ticketloom.llm.common import block_words, counted, mixed, store, text_blocks
 from ticketloom.session import ship_by_value, spread
 
 WIDTH = 5
 PERCENT = 80
 # Counters of the frequency sketch: 8 MB, whatever the input.
 SKETCH = 1 << 20
-SKETCH_PART = 1 << 14
 # Bits of the filter that spares most documents without partners a second shuffle: 2 MB, whatever the input.
 FILTER_BITS = 1 << 24
 # Shingles of a region that one task joins.
@@ -38,8 +37,8 @@ LEAF = 1 << 20
 ODD = (np.arange(1, 65, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93)) | np.uint64(1)
 
 
-def shingle_sets(texts: list[str | None], width: int = WIDTH) -> Iterator[np.ndarray]:
-    """Sorted distinct shingle hashes of each text; texts of fewer words have one, of all their words."""
+def shingle_lists(texts: list[str | None], width: int = WIDTH) -> Iterator[np.ndarray]:
+    """Shingle hashes of each text in order; texts of fewer words have one, of all their words."""
     for _, data, offsets in text_blocks(texts):
         words, bounds = block_words(data, offsets)
         n = len(words) - width + 1
@@ -50,59 +49,26 @@ def shingle_sets(texts: list[str | None], width: int = WIDTH) -> Iterator[np.nda
             shingles = mixed(sums)
         for low, high in zip(bounds[:-1], bounds[1:], strict=True):
             if high - low >= width:
-                yield np.unique(shingles[low : high - width + 1])
+                yield shingles[low : high - width + 1]
             elif high > low:
                 few = words[low:high]
                 yield mixed(np.atleast_1d((few * ODD[: len(few)]).sum(dtype=np.uint64) + np.uint64(len(few))))
             else:
-                yield few_none
-
-
-few_none = np.empty(0, np.uint64)
-
-
-def slots(shingles: np.ndarray) -> np.ndarray:
-    return (shingles >> np.uint64(64 - (SKETCH.bit_length() - 1))).astype(np.int64)
-
+                yield NONE
 
-def summed(parts: DataFrame, *keys: str) -> DataFrame:
-    def add(group):
-        import pandas as pd
 
-        total = np.sum([np.frombuffer(x, np.int64) for x in group["counts"]], axis=0)
-        return pd.DataFrame({"part": group["part"][:1], "lane": group["lane"][:1], "counts": [total.tobytes()]})
+def shingle_sets(texts: list[str | None], width: int = WIDTH) -> Iterator[np.ndarray]:
+    """Sorted distinct shingle hashes of each text."""
+    for shingles in shingle_lists(texts, width):
+        own = np.sort(shingles)
+        yield own[np.concatenate([[True], own[1:] != own[:-1]])] if len(own) > 1 else own
 
-    return parts.groupBy(*keys).applyInPandas(add, "part int, lane int, counts binary")
 
+NONE = np.empty(0, np.uint64)
 
-def frequency_sketch(texts: DataFrame, width: int) -> np.ndarray:
-    """Occurrences of shingles over all documents, counted by slot; the sum goes through two levels of tasks."""
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(SKETCH, np.int64)
-        lane = 0
-        for batch in batches:
-            lane = batch.column(1)[0].as_py()
-            for shingles in shingle_sets(batch.column(0).to_pylist(), width):
-                np.add.at(total, slots(shingles), 1)
-        if total.any():
-            n = SKETCH // SKETCH_PART
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(range(n), pa.int32()),
-                    pa.array([lane] * n, pa.int32()),
-                    pa.array([total[k * SKETCH_PART : (k + 1) * SKETCH_PART].tobytes() for k in range(n)], pa.binary()),
-                ],
-                ["part", "lane", "counts"],
-            )
-
-    lanes = texts.select("text", (F.spark_partition_id() % 32).alias("lane"))
-    parts = lanes.mapInArrow(count, "part int, lane int, counts binary")
-    sketch = np.zeros(SKETCH, np.int64)
-    # SKETCH / SKETCH_PART rows, whatever the input.
-    for row in summed(summed(parts, "part", "lane"), "part").collect():
-        sketch[row["part"] * SKETCH_PART : (row["part"] + 1) * SKETCH_PART] = np.frombuffer(row["counts"], np.int64)
-    return sketch
+def slots(shingles: np.ndarray) -> np.ndarray:
+    return (shingles >> np.uint64(64 - (SKETCH.bit_length() - 1))).astype(np.int64)
 
 
 def prefix_length(n: int, percent: int) -> int:
@@ -146,7 +112,7 @@ def signatures(texts: DataFrame, sketch, width: int, percent: int) -> DataFrame:
                         codes.append(np.full(len(rarest), code, np.int64))
                         if len(met) < 1 << 17:
                             met.add((code, other))
-                key = np.concatenate([few_none, *keys]).view(np.int64)
+                key = np.concatenate([NONE, *keys]).view(np.int64)
                 n, none = len(docs), len(key)
                 yield pa.RecordBatch.from_arrays(
                     [
@@ -207,7 +173,7 @@ class Region:
         self.percent = percent
         self.sizes = np.array([len(s) for s in sets], np.int64)
         self.starts = np.concatenate([[0], np.cumsum(self.sizes)])
-        whole = np.concatenate([few_none, *sets])
+        whole = np.concatenate([NONE, *sets])
         names, self.flat = np.unique(whole, return_inverse=True)
         self.mark = np.zeros(len(names), np.int32)
 
@@ -346,7 +312,7 @@ def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     """
     spark = docs.sparkSession
     texts = spread(docs.select(F.col(text).cast("string").alias("text"), F.col(doc_id).cast("long").alias("doc_id")))
-    sketch = spark.sparkContext.broadcast(frequency_sketch(texts, width))
+    sketch = spark.sparkContext.broadcast(counted(texts, SKETCH, lambda part: (slots(s) for s in shingle_lists(part, width))))
     signed = store(signatures(texts, sketch, width, percent), "jaccard-signatures")
     rows, keys = signed.where("key IS NULL").drop("key"), signed.where("key IS NOT NULL").select("key", "code")
     shared = keys.groupBy("key").agg(F.max("code").alias("pivot"), F.min("code").alias("low")).where("pivot <> low").drop("low")

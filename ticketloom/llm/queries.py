@@ -10,15 +10,19 @@ from pyspark.sql import functions as F
 from ticketloom.llm import exact_dedup as exact
 from ticketloom.llm import jaccard_join as jaccard
 from ticketloom.llm import licenses, line_dedup, mixing
+from ticketloom.llm import quality_net as net
 from ticketloom.llm import quality_rules as rules
 from ticketloom.llm import token_counts as tokens
+from ticketloom.llm import toxicity
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+Query = Callable[[SparkSession, str], DataFrame]
+
+QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
 
 
-def query(name: str, sql: str | None = None):
-    def register(fn):
+def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
+    def register(fn: Query) -> Query:
         QUERIES[name] = fn
         if sql is not None:
             ORACLES[name] = sql
@@ -121,3 +125,17 @@ SELECT d.doc_id, coalesce(n_lines, 0) AS n_lines, coalesce(n_removed, 0) AS n_re
 )
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.dedup_lines(documents(spark, sf_dir))
+
+
+def labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/labels.parquet")
+
+
+@query("op3_toxicity")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score_toxicity(documents(spark, sf_dir), labels(spark, sf_dir))
+
+
+@query("op7_quality_net")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return net.score_quality(documents(spark, sf_dir), labels(spark, sf_dir))
