@@ -1,6 +1,55 @@
-"""The corpus pipeline: quality rules, line dedup, near-duplicate join, source mixing, tokenisation."""
+"""The corpus pipeline: quality rules, line dedup, near-duplicate join, source mixing, tokenisation.
+
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the
+last return the columns of `documents`.
+"""
 
 from __future__ import annotations
 
-STAGES = []
+from pyspark.sql import DataFrame, SparkSession
+
+from ticketloom.llm import jaccard_join, line_dedup, mixing, quality_rules, sentencepieces
+from ticketloom.llm.common import store
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that a quality rule rejects go."""
+    return quality_rules.quality_filter(docs)
+
+
+def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Later copies of repeated line runs are cut out; a document that loses its last line goes."""
+    return line_dedup.deduped_documents(docs)
+
+
+def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies stays."""
+    return jaccard_join.without_near_copies(docs)
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts become what the mix takes of them, by the weights of their sources."""
+    return mixing.mixed_documents(docs)
+
+
+def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of every text: how many, their hash, and whether they decode to the text."""
+    import public_tokenizers
+
+    return sentencepieces.encoding_digest(docs, sentencepieces.Pieces.load(public_tokenizers.path("piece_bpe_32k.model")))
+
+
+STAGES = [("quality rules", quality), ("line dedup", lines), ("near copies", near_copies), ("mix", mix), ("pieces", tokens)]
+
+# Source permutations and merges have no SQL; tests hold the stages against plain Python.
 ORACLE_SQL = None
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over the whole table of documents, each written and read again as the next one's input."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for k, (name, stage) in enumerate(STAGES):
+        docs = stage(spark, docs, sf_dir)
+        if k + 1 < len(STAGES):
+            docs = store(docs, f"pipeline-{name.replace(' ', '-')}")
+    return docs

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ticketloom.llm.common import block_words, counted, mixed, store, text_blocks
+from ticketloom.llm.common import block_words, counted, mixed, numbered, store, text_blocks
 from ticketloom.session import ship_by_value, spread
 
 WIDTH = 5
@@ -350,4 +350,15 @@ def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     )
 
 
+def without_near_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
+    """One document of each group of linked ones: the smallest doc_id, null last, then the first row. Texts without words all stay."""
+    own = {f"own_{k}": F.col(f"`{c}`") for k, c in enumerate(docs.columns)}
+    rows = numbered(docs, "jaccard-documents", doc_id=F.col(doc_id), text=F.col(text), **own)
+    groups = jaccard_components(rows, "row", "text", width, percent).select(F.col("doc_id").alias("row"), "component_id")
+    ids = rows.select("row", F.col("doc_id").isNull().alias("no_id"), "doc_id")
+    best = groups.join(ids, "row").groupBy("component_id").agg(F.min(F.struct("no_id", "doc_id", "row")).alias("best"))
+    stay = rows.join(best.select("best.row"), "row", "left_semi")
+    return stay.select(*[F.col(f"own_{k}").alias(c) for k, c in enumerate(docs.columns)])
+
+
 ship_by_value(__name__)

@@ -12,6 +12,7 @@ from ticketloom.llm import jaccard_join as jaccard
 from ticketloom.llm import licenses, line_dedup, mixing
 from ticketloom.llm import quality_net as net
 from ticketloom.llm import quality_rules as rules
+from ticketloom.llm import sentencepieces as pieces
 from ticketloom.llm import token_counts as tokens
 from ticketloom.llm import toxicity
 
@@ -139,3 +140,10 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op7_quality_net")
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return net.score_quality(documents(spark, sf_dir), labels(spark, sf_dir))
+
+
+@query("op10_sentencepiece")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return pieces.encoding_digest(documents(spark, sf_dir), pieces.Pieces.load(public_tokenizers.path("piece_bpe_32k.model")))
