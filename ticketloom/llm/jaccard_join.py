@@ -19,7 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ticketloom.llm.common import block_words, counted, mixed, numbered, store, text_blocks
@@ -71,9 +71,16 @@ def slots(shingles: np.ndarray) -> np.ndarray:
     return (shingles >> np.uint64(64 - (SKETCH.bit_length() - 1))).astype(np.int64)
 
 
-def prefix_length(n: int, percent: int) -> int:
-    """Shingles of which a linked set shares at least one: n - ceil(percent * n / 100) + 1."""
-    return n + (-percent * n) // 100 + 1
+def prefix_of(n: int, percent: int) -> tuple[int, int]:
+    """How many of its rarest shingles sign a set of n, and how many of them it shares with any linked set at least.
+
+    With n - ceil(percent * n / 100) + k shingles each, linked sets share k;
+    half of what k = 1 takes is added.  The other set may be smaller, down to
+    percent, and its k with it: that much is taken off what is asked for.
+    """
+    shortest = n + (-percent * n) // 100 + 1
+    k = max(1, shortest // 2)
+    return min(n, shortest + k - 1), max(1, percent * k // 100 - 1)
 
 
 def class_of(shingles: np.ndarray, rarest: np.ndarray, frequency: np.ndarray) -> tuple[int, int]:
@@ -87,19 +94,20 @@ def class_of(shingles: np.ndarray, rarest: np.ndarray, frequency: np.ndarray) ->
 def rarest_of(shingles: np.ndarray, sketch: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
     """A set's rarest shingles and their frequencies, by (frequency, hash)."""
     frequency = sketch[slots(shingles)]
-    take = np.argsort(frequency, kind="stable")[: prefix_length(len(shingles), percent)]
+    take = np.argsort(frequency, kind="stable")[: prefix_of(len(shingles), percent)[0]]
     return shingles[take], frequency[take]
 
 
 def signatures(texts: DataFrame, sketch, width: int, percent: int) -> DataFrame:
-    """A row per document (key null) and a row per rarest shingle of each class that a task meets."""
+    """A row per document (key null; n: its shingles) and a row per rarest shingle of each class that a task meets
+    (n: how many of them linked classes share)."""
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts, met = sketch.value, set()
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
-                docs, keys, codes = [], [], []
+                docs, keys, codes, needs = [], [], [], []
                 for shingles in shingle_sets(part.column(0).to_pylist(), width):
                     if not len(shingles):
                         docs.append((0, 0, 0))
@@ -110,6 +118,7 @@ def signatures(texts: DataFrame, sketch, width: int, percent: int) -> DataFrame:
                     if (code, other) not in met:
                         keys.append(rarest)
                         codes.append(np.full(len(rarest), code, np.int64))
+                        needs.append(np.full(len(rarest), prefix_of(len(shingles), percent)[1], np.int64))
                         if len(met) < 1 << 17:
                             met.add((code, other))
                 key = np.concatenate([NONE, *keys]).view(np.int64)
@@ -120,7 +129,7 @@ def signatures(texts: DataFrame, sketch, width: int, percent: int) -> DataFrame:
                         pa.concat_arrays([pa.nulls(n, pa.int64()), pa.array(key, pa.int64())]),
                         pa.array(np.concatenate([np.array([d[0] for d in docs], np.int64), *codes]), pa.int64()),
                         pa.concat_arrays([pa.array([d[1] for d in docs], pa.int64()), pa.nulls(none, pa.int64())]),
-                        pa.concat_arrays([pa.array([d[2] for d in docs], pa.int64()), pa.nulls(none, pa.int64())]),
+                        pa.array(np.concatenate([np.array([d[2] for d in docs], np.int64), *needs]), pa.int64()),
                     ],
                     ["doc_id", "key", "code", "other", "n"],
                 )
@@ -243,9 +252,11 @@ def region_links(group, percent: int, queries: bool = False):
 
 def split_links(members: DataFrame, sizes: DataFrame, percent: int, leaf: int) -> DataFrame:
     """Links of regions above the leaf size: distances to the pivot, then the outside against all, in blocks."""
-    # Any member with the pivot's own code may be it; equal codes of different sets are all but impossible.
-    pivots = members.where(F.col("code") == F.col("pivot")).groupBy("pivot").agg(
-        F.max(F.struct("other", "shingles")).alias("centre")
+    # The most central member is the centre: the pivot itself unless it left its region.
+    centres = members.groupBy("pivot").agg(F.max(F.struct("code", "other")).alias("at"))
+    centres = centres.select("pivot", F.col("at.code").alias("code"), F.col("at.other").alias("other"))
+    pivots = members.join(centres, ["pivot", "code", "other"]).select(
+        "pivot", F.struct("code", "other", "shingles").alias("centre")
     )
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -257,17 +268,18 @@ def split_links(members: DataFrame, sizes: DataFrame, percent: int, leaf: int) -
                 union = len(a) + len(b) - shared
                 out.append((100 * shared >= percent * union, 1 - shared / union))
             yield pa.RecordBatch.from_arrays(
-                [*batch.columns[:5], pa.array([o[0] for o in out], pa.bool_()), pa.array([o[1] for o in out], pa.float64())],
-                ["pivot", "code", "other", "other_p", "shingles", "linked", "distance"],
+                [*batch.columns[:6], pa.array([o[0] for o in out], pa.bool_()), pa.array([o[1] for o in out], pa.float64())],
+                ["pivot", "code", "other", "code_p", "other_p", "shingles", "linked", "distance"],
             )
 
     both = members.join(pivots, "pivot").select(
-        "pivot", "code", "other", F.col("centre.other").alias("other_p"), "shingles", F.col("centre.shingles").alias("centre")
-    )
-    schema = "pivot long, code long, other long, other_p long, shingles binary, linked boolean, distance double"
+        "pivot", "code", "other", F.col("centre.code").alias("code_p"), F.col("centre.other").alias("other_p"), "shingles",
+        F.col("centre.shingles").alias("centre"),
+    )
+    schema = "pivot long, code long, other long, code_p long, other_p long, shingles binary, linked boolean, distance double"
     measured = store(both.mapInArrow(measure, schema), "jaccard-distances")
-    to_pivot = measured.where("linked AND NOT (code = pivot AND other = other_p)").select(
-        F.col("pivot").alias("code_a"), F.col("other_p").alias("other_a"), F.col("code").alias("code_b"), F.col("other").alias("other_b")
+    to_pivot = measured.where("linked AND NOT (code = code_p AND other = other_p)").select(
+        F.col("code_p").alias("code_a"), F.col("other_p").alias("other_a"), F.col("code").alias("code_b"), F.col("other").alias("other_b")
     )
     length = F.octet_length("shingles") / 8
     outside = measured.where("NOT linked").groupBy("pivot").agg(F.sum(length).alias("out_weight"))
@@ -314,9 +326,23 @@ def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     texts = spread(docs.select(F.col(text).cast("string").alias("text"), F.col(doc_id).cast("long").alias("doc_id")))
     sketch = spark.sparkContext.broadcast(counted(texts, SKETCH, lambda part: (slots(s) for s in shingle_lists(part, width))))
     signed = store(signatures(texts, sketch, width, percent), "jaccard-signatures")
-    rows, keys = signed.where("key IS NULL").drop("key"), signed.where("key IS NOT NULL").select("key", "code")
+    rows = signed.where("key IS NULL").drop("key")
+    # One shuffle by shingle serves both the pivots and the members. Copies of a class met once per task, and frequent
+    # shingles come last in every set's order, so a key's rows are few.
+    keys = signed.where("key IS NOT NULL").select("key", "code", F.col("n").alias("need")).repartition("key")
     shared = keys.groupBy("key").agg(F.max("code").alias("pivot"), F.min("code").alias("low")).where("pivot <> low").drop("low")
-    regions = store(keys.join(shared, "key").select("pivot", "code").distinct(), "jaccard-regions")
+    hits = keys.join(shared, "key").groupBy("pivot", "code").agg(F.count_distinct("key").alias("hits"), F.max("need").alias("need"))
+    hits = store(hits, "jaccard-hits")
+    # A class that shares fewer of its shingles than any link needs has none. One that shares enough can leave the
+    # regions that see the fewest of them: linked classes have a shingle in common beyond what both leave out.
+    own = Window.partitionBy("code")
+    lowest = own.orderBy("hits", "pivot").rowsBetween(Window.unboundedPreceding, 0)
+    kept = hits.withColumn("all", F.sum("hits").over(own)).withColumn("left_out", F.sum("hits").over(lowest))
+    kept = kept.where("all >= need AND left_out > floor((need - 1) / 2)")
+    regions = kept.select("pivot", "code")
+    # The pivot of a region may have left it itself; a region of one class has no links.
+    peopled = regions.groupBy("pivot").count().where("count > 1").select("pivot")
+    regions = store(regions.join(peopled, "pivot"), "jaccard-regions")
     # One row per class; the smallest doc_id of each.
     classes = store(rows.where("n > 0").groupBy("code", "other").agg(F.min("doc_id").alias("least"), F.max("n").alias("n")), "jaccard-classes")
     sizes = store(regions.join(classes, "code").groupBy("pivot").agg(F.sum("n").alias("weight")), "jaccard-sizes")
