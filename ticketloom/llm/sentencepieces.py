@@ -28,7 +28,7 @@ SPACE = "▁"
 # Longest unit that is folded: its cuts are the bits of a long.
 LONGEST = 62
 # A unit is frequent with more than one in so many occurrences; there are fewer such units than this.
-FREQUENT = 1 << 21
+FREQUENT = 1 << 23
 
 
 @dataclass(frozen=True)
@@ -94,16 +94,22 @@ def bit(n: Column) -> Column:
 
 
 def lattice(units: DataFrame, pieces: DataFrame, longest: int) -> DataFrame:
-    """unit and edges (rank, from, to, id, score; best score first) of every unit; edges hold two characters or more."""
+    """The columns of `units`, and edges (rank, from, to, id) of two characters or more, best score first.
+
+    A unit stays with its edges where it was: the table is broadcast and the
+    grouping follows the units' own partitioning.  Units too long to fold get
+    no edges.
+    """
     size = F.char_length("unit")
-    starts = units.select("unit", F.explode(F.sequence(F.lit(0), size - 1)).alias("from"))
-    spans = starts.select(
-        "unit", "from", F.explode(F.when(F.col("from") + 2 <= size, F.sequence(F.col("from") + 2, F.least(size, F.col("from") + longest)))).alias("to")
-    )
-    spans = spans.withColumn("piece", F.substring("unit", F.col("from") + 1, F.col("to") - F.col("from")))
-    found = spans.join(F.broadcast(pieces), "piece")
-    edge = F.struct((-F.col("score")).alias("rank"), "from", "to", "id")
-    return found.groupBy("unit").agg(F.sort_array(F.collect_list(edge)).alias("edges"))
+    last = F.when(size <= LONGEST, size - 2).otherwise(-1)
+    # A start beyond the unit keeps units without edges.
+    starts = units.withColumn("from", F.explode(F.sequence(F.lit(-1), F.greatest(last, F.lit(-1)))))
+    ends = F.when(F.col("from") < 0, F.array(F.lit(-1))).otherwise(F.sequence(F.col("from") + 2, F.least(size, F.col("from") + longest)))
+    spans = starts.withColumn("to", F.explode(ends))
+    piece = F.when(F.col("from") >= 0, F.substring("unit", F.col("from") + 1, F.col("to") - F.col("from")))
+    found = spans.withColumn("piece", piece).join(F.broadcast(pieces), "piece", "left").where("id IS NOT NULL OR from < 0")
+    edge = F.when(F.col("id").isNotNull(), F.struct((-F.col("score")).alias("rank"), "from", "to", "id"))
+    return found.groupBy(*units.columns).agg(F.sort_array(F.collect_list(edge)).alias("edges"))
 
 
 def spans_by_merges(edges: Column, size: Column) -> Column:
@@ -234,53 +240,67 @@ def decoded(ids: Column, pieces: Pieces) -> Column:
     return F.regexp_replace(F.decode(F.unhex(whole), "utf-8"), "^ ", "")
 
 
-def encoded_units(units: DataFrame, pieces: Pieces) -> DataFrame:
-    """unit and ids of distinct units; the input's columns other than unit are carried along."""
-    table = pieces.table(units.sparkSession)
+def with_singles(edges: Column, pieces: Pieces) -> Column:
+    """Edges with those of one character as well, for Viterbi."""
+    single = [(i, p, s) for i, p, s in pieces.rows if len(p) == 1]
+    if not single:
+        return edges
+    names = F.create_map(*[x for i, p, s in single for x in (F.lit(p), F.struct(F.lit(-s).alias("rank"), F.lit(i).alias("id")))])
+
+    def edge(k: Column) -> Column:
+        return let(
+            F.try_element_at(names, F.substring(F.col("unit"), k + 1, F.lit(1))),
+            lambda x: F.when(
+                x.isNotNull(), F.struct(x["rank"].alias("rank"), k.alias("from"), (k + 1).alias("to"), x["id"].alias("id"))
+            ),
+        )
+
+    return F.concat(edges, F.array_compact(F.transform(F.sequence(F.lit(0), F.char_length("unit") - 1), edge)))
+
+
+def folded_units(units: DataFrame, pieces: Pieces) -> DataFrame:
+    """`units` with the ids of distinct units; null for those too long to fold."""
     size = F.char_length("unit")
-    short = units.where(size <= LONGEST)
-    edges = lattice(short.select("unit"), table, pieces.longest)
-    # Units without an edge are characters by themselves.
-    placed = short.join(edges, "unit", "left")
-    none = "array<struct<rank:double,from:int,to:int,id:int>>"
-    own = F.coalesce("edges", F.array().cast(none))
-    lowest = min((s for _, _, s in pieces.rows), default=0.0) - 10
+    placed = lattice(units, pieces.table(units.sparkSession), pieces.longest)
     if pieces.kind == "bpe":
-        spans = spans_by_merges(own, size)
+        spans = spans_by_merges(F.col("edges"), size)
     else:
-        single = {p: s for _, p, s in pieces.rows if len(p) == 1}
-        if single:
-            # Viterbi weighs one-character pieces as well.
-            chars = F.filter(
-                F.transform(F.sequence(F.lit(0), size - 1), lambda k: F.struct(F.substring("unit", k + 1, F.lit(1)).alias("c"), k.alias("k"))),
-                lambda x: F.array_contains(F.array(*[F.lit(c) for c in single]), x["c"]),
-            )
-            names = F.create_map(*[x for i, p, s in pieces.rows if len(p) == 1 for x in (F.lit(p), F.struct(F.lit(-s).alias("rank"), F.lit(i).alias("id")))])
-            own = F.concat(own, F.transform(chars, lambda x: F.struct(F.element_at(names, x["c"])["rank"].alias("rank"), x["k"].alias("from"), (x["k"] + 1).alias("to"), F.element_at(names, x["c"])["id"].alias("id"))))
-        spans = spans_by_viterbi(own, size, lowest)
-    folded = placed.withColumn("ids", ids_of(F.col("unit"), spans, pieces)).drop("edges")
-    if pieces.kind != "bpe":
-        return folded
+        lowest = min((s for _, _, s in pieces.rows), default=0.0) - 10
+        spans = spans_by_viterbi(with_singles(F.col("edges"), pieces), size, lowest)
+    return placed.withColumn("ids", F.when(size <= LONGEST, ids_of(F.col("unit"), spans, pieces))).drop("edges")
+
+
+def merged_units(units: DataFrame, pieces: Pieces) -> DataFrame:
+    """`units` (unit, times) with the ids of units of any length, in Arrow batches."""
     ranks = {p: (-s, i) for i, p, s in pieces.rows}
     at, unknown = pieces.bytes_at, pieces.unknown
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = merge_units(batch.column("unit").to_pylist(), ranks, at, unknown)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(ids, pa.list_(pa.int32()))], [*batch.schema.names, "ids"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(ids, pa.list_(pa.int32()))], ["unit", "times", "ids"])
 
-    fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in units.schema.fields)
-    return folded.unionByName(units.where(size > LONGEST).mapInArrow(merge, f"{fields}, ids array<int>"))
+    return units.select("unit", "times").mapInArrow(merge, "unit string, times long, ids array<int>")
 
 
 def unit_dictionary(texts: DataFrame, pieces: Pieces) -> DataFrame:
     """unit, times, ids, exact (the ids decode to the unit) of every distinct unit of the texts; stored."""
     units = texts.select(F.explode(units_of(F.col("text"))).alias("unit"))
     counted = units.groupBy("unit").agg(F.count(F.lit(1)).alias("times"))
-    known = encoded_units(counted, pieces)
+    folded = store(folded_units(counted, pieces), "units")
+    if pieces.kind != "bpe":
+        if not folded.where("ids IS NULL").isEmpty():
+            raise ValueError(f"a unigram table can't encode units of more than {LONGEST} characters here")
+        return exact_units(folded, pieces)
+    # Long units are rare; their scores are ranks, so the helper finds the same merges.
+    long = merged_units(folded.where("ids IS NULL"), pieces)
+    return exact_units(folded.where("ids IS NOT NULL").unionByName(long), pieces)
+
+
+def exact_units(known: DataFrame, pieces: Pieces) -> DataFrame:
     plain = F.replace(F.col("unit"), F.lit(SPACE), F.lit(" "))
     whole = let(pieces.bytes_of(), lambda table: F.array_join(F.transform("ids", lambda i: F.get(table, i)), ""))
-    return store(known.withColumn("exact", F.unhex(whole) == F.encode(plain, "utf-8")), "units")
+    return known.withColumn("exact", F.unhex(whole) == F.encode(plain, "utf-8"))
 
 
 def encoded_places(texts: DataFrame, words: DataFrame, *keys: str) -> DataFrame:
