@@ -311,7 +311,7 @@ def encoded_places(texts: DataFrame, words: DataFrame, *keys: str) -> DataFrame:
     rare = words.where(F.col("times") <= total / FREQUENT).select("unit", "ids", "exact")
     columns = (*keys, "place", "ids", "exact")
     known = places.join(often, "unit").select(*columns)
-    return known.unionByName(places.join(often.select("unit"), "unit", "left_anti").join(rare, "unit").select(*columns))
+    return known.unionByName(places.join(often.select("unit"), "unit", "left_anti").join(rare.hint("shuffle_hash"), "unit").select(*columns))
 
 
 def encode_documents(docs: DataFrame, pieces: Pieces, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
