@@ -144,7 +144,8 @@ def mix_plan(docs: DataFrame, doc_id: str, source: str, text: str, weights: tupl
         "row", "key", "start", "size", F.explode(F.sequence(F.floor(F.col("start") / block), F.floor(last / block))).alias("block")
     )
     at = F.col("block") * block
-    taken = pieces.join(slots_of(sources, block, shards, seed), ["key", "block"]).select(
+    # Unfolded slots look as small as the sources they come from; they grow with the words, so they never travel whole.
+    taken = pieces.join(slots_of(sources, block, shards, seed).hint("merge"), ["key", "block"]).select(
         "row",
         "pass",
         "shard",
