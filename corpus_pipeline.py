@@ -36,9 +36,13 @@ def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of every text: how many, their hash, and whether they decode to the text."""
     import public_tokenizers
 
-    return sentencepieces.encoding_digest(docs, sentencepieces.Pieces.load(public_tokenizers.path("piece_bpe_32k.model")))
+    pieces = sentencepieces.Pieces.load(public_tokenizers.path("piece_bpe_32k.model"))
+    return sentencepieces.encoding_digest(docs, pieces, frequent=FREQUENT_UNITS)
 
 
+# Units that the last stage may broadcast: fewer than by itself, as the driver still holds the earlier stages' state.
+FREQUENT_UNITS = 1 << 20
+
 STAGES = [("quality rules", quality), ("line dedup", lines), ("near copies", near_copies), ("mix", mix), ("pieces", tokens)]
 
 # Source permutations and merges have no SQL; tests hold the stages against plain Python.

@@ -303,12 +303,12 @@ def exact_units(known: DataFrame, pieces: Pieces) -> DataFrame:
     return known.withColumn("exact", F.unhex(whole) == F.encode(plain, "utf-8"))
 
 
-def encoded_places(texts: DataFrame, words: DataFrame, *keys: str) -> DataFrame:
-    """keys, place, ids and exact of every unit of every text."""
+def encoded_places(texts: DataFrame, words: DataFrame, *keys: str, frequent: int = FREQUENT) -> DataFrame:
+    """keys, place, ids and exact of every unit of every text; fewer than `frequent` units are broadcast."""
     places = texts.select(*keys, F.posexplode(units_of(F.col("text"))).alias("place", "unit"))
     total = words.agg(F.sum("times")).first()[0] or 0
-    often = F.broadcast(words.where(F.col("times") > total / FREQUENT).select("unit", "ids", "exact"))
-    rare = words.where(F.col("times") <= total / FREQUENT).select("unit", "ids", "exact")
+    often = F.broadcast(words.where(F.col("times") > total / frequent).select("unit", "ids", "exact"))
+    rare = words.where(F.col("times") <= total / frequent).select("unit", "ids", "exact")
     columns = (*keys, "place", "ids", "exact")
     known = places.join(often, "unit").select(*columns)
     return known.unionByName(places.join(often.select("unit"), "unit", "left_anti").join(rare.hint("shuffle_hash"), "unit").select(*columns))
@@ -329,7 +329,9 @@ def encode_documents(docs: DataFrame, pieces: Pieces, doc_id: str = "doc_id", te
     return one.select("doc_id", "ids", decoded(F.col("ids"), pieces).alias("text"))
 
 
-def encoding_digest(docs: DataFrame, pieces: Pieces, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def encoding_digest(
+    docs: DataFrame, pieces: Pieces, doc_id: str = "doc_id", text: str = "text", frequent: int = FREQUENT
+) -> DataFrame:
     """doc_id, n_units, n_pieces, pieces_hash and round_trip of every row.
 
     `pieces_hash` combines the ids with the place of their unit; `round_trip`
@@ -337,12 +339,13 @@ def encoding_digest(docs: DataFrame, pieces: Pieces, doc_id: str = "doc_id", tex
     holds the sign for spaces itself.  Null texts count as empty: no pieces,
     hash 0, true.  Equal rows are counted together and come as often as in
     docs; null ids are ids like any other; other columns are not read.
+    `frequent` bounds the units that are broadcast and leaves the rows as they are.
     """
     texts = docs.select(F.col(doc_id).alias("doc_id"), text_of(text).alias("text"))
     words = unit_dictionary(texts.where("text <> ''"), pieces)
     keyed = texts.withColumn("hash", F.xxhash64("text"))
     rows = keyed.groupBy("doc_id", "hash").agg(F.count(F.lit(1)).alias("copies"), F.max(F.col("text").contains(SPACE)).alias("signs"))
-    places = encoded_places(keyed.where("text <> ''"), words, "doc_id", "hash")
+    places = encoded_places(keyed.where("text <> ''"), words, "doc_id", "hash", frequent=frequent)
     summed = places.groupBy("doc_id", "hash").agg(
         F.count(F.lit(1)).alias("units"),
         F.sum(F.size("ids")).alias("pieces"),
