@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from ticketloom.operators import columns as C
 from ticketloom.operators import corpus as U
+from ticketloom.operators import monitor as M
 from ticketloom.operators import sampling as S
 
 
@@ -91,10 +92,30 @@ def test_balance_reaches_the_target(spark):
 
 def test_index_is_dense(spark):
     df = spark.range(0, 5000, 7).select((F.col("id") * 13).alias("k"))
-    got = [r["embedding_index"] for r in C.assign_index(df.repartition(6), "k", width=500).orderBy("k").collect()]
+    got = [r["embedding_index"] for r in C.assign_index(df.repartition(6), "k").orderBy("k").collect()]
     assert got == list(range(len(got)))
 
 
+def test_index_of_sparse_and_missing_keys(spark):
+    df = spark.createDataFrame([(9 * 10**18, "d"), (None, "x"), (1, "a"), (None, "y"), (-5, "z"), (5 * 10**12, "c")], "k long, v string")
+    got = {r["v"]: r["embedding_index"] for r in C.assign_index(df, "k").collect()}
+    assert got == {"z": 0, "a": 1, "c": 2, "d": 3, "x": None, "y": None}
+    assert C.assign_index(df.limit(0), "k").count() == 0
+
+
+def test_a_null_class_is_balanced(spark):
+    df = spark.createDataFrame([(i, "a" if i < 10 else None) for i in range(13)], "id int, c string")
+    got = S.balance_classes(df, "c", "id", 5)
+    assert {r["c"]: r["count"] for r in got.groupBy("c").count().collect()} == {"a": 5, None: 5}
+    assert {r["id"] for r in got.filter("c IS NULL").collect()} <= {10, 11, 12}
+
+
+def test_a_null_class_drifts_like_any_other(spark):
+    df = spark.createDataFrame([("a",), ("a",), (None,), (None,)], "c string")
+    assert tuple(M.detect_drift(df, df, "c").first()) == (0.0, False)
+    assert tuple(M.detect_drift(df, df.filter("c IS NULL"), "c").first()) == (0.5, True)
+
+
 def test_duplicate_reports(spark):
     df = spark.createDataFrame([("a",), ("a",), ("b",)], "t string")
     assert tuple(U.duplicate_texts(df, "t").first()) == (3, 2, 1, False)

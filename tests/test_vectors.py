@@ -33,6 +33,17 @@ def _brute(m, k, group=False, exclude=False, metric="cosine"):
     return out
 
 
+@pytest.mark.parametrize("shipped", [4096, 0])
+@pytest.mark.parametrize("metric", ["cosine", "euclidean"])
+def test_rows_without_a_usable_vector_take_no_part(spark, shipped, metric):
+    good = [(1, [1.0, 0.0]), (2, [0.9, 0.1]), (3, [0.0, 1.0])]
+    odd = [(4, None), (5, [1.0]), (6, []), (7, [1.0, None]), (8, [1.0, 0.0, 0.0][:1])]
+    corpus = spark.createDataFrame(good + odd, "id long, vec array<double>").repartition(3)
+    queries = spark.createDataFrame([(10, [1.0, 0.0]), (11, None), (12, [None, 1.0])], "qid long, vec array<double>")
+    got = {(r["qid"], r["id"], r["rank"]) for r in V.search(queries, corpus, 3, metric=metric, max_shipped=shipped).collect()}
+    assert got == {(10, 1, 1), (10, 2, 2), (10, 3, 3)}
+
+
 @pytest.mark.parametrize("shipped", [4096, 0])
 @pytest.mark.parametrize("group, exclude", [(False, False), (True, True)])
 def test_search_equals_brute_force(spark, monkeypatch, shipped, group, exclude):

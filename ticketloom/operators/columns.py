@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ticketloom.functions import constants as K
 from ticketloom.functions import text as T
+from ticketloom.session import materialise
 
 CORPUS_COLUMNS = ("clean_text", "category", "source", "confidence")
 
@@ -143,25 +144,28 @@ def fill_missing_text(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     return df.na.fill("", subset=list(cols))
 
 
-def assign_index(df: DataFrame, key: str, out: str = "embedding_index", width: int = 1 << 20) -> DataFrame:
-    """Dense 0-based index in the order of a unique integer key.
+def assign_index(df: DataFrame, key: str, out: str = "embedding_index") -> DataFrame:
+    """Dense 0-based index in the order of a unique key; a row without a key gets none.
 
-    Keys are cut into ranges of ``width`` values, so a range holds at most
-    ``width`` rows; each range is numbered on its own and shifted by the number
-    of rows in earlier ranges.  No global sort, no single-task numbering.
+    Rows are sorted by ranges of the key and stored with their place in their
+    part, then shifted by the size of the earlier parts: one shuffle, however
+    the keys are spread, and no single-task numbering.
     """
-    ranges = F.floor(F.col(key) / width)
-    sized = df.select(ranges.alias("_range")).groupBy("_range").agg(F.count("*").alias("_n"))
-    # One row per range of keys: a small table.
-    shift = W.orderBy("_range").rowsBetween(W.unboundedPreceding, -1)
-    offsets = sized.select("_range", F.coalesce(F.sum("_n").over(shift), F.lit(0)).alias("_offset"))
-    within = F.row_number().over(W.partitionBy("_range").orderBy(key))
-    return (
-        df.withColumn("_range", ranges)
-        .join(offsets, "_range")
-        .withColumn(out, (F.col("_offset") + within - 1).cast("long"))
-        .drop("_range", "_offset")
+    place = F.monotonically_increasing_id()
+    # The number is the part times 2^33 plus the place within it.
+    part, within = F.shiftright("_place", 33), F.col("_place").bitwiseAND(F.lit((1 << 33) - 1))
+    placed = materialise(df.filter(F.col(key).isNotNull()).orderBy(key).withColumn("_place", place), "index")
+    sizes = placed.groupBy(part.alias("_part")).agg(F.count("*").alias("_n"))
+    # One row per part of the sort: a small table.
+    earlier = W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
+    offsets = sizes.select("_part", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_offset"))
+    indexed = (
+        placed.withColumn("_part", part)
+        .join(offsets, "_part")
+        .withColumn(out, (F.col("_offset") + within).cast("long"))
+        .select(*df.columns, out)
     )
+    return indexed.unionByName(df.filter(F.col(key).isNull()).withColumn(out, F.lit(None).cast("long")))
 
 
 def audit_steps(df: DataFrame, steps: Sequence[tuple[str, Callable[[DataFrame], Column]]]) -> DataFrame:

@@ -35,9 +35,10 @@ def shares(df: DataFrame, col: str, out: str) -> DataFrame:
 def detect_drift(ref: DataFrame, cur: DataFrame, col: str, threshold: float = K.DRIFT_THRESHOLD) -> DataFrame:
     """Total-variation distance between two class distributions, and whether it is drift.
 
-    With fewer than two current records there is no drift.
+    A null class is a class.  With fewer than two current records there is no drift.
     """
-    both = shares(ref, col, "_p").join(shares(cur, col, "_q"), col, "full")
+    now = shares(cur, col, "_q").withColumnRenamed(col, "_class")
+    both = shares(ref, col, "_p").join(now, F.col(col).eqNullSafe(F.col("_class")), "full")
     gap = F.abs(F.coalesce("_p", F.lit(0.0)) - F.coalesce("_q", F.lit(0.0)))
     enough = cur.agg(F.count("*")).scalar() >= 2
     score = F.coalesce(F.sum(gap) / 2, F.lit(0.0))

@@ -116,7 +116,8 @@ def balance_classes(df: DataFrame, label: str, key: str, target: int, seed: int
 
     Larger classes are sampled without replacement.  Smaller classes are drawn
     with replacement: draw i of class c picks the row whose rank is a hash of
-    (seed, c, i).  Rows of larger classes never reach the drawing join.
+    (seed, c, i).  Rows of larger classes never reach the drawing join.  A null
+    label is a class.
     """
     ranked = hashed_rank(df, key, [label], seed, limit=target)
     kept = ranked.filter(F.col("_class_n") >= target).withColumn("copy", F.col("_rank")).withColumn(
@@ -137,6 +138,7 @@ def balance_classes(df: DataFrame, label: str, key: str, target: int, seed: int
     ).withColumn("copy", F.col("copy").cast("long"))
     digest = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(label).cast("string"), F.col("copy").cast("string")))
     pick = F.conv(F.substring(digest, 1, 12), 16, 10).cast("long") % F.col("_n") + 1
-    picked = draws.select(label, "copy", pick.alias("_rank"))
-    grown = small.join(picked, [label, "_rank"]).withColumn("method", F.lit("oversampled"))
+    picked = draws.select(F.col(label).alias("_class"), pick.alias("_pick"), "copy")
+    same = F.col(label).eqNullSafe(F.col("_class")) & (F.col("_rank") == F.col("_pick"))
+    grown = small.join(picked, same).drop("_class", "_pick").withColumn("method", F.lit("oversampled"))
     return kept.unionByName(grown).drop("_rank", "_class_n")

@@ -7,6 +7,7 @@ from collections.abc import Callable, Iterator, Sequence
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.ml.feature import CountVectorizerModel, Normalizer
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
@@ -157,6 +158,7 @@ def _top_candidates(qm, q_ids, q_groups, cm, c_ids, c_groups, k, metric, exclude
     for lo in range(0, len(qm), QUERY_SLICE):
         part = slice(lo, lo + QUERY_SLICE)
         scores = _scores(qm[part], cm, metric)
+        scores[np.isnan(scores)] = -np.inf
         if q_groups is not None:
             scores[q_groups[part][:, None] != c_groups[None, :]] = -np.inf
         if exclude_self:
@@ -190,10 +192,12 @@ def search(
     checked size travels to the tasks and the corpus is read in place without a
     shuffle; a larger one is joined with the corpus block by block on a grid.
     Either way a task returns at most k rows per query, never all pairs.
+    The longest query vector sets the dimension: rows whose vector is null, of
+    another length or lacks a component find nothing and are never found.
     """
     q_cols = [query_id, vec] + ([group] if group else [])
     c_cols = [corpus_id, vec] + ([group] if group else [])
-    queries, corpus = queries.select(*q_cols), corpus.select(*c_cols)
+    queries, corpus = queries.select(*q_cols).filter(F.col(vec).isNotNull()), corpus.select(*c_cols)
     fields = [queries.schema[query_id], corpus.schema[corpus_id]]
     schema = ST.StructType(
         [ST.StructField(query_id, fields[0].dataType), ST.StructField(corpus_id, fields[1].dataType),
@@ -202,9 +206,13 @@ def search(
     shipped = queries.limit(max_shipped + 1).toArrow()
     spec = dict(k=k, query_id=query_id, corpus_id=corpus_id, vec=vec, group=group, exclude_self=exclude_self, metric=metric)
     if shipped.num_rows <= max_shipped:
-        partial = _search_in_place(shipped, corpus, schema, **spec)
+        lengths = pc.list_value_length(shipped.column(vec))
+        dim = pc.max(lengths).as_py() or 0
+        shipped = shipped.filter(pc.equal(lengths, dim))
+        partial = _search_in_place(shipped, corpus.filter(F.size(vec) == dim), schema, **spec)
     else:
-        partial = _search_on_grid(queries, corpus, schema, **spec)
+        dim = queries.agg(F.max(F.size(vec))).first()[0]
+        partial = _search_on_grid(queries.filter(F.size(vec) == dim), corpus.filter(F.size(vec) == dim), schema, **spec)
     order = W.partitionBy(query_id).orderBy(F.desc("score"), corpus_id)
     return partial.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 

@@ -474,7 +474,7 @@ def _drift_sql(col: str) -> str:
          q AS (SELECT {col} AS c, count(*)::DOUBLE / sum(count(*)) OVER () AS q FROM ticket_view
                WHERE ts >= TIMESTAMP '{SPLIT_TS}' GROUP BY {col})
     SELECT round(sum(abs(coalesce(p, 0) - coalesce(q, 0))) / 2, 6) AS drift_score,
-           sum(abs(coalesce(p, 0) - coalesce(q, 0))) / 2 > 0.1 AS drift FROM p FULL JOIN q USING (c)
+           sum(abs(coalesce(p, 0) - coalesce(q, 0))) / 2 > 0.1 AS drift FROM p FULL JOIN q ON p.c IS NOT DISTINCT FROM q.c
     """
 
 

@@ -232,7 +232,7 @@ def fill_missing_text(spark, sf_dir):
 def assign_index(spark, sf_dir):
     """A narrow range width, so that many ranges take part."""
     orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus")
-    return C.assign_index(orders, "o_orderkey", width=1024)
+    return C.assign_index(orders, "o_orderkey")
 
 
 AUDIT_SQL = with_views("""
