@@ -58,6 +58,12 @@ def test_pieces_equal_the_library(spark, edge_docs, edge_rows, no_docs):
     assert all(r.round_trip for r in digest) and sentencepieces.encoding_digest(no_docs, table).collect() == []
 
 
+def test_the_bound_of_broadcast_units_leaves_the_rows(documents):
+    table = sentencepieces.Pieces.load(PIECES)
+    few, many = ([*map(tuple, sentencepieces.encoding_digest(documents, table, frequent=n).collect())] for n in (256, 1 << 23))
+    assert sorted(few) == sorted(many) and few
+
+
 def test_viterbi_equals_all_segmentations(spark):
     rng = random.Random(4)
     letters = ["▁", "a", "b", "c"]
