@@ -122,8 +122,9 @@ SLOT_PART = 1 << 14
 def counted(texts: DataFrame, slots: int, slots_of: Callable[[list[str | None]], Iterable[np.ndarray]]) -> np.ndarray:
     """How often each of a fixed number of slots occurs over all texts; `slots_of` gives the slots of each of a list.
 
-    Tasks count for themselves, sums go through two levels of tasks, and the
-    driver gets the same few rows whatever the input.
+    Tasks count for themselves and send only the slots that they met, sums go
+    through two levels of tasks, and the driver gets the same few rows
+    whatever the input.
     """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -132,25 +133,37 @@ def counted(texts: DataFrame, slots: int, slots_of: Callable[[list[str | None]],
             lane = batch.column(1)[0].as_py()
             for at in range(0, batch.num_rows, 512):
                 total += np.bincount(np.concatenate([np.zeros(0, np.int64), *slots_of(batch.slice(at, 512).column(0).to_pylist())]), minlength=slots)
-        if total.any():
-            n = slots // SLOT_PART
-            parts = [total[k * SLOT_PART : (k + 1) * SLOT_PART].tobytes() for k in range(n)]
+        met = np.flatnonzero(total)
+        if len(met):
+            parts, first = np.unique(met // SLOT_PART, return_index=True)
+            own = np.split(met, first[1:])
             yield pa.RecordBatch.from_arrays(
-                [pa.array(range(n), pa.int32()), pa.array([lane] * n, pa.int32()), pa.array(parts, pa.binary())], ["part", "lane", "counts"]
+                [
+                    pa.array(parts, pa.int32()),
+                    pa.array([lane] * len(parts), pa.int32()),
+                    pa.array([(x % SLOT_PART).astype(np.uint16).tobytes() for x in own], pa.binary()),
+                    pa.array([total[x].tobytes() for x in own], pa.binary()),
+                ],
+                ["part", "lane", "places", "counts"],
             )
 
     def add(group):
         import pandas as pd
 
-        total = np.sum([np.frombuffer(x, np.int64) for x in group["counts"]], axis=0)
-        return pd.DataFrame({"part": group["part"][:1], "lane": group["lane"][:1], "counts": [total.tobytes()]})
+        total = np.zeros(SLOT_PART, np.int64)
+        for places, counts in zip(group["places"], group["counts"], strict=True):
+            total[np.frombuffer(places, np.uint16)] += np.frombuffer(counts, np.int64)
+        met = np.flatnonzero(total)
+        return pd.DataFrame(
+            {"part": group["part"][:1], "lane": group["lane"][:1], "places": [met.astype(np.uint16).tobytes()], "counts": [total[met].tobytes()]}
+        )
 
-    schema = "part int, lane int, counts binary"
+    schema = "part int, lane int, places binary, counts binary"
     parts = texts.select("text", (F.spark_partition_id() % 32).alias("lane")).mapInArrow(count, schema)
     sums = parts.groupBy("part", "lane").applyInPandas(add, schema).groupBy("part").applyInPandas(add, schema)
     found = np.zeros(slots, np.int64)
     for row in sums.collect():
-        found[row["part"] * SLOT_PART : (row["part"] + 1) * SLOT_PART] = np.frombuffer(row["counts"], np.int64)
+        found[row["part"] * SLOT_PART + np.frombuffer(row["places"], np.uint16).astype(np.int64)] = np.frombuffer(row["counts"], np.int64)
     return found
 
 
