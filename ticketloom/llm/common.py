@@ -6,10 +6,10 @@ from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ticketloom.session import materialise, ship_by_value
+from ticketloom.session import materialise, ship_by_value, work_path
 
 # White space of all word rules: space, tab, line feed, vertical tab, form feed, carriage return.
 SPACES = r"[\x20\x09-\x0D]+"
@@ -34,6 +34,34 @@ def store(df: DataFrame, name: str) -> DataFrame:
     return materialise(df, f"llm-{name}")
 
 
+class Stored:
+    """Stored tables of one operator's run, which go as soon as what was made from them is stored itself."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, {}
+
+    def __call__(self, df: DataFrame, name: str) -> DataFrame:
+        path = work_path(self.spark, f"llm-{name}")
+        df.write.parquet(path)
+        self.paths.setdefault(name, []).append(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def drop(self, *names: str) -> None:
+        """Delete the tables of these names, all by default; no DataFrame that still reads them may be used again."""
+        configuration = self.spark.sparkContext._jsc.hadoopConfiguration()
+        for name in names or list(self.paths):
+            for path in self.paths.pop(name, []):
+                place = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+                place.getFileSystem(configuration).delete(place, True)
+
+
+def with_row(docs: DataFrame, name: str, doc_id: str, text: str) -> DataFrame:
+    """Every column of `docs` as own_0, own_1, ... under a stored row number, with doc_id and text by these names."""
+    stored = numbered(docs, name, **{f"own_{k}": F.col(f"`{c}`") for k, c in enumerate(docs.columns)})
+    named = {"doc_id": doc_id, "text": text}
+    return stored.withColumns({k: F.col(f"own_{docs.columns.index(c)}") for k, c in named.items()})
+
+
 def numbered(docs: DataFrame, name: str, **columns: Column) -> DataFrame:
     """The given columns of every row under a row number, stored so that the number never changes."""
     picked = docs.select(*[c.alias(k) for k, c in columns.items()])

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ticketloom.llm.common import block_words, counted, mixed, numbered, store, text_blocks
+from ticketloom.llm.common import Stored, block_words, counted, mixed, store, text_blocks, with_row
 from ticketloom.session import ship_by_value, spread
 
 WIDTH = 5
@@ -250,7 +250,7 @@ def region_links(group, percent: int, queries: bool = False):
     return pd.DataFrame({"code_a": code[a], "other_a": other[a], "code_b": code[b], "other_b": other[b]})
 
 
-def split_links(members: DataFrame, sizes: DataFrame, percent: int, leaf: int) -> DataFrame:
+def split_links(members: DataFrame, sizes: DataFrame, percent: int, leaf: int, store: Stored) -> DataFrame:
     """Links of regions above the leaf size: distances to the pivot, then the outside against all, in blocks."""
     # The most central member is the centre: the pivot itself unless it left its region.
     centres = members.groupBy("pivot").agg(F.max(F.struct("code", "other")).alias("at"))
@@ -294,7 +294,7 @@ def split_links(members: DataFrame, sizes: DataFrame, percent: int, leaf: int) -
     return to_pivot.unionByName(inner)
 
 
-def components(edges: DataFrame) -> DataFrame:
+def components(edges: DataFrame, store: Stored) -> DataFrame:
     """node, root for every node of the edges (a, b): roots are the smallest nodes, found by doubling hops."""
     edges = store(edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "links")
     labels = store(edges.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("root")).withColumnRenamed("a", "node"), "labels")
@@ -323,16 +323,18 @@ def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     read.  Hash collisions apart (64 bits per shingle) the join is exact.
     """
     spark = docs.sparkSession
+    tables = Stored(spark)
     texts = spread(docs.select(F.col(text).cast("string").alias("text"), F.col(doc_id).cast("long").alias("doc_id")))
     sketch = spark.sparkContext.broadcast(counted(texts, SKETCH, lambda part: (slots(s) for s in shingle_lists(part, width))))
-    signed = store(signatures(texts, sketch, width, percent), "jaccard-signatures")
-    rows = signed.where("key IS NULL").drop("key")
+    signed = tables(signatures(texts, sketch, width, percent), "signatures")
+    rows = store(signed.where("key IS NULL").drop("key"), "jaccard-rows")
     # One shuffle by shingle serves both the pivots and the members. Copies of a class met once per task, and frequent
     # shingles come last in every set's order, so a key's rows are few.
     keys = signed.where("key IS NOT NULL").select("key", "code", F.col("n").alias("need")).repartition("key")
     shared = keys.groupBy("key").agg(F.max("code").alias("pivot"), F.min("code").alias("low")).where("pivot <> low").drop("low")
     hits = keys.join(shared, "key").groupBy("pivot", "code").agg(F.count_distinct("key").alias("hits"), F.max("need").alias("need"))
-    hits = store(hits, "jaccard-hits")
+    hits = tables(hits, "hits")
+    tables.drop("signatures")
     # A class that shares fewer of its shingles than any link needs has none. One that shares enough can leave the
     # regions that see the fewest of them: linked classes have a shingle in common beyond what both leave out.
     own = Window.partitionBy("code")
@@ -342,10 +344,11 @@ def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     regions = kept.select("pivot", "code")
     # The pivot of a region may have left it itself; a region of one class has no links.
     peopled = regions.groupBy("pivot").count().where("count > 1").select("pivot")
-    regions = store(regions.join(peopled, "pivot"), "jaccard-regions")
+    regions = tables(regions.join(peopled, "pivot"), "regions")
+    tables.drop("hits")
     # One row per class; the smallest doc_id of each.
-    classes = store(rows.where("n > 0").groupBy("code", "other").agg(F.min("doc_id").alias("least"), F.max("n").alias("n")), "jaccard-classes")
-    sizes = store(regions.join(classes, "code").groupBy("pivot").agg(F.sum("n").alias("weight")), "jaccard-sizes")
+    classes = tables(rows.where("n > 0").groupBy("code", "other").agg(F.min("doc_id").alias("least"), F.max("n").alias("n")), "classes")
+    sizes = tables(regions.join(classes, "code").groupBy("pivot").agg(F.sum("n").alias("weight")), "sizes")
     bits = spark.sparkContext.broadcast(filter_of(regions))
     sets = wanted_sets(texts, sketch, bits, width, percent).repartition("code").dropDuplicates(["code", "other"])
     large = sizes.where(F.col("weight") > leaf)
@@ -354,21 +357,23 @@ def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     small = placed.where(F.col("weight") <= leaf).select(*columns)
     links = small.groupBy("pivot").applyInPandas(lambda g: region_links(g, percent), EDGES)
     if large.limit(1).count():
-        wide = store(placed.where(F.col("weight") > leaf).select(*columns), "jaccard-large")
-        links = links.unionByName(split_links(wide, large, percent, leaf))
-    links = store(links, "jaccard-links")
+        wide = tables(placed.where(F.col("weight") > leaf).select(*columns), "large")
+        links = links.unionByName(split_links(wide, large, percent, leaf, tables))
+    links = tables(links, "found")
+    tables.drop("large", "jaccard-distances")
     ends = links.select(F.col("code_a").alias("code"), F.col("other_a").alias("other"))
     ends = ends.union(links.select("code_b", "other_b")).distinct()
-    nodes = store(ends.withColumn("node", F.monotonically_increasing_id()), "jaccard-nodes")
+    nodes = tables(ends.withColumn("node", F.monotonically_increasing_id()), "nodes")
     a, b = (nodes.select(F.col("code").alias(f"code_{x}"), F.col("other").alias(f"other_{x}"), F.col("node").alias(x)) for x in "ab")
     edges = links.join(a, ["code_a", "other_a"]).join(b, ["code_b", "other_b"]).select("a", "b")
-    rooted = components(edges).join(nodes, "node").select("code", "other", "root")
+    rooted = components(edges, tables).join(nodes, "node").select("code", "other", "root")
     linked = classes.join(rooted, ["code", "other"])
     best = linked.groupBy("root").agg(F.min("least").alias("component"))
     # Classes with links, or with more than one row; all other rows are alone.
     named = linked.join(best, "root").select("code", "other", F.col("component").alias("component_id"))
     alone = classes.join(rooted, ["code", "other"], "left_anti").select("code", "other", F.col("least").alias("component_id"))
     named = store(named.unionByName(alone), "jaccard-components")
+    tables.drop()
     return rows.join(named, ["code", "other"], "left").select(
         "doc_id",
         F.col("n").alias("n_shingles"),
@@ -378,8 +383,7 @@ def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
 
 def without_near_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
     """One document of each group of linked ones: the smallest doc_id, null last, then the first row. Texts without words all stay."""
-    own = {f"own_{k}": F.col(f"`{c}`") for k, c in enumerate(docs.columns)}
-    rows = numbered(docs, "jaccard-documents", doc_id=F.col(doc_id), text=F.col(text), **own)
+    rows = with_row(docs, "jaccard-documents", doc_id, text)
     groups = jaccard_components(rows, "row", "text", width, percent).select(F.col("doc_id").alias("row"), "component_id")
     ids = rows.select("row", F.col("doc_id").isNull().alias("no_id"), "doc_id")
     best = groups.join(ids, "row").groupBy("component_id").agg(F.min(F.struct("no_id", "doc_id", "row")).alias("best"))

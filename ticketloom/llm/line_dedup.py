@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ticketloom.llm.common import SPACES, in_document_order, let, numbered, store, text_of
+from ticketloom.llm.common import SPACES, Stored, in_document_order, let, numbered, store, text_of, with_row
 
 MIN_WORDS = 50
 
@@ -37,7 +37,7 @@ def worded(text: Column) -> Column:
     )
 
 
-def ranked(pairs: DataFrame, keys: list[str], name: str) -> DataFrame:
+def ranked(pairs: DataFrame, keys: list[str], name: str, store: Stored) -> DataFrame:
     """`pairs` that occur twice or more, with the rank of their keys in sorted order."""
     twice = pairs.groupBy(*keys).agg(F.count(F.lit(1)).alias("copies")).where("copies > 1").drop("copies")
     # Ranges are sorted one after the other, so the number grows with the key.
@@ -72,11 +72,20 @@ def parts(lines: DataFrame, min_words: int) -> DataFrame:
 
 def repeated_lines(texts: DataFrame, min_words: int) -> DataFrame:
     """row and the lines (numbers from 0) of its text that are later copies; texts has row, doc_id and text."""
+    tables = Stored(texts.sparkSession)
+    # Only the line numbers stay stored.
+    found = store(later_copies(texts, min_words, tables), "lines-removed")
+    tables.drop()
+    return found
+
+
+def later_copies(texts: DataFrame, min_words: int, store: Stored) -> DataFrame:
     lines = texts.select("row", "doc_id", F.posexplode(worded(text_of())).alias("at", "x"))
     lines = store(lines.select("row", "doc_id", "at", "x.line", "x.words", "x.digest"), "lines")
     # Depth 1; `place` numbers the repeated lines in the order of documents and lines.
-    first = ranked(lines, ["digest"], "lines-1").orderBy(*in_document_order(), "at")
+    first = ranked(lines, ["digest"], "lines-1", store).orderBy(*in_document_order(), "at")
     first = store(first.withColumn("place", F.monotonically_increasing_id()), "lines-placed")
+    store.drop("lines", "lines-1-ranks")
     windows = store(parts(first, min_words), "lines-parts")
     longest = windows.agg(F.max("length")).first()[0] or 0
     levels, depth, level = [], 1, first.select("row", "at", "rank")
@@ -87,7 +96,8 @@ def repeated_lines(texts: DataFrame, min_words: int) -> DataFrame:
         later = level.select("row", (F.col("at") - depth).alias("at"), F.col("rank").alias("rank_b"))
         pairs = level.withColumnRenamed("rank", "rank_a").join(later, ["row", "at"])
         depth *= 2
-        level = store(ranked(pairs, ["rank_a", "rank_b"], f"lines-{depth}"), f"lines-{depth}")
+        level = store(ranked(pairs, ["rank_a", "rank_b"], f"lines-{depth}", store), f"lines-{depth}")
+        store.drop(f"lines-{depth}-ranks")
     if not levels:
         return texts.select("row", F.array().cast("array<int>").alias("removed")).limit(0)
     ranks = levels[0]
@@ -143,8 +153,7 @@ def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min
 def deduped_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", length: str | None = "n_chars",
                       min_words: int = MIN_WORDS) -> DataFrame:
     """`docs` with deduplicated texts, `length` set anew; documents that lose their last line with a word go."""
-    own = {f"own_{k}": F.col(f"`{c}`") for k, c in enumerate(docs.columns)}
-    rows = numbered(docs, "line-documents", doc_id=F.col(doc_id), text=F.col(text), **own)
+    rows = with_row(docs, "line-documents", doc_id, text)
     gone = repeated_lines(rows.select("row", "doc_id", "text"), min_words)
     marked = rows.join(gone, "row", "left").withColumn("cut", F.when(F.col("removed").isNotNull(), without(F.col("text"), F.col("removed"))))
     marked = marked.where(F.col("cut").isNull() | F.col("cut").rlike(r"[^\x20\x09-\x0D]"))
