@@ -133,3 +133,28 @@ def test_inbound_and_column_choice(spark):
         raise AssertionError("expected an error")
     except ValueError:
         pass
+
+
+def test_vocab_overlap_of_many_classes(spark):
+    from ticketloom.operators import corpus
+
+    letters = "abcdefghij"
+    name = lambda i: letters[i // 10] + letters[i % 10]
+    rows = [(f"c{i:02d}", f"shared{name(i // 2)} own{name(i)}") for i in range(80)]
+    df = spark.createDataFrame([*rows, (None, "sharedaa sharedab")], "label string, text string")
+    table = {(r["class_a"], r["class_b"]): (r["overlap"], r["examples"]) for r in corpus.vocab_overlap(df, "label", "text").collect()}
+    assert len(table) == 80 * 79 // 2
+    assert {k: v for k, v in table.items() if v[0]} == {(f"c{i:02d}", f"c{i + 1:02d}"): (1, f"shared{name(i // 2)}") for i in range(0, 80, 2)}
+    some = corpus.vocab_overlap(df, "label", "text", labels=["c01", "c00", "zz"]).collect()
+    assert [(r["class_a"], r["class_b"], r["overlap"]) for r in sorted(some)] == [("c00", "c01", 1), ("c00", "zz", 0), ("c01", "zz", 0)]
+
+
+def test_leakage_of_null_and_equal_texts(spark):
+    from ticketloom.operators import corpus
+
+    train = spark.createDataFrame([("a",), ("a",), (None,)], "text string")
+    test = spark.createDataFrame([(1, "a"), (2, "b"), (3, None), (4, "")], "id long, text string")
+    assert sorted(r["id"] for r in corpus.split_leakage(train, test, "text").collect()) == [1]
+    assert sorted(r["id"] for r in corpus.unleaked(train, test, "text").collect()) == [2, 3, 4]
+    row = corpus.duplicate_texts(train, "text").first()
+    assert (row["rows"], row["distinct_texts"], row["duplicated"], row["all_unique"]) == (3, 2, 1, False)

@@ -5,17 +5,13 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ticketloom.functions import text as T
 from ticketloom.operators import columns as C
 
-# A vocabulary mask is one 64-bit integer.
-MAX_MASK_CLASSES = 63
-
-
 def union_sources(sources: Sequence[DataFrame], priority: str = "priority") -> DataFrame:
     """Concatenate sources; ``priority`` records the position of the source."""
     marked = [df.withColumn(priority, F.lit(i)) for i, df in enumerate(sources)]
@@ -61,6 +57,11 @@ def clean_then_dedupe(df: DataFrame, key: str, text_col: str, label_col: str) ->
     return dedupe_keep_first(kept, ["clean_text"], key).withColumn("source", F.lit("ticket"))
 
 
+def text_digest(col: str) -> Column:
+    """A short shuffle key that stands for a whole text; null for null."""
+    return F.unhex(F.sha2(F.col(col).cast("binary"), 256))
+
+
 def duplicate_rows(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
     """Number of rows that repeat an earlier row in full."""
     cols = list(cols or df.columns)
@@ -72,8 +73,11 @@ def duplicate_rows(df: DataFrame, cols: Sequence[str] | None = None) -> DataFram
 
 
 def duplicate_texts(df: DataFrame, col: str) -> DataFrame:
-    """Repeated texts, distinct texts, and whether every text is unique."""
-    per_text = df.groupBy(col).agg(F.count("*").alias("_n"))
+    """Repeated texts, distinct texts, and whether every text is unique.
+
+    Texts are grouped by their SHA-256, so digests are shuffled instead of whole texts.
+    """
+    per_text = df.groupBy(text_digest(col).alias("_digest")).agg(F.count("*").alias("_n"))
     return per_text.agg(
         F.coalesce(F.sum("_n"), F.lit(0)).alias("rows"),
         F.count("*").alias("distinct_texts"),
@@ -92,14 +96,13 @@ def duplicate_rate(df: DataFrame, col: str, limit: float = 10.0) -> DataFrame:
     )
 
 
-def _label_bits(df: DataFrame, label: str, labels: Sequence | None) -> list:
-    """Class labels in order; each gets one bit of the vocabulary mask."""
-    if labels is None:
-        rows = df.select(label).distinct().limit(MAX_MASK_CLASSES + 1).collect()
-        labels = [r[0] for r in rows if r[0] is not None]
-    if len(labels) > MAX_MASK_CLASSES:
-        raise ValueError(f"vocabulary overlap needs at most {MAX_MASK_CLASSES} classes")
-    return sorted(labels)
+def _class_pairs(names: Column) -> Column:
+    """Every pair of a sorted list of class names, the smaller one first."""
+    later = lambda i: F.slice(names, i + 2, F.size(names))
+    pairs = F.transform(
+        names, lambda a, i: F.transform(later(i), lambda b: F.struct(a.alias("class_a"), b.alias("class_b")))
+    )
+    return F.flatten(pairs)
 
 
 def vocab_overlap(
@@ -112,46 +115,44 @@ def vocab_overlap(
 ) -> DataFrame:
     """Shared vocabulary of each pair of classes, with the first few shared terms.
 
-    Every term gets one mask with a bit per class that uses it; the pairs come
-    from the masks, so no term joins with itself and no pair of rows is formed.
+    Every term gets the sorted list of the classes that use it, and terms with
+    the same list are counted together; the pairs come from the lists, so no
+    term joins with itself and no pair of rows is formed.  ``labels`` limits
+    the classes; rows without a class are left out.
     """
-    names = _label_bits(df, label, labels)
-    bit = F.lit(0).cast("long")
-    for i, name in enumerate(names):
-        bit = F.when(F.col(label) == F.lit(name), F.lit(1 << i).cast("long")).otherwise(bit)
-    terms = df.select(bit.alias("_bit"), F.explode(F.array_distinct(T.tokenise_terms(F.col(text_col)))).alias("term"))
-    masks = terms.groupBy("term").agg(F.bit_or("_bit").alias("_mask"))
-    shared = masks.filter(F.bit_count("_mask") >= 2)
-    pairs = [(i, j) for i in range(len(names)) for j in range(i + 1, len(names))]
-    both = [F.lit((1 << i) | (1 << j)).cast("long") for i, j in pairs]
-    listing = F.array(
-        *[F.struct(F.lit(names[i]).alias("class_a"), F.lit(names[j]).alias("class_b"), m.alias("_both"))
-          for (i, j), m in zip(pairs, both)]
+    if labels is None:
+        all_names = df.agg(F.sort_array(F.collect_set(label)).alias("_names"))
+        known = F.col(label).isNotNull()
+    else:
+        names = F.array_sort(F.array_distinct(F.array(*[F.lit(x) for x in labels])))
+        all_names = df.sparkSession.range(1).select(names.alias("_names"))
+        known = F.col(label).isin(list(labels))
+    grid = all_names.select(F.inline(_class_pairs(F.col("_names"))))
+    terms = df.filter(known).select(
+        F.col(label).alias("_class"), F.explode(F.array_distinct(T.tokenise_terms(F.col(text_col)))).alias("term")
     )
-    grid = df.sparkSession.range(1).select(F.inline(listing))
-    sizes = shared.groupBy("_mask").agg(F.count("*").alias("_n"))
-    hit = F.col("_mask").bitwiseAND(F.col("_both")) == F.col("_both")
+    lists = terms.groupBy("term").agg(F.sort_array(F.collect_set("_class")).alias("_classes"))
+    shared = lists.filter(F.size("_classes") >= 2)
     counts = (
-        sizes.select("_mask", "_n", F.inline(listing))
-        .filter(hit)
+        shared.groupBy("_classes")
+        .agg(F.count("*").alias("_n"))
+        .select("_n", F.inline(_class_pairs(F.col("_classes"))))
         .groupBy("class_a", "class_b")
         .agg(F.sum("_n").alias("overlap"))
     )
-    # The first terms per pair are found per mask first: a mask needs only its own first few.
-    per_mask = W.partitionBy("_mask").orderBy("term")
-    heads = shared.withColumn("_r", F.row_number().over(per_mask)).filter(F.col("_r") <= examples)
+    # The first terms per pair are found per list first: a list needs only its own first few.
+    per_list = W.partitionBy("_classes").orderBy("term")
+    heads = shared.withColumn("_r", F.row_number().over(per_list)).filter(F.col("_r") <= examples)
     per_pair = W.partitionBy("class_a", "class_b").orderBy("term")
     shown = (
-        heads.select("_mask", "term", F.inline(listing))
-        .filter(hit)
+        heads.select("term", F.inline(_class_pairs(F.col("_classes"))))
         .withColumn("_r", F.row_number().over(per_pair))
         .filter(F.col("_r") <= examples)
         .groupBy("class_a", "class_b")
         .agg(F.array_join(F.array_sort(F.collect_list("term")), ",").alias("examples"))
     )
     return (
-        grid.drop("_both")
-        .join(counts, ["class_a", "class_b"], "left")
+        grid.join(counts, ["class_a", "class_b"], "left")
         .join(shown, ["class_a", "class_b"], "left")
         .select(
             "class_a",
@@ -163,12 +164,17 @@ def vocab_overlap(
     )
 
 
+def _by_digest(train: DataFrame, test: DataFrame, text_col: str, how: str) -> DataFrame:
+    """The training side is read as digests only and merges its copies before the shuffle."""
+    seen = train.select(text_digest(text_col).alias("_seen")).distinct()
+    return test.join(seen, text_digest(text_col) == F.col("_seen"), how)
+
+
 def split_leakage(train: DataFrame, test: DataFrame, text_col: str) -> DataFrame:
-    """Test rows whose text also occurs in the training rows."""
-    seen = train.select(text_col).distinct()
-    return test.join(seen, text_col, "left_semi")
+    """Test rows whose text also occurs in the training rows; a null text never does."""
+    return _by_digest(train, test, text_col, "left_semi")
 
 
 def unleaked(train: DataFrame, test: DataFrame, text_col: str) -> DataFrame:
     """Test rows whose text does not occur in the training rows."""
-    return test.join(train.select(text_col).distinct(), text_col, "left_anti")
+    return _by_digest(train, test, text_col, "left_anti")

@@ -44,15 +44,16 @@ def logreg(rows: int, features="features", label="label_index", c=1.0, weight=No
     return model.setWeightCol(weight) if weight else model
 
 
-def one_vs_rest_logreg(rows: int, features="features", label="label_index", c=1.0, max_iter=1000) -> OneVsRest:
+def one_vs_rest_logreg(rows: int, features="features", label="label_index", c=1.0, max_iter=1000, weight=None) -> OneVsRest:
     """One binary logistic regression per class."""
     base = LogisticRegression(
         regParam=X.regularisation(c, rows), elasticNetParam=0.0, standardization=False, maxIter=max_iter, tol=1e-4
     )
-    return OneVsRest(classifier=base, featuresCol=features, labelCol=label, parallelism=PARALLEL_FITS)
+    model = OneVsRest(classifier=base, featuresCol=features, labelCol=label, parallelism=PARALLEL_FITS)
+    return model.setWeightCol(weight) if weight else model
 
 
-def linear_svm(rows: int, features="features", label="label_index", c=1.0, max_iter=100) -> OneVsRest:
+def linear_svm(rows: int, features="features", label="label_index", c=1.0, max_iter=1000) -> OneVsRest:
     """One-vs-rest linear SVM (hinge loss)."""
     base = LinearSVC(regParam=X.regularisation(c, rows), standardization=False, maxIter=max_iter, tol=1e-4)
     return OneVsRest(classifier=base, featuresCol=features, labelCol=label, parallelism=PARALLEL_FITS)
@@ -249,7 +250,7 @@ def grid_search(
     df: DataFrame,
     label: str,
     key: str,
-    c_values: Sequence[float] = (0.1, 1.0),
+    c_values: Sequence[float] = (0.01, 0.1, 1.0, 10.0, 100.0),
     folds: int = 3,
     tune_rows: int | None = None,
     weight: str | None = None,
@@ -270,7 +271,7 @@ def grid_search(
         tuned = X.sized(assigned, n)
         solvers = {
             "multinomial": logreg(n, weight=weight, max_iter=max_iter),
-            "one-vs-rest": one_vs_rest_logreg(n, max_iter=max_iter),
+            "one-vs-rest": one_vs_rest_logreg(n, max_iter=max_iter, weight=weight),
         }
         for solver, estimator in solvers.items():
             inner = estimator if solver == "multinomial" else estimator.getClassifier()
@@ -292,7 +293,7 @@ def grid_search(
     estimator = (
         logreg(total, c=best[1], weight=weight, max_iter=max_iter)
         if best[0] == "multinomial"
-        else one_vs_rest_logreg(total, c=best[1], max_iter=max_iter)
+        else one_vs_rest_logreg(total, c=best[1], max_iter=max_iter, weight=weight)
     )
     fitted = estimator.fit(indexer.transform(df))
     results = df.sparkSession.createDataFrame(rows, "solver string, c double, macro_f1 double")

@@ -127,20 +127,9 @@ def _test_report(model, test):
     return E.per_class_prf(M.predicted_labels(test, model, [LABEL]), LABEL, "prediction")
 
 
-_FITTED: dict[tuple, object] = {}
-
-
-def _fitted(name, spark, sf_dir, fit):
-    """A model that several queries apply is fitted once per session and data set."""
-    key = (name, spark.sparkContext.applicationId, sf_dir)
-    if key not in _FITTED:
-        _FITTED[key] = fit()
-    return _FITTED[key]
-
-
 def _text_model(spark, sf_dir):
     train, _ = _text_split(spark, sf_dir)
-    return _fitted("text", spark, sf_dir, lambda: M.train_logreg(train, "text", LABEL, **TFIDF))
+    return M.train_logreg(train, "text", LABEL, **TFIDF)
 
 
 @query("train_logreg")
@@ -187,9 +176,9 @@ def train_random_forest(spark, sf_dir):
 
 @query("train_gbt")
 def train_gbt(spark, sf_dir):
-    """Boosting on the document languages, ten rounds per class."""
+    """Boosting on the document languages, 100 rounds per class."""
     train, test = _text_features(spark, sf_dir)
-    return _test_report(M.train(train, M.gradient_boosting(rounds=10), LABEL), test)
+    return _test_report(M.train(train, M.gradient_boosting(), LABEL), test)
 
 
 @query("train_on_vectors")
@@ -244,7 +233,8 @@ def compare_models(spark, sf_dir):
 @query("grid_search")
 def grid_search(spark, sf_dir):
     train, _ = _vector_split(spark, sf_dir)
-    results, _ = M.grid_search(train, LABEL, "vec_id", c_values=(0.1, 1.0), folds=3)
+    weighted = X.with_class_weight(train, LABEL)
+    results, _ = M.grid_search(weighted, LABEL, "vec_id", folds=3, weight="weight")
     return results.withColumn("macro_f1", F.round("macro_f1", 4))
 
 
@@ -272,7 +262,7 @@ def low_feature_probe(spark, sf_dir):
 @query("train_baseline")
 def train_baseline(spark, sf_dir):
     """Clean, split, fit and score on the test part."""
-    _, predictions = M.train_baseline(_documents(spark, sf_dir), "doc_id", "text", LABEL, **TFIDF)
+    _, predictions = M.train_baseline(_documents(spark, sf_dir), "doc_id", "text", LABEL)
     return E.weighted_prf(predictions, LABEL, "prediction")
 
 
@@ -281,9 +271,7 @@ def _language_model(spark, sf_dir):
     train, _ = _text_split(spark, sf_dir)
     clean = train.select("doc_id", LABEL, T.clean_ticket_text(F.col("text")).alias("clean_text"))
     usable = clean.filter(F.col("clean_text") != "")
-    return _fitted(
-        "language", spark, sf_dir, lambda: M.train_logreg(usable, "clean_text", LABEL, min_df=2, max_features=5000)
-    )
+    return M.train_logreg(usable, "clean_text", LABEL, min_df=2, max_features=5000)
 
 
 @query("save_model", "SELECT 'type' AS key, 'tfidf-logreg' AS value UNION ALL SELECT 'classes', 'de,en,es,fr'")

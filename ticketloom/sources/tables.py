@@ -124,6 +124,6 @@ def head_sample(df: DataFrame, n: int, key: str) -> DataFrame:
 
 
 def save_results(tables: dict[str, DataFrame], folder: str, fmt: str = "csv") -> None:
-    """Export small result tables (comparison, confusion matrix, per-class metrics), one folder each."""
+    """Export result tables (comparison, confusion matrix, per-class metrics), one folder each, in as many files as they have partitions."""
     for name, table in tables.items():
-        save_table(table.coalesce(1), f"{folder.rstrip('/')}/{name}", fmt)
+        save_table(table, f"{folder.rstrip('/')}/{name}", fmt)
