@@ -139,7 +139,7 @@ def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min
     rows = numbered(docs, "line-texts", doc_id=F.col(doc_id), text=F.col(text))
     gone = repeated_lines(rows, min_words)
     none = F.array().cast("array<int>")
-    marked = rows.join(gone, "row", "left").withColumn("removed", F.coalesce("removed", none))
+    marked = rows.join(gone.hint("merge"), "row", "left").withColumn("removed", F.coalesce("removed", none))
     left = F.size(F.filter(F.split("text", "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))) - F.size("removed")
     return marked.select(
         "doc_id",
@@ -155,7 +155,7 @@ def deduped_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text
     """`docs` with deduplicated texts, `length` set anew; documents that lose their last line with a word go."""
     rows = with_row(docs, "line-documents", doc_id, text)
     gone = repeated_lines(rows.select("row", "doc_id", "text"), min_words)
-    marked = rows.join(gone, "row", "left").withColumn("cut", F.when(F.col("removed").isNotNull(), without(F.col("text"), F.col("removed"))))
+    marked = rows.join(gone.hint("merge"), "row", "left").withColumn("cut", F.when(F.col("removed").isNotNull(), without(F.col("text"), F.col("removed"))))
     marked = marked.where(F.col("cut").isNull() | F.col("cut").rlike(r"[^\x20\x09-\x0D]"))
     values = {c: F.col(f"own_{k}") for k, c in enumerate(docs.columns)} | {text: F.coalesce("cut", "text")}
     if length in docs.columns:
