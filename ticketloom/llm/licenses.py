@@ -1,16 +1,15 @@
 """License scans through a positional index of rare words, with DataFrame operations only.
 
 Of every file only the words of the license vocabulary are kept, with their
-positions.  Its rarest ones over the whole corpus are looked up in the index
-of the templates; postings that agree on the offset between file and template
-vote for that place, and a template counts where its mandatory key phrases
-stand at exactly that offset.
+positions.  Of every template whose key words the file holds, the rarest ones
+over the whole corpus are looked up in the index; postings that agree on the
+offset between file and template vote for that place, and a template counts
+where its mandatory key phrases stand at exactly that offset.
 """
 
 from __future__ import annotations
 
-import math
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -58,8 +57,7 @@ TEMPLATES = (
 )
 STOP_WORDS = frozenset("a and any are as by can for form in is it of or that the this to use with you 0 1 2 3 4 v".split())
 
-# Rarest license words of a file that are looked up, and how much of a template must stand at its place.
-RAREST = 8
+# How much of a template must stand at its place.
 SHARE = 0.6
 
 
@@ -73,6 +71,15 @@ class Index:
         self.lookup = sorted({w for _, _, w in self.postings})
         self.vocabulary = sorted({*self.lookup, *phrase_words, *(w for p in BASE_PHRASES for w in p.split())})
 
+    def key_words(self, t: int) -> list[str]:
+        """The words of a template's key phrases that are looked up; a file without one of them holds it nowhere."""
+        return sorted({w for p in self.templates[t].phrases for w in p.split()} - STOP_WORDS)
+
+    def anchors(self, t: int, frequency: Mapping[str, int]) -> list[str]:
+        """Words of a template of which two vote wherever it stands: its two rarest key words, or all its words where it has fewer."""
+        keys = sorted(self.key_words(t), key=lambda w: (frequency.get(w, 0), w))
+        return keys[:2] if len(keys) > 1 else sorted({w for u, _, w in self.postings if u == t})
+
     def keys(self, template: Template) -> list[tuple[int, str]]:
         """(place, word) of the key phrases, at their first place in the template."""
         words, found = template.words.split(), []
@@ -132,13 +139,12 @@ def scan_licenses(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", t
     # Document frequencies of the license words over the whole corpus: as many rows as the index has words.
     present = files.where(F.size("tokens") > 0).select(F.explode(F.array_distinct(F.transform("tokens", lambda t: t["word"]))).alias("word"))
     frequency = {r["word"]: r["count"] for r in present.groupBy("word").count().collect()}
-    total = files.count()
-    idf = {w: math.log((total + 1) / (frequency.get(w, 0) + 1)) for w in index.lookup}
-    by_rarity = literals(sorted(index.lookup, key=lambda w: (-idf[w], w)))
+    anchors = [index.anchors(t, frequency) for t in range(len(templates))]
 
     spark = docs.sparkSession
     # As many rows as the templates have words.
-    postings = F.broadcast(spark.createDataFrame(index.postings, "template int, place int, word string"))
+    anchored = [(t, k, w) for t, k, w in index.postings if w in anchors[t]]
+    postings = F.broadcast(spark.createDataFrame(anchored, "template int, place int, word string"))
     notices = F.broadcast(
         spark.createDataFrame(
             [
@@ -149,9 +155,14 @@ def scan_licenses(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", t
         )
     )
     distinct = F.array_distinct(F.transform("tokens", lambda t: t["word"]))
-    looked_up = files.where(F.size("tokens") > 1).withColumn(
-        "rare", let(distinct, lambda own: F.slice(F.filter(by_rarity, lambda w: F.array_contains(own, w)), 1, RAREST))
-    )
+
+    def rare(own: Column) -> Column:
+        """The anchors of every template whose key words are all there, however many templates these are."""
+        none = F.array().cast("array<string>")
+        held = [F.size(F.array_except(literals(index.key_words(t)), own)) == 0 for t in range(len(templates))]
+        return F.array_distinct(F.flatten(F.array(*[F.when(h, literals(anchors[t])).otherwise(none) for t, h in enumerate(held)])))
+
+    looked_up = files.where(F.size("tokens") > 1).withColumn("rare", let(distinct, rare))
     # One word alone never places a template: two different words must agree on the offset.
     hits = looked_up.where(F.size("rare") > 1).select(
         "row", F.explode(F.filter("tokens", lambda t: F.array_contains(F.col("rare"), t["word"]))).alias("t")
