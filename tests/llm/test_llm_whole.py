@@ -2,8 +2,13 @@
 
 import random
 import re
+from collections import Counter
 
-from ticketloom.llm import licenses
+import public_tokenizers
+import sentencepiece
+from pyspark.sql import functions as F
+
+from ticketloom.llm import licenses, sentencepieces
 
 
 def notices_of(text):
@@ -36,3 +41,18 @@ def test_a_notice_is_found_beside_others_and_in_a_long_text(spark):
     got = {r.doc_id: (r.labels, r.score) for r in licenses.scan_licenses(rows).collect()}
     assert got == dict(enumerate(map(notices_of, texts)))
     assert "apache-2.0" in got[40][0] and "bsd" in got[40][0]
+
+
+def test_the_digest_is_of_the_ids_in_order_and_of_their_text(spark, edge_rows):
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    table, lib = sentencepieces.Pieces.load(path), sentencepiece.SentencePieceProcessor(model_file=path)
+    rows = [(1, "the cat sat on the mat"), (2, "on the mat sat the cat"), (3, "a\u2581b"), (1, "the cat sat on the mat"), (4, "x" * 90 + " 日本語 😀")]
+    rows += [(r[0], r[1]) for r in edge_rows]
+    ids = [(d, t, lib.encode(t or "")) for d, t in rows]
+    wanted = spark.createDataFrame([(d, i, lib.decode(i) == (t or "")) for d, t, i in ids], "doc_id long, ids array<int>, round_trip boolean")
+    hashed = F.when(F.size("ids") > 0, F.xxhash64("ids")).otherwise(0)
+    wanted = Counter(map(tuple, wanted.select("doc_id", F.size("ids"), hashed, "round_trip").collect()))
+    for frequent in (4, 1 << 23):
+        docs = spark.createDataFrame(rows, "doc_id long, text string")
+        digest = sentencepieces.encoding_digest(docs, table, frequent=frequent)
+        assert Counter(map(tuple, digest.select("doc_id", "n_pieces", "pieces_hash", "round_trip").collect())) == wanted

@@ -284,48 +284,63 @@ def merged_units(units: DataFrame, pieces: Pieces) -> DataFrame:
 
 
 def unit_dictionary(texts: DataFrame, pieces: Pieces) -> DataFrame:
-    """unit, times, ids, exact (the ids decode to the unit) of every distinct unit of the texts; stored."""
+    """unit, times and ids of every distinct unit of the texts; stored."""
     units = texts.select(F.explode(units_of(F.col("text"))).alias("unit"))
     counted = units.groupBy("unit").agg(F.count(F.lit(1)).alias("times"))
     folded = store(folded_units(counted, pieces), "units")
     if pieces.kind != "bpe":
         if not folded.where("ids IS NULL").isEmpty():
             raise ValueError(f"a unigram table can't encode units of more than {LONGEST} characters here")
-        return exact_units(folded, pieces)
+        return folded
     # Long units are rare; their scores are ranks, so the helper finds the same merges.
     long = merged_units(folded.where("ids IS NULL"), pieces)
-    return exact_units(folded.where("ids IS NOT NULL").unionByName(long), pieces)
-
-
-def exact_units(known: DataFrame, pieces: Pieces) -> DataFrame:
-    plain = F.replace(F.col("unit"), F.lit(SPACE), F.lit(" "))
-    whole = let(pieces.bytes_of(), lambda table: F.array_join(F.transform("ids", lambda i: F.get(table, i)), ""))
-    return known.withColumn("exact", F.unhex(whole) == F.encode(plain, "utf-8"))
+    return folded.where("ids IS NOT NULL").unionByName(long)
 
 
 def encoded_places(texts: DataFrame, words: DataFrame, *keys: str, frequent: int = FREQUENT) -> DataFrame:
-    """keys, place, ids and exact of every unit of every text; fewer than `frequent` units are broadcast."""
+    """keys, place and ids of every unit of every text; fewer than `frequent` units are broadcast."""
     places = texts.select(*keys, F.posexplode(units_of(F.col("text"))).alias("place", "unit"))
     total = words.agg(F.sum("times")).first()[0] or 0
-    often = F.broadcast(words.where(F.col("times") > total / frequent).select("unit", "ids", "exact"))
-    rare = words.where(F.col("times") <= total / frequent).select("unit", "ids", "exact")
-    columns = (*keys, "place", "ids", "exact")
+    often = F.broadcast(words.where(F.col("times") > total / frequent).select("unit", "ids"))
+    rare = words.where(F.col("times") <= total / frequent).select("unit", "ids")
+    columns = (*keys, "place", "ids")
     known = places.join(often, "unit").select(*columns)
     return known.unionByName(places.join(often.select("unit"), "unit", "left_anti").join(rare.hint("shuffle_hash"), "unit").select(*columns))
 
 
-def encode_documents(docs: DataFrame, pieces: Pieces, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def digest_of(text: Column) -> Column:
+    return F.unhex(F.sha2(text, 256))
+
+
+def encoded_texts(docs: DataFrame, pieces: Pieces, doc_id: str, text: str, frequent: int) -> DataFrame:
+    """doc_id, digest (SHA-256 of the text, null for a null text), n_units and the ids in order, of every row.
+
+    Equal rows are encoded together and come as often as in docs.
+    """
+    texts = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
+    some = texts.where("text <> ''")
+    words = unit_dictionary(some.select("text"), pieces)
+    places = encoded_places(some.withColumn("digest", digest_of(F.col("text"))), words, "doc_id", "digest", frequent=frequent)
+    # Every text here has a first unit: as many as there are equal rows.
+    grouped = places.groupBy("doc_id", "digest").agg(
+        F.count_if(F.col("place") == 0).alias("copies"), F.sort_array(F.collect_list(F.struct("place", "ids"))).alias("places")
+    )
+    # Equal rows give every place once per copy, side by side after the sort.
+    once = F.filter("places", lambda _, k: k % F.col("copies") == 0)
+    own = F.when(F.col("copies") == 1, F.col("places")).otherwise(once)
+    encoded = grouped.select("doc_id", "digest", "copies", F.transform(own, lambda p: p["ids"]).alias("parts"))
+    encoded = encoded.select("doc_id", "digest", "copies", F.size("parts").alias("n_units"), F.flatten("parts").alias("ids"))
+    copied = encoded.select("doc_id", "digest", "n_units", "ids", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))).alias("copy"))
+    nothing = texts.where("text IS NULL OR text = ''").select(
+        "doc_id", digest_of(F.col("text")).alias("digest"), F.lit(0).alias("n_units"), F.array().cast("array<int>").alias("ids")
+    )
+    return copied.drop("copy").unionByName(nothing)
+
+
+def encode_documents(docs: DataFrame, pieces: Pieces, doc_id: str = "doc_id", text: str = "text", frequent: int = FREQUENT) -> DataFrame:
     """doc_id, ids (null text: null, empty text: none) and their decoded text, of every row; equal rows come as often as in docs."""
-    texts = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.xxhash64(F.col(text)).alias("hash"))
-    words = unit_dictionary(texts.select(text_of().alias("text")).where("text <> ''"), pieces)
-    rows = texts.groupBy("doc_id", "hash", F.col("text").isNull().alias("no_text")).agg(F.count(F.lit(1)).alias("copies"))
-    # Equal rows share their key: a place of theirs comes once per copy.
-    places = encoded_places(texts.where("text <> ''"), words, "doc_id", "hash")
-    ids = places.groupBy("doc_id", "hash").agg(F.array_sort(F.collect_set(F.struct("place", "ids"))).alias("places"))
-    ids = ids.withColumnsRenamed({"doc_id": "d", "hash": "h"})
-    joined = rows.join(ids, rows["doc_id"].eqNullSafe(ids["d"]) & (rows["hash"] == ids["h"]), "left")
-    flat = F.when(~F.col("no_text"), F.coalesce(F.flatten(F.transform("places", lambda p: p["ids"])), F.array().cast("array<int>")))
-    one = joined.select("doc_id", flat.alias("ids"), F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))).alias("copy"))
+    encoded = encoded_texts(docs, pieces, doc_id, text, frequent)
+    one = encoded.select("doc_id", F.when(F.col("digest").isNotNull(), F.col("ids")).alias("ids"))
     return one.select("doc_id", "ids", decoded(F.col("ids"), pieces).alias("text"))
 
 
@@ -334,35 +349,21 @@ def encoding_digest(
 ) -> DataFrame:
     """doc_id, n_units, n_pieces, pieces_hash and round_trip of every row.
 
-    `pieces_hash` combines the ids with the place of their unit; `round_trip`
-    says that the pieces decode to the text, which fails only where the text
-    holds the sign for spaces itself.  Null texts count as empty: no pieces,
-    hash 0, true.  Equal rows are counted together and come as often as in
-    docs; null ids are ids like any other; other columns are not read.
+    `pieces_hash` is the hash of the ids in order; `round_trip` says that they
+    decode to the text (the SHA-256 of both agrees), which fails only where
+    the text holds the sign for spaces itself.  Null texts count as empty: no
+    pieces, hash 0, true.  Equal rows are encoded together and come as often
+    as in docs; null ids are ids like any other; other columns are not read.
     `frequent` bounds the units that are broadcast and leaves the rows as they are.
     """
-    texts = docs.select(F.col(doc_id).alias("doc_id"), text_of(text).alias("text"))
-    words = unit_dictionary(texts.where("text <> ''"), pieces)
-    keyed = texts.withColumn("hash", F.xxhash64("text"))
-    rows = keyed.groupBy("doc_id", "hash").agg(F.count(F.lit(1)).alias("copies"), F.max(F.col("text").contains(SPACE)).alias("signs"))
-    places = encoded_places(keyed.where("text <> ''"), words, "doc_id", "hash", frequent=frequent)
-    summed = places.groupBy("doc_id", "hash").agg(
-        F.count(F.lit(1)).alias("units"),
-        F.sum(F.size("ids")).alias("pieces"),
-        # A sum: equal rows give every term once per copy.
-        F.sum(F.pmod(F.xxhash64("place", "ids"), F.lit(1 << 40))).alias("terms"),
-        F.bool_and("exact").alias("exact"),
-    )
-    summed = summed.withColumnsRenamed({"doc_id": "d", "hash": "h"})
-    joined = rows.join(summed, rows["doc_id"].eqNullSafe(summed["d"]) & (rows["hash"] == summed["h"]), "left")
-    one = joined.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))))
-    zero = F.lit(0).cast("long")
-    return one.select(
+    encoded = encoded_texts(docs, pieces, doc_id, text, frequent)
+    long = lambda c: c.cast("long")
+    return encoded.select(
         "doc_id",
-        F.coalesce(F.expr("units div copies"), zero).alias("n_units"),
-        F.coalesce(F.expr("pieces div copies"), zero).alias("n_pieces"),
-        F.coalesce(F.expr("terms div copies"), zero).alias("pieces_hash"),
-        (F.coalesce("exact", F.lit(True)) & ~F.col("signs")).alias("round_trip"),
+        long(F.col("n_units")).alias("n_units"),
+        long(F.size("ids")).alias("n_pieces"),
+        F.when(F.size("ids") > 0, F.xxhash64("ids")).otherwise(long(F.lit(0))).alias("pieces_hash"),
+        F.coalesce(digest_of(decoded(F.col("ids"), pieces)) == F.col("digest"), F.lit(True)).alias("round_trip"),
     )
 
 
