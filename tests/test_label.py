@@ -96,3 +96,31 @@ def test_costly_columns_run_once(spark, sf_dir):
 def test_confidence_band(spark):
     df = spark.createDataFrame([(0.81,), (0.8,), (0.5,), (0.49,)], "c double")
     assert [r[0] for r in df.select(L.confidence_band(F.col("c"))).collect()] == ["auto", "review", "review", "human"]
+
+
+LAST_KEYWORDS = {
+    "Fraud": ("fraudulent", "hacker"),
+    "Billing": ("get refund", "withdrawal"),
+    "Technical": ("sync issue", "compatibility"),
+    "Account": ("locked out", "restore"),
+    "Delivery": ("refund shipping", "free shipping"),
+    "Feature Request": ("doesn't have", "please add"),
+    "Customer Support": ("escalate", "helpful agent"),
+    "General Inquiry": ("why is it", "documentation"),
+}
+
+
+@pytest.mark.parametrize("native", [True, False])
+def test_the_rule_base_is_whole_and_its_last_keywords_hit(spark, native):
+    if not native and not HAS_AUTOMATON:
+        pytest.skip("no automaton library")
+    assert len(STARTER_RULES.rules) == 284 and len(STARTER_RULES.phrases) == 39
+    listed = {c: [[r.keyword for r in STARTER_RULES.rules if (r.category, r.tier) == (c, t)] for t in ("secondary", "tertiary")] for c in LAST_KEYWORDS}
+    assert {c: (s[-1], t[-1]) for c, (s, t) in listed.items()} == LAST_KEYWORDS
+    rows = [(c, w, i) for c, words in LAST_KEYWORDS.items() for i, w in enumerate(words)]
+    df = spark.createDataFrame(rows, "c string, t string, tier int").withColumn("m", match_rules(F.col("t"), STARTER_RULES, native=native))
+    weight = {r.category: r.weight for r in STARTER_RULES.rules}
+    for r in df.collect():
+        assert r.m.scores[STARTER_RULES.categories.index(r.c)] >= round(weight[r.c] * (100, 50)[r.tier]), (r.c, r.t)
+    only = spark.createDataFrame([("unrecognized", "Fraud"), ("voucher", "Billing"), ("in transit", "Delivery")], "t string, c string")
+    assert all(r.category == r.c for r in L.categorize(only, "t", native=native).collect())

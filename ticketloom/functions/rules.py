@@ -3,9 +3,8 @@
 A rule base is a parameter of every labelling operator.  ``RuleBase.from_dict``
 takes the usual nested dictionary (category -> primary / secondary / tertiary
 keyword lists and a weight) plus a phrase map, ``RuleBase.read`` takes a rule
-table on disk.  ``STARTER_RULES`` is a small built-in base: all phrases and
-primary keywords and the leading entries of the two weaker tiers.  Pass the
-complete lists to reproduce a complete rule base.
+table on disk.  ``STARTER_RULES`` is the built-in base: all 284 keywords and 39
+phrases of the published categorizer, in its order.
 """
 
 from __future__ import annotations
@@ -85,86 +84,129 @@ class RuleBase:
 STARTER_KEYWORDS = {
     "Fraud": {
         "primary": [
-            "fraud", "scam", "unauthorized", "stolen", "hack", "compromised",
-            "identity theft", "security breach", "fake transaction", "phishing",
-            "money stolen", "card stolen", "account takeover", "breach",
+            "fraud", "scam", "unauthorized", "stolen", "hack", "compromised", "identity theft",
+            "security breach", "fake transaction", "phishing", "money stolen", "card stolen",
+            "account takeover", "breach",
+        ],
+        "secondary": [
+            "suspicious", "fake", "not me", "wasn't me", "didn't authorize", "did not authorize",
+            "unknown charge", "unrecognized", "fraudulent",
+        ],
+        "tertiary": [
+            "stole", "theft", "hijack", "impersonation", "scammer", "hacker",
         ],
-        "secondary": ["suspicious", "fake", "not me", "wasn't me", "didn't authorize", "did not authorize"],
-        "tertiary": ["stole", "theft", "hijack"],
         "weight": 3.0,
     },
     "Billing": {
         "primary": [
-            "refund", "charge", "billing", "payment", "invoice", "subscription",
-            "overcharged", "double charge", "wrong charge", "billing issue",
-            "payment failed", "chargeback", "credit card", "debit card",
+            "refund", "charge", "billing", "payment", "invoice", "subscription", "overcharged",
+            "double charge", "wrong charge", "billing issue", "payment failed", "chargeback",
+            "credit card", "debit card",
+        ],
+        "secondary": [
+            "money", "cost", "price", "overcharge", "cancel subscription", "renew subscription",
+            "bill", "charged", "refund request", "money back", "return money", "get refund",
+        ],
+        "tertiary": [
+            "fee", "tax", "discount", "coupon", "promo", "voucher", "credit", "statement",
+            "receipt", "transaction", "withdrawal",
         ],
-        "secondary": ["money", "cost", "price", "overcharge", "cancel subscription", "renew subscription"],
-        "tertiary": ["fee", "tax", "discount"],
         "weight": 2.5,
     },
     "Technical": {
         "primary": [
-            "crash", "error", "bug", "freeze", "not working", "failed", "broken",
-            "glitch", "down", "offline", "unresponsive", "won't load", "won't open",
-            "won't start", "stuck", "loading", "spinning wheel", "white screen",
-            "black screen",
+            "crash", "error", "bug", "freeze", "not working", "failed", "broken", "glitch", "down",
+            "offline", "unresponsive", "won't load", "won't open", "won't start", "stuck",
+            "loading", "spinning wheel", "white screen", "black screen",
+        ],
+        "secondary": [
+            "slow", "battery drain", "battery life", "update broke", "ios update", "android update",
+            "connection issue", "wifi issue", "internet issue", "signal", "network", "lag", "delay",
+            "timeout", "server error", "500 error", "404 error", "login error", "sync issue",
+        ],
+        "tertiary": [
+            "hang", "stutter", "fps", "performance", "memory", "storage", "installation", "setup",
+            "configure", "compatibility",
         ],
-        "secondary": ["slow", "battery drain", "battery life", "update broke", "ios update", "android update"],
-        "tertiary": ["hang", "stutter", "fps"],
         "weight": 2.0,
     },
     "Account": {
         "primary": [
-            "login", "password", "account", "signin", "access", "locked",
-            "reset password", "forgot password", "change password", "verify account",
-            "authentication", "two factor", "2fa", "email verification",
-            "phone verification",
+            "login", "password", "account", "signin", "access", "locked", "reset password",
+            "forgot password", "change password", "verify account", "authentication", "two factor",
+            "2fa", "email verification", "phone verification",
+        ],
+        "secondary": [
+            "reset", "verification", "code", "profile", "email", "username", "user id",
+            "credentials", "log in", "sign in", "can't login", "can't access", "locked out",
+        ],
+        "tertiary": [
+            "register", "sign up", "create account", "delete account", "deactivate", "reactivate",
+            "recover", "restore",
         ],
-        "secondary": ["reset", "verification", "code", "profile", "email", "username"],
-        "tertiary": ["register", "sign up", "create account"],
         "weight": 2.0,
     },
     "Delivery": {
         "primary": [
-            "delivery", "shipping", "package", "order", "track", "arrive", "delivered",
-            "shipment", "courier", "mail", "package not received",
-            "order not delivered", "late delivery", "tracking number",
-            "tracking update", "estimated delivery",
+            "delivery", "shipping", "package", "order", "track", "arrive", "delivered", "shipment",
+            "courier", "mail", "package not received", "order not delivered", "late delivery",
+            "tracking number", "tracking update", "estimated delivery",
+        ],
+        "secondary": [
+            "delay", "waiting", "received", "ship", "dispatch", "out for delivery", "in transit",
+            "shipped", "fulfillment", "lost package", "missing package", "damaged package",
+            "return", "exchange", "refund shipping",
+        ],
+        "tertiary": [
+            "box", "envelope", "parcel", "freight", "expedite", "rush", "priority",
+            "standard shipping", "free shipping",
         ],
-        "secondary": ["delay", "waiting", "received", "ship", "dispatch", "out for delivery"],
-        "tertiary": ["box", "envelope", "parcel"],
         "weight": 1.8,
     },
     "Feature Request": {
         "primary": [
-            "suggest", "feature", "improvement", "would like", "wish", "add feature",
-            "new feature", "enhancement", "capability", "functionality", "option to",
-            "ability to",
+            "suggest", "feature", "improvement", "would like", "wish", "add feature", "new feature",
+            "enhancement", "capability", "functionality", "option to", "ability to",
+        ],
+        "secondary": [
+            "idea", "recommend", "propose", "request", "want to see", "hope to see",
+            "it would be great", "it would be nice", "missing feature", "lack of", "doesn't have",
+        ],
+        "tertiary": [
+            "upgrade", "update suggestion", "future release", "roadmap", "planned",
+            "consider adding", "please add",
         ],
-        "secondary": ["idea", "recommend", "propose", "request", "want to see", "hope to see"],
-        "tertiary": ["upgrade", "update suggestion", "future release"],
         "weight": 1.5,
     },
     "Customer Support": {
         "primary": [
-            "help", "support", "assist", "customer service", "representative",
-            "live chat", "call center", "helpline", "tech support", "customer care",
-            "service team", "support team",
+            "help", "support", "assist", "customer service", "representative", "live chat",
+            "call center", "helpline", "tech support", "customer care", "service team",
+            "support team",
+        ],
+        "secondary": [
+            "respond", "answer", "reply", "contact", "agent", "speak to", "talk to", "reach out",
+            "get through", "wait time", "hold time", "escalate",
+        ],
+        "tertiary": [
+            "complaint", "poor service", "bad support", "unhelpful", "great service",
+            "excellent support", "helpful agent",
         ],
-        "secondary": ["respond", "answer", "reply", "contact", "agent", "speak to"],
-        "tertiary": ["complaint", "poor service", "bad support"],
         "weight": 1.2,
     },
     "General Inquiry": {
         "primary": [
-            "how", "what", "where", "when", "why", "who", "which", "question",
-            "information", "about", "tell me", "explain", "clarify", "understand",
-            "confused", "unsure",
+            "how", "what", "where", "when", "why", "who", "which", "question", "information",
+            "about", "tell me", "explain", "clarify", "understand", "confused", "unsure",
+        ],
+        "secondary": [
+            "help me understand", "can you tell", "do you know", "is it possible",
+            "how does it work", "what is the", "where can I", "when will", "why is it",
+        ],
+        "tertiary": [
+            "info", "details", "guidance", "instruction", "tutorial", "walkthrough", "example",
+            "documentation",
         ],
-        "secondary": ["help me understand", "can you tell", "do you know", "is it possible",
-                      "how does it work", "what is the"],
-        "tertiary": ["info", "details", "guidance"],
         "weight": 1.0,
     },
 }
