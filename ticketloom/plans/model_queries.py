@@ -306,13 +306,13 @@ def pseudo_label_counts(spark, sf_dir):
 
 
 # --- streams -----------------------------------------------------------------------
-def _ticket_stream(spark, sf_dir):
-    return tickets_of(table_stream(spark, sf_dir, "events"))
+def _ticket_stream(spark, sf_dir, max_files=100):
+    return tickets_of(table_stream(spark, sf_dir, "events", max_files))
 
 
-def _land(stream, name):
+def _land(stream, name, backfill=False):
     path = work_path(stream.sparkSession, name)
-    return J.run_available(stream, f"{path}/out", f"{path}/checkpoint")
+    return J.run_available(stream, f"{path}/out", f"{path}/checkpoint", backfill)
 
 
 STREAM_TEXT_SQL = f"SELECT event_id, clean_text FROM ({CLEAN_SQL}) WHERE length(clean_text) >= 15"
@@ -333,10 +333,10 @@ def stream_label(spark, sf_dir):
 
 @query("stream_dedupe")
 def stream_dedupe(spark, sf_dir):
-    messages = _ticket_stream(spark, sf_dir).select(
+    messages = _ticket_stream(spark, sf_dir, max_files=None).select(
         "ts", T.clean_tweet_text(F.col("text")).alias("clean_text")
     )
-    return _land(J.stream_dedupe(messages, "clean_text", "ts"), "stream-dedupe").select("clean_text")
+    return _land(J.stream_dedupe(messages, "clean_text", "ts"), "stream-dedupe", backfill=True).select("clean_text")
 
 
 def _closed(bucket: str, days: int) -> str:
@@ -355,8 +355,8 @@ def _closed(bucket: str, days: int) -> str:
 )
 def stream_monitor(spark, sf_dir):
     """Daily windows that the watermark has closed."""
-    monitored = J.stream_monitor(_ticket_stream(spark, sf_dir), "ts", "truth", "prediction", "confidence")
-    return _land(monitored, "stream-monitor")
+    monitored = J.stream_monitor(_ticket_stream(spark, sf_dir, max_files=None), "ts", "truth", "prediction", "confidence")
+    return _land(monitored, "stream-monitor", backfill=True)
 
 
 @query(
@@ -373,5 +373,6 @@ def stream_monitor(spark, sf_dir):
 def stream_drift(spark, sf_dir):
     """Weekly prediction shares of the stream against the true shares of the batch table."""
     reference = O.shares(ticket_view(spark, sf_dir), "truth", "share").withColumnRenamed("truth", "category")
-    counts = _land(J.stream_class_counts(_ticket_stream(spark, sf_dir), "ts", "prediction"), "stream-drift")
+    stream = _ticket_stream(spark, sf_dir, max_files=None)
+    counts = _land(J.stream_class_counts(stream, "ts", "prediction"), "stream-drift", backfill=True)
     return J.window_drift(counts, reference)

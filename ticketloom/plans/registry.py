@@ -37,8 +37,8 @@ def text_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spread(table(spark, sf_dir, name))
 
 
-def table_stream(spark: SparkSession, sf_dir: str, name: str, max_files: int = 100) -> DataFrame:
-    """A table as a file stream, whether it is stored as one file or as a folder of files."""
+def table_stream(spark: SparkSession, sf_dir: str, name: str, max_files: int | None = 100) -> DataFrame:
+    """A table as a file stream (`max_files=None`: in one batch), whether it is stored as one file or as a folder of files."""
     path = f"{sf_dir}/{name}.parquet"
     schema = table(spark, sf_dir, name).schema
     if is_folder(spark, path):

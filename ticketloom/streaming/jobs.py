@@ -17,11 +17,15 @@ from ticketloom.operators.label import categorize
 
 
 def stream_messages(
-    spark: SparkSession, path: str, schema, max_files: int = 100, fmt: str = "parquet", **options
+    spark: SparkSession, path: str, schema, max_files: int | None = 100, fmt: str = "parquet", **options
 ) -> DataFrame:
-    """File source read in bounded micro-batches."""
+    """File source read in bounded micro-batches, or with `max_files=None` all files at hand in one.
+
+    Files come in the order of modification, which need not be that of event
+    time: with a watermark a backfill is read in one batch, in which no row is late.
+    """
     reader = spark.readStream.schema(schema).format(fmt).options(**options)
-    return reader.option("maxFilesPerTrigger", max_files).load(path)
+    return (reader if max_files is None else reader.option("maxFilesPerTrigger", max_files)).load(path)
 
 
 def append_sink(stream: DataFrame, path: str, checkpoint: str, once: bool = True) -> StreamingQuery:
@@ -32,9 +36,17 @@ def append_sink(stream: DataFrame, path: str, checkpoint: str, once: bool = True
     return writer.start(path)
 
 
-def run_available(stream: DataFrame, path: str, checkpoint: str) -> DataFrame:
-    """Process everything available, then read the sink."""
-    append_sink(stream, path, checkpoint).awaitTermination()
+def late_rows(query: StreamingQuery) -> int:
+    """Rows that the watermark dropped in the run's batches, aggregates counted as one row per task and group."""
+    return sum(int(o["numRowsDroppedByWatermark"]) for p in query.recentProgress for o in p["stateOperators"])
+
+
+def run_available(stream: DataFrame, path: str, checkpoint: str, backfill: bool = False) -> DataFrame:
+    """Process everything available, then read the sink; a backfill that loses late rows is an error."""
+    run = append_sink(stream, path, checkpoint)
+    run.awaitTermination()
+    if backfill and (late := late_rows(run)):
+        raise ValueError(f"{late} late rows were dropped: read the backfill in one batch")
     # An explicit schema: a run without output rows still reads as an empty table.
     return stream.sparkSession.read.schema(stream.schema).parquet(path)
 
