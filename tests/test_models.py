@@ -8,6 +8,7 @@ from ticketloom.operators import evaluate as E
 from ticketloom.operators import features as X
 from ticketloom.operators import label as L
 from ticketloom.operators import models as M
+from ticketloom.plans import model_queries as Q
 from ticketloom.sources import logs as G
 
 # Published confusion matrix (true rows, predicted columns) and class scores.
@@ -150,3 +151,12 @@ def test_baseline_training(spark):
     assert predictions.count() == 3
     with pytest.raises(ValueError):
         M.train_baseline(df.filter("id = 500"), "id", "text", "label")
+
+
+def test_the_text_classifiers_see_ten_thousand_terms_and_bigrams(spark, sf_dir):
+    train, _ = Q._text_split(spark, sf_dir)
+    every = X.fit_tfidf(train, "text", max_features=1 << 18, max_df=0.7, min_df=2, ngram=(1, 2))
+    terms = next(s for s in every.stages if type(s).__name__ == "CountVectorizerModel").vocabulary
+    features, _ = Q._text_features(spark, sf_dir)
+    assert any(" " in t for t in terms)
+    assert features.first()["features"].size == min(len(terms), 10000) and Q.TFIDF["max_features"] == 10000

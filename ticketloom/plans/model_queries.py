@@ -27,7 +27,7 @@ from ticketloom.sources import logs as G
 from ticketloom.streaming import jobs as J
 
 LABEL = "category"
-TFIDF = {"max_features": 2000, "max_df": 0.7, "min_df": 2}
+TFIDF = {"max_features": 10000, "max_df": 0.7, "min_df": 2, "ngram": (1, 2)}
 
 
 # --- features ----------------------------------------------------------------------
