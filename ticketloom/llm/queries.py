@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ticketloom.llm import exact_dedup as exact
 from ticketloom.llm import jaccard_join as jaccard
-from ticketloom.llm import licenses, line_dedup, mixing
+from ticketloom.llm import licenses, line_dedup, mixing, source_audit, vector_codes, vector_dedup
 from ticketloom.llm import quality_net as net
 from ticketloom.llm import quality_rules as rules
 from ticketloom.llm import sentencepieces as pieces
@@ -147,3 +147,89 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     return pieces.encoding_digest(documents(spark, sf_dir), pieces.Pieces.load(public_tokenizers.path("piece_bpe_32k.model")))
+
+
+def embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+
+
+def codes_sql(parts: int = 8, width: int = 8, entries: int = 16, rounds: int = 6) -> str:
+    """All rounds written out, one after the other."""
+    xs = [f"x{k}" for k in range(width)]
+    distance = " + ".join(f"(a.{x} - b.{x}) * (a.{x} - b.{x})" for x in xs)
+    cut = ", ".join(f"v[{width} * p + {k + 1}] AS x{k}" for k in range(width))
+    steps = []
+    for r in range(rounds + 1):
+        steps.append(
+            f"a{r} AS MATERIALIZED (SELECT a.r, a.p, min(struct_pack(d := {distance}, e := b.e)) AS m FROM parts a JOIN b{r} b USING (p) GROUP BY ALL)"
+        )
+        if r < rounds:
+            new = ", ".join(f"coalesce((s.{x} - ((s.{x} % s.n) + s.n) % s.n) // s.n, b.{x})::BIGINT AS {x}" for x in xs)
+            sums = ", ".join(f"sum(parts.{x}) AS {x}" for x in xs)
+            steps.append(
+                f"b{r + 1} AS MATERIALIZED (SELECT b.p, b.e, {new} FROM b{r} b LEFT JOIN (SELECT p, m.e AS e, count(*) AS n, {sums} "
+                f"FROM a{r} JOIN parts USING (r, p) GROUP BY ALL) s USING (p, e))"
+            )
+    decimals = " || ',' || ".join(xs)
+    return f"""
+WITH k AS (SELECT row_number() OVER (ORDER BY vec_id NULLS LAST) AS r, vec_id, label,
+                  list_transform(embedding, lambda x: floor(4096 * x::DOUBLE)::BIGINT) AS v FROM embeddings
+           WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+parts AS MATERIALIZED (SELECT r, p, {cut} FROM k, range({parts}) t(p)),
+b0 AS MATERIALIZED (SELECT p, r - 1 AS e, {", ".join(xs)} FROM parts WHERE r <= {entries}),
+{(chr(10)).join(s + "," for s in steps)}
+c AS (SELECT r, string_agg(printf('%02x', m.e), '' ORDER BY p) AS code, sum(m.d)::BIGINT AS error FROM a{rounds} GROUP BY r)
+SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error,
+       (SELECT sha256(string_agg({decimals}, ',' ORDER BY p, e)) FROM b{rounds}) AS codebooks_sha256 FROM c JOIN k USING (r)"""
+
+
+@query("op11_vector_codes", codes_sql())
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.vector_codes(embeddings(spark, sf_dir))
+
+
+@query(
+    "op12_source_audit",
+    r"""
+WITH d AS (SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+                  translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
+w AS (SELECT r, lang, source, unnest(regexp_extract_all(t, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM d),
+c AS (SELECT lang, source, term, count(*) AS n, count(DISTINCT r) AS df FROM w GROUP BY ALL),
+k AS (SELECT lang, term FROM c GROUP BY ALL HAVING sum(df) >= 10),
+v AS (SELECT lang, count(*) AS v FROM k GROUP BY lang),
+g AS (SELECT DISTINCT lang, source FROM d),
+f AS (SELECT lang, source, term, coalesce(n, 0) AS n, v FROM g JOIN k USING (lang) JOIN v USING (lang) LEFT JOIN c USING (lang, source, term)),
+p AS (SELECT lang, source, term, n,
+             (1 + 1000000000::HUGEINT * (n + 2) // (sum(n) OVER (PARTITION BY lang, source) + 2 * v))::BIGINT AS p FROM f),
+q AS (SELECT lang, term, (1 + 1000000000::HUGEINT * (n + 2) // (sum(n) OVER (PARTITION BY lang) + 2 * v))::BIGINT AS q
+      FROM (SELECT lang, term, v, sum(n) AS n FROM f GROUP BY ALL)),
+o AS (SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // (a.p + b.p)) AS value
+      FROM p a JOIN p b USING (lang, term) WHERE a.source <> b.source GROUP BY ALL),
+u AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(value, 0)::BIGINT AS value
+      FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source
+           LEFT JOIN o ON o.lang = a.lang AND o.source = a.source AND o.item = b.source
+      UNION ALL SELECT lang, source, 'term', term, (p - q) * (p - q) // (p + q) FROM p JOIN q USING (lang, term) WHERE n > 0 AND p > q),
+z AS (SELECT *, (row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item))::INTEGER AS rank FROM u)
+SELECT * FROM z WHERE part = 'pair' OR rank <= 10""",
+)
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_audit.source_divergence(documents(spark, sf_dir))
+
+
+@query(
+    "op13_vector_dedup",
+    """
+WITH RECURSIVE u AS (SELECT row_number() OVER () AS r, vec_id, embedding::DOUBLE[] AS v FROM embeddings
+           WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+                 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+l AS MATERIALIZED (SELECT a.r AS a, b.r AS b, b.vec_id FROM u a JOIN u b ON a.r <> b.r
+                   WHERE list_inner_product(a.v, b.v) / sqrt(list_inner_product(a.v, a.v) * list_inner_product(b.v, b.v)) >= 0.95),
+x AS (SELECT r AS a, r AS b FROM u UNION SELECT x.a, l.b FROM x JOIN l ON x.b = l.a),
+c AS (SELECT x.a AS r, min(vec_id) AS component_id FROM x JOIN u ON u.r = x.b GROUP BY x.a),
+n AS (SELECT a AS r, count(*) AS n FROM l GROUP BY a)
+SELECT vec_id, coalesce(n, 0) AS n_links, component_id, vec_id = component_id AS kept FROM u JOIN c USING (r) LEFT JOIN n USING (r)
+UNION ALL SELECT vec_id, 0, vec_id, true FROM embeddings
+WHERE embedding IS NULL OR len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) > 0 OR len(list_filter(embedding, lambda x: x <> 0)) = 0""",
+)
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_dedup.near_vectors(embeddings(spark, sf_dir))
