@@ -1,9 +1,13 @@
 """Exact dedup, line dedup and the Jaccard join against plain Python."""
 
 import hashlib
+import itertools
+import random
 import re
 from collections import Counter, defaultdict
 
+import pytest
+
 from ticketloom.llm import exact_dedup, jaccard_join, line_dedup
 from ticketloom.session import work_path
 
@@ -65,10 +69,26 @@ def test_jaccard_join_of_split_regions_and_near_copies(spark):
         assert Counter(map(tuple, jaccard_join.jaccard_components(docs, leaf=leaf).collect())) == want
 
 
+def test_no_arrangement_of_words_shares_a_hash():
+    whole = [" ".join(w) for n in range(1, 6) for w in itertools.product("xyz", repeat=n)]
+    found = [list(s) for s in jaccard_join.shingle_lists(whole)]
+    assert all(len(s) == 1 for s in found) and len({s[0] for s in found}) == len(whole)
+
+
+@pytest.mark.parametrize("vocabulary", [2, 3, 4, 6])
+def test_jaccard_join_of_few_words(spark, vocabulary):
+    rng = random.Random(vocabulary)
+    rows = [(k, " ".join(rng.choices("abcdef"[:vocabulary], k=rng.randint(1, 14)))) for k in range(120)]
+    rows += [(200, "yes no no yes"), (201, "no yes yes no"), (202, "x y y x z y x x y z")]
+    got = jaccard_join.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert Counter(map(tuple, got.collect())) == linked(rows)
+
+
 def test_jaccard_join_edges(edge_docs, no_docs, edge_rows):
     got = Counter(map(tuple, jaccard_join.jaccard_components(edge_docs).collect()))
     assert got == linked([r[:2] for r in edge_rows])
     assert jaccard_join.jaccard_components(no_docs).collect() == []
+    assert jaccard_join.without_near_copies(no_docs).collect() == []
     stay = jaccard_join.without_near_copies(edge_docs)
     assert stay.columns == edge_docs.columns
     assert Counter(r.doc_id for r in stay.collect()) == Counter([1, 3, 4, 5, 6, 7, 9, None])

@@ -142,8 +142,39 @@ def test_mixture_meets_its_targets(which, request):
     assert lengths == Counter((r.doc_id, r.taken) for r in got if r.taken or not r.size)
 
 
+def test_shards_hold_what_the_mix_takes(spark, documents, edge_docs, no_docs):
+    for docs in (documents, edge_docs):
+        texts = Counter((r.doc_id, r.source, " ".join(WORD.findall(r.text or ""))) for r in docs.select("doc_id", "source", "text").collect())
+        got = mixing.mixture(docs).collect()
+        pieces = mixing.mixed_shards(docs).collect()
+        taken, shards = Counter(), {}
+        for r in pieces:
+            assert r.words == len(r.text.split()) > 0 and any(r.text in t for d, s, t in texts if (d, s) == (r.doc_id, r.source))
+            taken[r.doc_id] += r.words
+            shards.setdefault(r.doc_id, set()).add(r.shard)
+        want = Counter()
+        for r in got:
+            want[r.doc_id] += r.taken
+        assert taken == +want
+        ids = Counter(r.doc_id for r in got)
+        assert all(r.n_shards == len(shards.get(r.doc_id, ())) for r in got if ids[r.doc_id] == 1)
+        # A block that a pass visits is in one shard, whole.
+        placed = {}
+        for r in pieces:
+            placed.setdefault((r.source, r["pass"], r.block), set()).add(r.shard)
+        assert all(len(s) == 1 for s in placed.values())
+        if docs is documents:
+            # Slots fall into 64 shards evenly, as a multinomial draw does: chi-square of 63 degrees of freedom.
+            n = Counter(next(iter(s)) for s in placed.values())
+            even = len(placed) / 64
+            assert sum((n[k] - even) ** 2 / even for k in range(64)) < 110
+            by_source = Counter((next(iter(s)), k[0]) for k, s in placed.items())
+            assert len(by_source) > 500
+    assert mixing.mixed_shards(no_docs).collect() == []
+
+
 def test_mixture_of_nothing_and_permutation(spark, no_docs):
-    assert mixing.mixture(no_docs).collect() == []
+    assert mixing.mixture(no_docs).collect() == [] and mixing.mixed_documents(no_docs).collect() == []
     for n in (1, 2, 3, 10, 97, 1000):
         size = F.lit(n).cast("long")
         there = mixing.permuted(F.col("id"), size, F.lit(9).cast("long"))

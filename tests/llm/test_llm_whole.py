@@ -4,10 +4,12 @@ import random
 import re
 from collections import Counter
 
+import numpy as np
 import public_tokenizers
 import sentencepiece
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from ticketloom.llm import licenses, sentencepieces
 
 
@@ -56,3 +58,43 @@ def test_the_digest_is_of_the_ids_in_order_and_of_their_text(spark, edge_rows):
         docs = spark.createDataFrame(rows, "doc_id long, text string")
         digest = sentencepieces.encoding_digest(docs, table, frequent=frequent)
         assert Counter(map(tuple, digest.select("doc_id", "n_pieces", "pieces_hash", "round_trip").collect())) == wanted
+
+
+def test_the_helper_finds_what_the_lattice_finds(spark):
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    bpe = sentencepieces.Pieces.load(path)
+    assert sentencepieces.unit_pattern(bpe).count("|") == 3
+    rng = random.Random(5)
+    letters = ["a", "b", "c"]
+    made = {"".join(rng.choice(letters) for _ in range(n)) for n in (2, 3, 4) for _ in range(6)} | {"\u2581a", "\u2581", *letters}
+    unigram = sentencepieces.Pieces(tuple((i + 1, p, -rng.random() * 5) for i, p in enumerate(sorted(made))), None, len(made) + 1, "unigram")
+    words = {"\u2581" + "".join(rng.choice("abcdehinorst") for _ in range(rng.randint(0, 25))) for _ in range(150)}
+    for table in (bpe, unigram):
+        fold = sentencepieces.helper(table)
+        got = sentencepieces.folded_units(spark.createDataFrame([(u, 1) for u in words], "unit string, times long"), table).collect()
+        assert len(got) == len(words) and all(np.array(r.ids, "<i4").tobytes() == fold(r.unit) for r in got)
+    lib = sentencepiece.SentencePieceProcessor(model_file=path)
+    longer = "".join(rng.choice("abcdehinorst") for _ in range(500))
+    assert np.frombuffer(sentencepieces.helper(bpe)("\u2581" + longer), "<i4").tolist() == lib.encode(longer)
+
+
+def test_pipeline_takes_edges_and_an_empty_table(spark, edge_docs, no_docs):
+    for docs in (edge_docs, no_docs):
+        for name, stage in corpus_pipeline.STAGES:
+            assert stage(spark, docs, "").count() <= 12, name
+        left = docs
+        for name, stage in corpus_pipeline.STAGES[:-1]:
+            left = stage(spark, left, "")
+            assert left.columns == docs.columns, name
+        assert {r.doc_id for r in corpus_pipeline.STAGES[-1][1](spark, left, "").collect()} <= {r[0] for r in docs.select("doc_id").collect()}
+
+
+def test_a_stage_deletes_what_earlier_ones_stored(spark, documents, tmp_path):
+    docs, before = documents, []
+    for k, (_, stage) in enumerate(corpus_pipeline.STAGES[:4]):
+        docs = stage(spark, docs, "")
+        assert not any(p in corpus_pipeline.EARLIER for p in before)
+        docs.write.parquet(str(tmp_path / str(k)))
+        before = list(corpus_pipeline.EARLIER)
+        docs = spark.read.parquet(str(tmp_path / str(k)))
+    assert docs.count() > 0

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ticketloom.session import materialise, ship_by_value, work_path
+from ticketloom.session import ship_by_value, work_path
 
 # White space of all word rules: space, tab, line feed, vertical tab, form feed, carriage return.
 SPACES = r"[\x20\x09-\x0D]+"
@@ -29,9 +29,23 @@ def words_of(text: Column) -> Column:
     return F.filter(F.split(F.coalesce(text, F.lit("")), SPACES), lambda w: w != "")
 
 
+# Paths of the tables that `store` has written; a caller that knows they are read no more may delete them.
+LEFT: list[str] = []
+
+
 def store(df: DataFrame, name: str) -> DataFrame:
     """A table written to the shared folder and read back: cuts lineage, survives lost executors."""
-    return materialise(df, f"llm-{name}")
+    path = work_path(df.sparkSession, f"llm-{name}")
+    df.write.parquet(path)
+    LEFT.append(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def delete(spark: SparkSession, paths: Iterable[str]) -> None:
+    configuration = spark.sparkContext._jsc.hadoopConfiguration()
+    for path in paths:
+        place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(configuration).delete(place, True)
 
 
 class Stored:
@@ -48,11 +62,8 @@ class Stored:
 
     def drop(self, *names: str) -> None:
         """Delete the tables of these names, all by default; no DataFrame that still reads them may be used again."""
-        configuration = self.spark.sparkContext._jsc.hadoopConfiguration()
         for name in names or list(self.paths):
-            for path in self.paths.pop(name, []):
-                place = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-                place.getFileSystem(configuration).delete(place, True)
+            delete(self.spark, self.paths.pop(name, []))
 
 
 def with_row(docs: DataFrame, name: str, doc_id: str, text: str) -> DataFrame:

@@ -32,9 +32,10 @@ SKETCH = 1 << 20
 # Bits of the filter that spares most documents without partners a second shuffle: 2 MB, whatever the input.
 FILTER_BITS = 1 << 24
 # Shingles of a region that one task joins.
-LEAF = 1 << 20
+LEAF = 1 << 18
 
-ODD = (np.arange(1, 65, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93)) | np.uint64(1)
+# Factors without a pattern: a sum of words times them is the same for two arrangements of words only by chance.
+ODD = mixed(np.arange(1, 65, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93)) | np.uint64(1)
 
 
 def shingle_lists(texts: list[str | None], width: int = WIDTH) -> Iterator[np.ndarray]:
@@ -320,7 +321,8 @@ def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     shingles and are their own component; texts of fewer than `width` words
     have one shingle.  Repeated rows link with each other; a null doc_id is
     never the smallest unless all of a component are null.  No other column is
-    read.  Hash collisions apart (64 bits per shingle) the join is exact.
+    read; an empty table has no rows.  The join is exact unless two different
+    shingles or words have the same 64-bit hash.
     """
     spark = docs.sparkSession
     tables = Stored(spark)
@@ -382,7 +384,11 @@ def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
 
 
 def without_near_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
-    """One document of each group of linked ones: the smallest doc_id, null last, then the first row. Texts without words all stay."""
+    """One document of each group of linked ones, all columns kept: the smallest doc_id, null last, then the first row.
+
+    Null, empty and blank texts all stay.  Columns of any name are carried
+    along; an empty table stays empty.
+    """
     rows = with_row(docs, "jaccard-documents", doc_id, text)
     groups = jaccard_components(rows, "row", "text", width, percent).select(F.col("doc_id").alias("row"), "component_id")
     ids = rows.select("row", F.col("doc_id").isNull().alias("no_id"), "doc_id")

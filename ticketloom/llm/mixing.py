@@ -6,6 +6,8 @@ the output shards by a pseudorandom draw, so the counts of a shard are
 multinomial, given the totals.  A pass over a source visits its blocks in the
 order of a pseudorandom permutation of their indices, so no block is visited
 twice before all were; slots and blocks meet in a join by index.
+`mixed_shards` returns the shards themselves, `mixture` how much of every
+document they hold, `mixed_documents` the same as documents again.
 """
 
 from __future__ import annotations
@@ -23,8 +25,9 @@ SHARDS = 64
 MOST = 3
 # Ranges of a source's stream whose sizes are summed apart: the running sum never meets in one task.
 RANGES = 4096
-# Slots that one row unfolds to.
+# Slots that one row unfolds to, and rows of one task.
 STRETCH = 4096
+STRETCHES = 16
 ROUNDS = 4
 
 
@@ -109,7 +112,9 @@ def slots_of(sources: DataFrame, block: int, shards: int, seed: int) -> DataFram
     plan = plan.withColumn("short", block * F.col("n") - whole)
     plan = plan.withColumn("short_slot", permuted(F.col("n") - 1, F.col("n"), F.col("seed"), inverse=True))
     stretches = plan.withColumn("stretch", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 1) / STRETCH))))
-    stretches = stretches.repartition("key", "pass", "stretch")
+    # The rows are tiny and unfold to many: a number of tasks by their count, which adaptive execution leaves alone.
+    slots = sources.agg(F.sum(F.ceil(F.col("target") / block))).first()[0] or 0
+    stretches = stretches.repartition(int(slots // (STRETCH * STRETCHES)) + 1, "key", "pass", "stretch")
     first = F.col("stretch") * STRETCH
     slots = stretches.withColumn("slot", F.explode(F.sequence(first, F.least(first + STRETCH, F.col("n")) - 1)))
     begin = F.col("slot") * block - F.when(F.col("slot") > F.col("short_slot"), F.col("short")).otherwise(0)
@@ -126,7 +131,7 @@ def slots_of(sources: DataFrame, block: int, shards: int, seed: int) -> DataFram
 
 def mix_plan(docs: DataFrame, doc_id: str, source: str, text: str, weights: tuple[int, ...], block: int,
              shards: int, seed: int, **keep: Column) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Numbered rows with their sizes, the sources, and the pieces of rows that the mix takes (row, pass, from, to, shard)."""
+    """Numbered rows with their sizes, the sources, and the pieces of rows that the mix takes (row, pass, block, shard, from, to)."""
     rows = numbered(
         docs,
         "mix-rows",
@@ -148,29 +153,55 @@ def mix_plan(docs: DataFrame, doc_id: str, source: str, text: str, weights: tupl
     taken = pieces.join(slots_of(sources, block, shards, seed).hint("merge"), ["key", "block"]).select(
         "row",
         "pass",
+        "block",
         "shard",
         F.greatest(F.col("start"), at).alias("low"),
         F.least(F.col("start") + F.col("size"), at + F.col("words")).alias("high"),
         "start",
     )
-    taken = taken.where("high > low").select("row", "pass", "shard", (F.col("low") - F.col("start")).alias("from"), (F.col("high") - F.col("start")).alias("to"))
+    within = (F.col("low") - F.col("start")).alias("from"), (F.col("high") - F.col("start")).alias("to")
+    taken = taken.where("high > low").select("row", "pass", "block", "shard", *within)
     return rows, sources, taken
 
 
 def mixture(docs: DataFrame, doc_id: str = "doc_id", source: str = "source", text: str = "text",
             weights: tuple[int, ...] = (1, 2, 3), block: int = BLOCK, shards: int = SHARDS, seed: int = 11) -> DataFrame:
-    """doc_id, size, source_size, target and taken (words the mix takes, repeats counted) of every row.
+    """doc_id, size, source_size, target, taken (words the mix takes, repeats counted) and n_shards of every row.
 
     A source's target is its share, by weight, of all words, at most three
     times its own; the words taken from it are its target, rounded.  No row
-    gives more than three times its size.  Null and blank texts have size 0;
+    gives more than three times its size.  n_shards: output shards, 64 at most
+    here, that hold some of the row's words.  Null and blank texts have size 0;
     a null source is a source of its own; null ids and repeated rows are rows
-    like any other.  Reruns agree: a row's place depends on its id and text.
+    like any other; an empty table has no rows.  Reruns agree: a row's place
+    depends on its id and text.
     """
+    if shards > 64:
+        raise ValueError("n_shards counts 64 shards at most")
     rows, sources, taken = mix_plan(docs, doc_id, source, text, weights, block, shards, seed)
-    words = taken.groupBy("row").agg(F.sum(F.col("to") - F.col("from")).alias("taken"))
+    held = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("shard"))
+    words = taken.groupBy("row").agg(F.sum(F.col("to") - F.col("from")).alias("taken"), F.bit_or(held).alias("held"))
     return rows.join(sources, "key").join(words, "row", "left").select(
-        "doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).alias("taken")
+        "doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).alias("taken"),
+        F.bit_count(F.coalesce("held", F.lit(0).cast("long"))).cast("long").alias("n_shards"),
+    )
+
+
+def mixed_shards(docs: DataFrame, doc_id: str = "doc_id", source: str = "source", text: str = "text",
+                 weights: tuple[int, ...] = (1, 2, 3), block: int = BLOCK, shards: int = SHARDS, seed: int = 11) -> DataFrame:
+    """shard, source, pass, block, doc_id, words and text of every piece of the output shards.
+
+    A piece is what a block of its source's stream holds of one row; a block
+    that the mix visits goes to the shard of its slot, whole.  Words stand
+    between single spaces.  Nulls and ties as in `mixture`; rows without words
+    are in no shard.
+    """
+    own = {"own_source": F.col(source), "own_text": F.col(text)}
+    rows, _, taken = mix_plan(docs, doc_id, source, text, weights, block, shards, seed, **own)
+    size = (F.col("to") - F.col("from")).cast("int")
+    cut = F.slice(words_of(F.col("own_text")), (F.col("from") + 1).cast("int"), size)
+    return taken.join(rows, "row").select(
+        "shard", F.col("own_source").alias("source"), "pass", "block", "doc_id", size.cast("long").alias("words"), F.array_join(cut, " ").alias("text")
     )
 
 
@@ -181,7 +212,8 @@ def mixed_documents(docs: DataFrame, doc_id: str = "doc_id", source: str = "sour
 
     A pass that takes the whole text keeps it as it is; else its words stand
     between single spaces.  Rows of which the mix takes nothing go, rows
-    without words stay as they are.  `length`, if it is a column, is set anew.
+    without words stay as they are, null texts null.  Null sources and ids and
+    repeated rows are as in `mixture`; an empty table stays empty.  `length`, if it is a column, is set anew.
     Other columns are carried along.
     """
     own = {f"own_{k}": F.col(f"`{c}`") for k, c in enumerate(docs.columns)}

@@ -1,34 +1,43 @@
 """SentencePiece encoding and decoding over a relational lattice.
 
-Texts fall into units: a run of spaces with what follows it, line feeds and
-tabs by themselves; no piece reaches across a unit's end.  The distinct units
-of all texts are exploded into substrings of bounded length, which an
-equi-join with the piece table turns into edges; edges are grouped by unit,
-and a higher-order aggregate folds them into the unit's pieces: Viterbi for
-unigram tables (best sum of scores), best merge first for BPE tables, whose
-scores are ranks and not additive.  Units longer than a bit mask holds are
-merged by a small helper in Arrow batches.  Texts meet the encoded units in
-joins: units that are frequent beyond a bound travel, the others are shuffled.
+Texts fall into units that no piece reaches across: a run of spaces with what
+follows it, line feeds and tabs by themselves, and letters apart from other
+characters where the table allows it.  The frequent distinct units are
+exploded into substrings of bounded length, which an equi-join with the piece
+table turns into edges; edges are grouped by unit, and a higher-order
+aggregate folds them into the unit's pieces: Viterbi for unigram tables (best
+sum of scores), best merge first for BPE tables, whose scores are ranks and
+not additive.  The folded units, a table of bounded size, travel to the texts,
+which are read in place and encoded there in order; a unit that is not among
+them is folded on the spot by a small helper, once per task as a rule.
 """
 
 from __future__ import annotations
 
 import heapq
-from collections.abc import Iterator
+import re
+from collections import Counter
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ticketloom.llm.common import let, store, text_of
+from ticketloom.llm.common import let, store
 from ticketloom.session import ship_by_value
 
 SPACE = "▁"
 # Longest unit that is folded: its cuts are the bits of a long.
 LONGEST = 62
-# A unit is frequent with more than one in so many occurrences; there are fewer such units than this.
-FREQUENT = 1 << 23
+# Units that travel to the texts, the most frequent ones of at most LONGEST characters.
+FREQUENT = 1 << 17
+# Times a unit must occur in a task to be counted at all; this only picks the units that travel.
+SEEN = 3
+# Counters, and helped units, that a task holds at a time.
+HELD = 1 << 19
+LATIN = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f"
 
 
 @dataclass(frozen=True)
@@ -62,12 +71,12 @@ class Pieces:
     def table(self, spark: SparkSession) -> DataFrame:
         return spark.createDataFrame([(p, i, float(s)) for i, p, s in self.rows], "piece string, id int, score double")
 
-    def bytes_of(self) -> Column:
-        """UTF-8 of every id as hexadecimal text, by id; the sign for spaces as a space."""
-        text = {i: p.replace(SPACE, " ").encode().hex() for i, p, _ in self.rows}
+    def bytes_of(self) -> list[bytes]:
+        """UTF-8 of every id; the sign for spaces as a space."""
+        text = {i: p.replace(SPACE, " ").encode() for i, p, _ in self.rows}
         if self.bytes_at is not None:
-            text |= {self.bytes_at + b: f"{b:02x}" for b in range(256)}
-        return F.split(F.lit(",".join(text.get(i, "") for i in range(self.size))), ",")
+            text |= {self.bytes_at + b: bytes([b]) for b in range(256)}
+        return [text.get(i, b"") for i in range(self.size)]
 
     def singles(self) -> Column:
         """The id of every one-character piece by code point, as far as the last; empty where there is none."""
@@ -75,18 +84,16 @@ class Pieces:
         return F.split(F.lit(",".join(ids.get(c, "") for c in range(max(ids, default=0) + 1))), ",")
 
 
-def units_of(text: Column) -> Column:
-    """The units of a text, in order; together they are the text with a space in front and spaces as signs."""
-    signed = F.concat(F.lit(SPACE), F.replace(text, F.lit(" "), F.lit(SPACE)))
-    slow = F.regexp_extract_all(signed, F.lit(f"{SPACE}+[^{SPACE}\n\t]*|[\n\t]|[^{SPACE}\n\t]+"), F.lit(0))
-    # Without runs of spaces a split will do; the mark must not be in the text.
-    mark = "\x01"
-    marked = text
-    for old, new in (("\n", f"{mark}\n{mark}"), ("\t", f"{mark}\t{mark}"), (" ", mark + SPACE)):
-        marked = F.replace(marked, F.lit(old), F.lit(new))
-    fast = F.filter(F.split(F.concat(F.lit(SPACE), marked), mark), lambda u: u != "")
-    plain = ~(text.contains("  ") | text.contains(mark) | text.contains(SPACE) | text.startswith(" "))
-    return F.when(text == "", F.array().cast("array<string>")).when(plain, fast).otherwise(slow)
+def unit_pattern(pieces: Pieces) -> str:
+    """A pattern whose matches are the units of a text, in order: its parts are never joined by a piece."""
+    words = re.compile(f"{SPACE}*([{LATIN}]+|[^{SPACE}{LATIN}]*)")
+    if all(SPACE not in p.lstrip(SPACE) and words.fullmatch(p) for _, p, _ in pieces.rows):
+        return f"{SPACE}*[{LATIN}]+|{SPACE}*[^{SPACE}{LATIN}\n\t]+|{SPACE}+|[\n\t]"
+    return f"{SPACE}+[^{SPACE}\n\t]*|[\n\t]|[^{SPACE}\n\t]+"
+
+
+def signed(text: str) -> str:
+    return SPACE + text.replace(" ", SPACE) if text else ""
 
 
 def bit(n: Column) -> Column:
@@ -200,44 +207,84 @@ def ids_of(unit: Column, spans: Column, pieces: Pieces) -> Column:
     return let(spans, joined)
 
 
-def merge_units(units: list[str], ranks: dict[str, tuple[float, int]], pieces_bytes: int | None, unknown: int) -> list[list[int]]:
-    """Best-merge-first for units of any length: neighbours wait in a queue by rank and place."""
-    out = []
-    for unit in units:
-        parts, before, after = list(unit), list(range(-1, len(unit) - 1)), list(range(1, len(unit) + 1))
-        queue: list[tuple[float, int, int, str]] = []
-
-        def offer(i: int) -> None:
-            j = after[i]
-            if 0 <= i and j < len(parts) and (whole := parts[i] + parts[j]) in ranks:
-                heapq.heappush(queue, (ranks[whole][0], i, j, whole))
-
-        for i in range(len(parts) - 1):
-            offer(i)
-        while queue:
-            _, i, j, whole = heapq.heappop(queue)
-            if not parts[i] or after[i] != j or not parts[j] or parts[i] + parts[j] != whole:
-                continue
-            parts[i], parts[j], after[i] = whole, "", after[j]
-            if after[j] < len(parts):
-                before[after[j]] = i
-            if before[i] >= 0:
-                offer(before[i])
-            offer(i)
+def merged(unit: str, ranks: dict[str, tuple[float, int]]) -> list[str]:
+    """Best merge first: of the neighbours that make a piece, the best and first of them join, until none do."""
+    parts = list(unit)
+    if len(parts) > LONGEST:
+        return merged_by_queue(parts, ranks)
+    none = (float("inf"), -1)
+    waiting = [ranks.get(a + b, none)[0] for a, b in zip(parts, parts[1:], strict=False)]
+    while waiting and (best := min(waiting)) < none[0]:
+        i = waiting.index(best)
+        parts[i : i + 2] = [parts[i] + parts[i + 1]]
+        del waiting[i]
+        if i:
+            waiting[i - 1] = ranks.get(parts[i - 1] + parts[i], none)[0]
+        if i < len(waiting):
+            waiting[i] = ranks.get(parts[i] + parts[i + 1], none)[0]
+    return parts
+
+
+def merged_by_queue(parts: list[str], ranks: dict[str, tuple[float, int]]) -> list[str]:
+    """The same for long units: neighbours wait in a queue by rank and place."""
+    before, after = list(range(-1, len(parts) - 1)), list(range(1, len(parts) + 1))
+    queue: list[tuple[float, int, int, str]] = []
+
+    def offer(i: int) -> None:
+        j = after[i]
+        if 0 <= i and j < len(parts) and (whole := parts[i] + parts[j]) in ranks:
+            heapq.heappush(queue, (ranks[whole][0], i, j, whole))
+
+    for i in range(len(parts) - 1):
+        offer(i)
+    while queue:
+        _, i, j, whole = heapq.heappop(queue)
+        if not parts[i] or after[i] != j or not parts[j] or parts[i] + parts[j] != whole:
+            continue
+        parts[i], parts[j], after[i] = whole, "", after[j]
+        if after[j] < len(parts):
+            before[after[j]] = i
+        if before[i] >= 0:
+            offer(before[i])
+        offer(i)
+    return [p for p in parts if p]
+
+
+def best_path(unit: str, ranks: dict[str, tuple[float, int]], longest: int, single: float) -> list[str]:
+    """Viterbi: the parts of the path with the best sum of scores; unknown characters score `single`."""
+    best = [(0.0, 0)]
+    for to in range(1, len(unit) + 1):
+        found = [(best[to - 1][0] - single, to - 1)]
+        for at in range(max(0, to - longest), to):
+            if (piece := ranks.get(unit[at:to])) is not None:
+                found.append((best[at][0] + piece[0], at))
+        best.append(min(found))
+    parts, to = [], len(unit)
+    while to:
+        parts.append(unit[best[to][1] : to])
+        to = best[to][1]
+    return parts[::-1]
+
+
+def helper(pieces: Pieces) -> Callable[[str], bytes]:
+    """The ids of a unit of any length, as 32-bit numbers in a row."""
+    ranks, at, unknown = {p: (-s, i) for i, p, s in pieces.rows}, pieces.bytes_at, pieces.unknown
+    longest, single, bpe = pieces.longest, lowest_score(pieces), pieces.kind == "bpe"
+
+    def fold(unit: str) -> bytes:
         ids = []
-        for p in parts:
+        for p in merged(unit, ranks) if bpe else best_path(unit, ranks, longest, single):
             if p in ranks:
                 ids.append(ranks[p][1])
-            elif p:
-                ids += [pieces_bytes + b for b in p.encode()] if pieces_bytes is not None else [unknown]
-        out.append(ids)
-    return out
+            else:
+                ids += [at + b for b in p.encode()] if at is not None else [unknown]
+        return np.array(ids, "<i4").tobytes()
+
+    return fold
 
 
-def decoded(ids: Column, pieces: Pieces) -> Column:
-    """Text of a text's ids: bytes of all pieces in a row, without the space that encoding put in front."""
-    whole = let(pieces.bytes_of(), lambda table: F.array_join(F.transform(ids, lambda i: F.get(table, i)), ""))
-    return F.regexp_replace(F.decode(F.unhex(whole), "utf-8"), "^ ", "")
+def lowest_score(pieces: Pieces) -> float:
+    return min((s for _, _, s in pieces.rows), default=0.0) - 10
 
 
 def with_singles(edges: Column, pieces: Pieces) -> Column:
@@ -265,83 +312,92 @@ def folded_units(units: DataFrame, pieces: Pieces) -> DataFrame:
     if pieces.kind == "bpe":
         spans = spans_by_merges(F.col("edges"), size)
     else:
-        lowest = min((s for _, _, s in pieces.rows), default=0.0) - 10
-        spans = spans_by_viterbi(with_singles(F.col("edges"), pieces), size, lowest)
+        spans = spans_by_viterbi(with_singles(F.col("edges"), pieces), size, lowest_score(pieces))
     return placed.withColumn("ids", F.when(size <= LONGEST, ids_of(F.col("unit"), spans, pieces))).drop("edges")
 
 
-def merged_units(units: DataFrame, pieces: Pieces) -> DataFrame:
-    """`units` (unit, times) with the ids of units of any length, in Arrow batches."""
-    ranks = {p: (-s, i) for i, p, s in pieces.rows}
-    at, unknown = pieces.bytes_at, pieces.unknown
+def unit_counts(texts: DataFrame, pieces: Pieces) -> DataFrame:
+    """unit and times of the units that some task meets often enough; counted inside the tasks first."""
+    pattern = unit_pattern(pieces)
 
-    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids = merge_units(batch.column("unit").to_pylist(), ranks, at, unknown)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(ids, pa.list_(pa.int32()))], ["unit", "times", "ids"])
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        find, held = re.compile(pattern).findall, Counter()
+
+        def sent() -> pa.RecordBatch:
+            often = [(u, n) for u, n in held.items() if n >= SEEN and len(u) <= LONGEST]
+            held.clear()
+            return pa.RecordBatch.from_arrays([pa.array([u for u, _ in often], pa.string()), pa.array([n for _, n in often], pa.int64())], ["unit", "times"])
 
-    return units.select("unit", "times").mapInArrow(merge, "unit string, times long, ids array<int>")
+        for batch in batches:
+            for text in batch.column(0).to_pylist():
+                held.update(find(signed(text or "")))
+                if len(held) >= HELD:
+                    yield sent()
+        yield sent()
 
+    found = texts.mapInArrow(count, "unit string, times long")
+    return found.groupBy("unit").agg(F.sum("times").alias("times"))
 
-def unit_dictionary(texts: DataFrame, pieces: Pieces) -> DataFrame:
-    """unit, times and ids of every distinct unit of the texts; stored."""
-    units = texts.select(F.explode(units_of(F.col("text"))).alias("unit"))
-    counted = units.groupBy("unit").agg(F.count(F.lit(1)).alias("times"))
-    folded = store(folded_units(counted, pieces), "units")
-    if pieces.kind != "bpe":
-        if not folded.where("ids IS NULL").isEmpty():
-            raise ValueError(f"a unigram table can't encode units of more than {LONGEST} characters here")
-        return folded
-    # Long units are rare; their scores are ranks, so the helper finds the same merges.
-    long = merged_units(folded.where("ids IS NULL"), pieces)
-    return folded.where("ids IS NOT NULL").unionByName(long)
 
+def frequent_units(texts: DataFrame, pieces: Pieces, most: int = FREQUENT) -> dict[str, bytes]:
+    """The ids of the most frequent units, folded over their lattice; at most `most` units of at most LONGEST characters."""
+    top = unit_counts(texts, pieces).orderBy(F.desc("times"), "unit").limit(most)
+    # The lattice is spread by unit; the limit leaves one partition.
+    folded = folded_units(store(top, "units").repartition("unit"), pieces)
+    return {r["unit"]: np.array(r["ids"], "<i4").tobytes() for r in folded.select("unit", "ids").collect()}
 
-def encoded_places(texts: DataFrame, words: DataFrame, *keys: str, frequent: int = FREQUENT) -> DataFrame:
-    """keys, place and ids of every unit of every text; fewer than `frequent` units are broadcast."""
-    places = texts.select(*keys, F.posexplode(units_of(F.col("text"))).alias("place", "unit"))
-    total = words.agg(F.sum("times")).first()[0] or 0
-    often = F.broadcast(words.where(F.col("times") > total / frequent).select("unit", "ids"))
-    rare = words.where(F.col("times") <= total / frequent).select("unit", "ids")
-    columns = (*keys, "place", "ids")
-    known = places.join(often, "unit").select(*columns)
-    return known.unionByName(places.join(often.select("unit"), "unit", "left_anti").join(rare.hint("shuffle_hash"), "unit").select(*columns))
 
+def encoded_texts(docs: DataFrame, pieces: Pieces, doc_id: str, text: str, frequent: int) -> DataFrame:
+    """doc_id, n_units, the ids in order, the text that they decode to, and whether it is the text, of every row."""
+    texts = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
+    known = docs.sparkSession.sparkContext.broadcast((pieces, frequent_units(texts.select("text"), pieces, frequent)))
 
-def digest_of(text: Column) -> Column:
-    return F.unhex(F.sha2(text, 256))
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pieces, travelled = known.value
+        find, fold, spelled = re.compile(unit_pattern(pieces)).findall, helper(pieces), pieces.bytes_of()
 
+        class Units(dict):
+            def __missing__(self, unit: str) -> bytes:
+                if len(self) > len(travelled) + HELD:
+                    self.clear()
+                    self.update(travelled)
+                ids = self[unit] = fold(unit)
+                return ids
 
-def encoded_texts(docs: DataFrame, pieces: Pieces, doc_id: str, text: str, frequent: int) -> DataFrame:
-    """doc_id, digest (SHA-256 of the text, null for a null text), n_units and the ids in order, of every row.
+        ids_of = Units(travelled).__getitem__
+        for batch in batches:
+            # Long texts go in few rows at a time.
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                texts = part.column("text").to_pylist()
+                counts, ids, back = [], [], []
+                for text in texts:
+                    units = find(signed(text or ""))
+                    counts.append(len(units))
+                    ids.append(np.frombuffer(b"".join(map(ids_of, units)), "<i4"))
+                    whole = b"".join([spelled[i] for i in ids[-1].tolist()])
+                    back.append(whole.removeprefix(b" ").decode("utf-8", "replace"))
+                ends = np.cumsum([0, *map(len, ids)], dtype=np.int32)
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        part.column("doc_id"),
+                        pa.array(counts, pa.int64()),
+                        pa.ListArray.from_arrays(ends, np.concatenate(ids).astype(np.int32)),
+                        pa.array(back, pa.string()),
+                        pa.array([a == (b or "") for a, b in zip(back, texts, strict=True)], pa.bool_()),
+                        pa.array([t is not None for t in texts], pa.bool_()),
+                    ],
+                    ["doc_id", "n_units", "ids", "decoded", "same", "present"],
+                )
 
-    Equal rows are encoded together and come as often as in docs.
-    """
-    texts = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    some = texts.where("text <> ''")
-    words = unit_dictionary(some.select("text"), pieces)
-    places = encoded_places(some.withColumn("digest", digest_of(F.col("text"))), words, "doc_id", "digest", frequent=frequent)
-    # Every text here has a first unit: as many as there are equal rows.
-    grouped = places.groupBy("doc_id", "digest").agg(
-        F.count_if(F.col("place") == 0).alias("copies"), F.sort_array(F.collect_list(F.struct("place", "ids"))).alias("places")
-    )
-    # Equal rows give every place once per copy, side by side after the sort.
-    once = F.filter("places", lambda _, k: k % F.col("copies") == 0)
-    own = F.when(F.col("copies") == 1, F.col("places")).otherwise(once)
-    encoded = grouped.select("doc_id", "digest", "copies", F.transform(own, lambda p: p["ids"]).alias("parts"))
-    encoded = encoded.select("doc_id", "digest", "copies", F.size("parts").alias("n_units"), F.flatten("parts").alias("ids"))
-    copied = encoded.select("doc_id", "digest", "n_units", "ids", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))).alias("copy"))
-    nothing = texts.where("text IS NULL OR text = ''").select(
-        "doc_id", digest_of(F.col("text")).alias("digest"), F.lit(0).alias("n_units"), F.array().cast("array<int>").alias("ids")
-    )
-    return copied.drop("copy").unionByName(nothing)
+    kind = dict(texts.dtypes)["doc_id"]
+    return texts.mapInArrow(encode, f"doc_id {kind}, n_units long, ids array<int>, decoded string, same boolean, present boolean")
 
 
 def encode_documents(docs: DataFrame, pieces: Pieces, doc_id: str = "doc_id", text: str = "text", frequent: int = FREQUENT) -> DataFrame:
-    """doc_id, ids (null text: null, empty text: none) and their decoded text, of every row; equal rows come as often as in docs."""
+    """doc_id, ids and the text that they decode to, of every row: null text: null, empty text: no ids, and empty text."""
     encoded = encoded_texts(docs, pieces, doc_id, text, frequent)
-    one = encoded.select("doc_id", F.when(F.col("digest").isNotNull(), F.col("ids")).alias("ids"))
-    return one.select("doc_id", "ids", decoded(F.col("ids"), pieces).alias("text"))
+    return encoded.select("doc_id", *[F.when(F.col("present"), F.col(c)).alias(k) for c, k in (("ids", "ids"), ("decoded", "text"))])
 
 
 def encoding_digest(
@@ -350,20 +406,19 @@ def encoding_digest(
     """doc_id, n_units, n_pieces, pieces_hash and round_trip of every row.
 
     `pieces_hash` is the hash of the ids in order; `round_trip` says that they
-    decode to the text (the SHA-256 of both agrees), which fails only where
-    the text holds the sign for spaces itself.  Null texts count as empty: no
-    pieces, hash 0, true.  Equal rows are encoded together and come as often
-    as in docs; null ids are ids like any other; other columns are not read.
-    `frequent` bounds the units that are broadcast and leaves the rows as they are.
+    decode to the text, which fails only where the text holds the sign for
+    spaces itself.  Null texts count as empty: no pieces, hash 0, true.  Every
+    row is encoded by itself, repeated ones too; null ids are ids like any
+    other; other columns are not read; an empty table has no rows.
+    `frequent` bounds the units that travel and leaves the rows as they are.
     """
     encoded = encoded_texts(docs, pieces, doc_id, text, frequent)
-    long = lambda c: c.cast("long")
     return encoded.select(
         "doc_id",
-        long(F.col("n_units")).alias("n_units"),
-        long(F.size("ids")).alias("n_pieces"),
-        F.when(F.size("ids") > 0, F.xxhash64("ids")).otherwise(long(F.lit(0))).alias("pieces_hash"),
-        F.coalesce(digest_of(decoded(F.col("ids"), pieces)) == F.col("digest"), F.lit(True)).alias("round_trip"),
+        "n_units",
+        F.size("ids").cast("long").alias("n_pieces"),
+        F.when(F.size("ids") > 0, F.xxhash64("ids")).otherwise(F.lit(0).cast("long")).alias("pieces_hash"),
+        F.col("same").alias("round_trip"),
     )
 
 
