@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ticketloom.functions import constants as K
 from ticketloom.operators import evaluate as E
+from ticketloom.operators.profile import exact_quantiles
 
 
 def window_text(window: Column) -> Column:
@@ -84,12 +85,12 @@ def latency_percentiles(
     log: DataFrame, ts_col: str, latency_col: str, period: str = "7 days", approximate: bool = False
 ) -> DataFrame:
     """p50, p95 and p99 per period."""
-    pick = F.percentile_approx if approximate else F.percentile
-    marks = (("p50", 0.5), ("p95", 0.95), ("p99", 0.99))
-    return (
-        log.groupBy(F.window(ts_col, period).alias("w"))
-        .agg(*[F.round(pick(latency_col, F.lit(q)), 6).alias(n) for n, q in marks])
-        .select(window_text(F.col("w")).alias("window_start"), "p50", "p95", "p99")
+    marks = {"p50": 0.5, "p95": 0.95, "p99": 0.99}
+    windowed = log.select(window_text(F.window(ts_col, period)).alias("window_start"), latency_col)
+    if not approximate:
+        return exact_quantiles(windowed, "window_start", latency_col, marks)
+    return windowed.groupBy("window_start").agg(
+        *[F.round(F.percentile_approx(latency_col, F.lit(q)), 6).alias(n) for n, q in marks.items()]
     )
 
 

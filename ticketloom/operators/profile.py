@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ticketloom.functions import constants as K
 from ticketloom.functions import text as T
+from ticketloom.session import materialise
 
 
 def category_distribution(df: DataFrame, col: str) -> DataFrame:
@@ -72,11 +73,51 @@ def length_histogram(df: DataFrame, value_col: str, bins: int = 10) -> DataFrame
     return edges.join(binned, "bin", "left").select("bin", "lower", "upper", F.coalesce("n", F.lit(0)).alias("n"))
 
 
+def exact_quantiles(df: DataFrame, group: str, value_col: str, marks: Mapping[str, float]) -> DataFrame:
+    """(group, one column per mark): exact quantiles with linear interpolation, by distributed selection.
+
+    Equal values are counted, the counts lie in ranges of (group, value), and
+    running sums over the ranges' totals tell which range holds each wanted
+    rank; only those ranges are looked into.  A group of any size is spread
+    over as many ranges as it has values for.  Null values count nowhere; a
+    group without values has nulls; a null group is a group.
+    """
+    # A struct with a null field equals itself, a null does not.
+    keyed = df.select(F.struct(F.col(group).alias("group")).alias("key"), F.col(value_col).cast("double").alias("value"))
+    counts = keyed.groupBy("key", "value").agg(F.count("*").alias("n"))
+    ranged = counts.repartitionByRange("key", "value").withColumn("range", F.spark_partition_id())
+    stored = materialise(ranged, "value-counts")
+    known = stored.filter(F.col("value").isNotNull())
+    before = W.partitionBy("key").orderBy("range").rowsBetween(W.unboundedPreceding, -1)
+    ranges = known.groupBy("key", "range").agg(F.sum("n").alias("n"))
+    ranges = ranges.withColumn("first", F.coalesce(F.sum("n").over(before), F.lit(0)))
+    totals = known.groupBy("key").agg(F.sum("n").alias("total"))
+    wanted = F.explode(F.array(*[F.struct(F.lit(name).alias("mark"), F.lit(float(q)).alias("q")) for name, q in marks.items()]))
+    ranks = totals.select("key", "total", wanted.alias("m")).select(
+        "key", "m.mark", (F.col("m.q") * (F.col("total") - 1)).alias("place")
+    )
+    ranks = ranks.select("key", "mark", "place", F.explode(F.array(F.floor("place"), F.ceil("place"))).alias("rank"))
+    held = ranks.join(ranges, "key").filter((F.col("rank") >= F.col("first")) & (F.col("rank") < F.col("first") + F.col("n")))
+    held = held.select("key", "range", "mark", "place", "rank", (F.col("rank") - F.col("first")).alias("inside")).distinct()
+    upto = W.partitionBy("key", "range").orderBy("value").rowsBetween(W.unboundedPreceding, 0)
+    looked = known.join(held.select("key", "range").distinct(), ["key", "range"]).withColumn("upto", F.sum("n").over(upto))
+    found = held.join(looked, ["key", "range"]).filter(
+        (F.col("inside") < F.col("upto")) & (F.col("inside") >= F.col("upto") - F.col("n"))
+    )
+    # One or two ranks per mark: the value at the lower one, and the share of the way to the upper one.
+    low, high = F.min("value"), F.max("value")
+    value = low + (high - low) * (F.first("place") - F.floor(F.first("place")))
+    values = found.groupBy("key", "mark").agg(F.round(value, 6).alias("at"))
+    wide = values.groupBy("key").agg(*[F.max(F.when(F.col("mark") == name, F.col("at"))).alias(name) for name in marks])
+    return stored.select("key").distinct().join(wide, "key", "left").select(F.col("key.group").alias(group), *marks)
+
+
 def length_quantiles(df: DataFrame, group: str, value_col: str, approximate: bool = False) -> DataFrame:
     """Box-plot numbers per class: exact with linear interpolation, or approximate."""
-    marks = (("min", 0.0), ("q1", 0.25), ("median", 0.5), ("q3", 0.75), ("max", 1.0))
-    pick = F.percentile_approx if approximate else F.percentile
-    return df.groupBy(group).agg(*[F.round(pick(value_col, F.lit(q)), 6).alias(n) for n, q in marks])
+    marks = {"min": 0.0, "q1": 0.25, "median": 0.5, "q3": 0.75, "max": 1.0}
+    if not approximate:
+        return exact_quantiles(df, group, value_col, marks)
+    return df.groupBy(group).agg(*[F.round(F.percentile_approx(value_col, F.lit(q)), 6).alias(n) for n, q in marks.items()])
 
 
 def imbalance_ratio(df: DataFrame, group: str, text_col: str) -> DataFrame:

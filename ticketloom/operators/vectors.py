@@ -197,7 +197,7 @@ def search(
     """
     q_cols = [query_id, vec] + ([group] if group else [])
     c_cols = [corpus_id, vec] + ([group] if group else [])
-    queries, corpus = queries.select(*q_cols).filter(F.col(vec).isNotNull()), corpus.select(*c_cols)
+    queries, corpus = queries.select(*q_cols), corpus.select(*c_cols)
     fields = [queries.schema[query_id], corpus.schema[corpus_id]]
     schema = ST.StructType(
         [ST.StructField(query_id, fields[0].dataType), ST.StructField(corpus_id, fields[1].dataType),
@@ -208,16 +208,25 @@ def search(
     if shipped.num_rows <= max_shipped:
         lengths = pc.list_value_length(shipped.column(vec))
         dim = pc.max(lengths).as_py() or 0
-        shipped = shipped.filter(pc.equal(lengths, dim))
-        partial = _search_in_place(shipped, corpus.filter(F.size(vec) == dim), schema, **spec)
+        shipped = _of_length(shipped, vec, dim)
+        partial = _search_in_place(shipped, corpus, schema, dim=dim, **spec)
     else:
         dim = queries.agg(F.max(F.size(vec))).first()[0]
-        partial = _search_on_grid(queries.filter(F.size(vec) == dim), corpus.filter(F.size(vec) == dim), schema, **spec)
+        partial = _search_on_grid(queries, corpus, schema, dim=dim, **spec)
     order = W.partitionBy(query_id).orderBy(F.desc("score"), corpus_id)
     return partial.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 
 
-def _search_in_place(shipped, corpus, schema, k, query_id, corpus_id, vec, group, exclude_self, metric) -> DataFrame:
+def _of_length(rows, vec: str, dim: int):
+    """Arrow rows whose vector has this length.
+
+    A filter of the DataFrame would repeat a computed vector, and all that it
+    is made from, below every exchange.
+    """
+    return rows.filter(pc.fill_null(pc.equal(pc.list_value_length(rows.column(vec)), dim), False))
+
+
+def _search_in_place(shipped, corpus, schema, dim, k, query_id, corpus_id, vec, group, exclude_self, metric) -> DataFrame:
     q_ids = shipped.column(query_id).to_numpy()
     q_groups = shipped.column(group).to_numpy() if group else None
     q_matrix = _prepare(_matrix(shipped.column(vec)), metric)
@@ -225,6 +234,7 @@ def _search_in_place(shipped, corpus, schema, k, query_id, corpus_id, vec, group
     def scan(batches):
         best = None
         for batch in batches:
+            batch = _of_length(batch, vec, dim)
             if not batch.num_rows or not len(q_ids):
                 continue
             c_ids = batch.column(corpus_id).to_numpy(zero_copy_only=False)
@@ -243,7 +253,7 @@ def _search_in_place(shipped, corpus, schema, k, query_id, corpus_id, vec, group
     return corpus.mapInArrow(scan, schema)
 
 
-def _search_on_grid(queries, corpus, schema, k, query_id, corpus_id, vec, group, exclude_self, metric) -> DataFrame:
+def _search_on_grid(queries, corpus, schema, dim, k, query_id, corpus_id, vec, group, exclude_self, metric) -> DataFrame:
     """Queries and corpus cut into hash blocks of bounded size; one task per pair of blocks."""
     q_blocks = max(1, -(-queries.count() // BLOCK_ROWS))
     c_blocks = max(1, -(-corpus.count() // BLOCK_ROWS))
@@ -258,6 +268,7 @@ def _search_on_grid(queries, corpus, schema, k, query_id, corpus_id, vec, group,
     c = cut(corpus, corpus_id, c_blocks, "_cb").select("*", spread(q_blocks, "_qb"))
 
     def cell(left: pa.Table, right: pa.Table) -> pa.Table:
+        left, right = _of_length(left, vec, dim), _of_length(right, vec, dim)
         if not left.num_rows or not right.num_rows:
             return pa.table({f.name: pa.array([], t) for f, t in zip(schema.fields, types)})
         ids = left.column(query_id).to_numpy(), right.column(corpus_id).to_numpy()

@@ -38,14 +38,32 @@ def local_session(cores: str = "8", shuffle_partitions: int = 8, **conf: str) ->
     return spark
 
 
+# Bytes of input for each core from which a table is left as it is.
+SMALL_SHARE = 4 << 20
+
+
 def spread(df: DataFrame) -> DataFrame:
-    """Give costly per-row work to all cores when the input has fewer splits than that.
+    """Give costly per-row work to all cores when the input is small.
 
-    A file of one row group is one task however many cores there are.  A large
-    table has more splits than cores and is left as it is: no shuffle.
+    A small file is one task however many splits it is cut into: a split
+    without the start of a row group is empty.  A large table has row groups
+    and splits enough and is left as it is: no shuffle.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+    spark = df.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    splits = df.rdd.getNumPartitions()
+    if splits >= 4 * cores:
+        return df
+    files, size = df.inputFiles(), 0
+    if not files:
+        return df if splits >= cores else df.repartition(cores)
+    configuration = spark.sparkContext._jsc.hadoopConfiguration()
+    for file in files:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(file)
+        size += path.getFileSystem(configuration).getFileStatus(path).getLen()
+        if size > cores * SMALL_SHARE:
+            return df
+    return df.repartition(cores)
 
 
 def shared_dir(spark: SparkSession) -> str:
