@@ -7,8 +7,7 @@ from collections.abc import Sequence
 
 from pyspark.ml import PipelineModel
 from pyspark.ml.feature import (
-    IDF,
-    CountVectorizer,
+    CountVectorizerModel,
     ElementwiseProduct,
     NGram,
     Normalizer,
@@ -24,30 +23,12 @@ from pyspark.sql import functions as F
 
 from ticketloom.functions import constants as K
 from ticketloom.functions import text as T
+from ticketloom.operators import terms as R
 
 # Training rows one task handles per pass.
 ROWS_PER_TASK = 10_000
 
 
-def term_frequencies(
-    df: DataFrame, key: str, text_col: str, stopwords: Sequence[str] = (), ngram: tuple[int, int] = (1, 1)
-) -> DataFrame:
-    """(key, term, tf).  Rows are spread by key first, so counting terms needs no second shuffle."""
-    spread = df.select(key, text_col).repartition(key)
-    terms = spread.select(key, F.explode(T.tokenise_terms(F.col(text_col), stopwords, ngram)).alias("term"))
-    return terms.groupBy(key, "term").agg(F.count("*").alias("tf"))
-
-
-def vocabulary(
-    tf: DataFrame, documents: DataFrame, max_features: int = 5000, min_df: int = 2, max_df: float = 0.8
-) -> DataFrame:
-    """(term, df, cf): terms within the document-frequency limits, most frequent first."""
-    n = documents.agg(F.count("*")).scalar()
-    counted = tf.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"))
-    allowed = counted.filter((F.col("df") >= min_df) & (F.col("df") <= n * F.lit(max_df)))
-    return allowed.orderBy(F.desc("cf"), "term").limit(max_features)
-
-
 def tfidf(
     df: DataFrame,
     key: str,
@@ -58,17 +39,10 @@ def tfidf(
     stopwords: Sequence[str] = K.ENGLISH_STOPWORDS,
     ngram: tuple[int, int] = (1, 1),
 ) -> DataFrame:
-    """(key, term, weight): tf * (ln((1 + n) / (1 + df)) + 1), rows scaled to unit length."""
-    tf = term_frequencies(df, key, text_col, stopwords, ngram)
-    terms = vocabulary(tf, df, max_features, min_df, max_df)
-    n = df.agg(F.count("*")).scalar()
-    idf = F.log((n + 1) / (F.col("df") + 1)) + 1
-    # The vocabulary is bounded by max_features.
-    weighted = tf.join(F.broadcast(terms.select("term", idf.alias("_idf"))), "term").select(
-        key, "term", (F.col("tf") * F.col("_idf")).alias("_w")
-    )
-    norm = F.sqrt(F.sum(F.col("_w") * F.col("_w")).over(W.partitionBy(key)))
-    return weighted.select(key, "term", (F.col("_w") / norm).alias("weight"))
+    """(key, term, weight): tf * (ln((1 + n) / (1 + df)) + 1), rows scaled to unit length.  A key names one row."""
+    lists = R.term_lists(df, text_col, stopwords, ngram, [key])
+    terms = R.vocabulary(lists, max_features, min_df, max_df)
+    return R.term_weights(lists, key, R.idf_of(terms, df.count()))
 
 
 def term_counts(
@@ -140,24 +114,12 @@ def fit_tfidf(
         if n > 1:
             text_stages.append(NGram(n=n, inputCol="_kept", outputCol=f"_gram{n}"))
     text_stages.append(SQLTransformer(statement=f"SELECT *, concat({', '.join(columns)}) AS _terms FROM __THIS__"))
-    terms = PipelineModel(text_stages).transform(df).select("_terms").persist()
-    try:
-        prepared = sized(terms, terms.count())
-        counter = CountVectorizer(
-            inputCol="_terms",
-            outputCol="_counts",
-            vocabSize=max_features,
-            minDF=min_df,
-            # Here max_df is a share of the documents; Spark reads 1.0 and above as a count.
-            maxDF=max_df if max_df < 1.0 else float(2**63 - 1),
-        ).fit(prepared)
-        idf = IDF(inputCol="_counts", outputCol="_idf").fit(counter.transform(prepared)).idf
-    finally:
-        terms.unpersist()
-    # Spark's idf is ln((n + 1) / (df + 1)); the weight used here adds one to it.
-    scale = ElementwiseProduct(
-        inputCol="_counts", outputCol="_scaled", scalingVec=DenseVector([float(x) + 1.0 for x in idf])
-    )
+    lists = R.term_lists(df, text_col, stopwords, ngram)
+    idf = R.idf_of(R.vocabulary(lists, max_features, min_df, max_df), df.count())
+    if not idf:
+        raise ValueError("no term is within the document-frequency limits")
+    counter = CountVectorizerModel.from_vocabulary(list(idf), inputCol="_terms", outputCol="_counts")
+    scale = ElementwiseProduct(inputCol="_counts", outputCol="_scaled", scalingVec=DenseVector(list(idf.values())))
     unit = Normalizer(inputCol="_scaled", outputCol=out, p=2.0)
     return PipelineModel([*text_stages, counter, scale, unit])
 

@@ -290,10 +290,15 @@ def search_filtered(queries: DataFrame, corpus: DataFrame, condition, **options)
 
 
 def knn_classify(
-    train: DataFrame, test: DataFrame, label: str, train_id: str, test_id: str, vec: str = "vec", k: int = 5
-) -> DataFrame:
-    """Majority vote of the k nearest (Euclidean) training rows; ties go to the smallest label."""
-    near = search(test, train, k, test_id, train_id, vec, metric="euclidean")
+    train: DataFrame, test: DataFrame, label: str, train_id: str, test_id: str, vec: str = "vec", k: int = 5,
+    find: Callable[[DataFrame], DataFrame] | None = None,
+) -> DataFrame:
+    """Majority vote of the k nearest (Euclidean) training rows; ties go to the smallest label.
+
+    ``find`` maps the test rows to their neighbours, such as the search of a
+    neighbour index over the training rows; the exact search by default.
+    """
+    near = find(test) if find else search(test, train, k, test_id, train_id, vec, metric="euclidean")
     votes = near.join(train.select(train_id, label), train_id).groupBy(test_id, label).agg(F.count("*").alias("_votes"))
     order = F.struct((-F.col("_votes")).alias("v"), F.col(label).alias("l"))
     return votes.groupBy(test_id).agg(F.min_by(label, order).alias("prediction"), F.max("_votes").alias("votes"))
@@ -318,17 +323,15 @@ def fuse(
 
 
 def hybrid_retrieve(
-    first: tuple[DataFrame, DataFrame],
-    second: tuple[DataFrame, DataFrame],
+    first: Callable[[int], DataFrame],
+    second: Callable[[int], DataFrame],
     weights: tuple[float, float] = (0.5, 0.5),
     k: int = 5,
-    query_id: str = "qid",
-    corpus_id: str = "id",
-    **options,
+    query: str = "qid",
+    doc: str = "id",
 ) -> DataFrame:
-    """Search two (queries, corpus) pairs and fuse the top-k lists."""
-    lists = [search(q, c, k, query_id, corpus_id, **options) for q, c in (first, second)]
-    return fuse(*lists, query=query_id, doc=corpus_id, weights=weights, k=k)
+    """The top-k lists of two retrievers, fused; a retriever maps k to (query, doc, score)."""
+    return fuse(first(k), second(k), query=query, doc=doc, weights=weights, k=k)
 
 
 # --- retrieval context -------------------------------------------------------------

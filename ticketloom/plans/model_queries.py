@@ -16,18 +16,20 @@ from ticketloom.operators import label as L
 from ticketloom.operators import models as M
 from ticketloom.operators import monitor as O
 from ticketloom.operators import sampling as S
+from ticketloom.operators import terms as R
 from ticketloom.operators import vectors as V
 from ticketloom.plans import sqltext as Q
-from ticketloom.plans.label_queries import CLEAN_SQL
+from ticketloom.plans.label_queries import CLEAN_SQL, hash_rank_sql
 from ticketloom.plans.registry import query, table, table_stream, text_table
-from ticketloom.plans.report_queries import DAY, WEEK
+from ticketloom.plans.report_queries import DAY, WEEK, class_report_sql
 from ticketloom.plans.views import ticket_view, tickets_of, with_views
-from ticketloom.session import work_path
+from ticketloom.session import broadcast_if_small, materialise, work_path
 from ticketloom.sources import logs as G
 from ticketloom.streaming import jobs as J
 
 LABEL = "category"
-TFIDF = {"max_features": 10000, "max_df": 0.7, "min_df": 2, "ngram": (1, 2)}
+# Terms of one and two words, no stop list and no limits by document frequency.
+TFIDF = {"max_features": 10000, "min_df": 1, "max_df": 1.0, "ngram": (1, 2), "stopwords": ()}
 
 
 # --- features ----------------------------------------------------------------------
@@ -156,10 +158,91 @@ def train_linear_svm(spark, sf_dir):
     return _test_report(M.train(train, M.linear_svm, LABEL), test)
 
 
-@query("train_naive_bayes")
+def _term_split(spark, sf_dir):
+    """Term weights of all documents with their class and part, the training classes' sizes, and the documents' parts."""
+    documents = _documents(spark, sf_dir)
+    parts = S.stratified_split(documents.select("doc_id", LABEL), LABEL, "doc_id")
+    # Only keys and flags are ranked; texts are read in place where the flags are few enough to travel.
+    flags = broadcast_if_small(parts.select("doc_id", "is_test"), "split-flags")
+    lists = R.term_lists(documents.join(flags, "doc_id"), "text", (), (1, 2), ["doc_id", LABEL, "is_test"])
+    training = lists.filter(~F.col("is_test"))
+    sizes = parts.filter(~F.col("is_test")).groupBy(LABEL).agg(F.count("*").alias("n"))
+    idf = R.idf_of(R.vocabulary(training, 10000, 1, 1.0), training.count())
+    return R.term_weights(lists, "doc_id", idf, [LABEL, "is_test"]), sizes, parts, len(idf)
+
+
+def term_split_sql() -> str:
+    """Documents with their part, and unit-length weights over the 10,000 most frequent terms of the training part."""
+    grams = "list_concat(w, list_transform(list_zip(w[:-2], w[2:]), lambda p: p[1] || ' ' || p[2]))"
+    return f"""
+    split AS (SELECT doc_id, lang AS category, text,
+                     {hash_rank_sql('doc_id', 'lang')} <= floor(count(*) OVER (PARTITION BY lang) * 0.2::DOUBLE + 0.5::DOUBLE) AS is_test
+              FROM documents),
+    words AS (SELECT doc_id, is_test, unnest({grams}) AS term FROM (SELECT doc_id, is_test, {Q.tokens('text', ())} AS w FROM split)),
+    tf AS (SELECT doc_id, is_test, term, count(*) AS tf FROM words GROUP BY ALL),
+    n AS (SELECT count(*)::DOUBLE AS n FROM split WHERE NOT is_test),
+    vocab AS (SELECT term, count(*) AS df FROM tf WHERE NOT is_test GROUP BY term ORDER BY sum(tf) DESC, term LIMIT 10000),
+    weighted AS (SELECT doc_id, term, tf * (ln((1 + n) / (1 + df)) + 1) AS w FROM tf JOIN vocab USING (term), n),
+    unit AS (SELECT doc_id, term, w / sqrt(sum(w * w) OVER (PARTITION BY doc_id)) AS w FROM weighted)
+    """
+
+
+BAYES_SQL = f"""
+WITH {term_split_sql()},
+sums AS (SELECT category, term, sum(w) AS s FROM unit JOIN split USING (doc_id) WHERE NOT is_test GROUP BY category, term),
+classes AS (SELECT category, ln(count(*) + 1) - ln((SELECT n FROM n) + count(*) OVER ()) AS prior FROM split WHERE NOT is_test GROUP BY category),
+below AS (SELECT category, any_value(prior) AS prior, ln(coalesce(sum(s), 0) + (SELECT count(*) FROM vocab)) AS below
+          FROM classes LEFT JOIN sums USING (category) GROUP BY category),
+tests AS (SELECT doc_id, any_value(s.category) AS truth, coalesce(sum(w), 0) AS total
+          FROM split s LEFT JOIN unit USING (doc_id) WHERE is_test GROUP BY doc_id),
+gains AS (SELECT doc_id, s.category, sum(w * ln(s.s + 1)) AS gain FROM unit JOIN sums s USING (term) GROUP BY doc_id, s.category),
+scores AS (SELECT t.doc_id, truth, b.category, prior - total * below + coalesce(gain, 0) AS score
+           FROM tests t CROSS JOIN below b LEFT JOIN gains g ON g.doc_id = t.doc_id AND g.category = b.category),
+found AS (SELECT doc_id, any_value(truth) AS truth, first(category ORDER BY score DESC, category) AS prediction,
+                 1 / sum(exp(score - best)) AS confidence
+          FROM (SELECT *, max(score) OVER (PARTITION BY doc_id) AS best FROM scores) GROUP BY doc_id)
+"""
+
+
+def _bayes_predictions(spark, sf_dir):
+    weights, sizes, parts, features = _term_split(spark, sf_dir)
+    model = R.TermBayes.fit(weights.filter(~F.col("is_test")), sizes, LABEL, features)
+    tests = parts.filter("is_test").select("doc_id", LABEL)
+    return tests.join(model.predict(tests, weights.filter("is_test").select("doc_id", "term", "weight"), "doc_id"), "doc_id")
+
+
+@query("naive_bayes_predictions", f"{BAYES_SQL} SELECT doc_id, prediction, round(confidence, 5) AS confidence FROM found")
+def naive_bayes_predictions(spark, sf_dir):
+    return _bayes_predictions(spark, sf_dir).select("doc_id", "prediction", F.round("confidence", 5).alias("confidence"))
+
+
+@query("train_naive_bayes", f"{BAYES_SQL}, {class_report_sql('found')}")
 def train_naive_bayes(spark, sf_dir):
-    train, test = _text_features(spark, sf_dir)
-    return _test_report(M.train(train, M.naive_bayes(), LABEL), test)
+    """Naive Bayes as tables of class and term sums."""
+    return E.per_class_prf(_bayes_predictions(spark, sf_dir), LABEL, "prediction")
+
+
+KNN_TEXT_SQL = f"""
+WITH {term_split_sql()},
+near AS (SELECT q.doc_id, d.doc_id AS id, round(sum(q.w * d.w), 6) AS score
+         FROM (SELECT unit.* FROM unit JOIN split USING (doc_id) WHERE is_test) q
+         JOIN (SELECT unit.* FROM unit JOIN split USING (doc_id) WHERE NOT is_test) d USING (term) GROUP BY ALL),
+top AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, id) AS rank FROM near),
+votes AS (SELECT top.doc_id, category, count(*) AS votes FROM top JOIN split s ON s.doc_id = top.id WHERE rank <= 5 GROUP BY ALL)
+SELECT doc_id, first(category ORDER BY votes DESC, category) AS prediction, max(votes) AS votes FROM votes GROUP BY doc_id
+"""
+
+
+def _knn_predictions(spark, sf_dir, k=5):
+    weights, _, parts, _ = _term_split(spark, sf_dir)
+    train, test = (weights.filter(c).select("doc_id", "term", "weight") for c in (~F.col("is_test"), F.col("is_test")))
+    return R.knn_on_terms(train, test, parts.select("doc_id", LABEL), LABEL, "doc_id", k)
+
+
+@query("knn_text", KNN_TEXT_SQL)
+def knn_text(spark, sf_dir):
+    """Five nearest training documents of every test document by TF-IDF, from an inverted index."""
+    return _knn_predictions(spark, sf_dir)
 
 
 @query("train_decision_tree")
@@ -230,6 +313,34 @@ def compare_models(spark, sf_dir):
     return results.select("classifier", F.round("accuracy", 4).alias("accuracy"))
 
 
+@query("compare_text_models")
+def compare_text_models(spark, sf_dir):
+    """Seven classifiers on TF-IDF of the document texts, one row each."""
+    train, test = _text_features(spark, sf_dir)
+    weights, sizes, parts, features = _term_split(spark, sf_dir)
+    weights = materialise(weights, "term-weights")
+    own = weights.filter("is_test").select("doc_id", "term", "weight")
+
+    def bayes(_, rows):
+        model = R.TermBayes.fit(weights.filter(~F.col("is_test")), sizes, LABEL, features)
+        return rows.select("doc_id", LABEL).join(model.predict(rows, own, "doc_id"), "doc_id")
+
+    def neighbours(_, rows):
+        near = R.knn_on_terms(weights.filter(~F.col("is_test")), own, parts.select("doc_id", LABEL), LABEL, "doc_id", 5)
+        usual = sizes.orderBy(F.desc("n"), LABEL).first()[LABEL]
+        return rows.select("doc_id", LABEL).join(near, "doc_id", "left").fillna({"prediction": usual})
+
+    estimators = {
+        "Logistic Regression": M.logreg,
+        "Linear SVM": M.linear_svm,
+        "Decision Tree": M.decision_tree(),
+        "Random Forest": M.random_forest(trees=100),
+        "Gradient Boosting": M.gradient_boosting(),
+    }
+    results = M.compare_models(train, test, estimators, LABEL, {"Naive Bayes": bayes, "KNN (k=5)": neighbours})
+    return results.select("classifier", F.round("accuracy", 4).alias("accuracy"))
+
+
 @query("grid_search")
 def grid_search(spark, sf_dir):
     train, _ = _vector_split(spark, sf_dir)

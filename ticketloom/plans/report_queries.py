@@ -309,16 +309,17 @@ def weighted_prf(spark, sf_dir):
     return E.weighted_prf(ticket_view(spark, sf_dir), "truth", "prediction")
 
 
-@query(
-    "per_class_prf",
-    with_views(f"""
-    WITH c AS ({_class_sql('ticket_view')})
+def class_report_sql(source: str) -> str:
+    """A CTE and a select: the report of (truth, prediction) rows per class, with macro and weighted averages."""
+    return f"""c AS ({_class_sql(source)})
     SELECT category, round(precision, 6) AS precision, round(recall, 6) AS recall, round(f1, 6) AS f1, support FROM c
     UNION ALL SELECT 'macro avg', round(avg(precision), 6), round(avg(recall), 6), round(avg(f1), 6), CAST(sum(support) AS BIGINT) FROM c
     UNION ALL SELECT 'weighted avg', round(sum(precision * support) / sum(support), 6), round(sum(recall * support) / sum(support), 6),
               round(sum(f1 * support) / sum(support), 6), CAST(sum(support) AS BIGINT) FROM c
-    """),
-)
+    """
+
+
+@query("per_class_prf", with_views(f"WITH {class_report_sql('ticket_view')}"))
 def per_class_prf(spark, sf_dir):
     return E.per_class_prf(ticket_view(spark, sf_dir), "truth", "prediction")
 

@@ -12,7 +12,9 @@ from ticketloom.functions import constants as K
 from ticketloom.functions import text as T
 from ticketloom.operators import evaluate as E
 from ticketloom.operators import sampling as X
+from ticketloom.operators import terms as R
 from ticketloom.operators import vectors as V
+from ticketloom.operators.neighbours import NeighbourIndex, recall
 from ticketloom.plans import sqltext as Q
 from ticketloom.plans.label_queries import hash_rank_sql
 from ticketloom.plans.registry import query, table, text_table
@@ -164,35 +166,6 @@ def search_filtered(spark, sf_dir):
     return V.search_filtered(_centroid_queries(spark, sf_dir), _vectors(spark, sf_dir), condition, k=5)
 
 
-SECOND_CORPUS_SQL = CORPUS_SQL.replace("CAST(embedding AS DOUBLE[])", "CAST(embedding[1:32] AS DOUBLE[])")
-SECOND_QUERIES_SQL = f"SELECT qid, vec[1:32] AS vec FROM ({CENTROID_QUERIES_SQL})"
-
-FUSED_SQL = f"""
-SELECT * FROM (
-    SELECT qid, doc, score, row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc) AS rank FROM (
-        SELECT qid, id AS doc, round(coalesce(a.score, 0) * 0.5 + coalesce(b.score, 0) * 0.5, 8) AS score
-        FROM ({topk_sql(CENTROID_QUERIES_SQL, CORPUS_SQL, 5)}) a
-        FULL JOIN ({topk_sql(SECOND_QUERIES_SQL, SECOND_CORPUS_SQL, 5)}) b USING (qid, id)))
-WHERE rank <= 5
-"""
-
-
-@query("hybrid_fusion", FUSED_SQL)
-def hybrid_fusion(spark, sf_dir):
-    """Results of the full vectors fused with results of their first half."""
-    queries, corpus = _centroid_queries(spark, sf_dir), _vectors(spark, sf_dir)
-    half = F.slice("vec", 1, 32).alias("vec")
-    first = V.search(queries, corpus, k=5).withColumnRenamed("id", "doc")
-    second = V.search(queries.select("qid", half), corpus.select("id", half), k=5).withColumnRenamed("id", "doc")
-    return V.fuse(first, second, k=5)
-
-
-def _text_vector_halves(spark, sf_dir):
-    queries, corpus = _embedded_queries(spark, sf_dir), _embedded_documents(spark, sf_dir)
-    low, high = F.slice("vec", 1, DIM // 2).alias("vec"), F.slice("vec", DIM // 2 + 1, DIM // 2).alias("vec")
-    return [(queries.select("qid", part), corpus.select("id", part)) for part in (low, high)]
-
-
 # --- classification by neighbours --------------------------------------------------
 KNN_SPLIT_SQL = f"""
 SELECT *, {hash_rank_sql('id', 'category')} <= floor(count(*) OVER (PARTITION BY category) * 0.2::DOUBLE + 0.5::DOUBLE) AS is_test
@@ -217,6 +190,30 @@ def knn_classify(spark, sf_dir):
     return V.knn_classify(train, test, "category", "id", "qid", k=10)
 
 
+@query("knn_classify_indexed")
+def knn_classify_indexed(spark, sf_dir):
+    """The same with a neighbour index over the training vectors."""
+    split = X.stratified_split(_vectors(spark, sf_dir), "category", "id")
+    train, test = split.filter(~F.col("is_test")), split.filter("is_test").withColumnRenamed("id", "qid")
+    index = NeighbourIndex.build(train, metric="euclidean")
+    return V.knn_classify(train, test, "category", "id", "qid", k=10, find=lambda rows: index.search(rows, 10))
+
+
+@query("similar_all_indexed")
+def similar_all_indexed(spark, sf_dir):
+    """Every stored row as a query of the neighbour index: cells meet only the queries that look into them."""
+    corpus = _vectors(spark, sf_dir)
+    index = NeighbourIndex.build(corpus)
+    return index.search(corpus.withColumnRenamed("id", "qid"), k=3, exclude_self=True)
+
+
+@query("neighbour_recall", "SELECT 3 * count(*) AS possible, true AS recall_reached FROM embeddings")
+def neighbour_recall(spark, sf_dir):
+    """Whether the index finds nine of ten rows of the exact search, every row a query."""
+    exact, found = similar_all(spark, sf_dir), similar_all_indexed(spark, sf_dir)
+    return recall(exact, found).select("possible", (F.col("recall") >= 0.9).alias("recall_reached"))
+
+
 # --- text search -------------------------------------------------------------------
 def embed_sql(source: str, key: str, col: str, dim: int = DIM) -> str:
     """Hashed term counts of every text, scaled to unit length."""
@@ -369,30 +366,68 @@ def search_miss_analysis(spark, sf_dir):
     return E.search_miss_analysis(results, hits, 20)
 
 
-def _part_sql(source: str, key: str, low: int, high: int) -> str:
-    return f"SELECT {key}, vec[{low}:{high}] AS vec FROM ({source})"
+# --- two retrievers ----------------------------------------------------------------
+LEXICAL_SQL = f"""
+SELECT qid, id, score, rank FROM (
+    SELECT qid, id, score, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) AS rank FROM (
+        WITH d AS (SELECT doc_id AS id, unnest({Q.tokens('text', K.ENGLISH_STOPWORDS)}) AS term FROM documents),
+             tf AS (SELECT id, term, count(*) AS tf FROM d GROUP BY ALL),
+             len AS (SELECT id, sum(tf) AS n FROM tf GROUP BY id),
+             mean AS (SELECT coalesce(sum(n), 0)::DOUBLE / (SELECT count(*) FROM documents) AS mean FROM len),
+             df AS (SELECT term, ln(1 + ((SELECT count(*) FROM documents) - count(*) + 0.5::DOUBLE) / (count(*) + 0.5::DOUBLE)) AS idf
+                    FROM tf GROUP BY term),
+             q AS (SELECT qid, term, count(*) AS n
+                   FROM (SELECT item_id AS qid, unnest({Q.tokens('text', K.ENGLISH_STOPWORDS)}) AS term FROM benchmark) GROUP BY ALL)
+        SELECT qid, id, round(sum(q.n * idf * tf * 2.5::DOUBLE / (tf + 1.5::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * len.n / mean))), 6) AS score
+        FROM q JOIN tf USING (term) JOIN df USING (term) JOIN len USING (id), mean GROUP BY qid, id))
+WHERE rank <= 5
+"""
 
 
-def _half_top_sql(low: int, high: int) -> str:
-    return topk_sql(_part_sql(ITEM_VECTORS_SQL, "qid", low, high), _part_sql(DOC_VECTORS_SQL, "id", low, high), 5)
+def _four_digits(col: str):
+    """Rounded as a binary number: a decimal rounding moves values that only look like halves."""
+    return F.floor(F.col(col) * 1e4 + 0.5) / 1e4
 
 
-@query(
-    "hybrid_retrieve",
-    f"""
+def _lexical(spark, sf_dir, k):
+    """Benchmark texts against an inverted index of the documents, by BM25."""
+    documents = text_table(spark, sf_dir, "documents")
+    index = R.TermIndex.build(R.bm25_weights(R.term_lists(documents, "text", K.ENGLISH_STOPWORDS, keep=["doc_id"]), "doc_id"), "doc_id")
+    items = R.term_lists(table(spark, sf_dir, "benchmark").withColumnRenamed("item_id", "qid"), "text", K.ENGLISH_STOPWORDS, keep=["qid"])
+    return index.top_k(R.counted_terms(items, "qid").withColumnRenamed("tf", "weight"), "qid", k)
+
+
+@query("lexical_search", f"SELECT qid, id, rank, floor(score * 1e4 + 0.5) / 1e4 AS score FROM ({LEXICAL_SQL})")
+def lexical_search(spark, sf_dir):
+    return _lexical(spark, sf_dir, 5).select("qid", "id", "rank", _four_digits("score").alias("score"))
+
+
+def _fused_sql(first: float, second: float) -> str:
+    return f"""
     SELECT * FROM (
-        SELECT qid, id, round(score, 5) AS score, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) AS rank FROM (
-            SELECT qid, id, round(coalesce(a.score, 0) * 0.7 + coalesce(b.score, 0) * 0.3, 8) AS score
-            FROM ({_half_top_sql(1, DIM // 2)}) a FULL JOIN ({_half_top_sql(DIM // 2 + 1, DIM)}) b USING (qid, id)))
+        SELECT qid, id, floor(score * 1e4 + 0.5) / 1e4 AS score, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) AS rank FROM (
+            SELECT qid, id, round(coalesce(a.score, 0) * {first} + coalesce(b.score, 0) * {second}, 8) AS score
+            FROM (SELECT * FROM ({TEXT_TOP_SQL}) WHERE rank <= 5) a FULL JOIN ({LEXICAL_SQL}) b USING (qid, id)))
     WHERE rank <= 5
-    """,
-)
+    """
+
+
+def _two_retrievers(spark, sf_dir, weights):
+    by_vector = lambda k: V.search(_embedded_queries(spark, sf_dir), _embedded_documents(spark, sf_dir), k=k)
+    found = V.hybrid_retrieve(by_vector, lambda k: _lexical(spark, sf_dir, k), weights)
+    return found.withColumn("score", _four_digits("score"))
+
+
+@query("hybrid_fusion", _fused_sql(0.5, 0.5))
+def hybrid_fusion(spark, sf_dir):
+    """Two result lists of the benchmark texts, by vector and by words, in equal parts."""
+    return _two_retrievers(spark, sf_dir, (0.5, 0.5))
+
+
+@query("hybrid_retrieve", _fused_sql(0.7, 0.3))
 def hybrid_retrieve(spark, sf_dir):
-    """Benchmark texts against all documents by two retrievers, one per half of the hashed vector."""
-    first, second = _text_vector_halves(spark, sf_dir)
-    found = V.hybrid_retrieve(first, second, weights=(0.7, 0.3))
-    # Rounded as a binary number: a decimal rounding moves values that only look like halves.
-    return found.withColumn("score", F.floor(F.col("score") * 1e5 + 0.5) / 1e5)
+    """Benchmark texts against all documents by vector and by words."""
+    return _two_retrievers(spark, sf_dir, (0.7, 0.3))
 
 
 # --- retrieval context -------------------------------------------------------------
