@@ -24,4 +24,4 @@ def all_oracles() -> dict[str, str]:
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return QUERIES["labelled_category_distribution"](spark, sf_dir)
+    return QUERIES["message_category_distribution"](spark, sf_dir)

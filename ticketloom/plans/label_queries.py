@@ -123,6 +123,81 @@ def expected_label(spark, sf_dir):
     return ticket_view(spark, sf_dir).select("event_id", L.expected_label(F.col("text")).alias("expected"))
 
 
+# --- the same over given messages -------------------------------------------------
+MESSAGES_SQL = "SELECT conv_id * 1000000 + turn AS message_id, text, role = 'user' AS inbound FROM conversations"
+
+
+def messages(spark, sf_dir):
+    """The turns of the conversations; those of users are inbound."""
+    turns = text_table(spark, sf_dir, "conversations")
+    number = (F.col("conv_id") * 1_000_000 + F.col("turn")).alias("message_id")
+    return turns.select(number, "text", (F.col("role") == "user").alias("inbound"))
+
+
+@query(
+    "phrase_label_messages",
+    f"SELECT t.message_id, p.phrase_category AS phrase_label FROM ({MESSAGES_SQL}) t "
+    f"LEFT JOIN ({Q.first_phrase_sql(MESSAGES_SQL, 'message_id', 'text')}) p ON p.message_id = t.message_id",
+)
+def phrase_label_messages(spark, sf_dir):
+    return messages(spark, sf_dir).select("message_id", L.phrase_label(F.col("text")).alias("phrase_label"))
+
+
+@query("keyword_scores_messages", f"SELECT message_id, category, score_x100 FROM ({Q.scores_sql(MESSAGES_SQL, 'message_id', 'text')})")
+def keyword_scores_messages(spark, sf_dir):
+    return L.keyword_scores(messages(spark, sf_dir), "message_id", "text")
+
+
+@query(
+    "categorize_messages",
+    "SELECT message_id, category, round(confidence, 6) AS confidence FROM ("
+    + Q.categorize_sql(MESSAGES_SQL, "message_id", "text", "t.message_id")
+    + ")",
+)
+def categorize_messages(spark, sf_dir):
+    labelled = L.categorize(messages(spark, sf_dir).select("message_id", "text"), "text")
+    return labelled.select("message_id", "category", F.round("confidence", 6).alias("confidence"))
+
+
+CLEAN_MESSAGES_SQL = Q.tweet_sql(f"(SELECT * FROM ({MESSAGES_SQL}) WHERE inbound)", "message_id", "text")
+UNIQUE_MESSAGES_SQL = (
+    f"SELECT min(message_id) AS message_id, clean_text FROM ({CLEAN_MESSAGES_SQL}) WHERE length(clean_text) >= 15 GROUP BY clean_text"
+)
+PROCESSED_MESSAGES_SQL = (
+    "SELECT message_id, clean_text, category, confidence, 'twitter' AS source FROM ("
+    + Q.categorize_sql(UNIQUE_MESSAGES_SQL, "message_id", "clean_text", "t.message_id, t.clean_text")
+    + ") WHERE confidence >= 0.3"
+)
+
+
+@query(
+    "process_user_messages",
+    f"SELECT message_id, clean_text, category, round(confidence, 6) AS confidence, source FROM ({PROCESSED_MESSAGES_SQL})",
+)
+def process_user_messages(spark, sf_dir):
+    """Users' turns, cleaned, of enough length, each text once, labelled, confident ones."""
+    return L.process_messages(messages(spark, sf_dir), "message_id").withColumn("confidence", F.round("confidence", 6))
+
+
+@query(
+    "message_category_distribution",
+    f"SELECT category, count(*) AS n, round(count(*) * 100.0::DOUBLE / sum(count(*)) OVER (), 6) AS pct "
+    f"FROM ({PROCESSED_MESSAGES_SQL}) GROUP BY category",
+)
+def message_category_distribution(spark, sf_dir):
+    return A.category_distribution(L.process_messages(messages(spark, sf_dir), "message_id"), "category")
+
+
+@query("ladder_label_messages", f"SELECT message_id, {SIMPLE_SQL} AS label FROM ({MESSAGES_SQL})")
+def ladder_label_messages(spark, sf_dir):
+    return messages(spark, sf_dir).select("message_id", L.simple_label(F.col("text")).alias("label"))
+
+
+@query("expected_label_messages", f"SELECT message_id, {EXPECTED_SQL} AS expected FROM ({MESSAGES_SQL})")
+def expected_label_messages(spark, sf_dir):
+    return messages(spark, sf_dir).select("message_id", L.expected_label(F.col("text")).alias("expected"))
+
+
 def _hit_sql(words) -> str:
     quoted = [w.replace("'", "''") for w in words]
     return "(" + " OR ".join(f"contains(lower(coalesce(text, '')), '{w}')" for w in quoted) + ")"
