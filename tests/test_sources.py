@@ -1,3 +1,6 @@
+from pathlib import Path
+
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -83,6 +86,45 @@ def test_vector_table_is_checked(spark, tmp_path):
         V.add_documents(bad, path, "id", "vec")
 
 
+def _values(spark, path):
+    return {r["id"]: list(r["vec"]) for r in V.read_vectors(spark, path).collect()}
+
+
+def test_added_documents_replace_their_keys(spark, tmp_path):
+    path, schema = str(tmp_path / "v"), "id long, vec array<float>"
+    V.write_vectors(spark.createDataFrame([(i, [float(i), 0.0]) for i in range(50)], schema), path, "id", "vec", buckets=8)
+    files = {p.name: {f.name for f in p.glob("*.parquet")} for p in Path(path).glob("_bucket=*")}
+    new = spark.createDataFrame([(7, [2.0, 2.0]), (7, [1.0, 1.0]), (70, [3.0, 3.0])], schema)
+    want = {i: [float(i), 0.0] for i in range(50)} | {7: [1.0, 1.0], 70: [3.0, 3.0]}
+    for batch in ("b1", "b1", None):
+        assert V.add_documents(new, path, "id", "vec", batch=batch) == 51
+        assert _values(spark, path) == want
+    # At most two buckets are written anew, the others are the same files.
+    after = {p.name: {f.name for f in p.glob("*.parquet")} for p in Path(path).glob("_bucket=*")}
+    assert len(files) > 5 and sum(files[b] != after[b] for b in files) <= 2
+
+
+def test_an_interrupted_batch_is_finished_under_its_name(spark, tmp_path):
+    path, schema = str(tmp_path / "v"), "id long, vec array<float>"
+    V.write_vectors(spark.createDataFrame([(i, [float(i)]) for i in range(20)], schema), path, "id", "vec", buckets=2)
+    new = spark.createDataFrame([(3, [9.0])], schema)
+    V.add_documents(new, path, "id", "vec", batch="b")
+    # As if the run had ended between removing a bucket's files and putting the new ones there.
+    for file in [f for f in Path(path).glob("_bucket=*/*.parquet") if 3 in pq.read_table(f, columns=["id"])["id"].to_pylist()]:
+        file.unlink()
+    assert V.add_documents(new, path, "id", "vec", batch="b") == 20
+    assert _values(spark, path) == {i: [float(i)] for i in range(20)} | {3: [9.0]}
+
+
+@pytest.mark.parametrize("row", [(None, [1.0]), (5, None), (5, [1.0, 2.0])])
+def test_a_batch_with_a_bad_row_changes_nothing(spark, tmp_path, row):
+    path, schema = str(tmp_path / "v"), "id long, vec array<float>"
+    V.write_vectors(spark.createDataFrame([(1, [1.0])], schema), path, "id", "vec")
+    with pytest.raises(ValueError):
+        V.add_documents(spark.createDataFrame([(1, [4.0]), row], schema), path, "id", "vec")
+    assert _values(spark, path) == {1: [1.0]}
+
+
 def test_metric_log_is_long(spark, tmp_path):
     path = str(tmp_path / "log")
     G.append_log(G.metric_records(spark, "r", {"a": 1.0, "b": 2.0}, step=3), path)

@@ -22,18 +22,15 @@ def dedupe_keep_first(df: DataFrame, subset: Sequence[str], key: str | Sequence[
     """One row per ``subset``: the one with the smallest key.
 
     An aggregate rather than a window: copies are merged before the shuffle, so
-    a text that fills a third of the table costs one row per task.
+    a text that fills a third of the table costs one row per task.  Strings are
+    grouped, sorted and shuffled by their SHA-256; a null differs from "".
     """
     keys = [key] if isinstance(key, str) else list(key)
-    rest = [c for c in df.columns if c not in subset]
-    if not rest:
-        return df.distinct()
-    if rest == keys and len(keys) == 1:
-        # Only the key is left: a plain minimum runs as a hash aggregate.
-        return df.groupBy(*subset).agg(F.min(keys[0]).alias(keys[0])).select(*df.columns)
+    kinds = {f.name: f.dataType.typeName() for f in df.schema.fields}
+    by = [(text_digest(c) if kinds[c] in ("string", "varchar", "char") else F.col(c)).alias(f"_by{i}") for i, c in enumerate(subset)]
     order = F.struct(*keys) if len(keys) > 1 else F.col(keys[0])
-    first = df.groupBy(*subset).agg(F.min_by(F.struct(*rest), order).alias("_first"))
-    return first.select(*subset, "_first.*").select(*df.columns)
+    first = df.groupBy(*by).agg(F.min_by(F.struct(*df.columns), order).alias("_first"))
+    return first.select("_first.*")
 
 
 def merge_corpora(tickets: DataFrame, tweets: DataFrame, key: str, **columns) -> DataFrame:

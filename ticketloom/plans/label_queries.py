@@ -129,7 +129,11 @@ MESSAGES_SQL = "SELECT conv_id * 1000000 + turn AS message_id, text, role = 'use
 
 def messages(spark, sf_dir):
     """The turns of the conversations; those of users are inbound."""
-    turns = text_table(spark, sf_dir, "conversations")
+    return messages_of(text_table(spark, sf_dir, "conversations"))
+
+
+def messages_of(turns):
+    """The same of a batch or streaming table."""
     number = (F.col("conv_id") * 1_000_000 + F.col("turn")).alias("message_id")
     return turns.select(number, "text", (F.col("role") == "user").alias("inbound"))
 

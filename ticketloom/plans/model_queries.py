@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ticketloom.functions import constants as K
 from ticketloom.functions import text as T
+from ticketloom.operators import columns as C
 from ticketloom.operators import evaluate as E
 from ticketloom.operators import features as X
 from ticketloom.operators import label as L
@@ -19,12 +20,13 @@ from ticketloom.operators import sampling as S
 from ticketloom.operators import terms as R
 from ticketloom.operators import vectors as V
 from ticketloom.plans import sqltext as Q
-from ticketloom.plans.label_queries import CLEAN_SQL, hash_rank_sql
+from ticketloom.plans.label_queries import CLEAN_MESSAGES_SQL, CLEAN_SQL, hash_rank_sql, messages_of
 from ticketloom.plans.registry import query, table, table_stream, text_table
 from ticketloom.plans.report_queries import DAY, WEEK, class_report_sql
 from ticketloom.plans.views import ticket_view, tickets_of, with_views
 from ticketloom.session import broadcast_if_small, materialise, work_path
 from ticketloom.sources import logs as G
+from ticketloom.streaming import backfill as B
 from ticketloom.streaming import jobs as J
 
 LABEL = "category"
@@ -421,9 +423,16 @@ def _ticket_stream(spark, sf_dir, max_files=100):
     return tickets_of(table_stream(spark, sf_dir, "events", max_files))
 
 
-def _land(stream, name, backfill=False):
+def _land(stream, name):
     path = work_path(stream.sparkSession, name)
-    return J.run_available(stream, f"{path}/out", f"{path}/checkpoint", backfill)
+    return J.run_available(stream, f"{path}/out", f"{path}/checkpoint")
+
+
+def _replay(spark, sf_dir, name, columns, days, handle, delay=None, max_rows=B.MAX_BATCH_ROWS):
+    """The ticket view laid out by time in ranges of so many days, and handled range by range."""
+    path = work_path(spark, name)
+    view = tickets_of(table(spark, sf_dir, "events")).select(*columns)
+    return B.Backfill(view, "ts", days * 86_400, f"{path}/rows").replay(f"{path}/out", handle, delay, max_rows)
 
 
 STREAM_TEXT_SQL = f"SELECT event_id, clean_text FROM ({CLEAN_SQL}) WHERE length(clean_text) >= 15"
@@ -442,12 +451,23 @@ def stream_label(spark, sf_dir):
     return labelled.withColumn("confidence", F.round("confidence", 6))
 
 
-@query("stream_dedupe")
+@query(
+    "stream_dedupe",
+    with_views(f"""
+    SELECT event_id, clean_text FROM (
+        SELECT event_id, clean_text, row_number() OVER (PARTITION BY clean_text ORDER BY ts, event_id) AS r
+        FROM ({Q.tweet_sql("ticket_view", "event_id", "text")}) JOIN (SELECT event_id, ts FROM events) USING (event_id)) WHERE r = 1
+    """),
+)
 def stream_dedupe(spark, sf_dir):
-    messages = _ticket_stream(spark, sf_dir, max_files=None).select(
-        "ts", T.clean_tweet_text(F.col("text")).alias("clean_text")
-    )
-    return _land(J.stream_dedupe(messages, "clean_text", "ts"), "stream-dedupe", backfill=True).select("clean_text")
+    """First copy of every cleaned message by event time, whatever the files or batches."""
+    first = B.first_copies("clean_text", "ts", "event_id")
+
+    def handle(batch, earlier):
+        clean = C.compute_once(batch, clean_text=T.clean_tweet_text(F.col("text"))).drop("text")
+        return first(clean, earlier)
+
+    return _replay(spark, sf_dir, "stream-dedupe", ["event_id", "ts", "text"], 7, handle).select("event_id", "clean_text")
 
 
 def _closed(bucket: str, days: int) -> str:
@@ -465,9 +485,10 @@ def _closed(bucket: str, days: int) -> str:
     """),
 )
 def stream_monitor(spark, sf_dir):
-    """Daily windows that the watermark has closed."""
-    monitored = J.stream_monitor(_ticket_stream(spark, sf_dir, max_files=None), "ts", "truth", "prediction", "confidence")
-    return _land(monitored, "stream-monitor", backfill=True)
+    """Daily windows that end an hour before the latest event."""
+    columns = ["ts", "truth", "prediction", "confidence"]
+    monitor = lambda batch, _: J.stream_monitor(batch, *columns)
+    return _replay(spark, sf_dir, "stream-monitor", columns, 1, monitor, delay=3600)
 
 
 @query(
@@ -484,6 +505,51 @@ def stream_monitor(spark, sf_dir):
 def stream_drift(spark, sf_dir):
     """Weekly prediction shares of the stream against the true shares of the batch table."""
     reference = O.shares(ticket_view(spark, sf_dir), "truth", "share").withColumnRenamed("truth", "category")
-    stream = _ticket_stream(spark, sf_dir, max_files=None)
-    counts = _land(J.stream_class_counts(stream, "ts", "prediction"), "stream-drift", backfill=True)
+    count = lambda batch, _: J.stream_class_counts(batch, "ts", "prediction")
+    counts = _replay(spark, sf_dir, "stream-drift", ["ts", "prediction"], 7, count, delay=3600)
     return J.window_drift(counts, reference)
+
+
+# Truths arrive so many hours after their predictions, none at all for views.
+TRUTH_HOURS, WAIT_HOURS = 48, 24
+
+
+def _late_truth(events):
+    hours = F.expr(f"make_dt_interval(0, event_id % {TRUTH_HOURS})")
+    arrived = (F.col("ts").cast("timestamp") + hours).alias("truth_ts")
+    return tickets_of(events).withColumn("truth_ts", arrived).filter("inbound").select("event_id", "truth_ts", "truth")
+
+
+@query(
+    "prediction_truth_late",
+    with_views(f"""
+    WITH t AS (SELECT event_id, ts + to_hours(CAST(event_id % {TRUTH_HOURS} AS INTEGER)) AS truth_ts, truth FROM ticket_view WHERE inbound),
+         closed AS (SELECT least((SELECT max(ts) FROM ticket_view), (SELECT max(truth_ts) FROM t)) - INTERVAL '1 hour' AS mark)
+    SELECT p.event_id, p.prediction, t.truth FROM ticket_view p LEFT JOIN t
+           ON t.event_id = p.event_id AND t.truth_ts <= p.ts + INTERVAL '{WAIT_HOURS} hours'
+    WHERE t.event_id IS NOT NULL OR p.ts + INTERVAL '{WAIT_HOURS} hours' < (SELECT mark FROM closed)
+    """),
+)
+def prediction_truth_late(spark, sf_dir):
+    """Two streams: predictions, and truths that arrive hours later or never."""
+    events = table_stream(spark, sf_dir, "events", max_files=None)
+    predictions = tickets_of(events).select("event_id", "ts", "prediction")
+    truths = _late_truth(table_stream(spark, sf_dir, "events", max_files=None))
+    joined = J.stream_truth(predictions, truths, "event_id", "ts", "truth_ts", f"{WAIT_HOURS} hours")
+    return _land(joined, "prediction-truth").select("event_id", "prediction", "truth")
+
+
+@query(
+    "stream_label_messages",
+    "SELECT message_id, clean_text, category, round(confidence, 6) AS confidence, 'twitter' AS source FROM ("
+    + Q.categorize_sql(
+        f"SELECT message_id, clean_text FROM ({CLEAN_MESSAGES_SQL}) WHERE length(clean_text) >= 15",
+        "message_id", "clean_text", "t.message_id, t.clean_text",
+    )
+    + ") WHERE confidence >= 0.3",
+)
+def stream_label_messages(spark, sf_dir):
+    """User messages of the conversations, labelled as they arrive."""
+    arriving = messages_of(table_stream(spark, sf_dir, "conversations"))
+    labelled = _land(J.stream_label(arriving, "message_id"), "stream-label-messages")
+    return labelled.withColumn("confidence", F.round("confidence", 6))

@@ -104,16 +104,24 @@ def write_read_vectors(spark, sf_dir):
 
 @query(
     "add_documents",
-    "SELECT label, count(*) * 2 AS n FROM embeddings GROUP BY label",
+    """
+    SELECT vec_id, label, CAST(len(embedding) AS BIGINT) AS dim, round(list_sum(list_transform(embedding, lambda x: -(x::DOUBLE))), 6) AS total
+    FROM embeddings
+    UNION ALL SELECT -vec_id - 1, label, len(embedding), round(list_sum(list_transform(embedding, lambda x: x::DOUBLE)), 6)
+    FROM embeddings
+    """,
 )
 def add_documents(spark, sf_dir):
-    """A corpus written once and extended by the same number of new ids."""
+    """A corpus that gets as many new ids, then other vectors for its old ids, these twice."""
     vectors = table(spark, sf_dir, "embeddings")
     path = work_path(spark, "corpus")
     SV.write_vectors(vectors, path, "vec_id", "embedding", keep=["label"])
     newer = vectors.withColumn("vec_id", -F.col("vec_id") - 1)
     SV.add_documents(newer, path, "vec_id", "embedding", keep=["label"])
-    return SV.read_vectors(spark, path).groupBy("label").agg(F.count_distinct("vec_id").alias("n"))
+    turned = vectors.withColumn("embedding", F.transform("embedding", lambda x: -x))
+    for _ in range(2):
+        SV.add_documents(turned, path, "vec_id", "embedding", keep=["label"], batch="turned")
+    return _vector_rows(SV.read_vectors(spark, path))
 
 
 @query("run_stats", "SELECT count(*) AS total_documents, max(len(embedding)) AS embedding_dimension FROM embeddings")

@@ -24,6 +24,19 @@ def remove_greetings(spark, sf_dir):
     return ticket_view(spark, sf_dir).select("event_id", T.remove_greetings(F.col("text")).alias("body"))
 
 
+# What users of the conversations wrote.
+USER = ("(SELECT conv_id, turn, text FROM conversations WHERE role = 'user')", "conv_id, turn", "text")
+
+
+def user_messages(spark, sf_dir):
+    return text_table(spark, sf_dir, "conversations").filter(F.col("role") == "user").select("conv_id", "turn", "text")
+
+
+@query("remove_greetings_messages", Q.greetings_sql(*USER, "body"))
+def remove_greetings_messages(spark, sf_dir):
+    return user_messages(spark, sf_dir).select("conv_id", "turn", T.remove_greetings(F.col("text")).alias("body"))
+
+
 @query("clean_ticket_text", with_views(Q.ticket_sql("ticket_view", "event_id", "text")))
 def clean_ticket_text(spark, sf_dir):
     return ticket_view(spark, sf_dir).select("event_id", T.clean_ticket_text(F.col("text")).alias("clean_text"))
@@ -40,6 +53,12 @@ def clean_ticket_text_twitter(spark, sf_dir):
     return ticket_view(spark, sf_dir).select("event_id", clean.alias("clean_text"))
 
 
+@query("clean_ticket_text_twitter_messages", Q.ticket_sql(*USER, twitter=True))
+def clean_ticket_text_twitter_messages(spark, sf_dir):
+    clean = T.clean_ticket_text(F.col("text"), is_twitter=True)
+    return user_messages(spark, sf_dir).select("conv_id", "turn", clean.alias("clean_text"))
+
+
 @query("clean_tweet_text", with_views(Q.tweet_sql("ticket_view", "event_id", "text")))
 def clean_tweet_text(spark, sf_dir):
     return ticket_view(spark, sf_dir).select("event_id", T.clean_tweet_text(F.col("text")).alias("clean_text"))
@@ -112,6 +131,20 @@ def contains_keyword(spark, sf_dir):
     )
 
 
+@query(
+    "contains_keyword_documents",
+    "SELECT doc_id, contains(lower(coalesce(text, '')), 'who') AS part, "
+    f"regexp_matches(lower(coalesce(text, '')), '(^|[^{Q.LETTERS}])who($|[^{Q.LETTERS}])') AS word FROM documents",
+)
+def contains_keyword_documents(spark, sf_dir):
+    text = F.col("text")
+    return text_table(spark, sf_dir, "documents").select(
+        "doc_id",
+        T.contains_keyword(text, "who").alias("part"),
+        T.contains_keyword(text, "who", whole_word=True).alias("word"),
+    )
+
+
 def template_sql(template: str, **values: str) -> str:
     sql = "'" + template.replace("'", "''") + "'"
     for name, value in values.items():
@@ -143,6 +176,24 @@ def build_prompt(spark, sf_dir):
     )
 
 
+@query(
+    "build_prompt_messages",
+    "SELECT conv_id, turn, "
+    + template_sql(K.CLASSIFICATION_TEMPLATE, categories=_LISTING, context="role", ticket_content="coalesce(text, '')")
+    + " AS prompt, "
+    + template_sql(K.RAG_TEMPLATE, context="role", question="coalesce(text, '')")
+    + " AS answer_prompt FROM conversations",
+)
+def build_prompt_messages(spark, sf_dir):
+    text = T.text_or_empty(F.col("text"))
+    return text_table(spark, sf_dir, "conversations").select(
+        "conv_id",
+        "turn",
+        P.prompt_for("classification", ticket=text, context=F.col("role"), categories=K.TICKET_CATEGORIES).alias("prompt"),
+        P.prompt_for("rag", context=F.col("role"), question=text).alias("answer_prompt"),
+    )
+
+
 @query("preview", "SELECT doc_id, substr(coalesce(text, ''), 1, 150) || '...' AS preview FROM documents")
 def preview(spark, sf_dir):
     return text_table(spark, sf_dir, "documents").select("doc_id", T.preview(F.col("text"), 150).alias("preview"))

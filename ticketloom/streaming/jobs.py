@@ -76,6 +76,22 @@ def stream_dedupe(stream: DataFrame, col: str, ts_col: str, delay: str = "1 hour
     return timed.withWatermark(ts_col, delay).dropDuplicatesWithinWatermark(["_digest"]).drop("_digest")
 
 
+def stream_truth(
+    predictions: DataFrame, truth: DataFrame, key: str, ts_col: str, truth_ts: str, wait: str, delay: str = "1 hour"
+) -> DataFrame:
+    """Predictions with the truth that arrives up to `wait` after them.
+
+    A pair is emitted when both are there; a prediction without truth once the
+    watermarks of both streams have passed the time that it waits.  Neither
+    side is kept in state for longer.  For stored tables this is the left join.
+    """
+    p = predictions.withColumn(ts_col, F.col(ts_col).cast("timestamp")).withWatermark(ts_col, delay)
+    t = truth.withColumn(truth_ts, F.col(truth_ts).cast("timestamp")).withWatermark(truth_ts, delay)
+    t = t.withColumnRenamed(key, "_key")
+    in_time = F.col(truth_ts).between(F.col(ts_col), F.col(ts_col) + F.expr(f"INTERVAL {wait}"))
+    return p.join(t, (F.col(key) == F.col("_key")) & in_time, "left").drop("_key")
+
+
 def stream_monitor(
     stream: DataFrame,
     ts_col: str,
