@@ -1,6 +1,9 @@
 """Classifiers by held-out accuracy, and the pipeline."""
 
+import math
+import re
 import zlib
+from collections import Counter, defaultdict
 
 import pytest
 
@@ -34,6 +37,58 @@ def test_toxicity_on_held_out_rows(spark):
     assert auc(found) > 0.85 and sum(p == y for _, p, y in found) / len(found) > 0.9
 
 
+def plain_differences(labelled, texts):
+    """The same by dictionaries of words: per text, the summed difference and that of its strongest words."""
+    words_of = lambda t: re.findall(r"[0-9a-z\x80-\U0010ffff]+", re.sub("[A-Z]", lambda m: m[0].lower(), t))
+    stem = lambda w: w.encode()[: toxicity.STEM]
+    d, everywhere, stems_everywhere = toxicity.discount, Counter(), Counter()
+    for t in texts:
+        everywhere.update(words_of(t))
+        stems_everywhere.update(map(stem, words_of(t)))
+    total, models = sum(everywhere.values()), []
+    rest = lambda t, n: sum(map(d, t.values())) / n if t else 1
+    for k in (0, 1):
+        pairs = Counter(p for t, label in labelled if label == k for p in zip([None, *words_of(t)], words_of(t), strict=False))
+        seen, lost, types, stem_types = Counter(), Counter(), Counter(), Counter()
+        for (v, w), n in pairs.items():
+            seen[v] += n
+            lost[v] += d(n)
+            types[w] += 1
+            stem_types[stem(w)] += 1
+        n = max(len(pairs), 1)
+        models.append((pairs, seen, lost, types, stem_types, n, rest(types, n), rest(stem_types, n)))
+
+    def probability(k, v, w):
+        pairs, seen, lost, types, stem_types, n, word_rest, stem_rest = models[k]
+        own = lambda count: count - d(count)
+        p = own(stem_types[stem(w)]) / n + stem_rest * stems_everywhere[stem(w)] / total
+        p = own(types[w]) / n + word_rest * p * everywhere[w] / stems_everywhere[stem(w)]
+        return own(pairs[v, w]) / seen[v] + lost[v] / seen[v] * p if seen[v] else p
+
+    found = []
+    for t in texts:
+        terms = [math.log(probability(1, v, w) / probability(0, v, w)) for v, w in zip([None, *words_of(t)], words_of(t), strict=False)]
+        found.append((len(terms), sum(terms), sum(sorted(terms)[-toxicity.STRONGEST :])))
+    return found
+
+
+def test_toxicity_differences_equal_plain_models(spark, texts):
+    some = defaultdict(list)
+    for k, t in sorted(texts.items()):
+        some[k % 3].append(t or "")
+    own = ["", "Zwölf ZWÖLF zwölfte", "a", "a a a b a", "only here onlyhere", *some[0][:40], *some[1][:40]]
+    labelled = [(t, k % 2) for k, t in enumerate([*some[1][:40], "a b a", "", "zwölf a"])]
+    assert {t for t, _ in labelled} - set(own) == {"a b a", "zwölf a"}
+    every = [*own, "a b a", "zwölf a"]
+    rows = spark.createDataFrame(labelled, "text string, label int").repartition(3)
+    docs = spark.createDataFrame(list(enumerate(every)), "doc_id long, text string").repartition(3)
+    models = spark.sparkContext.broadcast(toxicity.models_of(rows, docs.select("text")))
+    got = toxicity.with_features(docs, models, {"doc_id": "long"}).orderBy("doc_id").collect()
+    for r, (n, difference, strongest) in zip(got, plain_differences(labelled, every), strict=True):
+        assert r.words == n and r.difference == pytest.approx(difference, abs=1e-9, rel=1e-9)
+        assert r.strongest == pytest.approx(strongest, abs=1e-9)
+
+
 @pytest.mark.parametrize("score", [quality_net.score_quality, toxicity.score_toxicity])
 def test_classifier_edges(spark, edge_docs, no_docs, score):
     label = "quality" if score is quality_net.score_quality else "toxic"

@@ -2,8 +2,8 @@
 
 Each class has a word bigram model that backs off to the continuation counts
 of words, these to the continuation counts of word stems, and both classes
-back off to the same counts of all documents: a rare expression that neither
-class knows weighs nothing.  A document's score comes from the difference of
+back off to the same exact counts of all documents: a rare expression that
+neither class knows weighs nothing.  A document's score comes from the difference of
 its two log-likelihoods per word, over the whole text and over its strongest
 words, so that a few toxic words count in a long text as well; labelled rows
 that the models did not learn from map both to a probability.
@@ -24,13 +24,9 @@ from ticketloom.session import ship_by_value, spread
 # Labelled rows of each class that the models and the map to probabilities learn from.
 MODEL_ROWS = 20000
 SCALE_ROWS = 4000
-# Slots of the shared counts of words and of stems: 10 MB, whatever the input.
-WORD_SLOTS = 1 << 20
-STEM_SLOTS = 1 << 18
 STEM = 5
-DISCOUNT = 0.75
-# Bigrams and words are kept from this count on, both classes together; the mass of the others backs off.
-LEAST = 8
+# Counts far below this one leave nearly all their mass to the shared counts, counts far above it nearly none.
+RARE = 14.0
 # Words of a text whose differences are also summed by themselves, the largest ones.
 STRONGEST = 3
 
@@ -49,14 +45,9 @@ def tokens_of(texts: list[str | None]) -> Iterator[tuple[np.ndarray, np.ndarray,
         yield words, stems, np.searchsorted(starts, offsets)
 
 
-def slot_of(hashes: np.ndarray, slots: int) -> np.ndarray:
-    return (hashes >> np.uint64(64 - (slots.bit_length() - 1))).astype(np.int64)
-
-
-def shared_slots(texts: list[str | None]) -> Iterator[np.ndarray]:
-    for words, stems, _ in tokens_of(texts):
-        yield slot_of(words, WORD_SLOTS)
-        yield slot_of(stems, STEM_SLOTS) + WORD_SLOTS
+def discount(n):
+    """What a count loses to its backoff: nearly all of a small one, never the whole of it; of an array or a column."""
+    return n * RARE**4 / (n * n * n * n + RARE**4)
 
 
 def words_before(words: np.ndarray, bounds: np.ndarray) -> np.ndarray:
@@ -67,6 +58,10 @@ def words_before(words: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     return before
 
 
+def pair_of(before: np.ndarray, words: np.ndarray) -> np.ndarray:
+    return mixed(before * np.uint64(3) + mixed(words))
+
+
 def find(names: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Places of the wanted hashes in a sorted array, and whether they are there."""
     if not len(names):
@@ -75,34 +70,54 @@ def find(names: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return at, names[at] == wanted
 
 
+def count_shared(texts: DataFrame, words: np.ndarray, stems: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
+    """How often each of the sorted words and stems occurs in all texts, exactly, and the number of all words."""
+    names = texts.sparkSession.sparkContext.broadcast((words, stems))
+
+    def places(part: list[str | None]) -> Iterator[np.ndarray]:
+        own_words, own_stems = names.value
+        for met, met_stems, _ in tokens_of(part):
+            at, known = find(own_words, met)
+            yield np.where(known, at, len(own_words))
+            at, known = find(own_stems, met_stems)
+            yield np.where(known, at, len(own_stems)) + len(own_words) + 1
+
+    counts = counted(texts, len(words) + len(stems) + 2, places)
+    return counts[: len(words)], counts[len(words) + 1 : -1], int(counts[: len(words) + 1].sum())
+
+
 class Models:
-    """Both models as sorted arrays."""
+    """Both models as sorted arrays: every word, stem, bigram and context of the labelled texts, none left out.
 
-    def __init__(self, words: dict, stems: dict, bigrams: dict, contexts: dict, types: tuple[int, int], shared: np.ndarray):
-        """Columns of the kept words (w, t0, t1: their continuation counts), of the stems of all words (stem, t0, t1), of
-        the kept bigrams (v, w, n0, n1) and of their contexts (v, n0, n1 of all their bigrams); all continuation counts;
-        the shared counts.
+    A word that neither class knows needs no shared count: it is the same factor in both probabilities.
+    """
+
+    def __init__(self, words: dict, stems: dict, pairs: dict, contexts: dict):
+        """Columns of the words (w, stem, t0, t1: their continuation counts), of the stems (stem, t0, t1), of the bigrams (pair,
+        p0, p1: their discounted shares of their context) and of the contexts (v, left0, left1: what is left of them).
         """
-        word_counts, stem_counts = shared[:WORD_SLOTS] + 1.0, shared[WORD_SLOTS:] + 1.0
-        self.word_share = word_counts / word_counts.sum()
-        self.stem_share = stem_counts / stem_counts.sum()
         self.words, by_word = np.unique(words["w"], return_index=True)
         self.stems, by_stem = np.unique(stems["stem"], return_index=True)
+        self.stem_of_word = np.searchsorted(self.stems, words["stem"][by_word])
         self.contexts, by_context = np.unique(contexts["v"], return_index=True)
-        self.pairs, by_pair = np.unique(mixed(bigrams["v"] * np.uint64(3) + mixed(bigrams["w"])), return_index=True)
-        at = np.searchsorted(self.contexts, bigrams["v"][by_pair])
-        self.stem_part, self.stem_rest, self.word_part, self.word_rest, self.bigram_part, self.left = ([] for _ in range(6))
+        self.pairs, by_pair = np.unique(pairs["pair"], return_index=True)
+        self.stem_part, self.stem_rest, self.word_part, self.word_rest = ([] for _ in range(4))
         for k in (0, 1):
-            everything = max(types[k], 1)
-            for names, part_of, rest in ((stems, self.stem_part, self.stem_rest), (words, self.word_part, self.word_rest)):
-                part = np.maximum(names[f"t{k}"][by_stem if names is stems else by_word] - DISCOUNT, 0) / everything
-                part_of.append(part)
-                rest.append(max(1 - part.sum(), 1e-9))
-            seen = np.maximum(contexts[f"n{k}"][by_context], 1)
-            part = np.maximum(bigrams[f"n{k}"][by_pair] - DISCOUNT, 0) / seen[at]
-            self.bigram_part.append(part)
-            # Contexts without a kept bigram leave everything to the words, as unknown ones do.
-            self.left.append(np.maximum(1 - np.bincount(at, part, minlength=len(self.contexts)), 1e-9))
+            everything = max(words[f"t{k}"].sum(), 1)
+            for table, order, part_of, rest in ((stems, by_stem, self.stem_part, self.stem_rest), (words, by_word, self.word_part, self.word_rest)):
+                types = table[f"t{k}"][order]
+                taken = discount(types)
+                part_of.append((types - taken) / everything)
+                rest.append(taken.sum() / everything if types.any() else 1.0)
+        self.bigram_part = [pairs[f"p{k}"][by_pair] for k in (0, 1)]
+        self.left = [contexts[f"left{k}"][by_context] for k in (0, 1)]
+        self.share_counts(np.ones(len(self.words)), np.ones(len(self.stems)), 1)
+
+    def share_counts(self, word_counts: np.ndarray, stem_counts: np.ndarray, total: int) -> None:
+        """The counts of all documents that both models back off to."""
+        counts = np.maximum(stem_counts, 1)
+        self.stem_share = counts / max(total, 1)
+        self.within = np.maximum(word_counts, 1) / (counts[self.stem_of_word] if len(self.words) else 1)
 
     def differences(self, words: np.ndarray, stems: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Per text, the sum of log P(word | word before, toxic) - log P(word | word before, ordinary), and its largest terms' sum."""
@@ -111,9 +126,11 @@ class Models:
         at_stem, known_stem = find(self.stems, stems)
         context, known_context = find(self.contexts, before)
         pair = np.flatnonzero(known_context)
-        place, hit = find(self.pairs, mixed(before[pair] * np.uint64(3) + mixed(words[pair])))
-        stem_share = self.stem_share[slot_of(stems, STEM_SLOTS)]
-        within = self.word_share[slot_of(words, WORD_SLOTS)] / stem_share
+        place, hit = find(self.pairs, pair_of(before[pair], words[pair]))
+        # Factors of 1 stand for shares that both probabilities have in common.
+        stem_share, within = np.ones(len(words)), np.ones(len(words))
+        stem_share[known_stem] = self.stem_share[at_stem[known_stem]]
+        within[known] = self.within[at[known]]
         logs = []
         for k in (0, 1):
             p = self.stem_rest[k] * stem_share
@@ -136,7 +153,7 @@ class Models:
 
 
 def class_bigrams(rows: DataFrame) -> DataFrame:
-    """v, w, stem of w, n0, n1: bigrams of labelled texts and their counts in each class; rows has text and label."""
+    """v, w, stem of w, pair (both in one), n0, n1: bigrams of labelled texts and their counts in each class; rows has text and label."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -145,34 +162,39 @@ def class_bigrams(rows: DataFrame) -> DataFrame:
                 n = len(bounds) - 1
                 label = np.repeat(labels[done : done + n], np.diff(bounds)).astype(np.int64)
                 done += n
-                longs = (words_before(words, bounds).view(np.int64), words.view(np.int64), stems.view(np.int64), 1 - label, label)
-                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in longs], ["v", "w", "stem", "n0", "n1"])
+                before = words_before(words, bounds)
+                names = [x.view(np.int64) for x in (before, words, stems, pair_of(before, words))]
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (*names, 1 - label, label)], ["v", "w", "stem", "pair", "n0", "n1"])
 
-    pairs = rows.select("text", "label").mapInArrow(count, "v long, w long, stem long, n0 long, n1 long")
-    return pairs.groupBy("v", "w", "stem").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
+    pairs = rows.select("text", "label").mapInArrow(count, "v long, w long, stem long, pair long, n0 long, n1 long")
+    return pairs.groupBy("v", "w", "stem", "pair").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
 
 
-def models_of(rows: DataFrame, shared: np.ndarray) -> Models:
-    """Models of a bounded sample of labelled texts; what is kept of its counts comes to the driver."""
+def models_of(rows: DataFrame, texts: DataFrame) -> Models:
+    """Models of a bounded sample of labelled texts, which comes to the driver as counts; shared counts of all texts."""
     bigrams = store(class_bigrams(rows), "toxicity-bigrams")
 
     def columns(df: DataFrame) -> dict:
-        table = df.toPandas()
-        return {c: table[c].to_numpy().view(np.uint64) if c in ("v", "w", "stem") else table[c].to_numpy(np.float64) for c in table}
+        table = df.toArrow()
+        found = {c: table[c].to_numpy() for c in table.column_names}
+        return {c: x.view(np.uint64) if c in ("v", "w", "stem", "pair") else x.astype(np.float64) for c, x in found.items()}
+
+    def taken(n):
+        return discount(F.col(n).cast("double"))
 
-    kept = (F.col("n0") + F.col("n1")) >= LEAST
-    types = [F.sum((F.col(f"n{k}") > 0).cast("long")).alias(f"t{k}") for k in (0, 1)]
+    types = [F.count_if(F.col(f"n{k}") > 0).alias(f"t{k}") for k in (0, 1)]
     words = store(bigrams.groupBy("w", "stem").agg(*types), "toxicity-words")
-    contexts = bigrams.groupBy("v").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"), F.max(kept).alias("kept"))
-    everything = words.agg(F.sum("t0"), F.sum("t1")).first()
-    return Models(
-        columns(words.where(F.col("t0") + F.col("t1") >= LEAST).drop("stem")),
+    contexts = bigrams.groupBy("v").agg(*[F.sum(x).alias(y) for k in (0, 1) for x, y in ((F.col(f"n{k}"), f"s{k}"), (taken(f"n{k}"), f"d{k}"))])
+    share = [((F.col(f"n{k}") - taken(f"n{k}")) / F.greatest(f"s{k}", F.lit(1))).alias(f"p{k}") for k in (0, 1)]
+    left = [F.when(F.col(f"s{k}") > 0, F.col(f"d{k}") / F.col(f"s{k}")).otherwise(1.0).alias(f"left{k}") for k in (0, 1)]
+    models = Models(
+        columns(words),
         columns(words.groupBy("stem").agg(F.sum("t0").alias("t0"), F.sum("t1").alias("t1"))),
-        columns(bigrams.where(kept).drop("stem")),
-        columns(contexts.where("kept").drop("kept")),
-        (everything[0] or 0, everything[1] or 0),
-        shared,
+        columns(bigrams.join(contexts.select("v", "s0", "s1"), "v").select("pair", *share)),
+        columns(contexts.select("v", *left)),
     )
+    models.share_counts(*count_shared(texts, models.words, models.stems))
+    return models
 
 
 def with_features(texts: DataFrame, models, columns: dict[str, str]) -> DataFrame:
@@ -227,21 +249,20 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", thr
 
     Labelled rows whose crc32(doc_id) mod 5 is 0 are held out; those with 1
     map differences to probabilities, the others make the models, at most
-    `scale_rows` and `model_rows` of each class.  The shared counts cover all
-    documents.  Null and empty texts have a difference of 0 and score like
+    `scale_rows` and `model_rows` of each class; of their texts no word or
+    bigram is left out.  The shared counts cover all documents.  Null and empty texts have a difference of 0 and score like
     it.  Null ids and null labels teach nothing; a null id is not held out.
     Repeated rows score alike; other columns are not read.  With labels of one
     class only, every score leans to it.
     """
     spark = docs.sparkSession
     texts = spread(docs.select(F.col(doc_id).cast("long").alias("doc_id"), text_of(text).alias("text")))
-    shared = counted(texts, WORD_SLOTS + STEM_SLOTS, shared_slots)
     fold = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5
     own = labels.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(label).cast("int").alias("label"))
     own = own.where(F.col("label").isin(0, 1) & (fold != 0))
     # Bounded lists of ids.
     teach = texts.join(F.broadcast(sampled(own.where(fold != 1), model_rows)), "doc_id")
-    models = spark.sparkContext.broadcast(models_of(teach, shared))
+    models = spark.sparkContext.broadcast(models_of(teach, texts))
     check = texts.join(F.broadcast(sampled(own.where(fold == 1), scale_rows)), "doc_id")
     got = with_features(check, models, {"label": "int"}).toPandas()
     # Classes as rare as they are among the labels.
