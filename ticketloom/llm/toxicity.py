@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ticketloom.llm.common import counted, hashed_words, mixed, store, text_blocks, text_of
+from ticketloom.llm.common import counted, hashed_words, mixed, text_blocks, text_of
 from ticketloom.session import ship_by_value, spread
 
 # Labelled rows of each class that the models and the map to probabilities learn from.
@@ -153,7 +153,7 @@ class Models:
 
 
 def class_bigrams(rows: DataFrame) -> DataFrame:
-    """v, w, stem of w, pair (both in one), n0, n1: bigrams of labelled texts and their counts in each class; rows has text and label."""
+    """v, w, stem of w, n0, n1: bigrams of labelled texts and their counts in each class; rows has text and label."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -162,36 +162,39 @@ def class_bigrams(rows: DataFrame) -> DataFrame:
                 n = len(bounds) - 1
                 label = np.repeat(labels[done : done + n], np.diff(bounds)).astype(np.int64)
                 done += n
-                before = words_before(words, bounds)
-                names = [x.view(np.int64) for x in (before, words, stems, pair_of(before, words))]
-                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (*names, 1 - label, label)], ["v", "w", "stem", "pair", "n0", "n1"])
+                longs = (words_before(words, bounds).view(np.int64), words.view(np.int64), stems.view(np.int64), 1 - label, label)
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in longs], ["v", "w", "stem", "n0", "n1"])
 
-    pairs = rows.select("text", "label").mapInArrow(count, "v long, w long, stem long, pair long, n0 long, n1 long")
-    return pairs.groupBy("v", "w", "stem", "pair").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
+    pairs = rows.select("text", "label").mapInArrow(count, "v long, w long, stem long, n0 long, n1 long")
+    # A sample's counts fit 31 bits.
+    return pairs.groupBy("v", "w", "stem").agg(*[F.sum(n).cast("int").alias(n) for n in ("n0", "n1")])
 
 
 def models_of(rows: DataFrame, texts: DataFrame) -> Models:
-    """Models of a bounded sample of labelled texts, which comes to the driver as counts; shared counts of all texts."""
-    bigrams = store(class_bigrams(rows), "toxicity-bigrams")
-
-    def columns(df: DataFrame) -> dict:
-        table = df.toArrow()
-        found = {c: table[c].to_numpy() for c in table.column_names}
-        return {c: x.view(np.uint64) if c in ("v", "w", "stem", "pair") else x.astype(np.float64) for c, x in found.items()}
-
-    def taken(n):
-        return discount(F.col(n).cast("double"))
-
-    types = [F.count_if(F.col(f"n{k}") > 0).alias(f"t{k}") for k in (0, 1)]
-    words = store(bigrams.groupBy("w", "stem").agg(*types), "toxicity-words")
-    contexts = bigrams.groupBy("v").agg(*[F.sum(x).alias(y) for k in (0, 1) for x, y in ((F.col(f"n{k}"), f"s{k}"), (taken(f"n{k}"), f"d{k}"))])
-    share = [((F.col(f"n{k}") - taken(f"n{k}")) / F.greatest(f"s{k}", F.lit(1))).alias(f"p{k}") for k in (0, 1)]
-    left = [F.when(F.col(f"s{k}") > 0, F.col(f"d{k}") / F.col(f"s{k}")).otherwise(1.0).alias(f"left{k}") for k in (0, 1)]
+    """Models of a bounded sample of labelled texts, which comes to the driver as counted bigrams; shared counts of all texts."""
+    table = class_bigrams(rows).toArrow()
+    v, w, stem = (table[c].to_numpy().view(np.uint64) for c in ("v", "w", "stem"))
+    counts = [table[f"n{k}"].to_numpy() for k in (0, 1)]
+    del table
+
+    def types(names: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+        """Different names, the first place of each, and how many bigrams of each class end in it."""
+        found, first, at = np.unique(names, return_index=True, return_inverse=True)
+        return found, first, [np.bincount(at, n > 0, minlength=len(found)) for n in counts]
+
+    words, first, of_words = types(w)
+    stems, _, of_stems = types(stem)
+    contexts, at = np.unique(v, return_inverse=True)
+    shares, left = [], []
+    for n in counts:
+        taken, seen = discount(n.astype(np.float64)), np.bincount(at, n, minlength=len(contexts))
+        shares.append((n - taken) / np.maximum(seen, 1)[at])
+        left.append(np.where(seen > 0, np.bincount(at, taken, minlength=len(contexts)) / np.maximum(seen, 1), 1.0))
     models = Models(
-        columns(words),
-        columns(words.groupBy("stem").agg(F.sum("t0").alias("t0"), F.sum("t1").alias("t1"))),
-        columns(bigrams.join(contexts.select("v", "s0", "s1"), "v").select("pair", *share)),
-        columns(contexts.select("v", *left)),
+        {"w": words, "stem": stem[first], "t0": of_words[0], "t1": of_words[1]},
+        {"stem": stems, "t0": of_stems[0], "t1": of_stems[1]},
+        {"pair": pair_of(v, w), "p0": shares[0], "p1": shares[1]},
+        {"v": contexts, "left0": left[0], "left1": left[1]},
     )
     models.share_counts(*count_shared(texts, models.words, models.stems))
     return models
