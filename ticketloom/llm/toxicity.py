@@ -47,7 +47,7 @@ def tokens_of(texts: list[str | None]) -> Iterator[tuple[np.ndarray, np.ndarray,
 
 def discount(n):
     """What a count loses to its backoff: nearly all of a small one, never the whole of it; of an array or a column."""
-    return n * RARE**4 / (n * n * n * n + RARE**4)
+    return n / ((n / RARE) ** 4 + 1)
 
 
 def words_before(words: np.ndarray, bounds: np.ndarray) -> np.ndarray:
@@ -94,7 +94,7 @@ class Models:
 
     def __init__(self, words: dict, stems: dict, pairs: dict, contexts: dict):
         """Columns of the words (w, stem, t0, t1: their continuation counts), of the stems (stem, t0, t1), of the bigrams (pair,
-        p0, p1: their discounted shares of their context) and of the contexts (v, left0, left1: what is left of them).
+        n0, n1) and of their contexts (v, s0, s1: counts of all their bigrams, left0, left1: the share that is left).
         """
         self.words, by_word = np.unique(words["w"], return_index=True)
         self.stems, by_stem = np.unique(stems["stem"], return_index=True)
@@ -109,7 +109,8 @@ class Models:
                 taken = discount(types)
                 part_of.append((types - taken) / everything)
                 rest.append(taken.sum() / everything if types.any() else 1.0)
-        self.bigram_part = [pairs[f"p{k}"][by_pair] for k in (0, 1)]
+        self.bigrams = [pairs[f"n{k}"][by_pair] for k in (0, 1)]
+        self.seen = [np.maximum(contexts[f"s{k}"][by_context], 1) for k in (0, 1)]
         self.left = [contexts[f"left{k}"][by_context] for k in (0, 1)]
         self.share_counts(np.ones(len(self.words)), np.ones(len(self.stems)), 1)
 
@@ -141,7 +142,8 @@ class Models:
                 p = p + np.where(known, self.word_part[k][at], 0)
             if len(self.contexts):
                 p = p * np.where(known_context, self.left[k][context], 1)
-                p[pair[hit]] += self.bigram_part[k][place[hit]]
+                n = self.bigrams[k][place[hit]].astype(np.float64)
+                p[pair[hit]] += (n - discount(n)) / self.seen[k][context[pair[hit]]]
             logs.append(np.log(p))
         terms = logs[1] - logs[0]
         sums = np.concatenate([[0], np.cumsum(terms)])
@@ -177,25 +179,27 @@ def models_of(rows: DataFrame, texts: DataFrame) -> Models:
     counts = [table[f"n{k}"].to_numpy() for k in (0, 1)]
     del table
 
-    def types(names: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
-        """Different names, the first place of each, and how many bigrams of each class end in it."""
+    pa.default_memory_pool().release_unused()
+
+    def totals(names: np.ndarray, *weights: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+        """Different names, the first place of each, and the sums of the weights over each."""
         found, first, at = np.unique(names, return_index=True, return_inverse=True)
-        return found, first, [np.bincount(at, n > 0, minlength=len(found)) for n in counts]
-
-    words, first, of_words = types(w)
-    stems, _, of_stems = types(stem)
-    contexts, at = np.unique(v, return_inverse=True)
-    shares, left = [], []
-    for n in counts:
-        taken, seen = discount(n.astype(np.float64)), np.bincount(at, n, minlength=len(contexts))
-        shares.append((n - taken) / np.maximum(seen, 1)[at])
-        left.append(np.where(seen > 0, np.bincount(at, taken, minlength=len(contexts)) / np.maximum(seen, 1), 1.0))
+        return found, first, [np.bincount(at, x, minlength=len(found)) for x in weights]
+
+    words, first, of_words = totals(w, *[n > 0 for n in counts])
+    stem_of = stem[first]
+    stems, _, of_stems = totals(stem_of, *of_words)
+    contexts, _, (seen0, seen1, taken0, taken1) = totals(v, *counts, *map(discount, counts))
+    pairs = pair_of(v, w)
+    del v, w, stem
+    left = [np.where(seen > 0, taken / np.maximum(seen, 1), 1.0) for seen, taken in ((seen0, taken0), (seen1, taken1))]
     models = Models(
-        {"w": words, "stem": stem[first], "t0": of_words[0], "t1": of_words[1]},
+        {"w": words, "stem": stem_of, "t0": of_words[0], "t1": of_words[1]},
         {"stem": stems, "t0": of_stems[0], "t1": of_stems[1]},
-        {"pair": pair_of(v, w), "p0": shares[0], "p1": shares[1]},
-        {"v": contexts, "left0": left[0], "left1": left[1]},
+        {"pair": pairs, "n0": counts[0], "n1": counts[1]},
+        {"v": contexts, "s0": seen0, "s1": seen1, "left0": left[0], "left1": left[1]},
     )
+    del pairs, counts
     models.share_counts(*count_shared(texts, models.words, models.stems))
     return models
 
