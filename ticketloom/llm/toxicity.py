@@ -109,7 +109,8 @@ class Models:
                 taken = discount(types)
                 part_of.append((types - taken) / everything)
                 rest.append(taken.sum() / everything if types.any() else 1.0)
-        self.bigrams = [pairs[f"n{k}"][by_pair] for k in (0, 1)]
+        # Counts in as few bytes as the largest needs: tasks read this from a broadcast.
+        self.bigrams = [n.astype(np.min_scalar_type(n.max(initial=0))) for n in (pairs[f"n{k}"][by_pair] for k in (0, 1))]
         self.seen = [np.maximum(contexts[f"s{k}"][by_context], 1) for k in (0, 1)]
         self.left = [contexts[f"left{k}"][by_context] for k in (0, 1)]
         self.share_counts(np.ones(len(self.words)), np.ones(len(self.stems)), 1)
