@@ -11,7 +11,7 @@ that the models did not learn from map both to a probability.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -32,7 +32,9 @@ STRONGEST = 3
 
 WORD_BYTES = np.zeros(256, bool)
 WORD_BYTES[[*range(48, 58), *range(97, 123), *range(128, 256)]] = True
-START = np.uint64(0x5851F42D4C957F2D)
+# Counts of the sample are gathered in so many parts, after so many words of a task.
+PART_BITS = 6
+HELD = 1 << 21
 
 
 def tokens_of(texts: list[str | None]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
@@ -50,18 +52,6 @@ def discount(n):
     return n / ((n / RARE) ** 4 + 1)
 
 
-def words_before(words: np.ndarray, bounds: np.ndarray) -> np.ndarray:
-    """The word before each word of a block; the start sign before a text's first."""
-    before = np.concatenate([[START], words[:-1]])[: len(words)].astype(np.uint64)
-    first = bounds[:-1][np.diff(bounds) > 0]
-    before[first] = START
-    return before
-
-
-def pair_of(before: np.ndarray, words: np.ndarray) -> np.ndarray:
-    return mixed(before * np.uint64(3) + mixed(words))
-
-
 def find(names: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Places of the wanted hashes in a sorted array, and whether they are there."""
     if not len(names):
@@ -86,33 +76,41 @@ def count_shared(texts: DataFrame, words: np.ndarray, stems: np.ndarray) -> tupl
     return counts[: len(words)], counts[len(words) + 1 : -1], int(counts[: len(words) + 1].sum())
 
 
+def ids_before(ids: np.ndarray, bounds: np.ndarray, start: int) -> np.ndarray:
+    """The id of the word before each word of a block; `start` before a text's first."""
+    before = np.concatenate([[start], ids[:-1]])[: len(ids)].astype(np.int64)
+    before[bounds[:-1][np.diff(bounds) > 0]] = start
+    return before
+
+
+def pair_of(keys: np.ndarray) -> np.ndarray:
+    """Bigram numbers in an even order; different numbers stay different."""
+    return mixed(keys.view(np.uint64))
+
+
 class Models:
     """Both models as sorted arrays: every word, stem, bigram and context of the labelled texts, none left out.
 
     A word that neither class knows needs no shared count: it is the same factor in both probabilities.
     """
 
-    def __init__(self, words: dict, stems: dict, pairs: dict, contexts: dict):
-        """Columns of the words (w, stem, t0, t1: their continuation counts), of the stems (stem, t0, t1), of the bigrams (pair,
-        n0, n1) and of their contexts (v, s0, s1: counts of all their bigrams, left0, left1: the share that is left).
+    def __init__(self, words: np.ndarray, stem_of: np.ndarray, pairs: np.ndarray, counts: list, seen: list, taken: list, types: list):
+        """Sorted words and their stems; sorted bigrams; of both classes the counts of the bigrams, for every context (the
+        last one is the start) their sums and the sums of their discounts, and the words' continuation counts.
         """
-        self.words, by_word = np.unique(words["w"], return_index=True)
-        self.stems, by_stem = np.unique(stems["stem"], return_index=True)
-        self.stem_of_word = np.searchsorted(self.stems, words["stem"][by_word])
-        self.contexts, by_context = np.unique(contexts["v"], return_index=True)
-        self.pairs, by_pair = np.unique(pairs["pair"], return_index=True)
+        self.words, self.pairs, self.bigrams = words, pairs, counts
+        self.stems, stem_of_word = np.unique(stem_of, return_inverse=True)
+        self.stem_of_word = stem_of_word.astype(np.int32)
         self.stem_part, self.stem_rest, self.word_part, self.word_rest = ([] for _ in range(4))
         for k in (0, 1):
-            everything = max(words[f"t{k}"].sum(), 1)
-            for table, order, part_of, rest in ((stems, by_stem, self.stem_part, self.stem_rest), (words, by_word, self.word_part, self.word_rest)):
-                types = table[f"t{k}"][order]
-                taken = discount(types)
-                part_of.append((types - taken) / everything)
-                rest.append(taken.sum() / everything if types.any() else 1.0)
-        # Counts in as few bytes as the largest needs: tasks read this from a broadcast.
-        self.bigrams = [n.astype(np.min_scalar_type(n.max(initial=0))) for n in (pairs[f"n{k}"][by_pair] for k in (0, 1))]
-        self.seen = [np.maximum(contexts[f"s{k}"][by_context], 1) for k in (0, 1)]
-        self.left = [contexts[f"left{k}"][by_context] for k in (0, 1)]
+            everything = max(types[k].sum(), 1)
+            of_stems = np.bincount(self.stem_of_word, types[k], minlength=len(self.stems))
+            for own, part_of, rest in ((of_stems, self.stem_part, self.stem_rest), (types[k], self.word_part, self.word_rest)):
+                lost = discount(own)
+                part_of.append((own - lost) / everything)
+                rest.append(lost.sum() / everything if own.any() else 1.0)
+        self.left = [np.where(n > 0, lost / np.maximum(n, 1), 1.0) for n, lost in zip(seen, taken, strict=True)]
+        self.seen = [smallest(np.maximum(n, 1)) for n in seen]
         self.share_counts(np.ones(len(self.words)), np.ones(len(self.stems)), 1)
 
     def share_counts(self, word_counts: np.ndarray, stem_counts: np.ndarray, total: int) -> None:
@@ -123,12 +121,13 @@ class Models:
 
     def differences(self, words: np.ndarray, stems: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Per text, the sum of log P(word | word before, toxic) - log P(word | word before, ordinary), and its largest terms' sum."""
-        before = words_before(words, bounds)
         at, known = find(self.words, words)
         at_stem, known_stem = find(self.stems, stems)
-        context, known_context = find(self.contexts, before)
-        pair = np.flatnonzero(known_context)
-        place, hit = find(self.pairs, pair_of(before[pair], words[pair]))
+        before = ids_before(np.where(known, at, -1), bounds, len(self.words))
+        known_context = before >= 0
+        context = np.maximum(before, 0)
+        pair = np.flatnonzero(known & known_context)
+        place, hit = find(self.pairs, pair_of(before[pair] * (len(self.words) + 1) + at[pair]))
         # Factors of 1 stand for shares that both probabilities have in common.
         stem_share, within = np.ones(len(words)), np.ones(len(words))
         stem_share[known_stem] = self.stem_share[at_stem[known_stem]]
@@ -141,8 +140,8 @@ class Models:
             p = self.word_rest[k] * p * within
             if len(self.words):
                 p = p + np.where(known, self.word_part[k][at], 0)
-            if len(self.contexts):
-                p = p * np.where(known_context, self.left[k][context], 1)
+            p = p * np.where(known_context, self.left[k][context], 1)
+            if len(self.pairs):
                 n = self.bigrams[k][place[hit]].astype(np.float64)
                 p[pair[hit]] += (n - discount(n)) / self.seen[k][context[pair[hit]]]
             logs.append(np.log(p))
@@ -155,52 +154,118 @@ class Models:
         return sums[bounds[1:]] - sums[bounds[:-1]], strongest
 
 
-def class_bigrams(rows: DataFrame) -> DataFrame:
-    """v, w, stem of w, n0, n1: bigrams of labelled texts and their counts in each class; rows has text and label."""
+def packed(values: np.ndarray) -> bytes:
+    """64-bit numbers as planes of bytes of their differences: what is alike lies together for the shuffle's compression."""
+    return np.diff(values, prepend=values.dtype.type(0)).view(np.uint8).reshape(-1, 8).T.tobytes()
+
+
+def unpacked(data: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(8, -1).T).view(np.int64).ravel().cumsum()
+
+
+def smallest(counts: np.ndarray) -> np.ndarray:
+    """Counts in as few bytes as the largest needs: tasks read them from a broadcast."""
+    return counts.astype(np.min_scalar_type(int(counts.max(initial=0))))
+
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def joined(parts: list[np.ndarray]) -> np.ndarray:
+    """One array of all parts; each part is freed as soon as it is copied."""
+    whole = np.empty(sum(map(len, parts)), np.result_type(*parts))
+    at = len(whole)
+    while parts:
+        last = parts.pop()
+        whole[at - len(last) : at] = last
+        at -= len(last)
+    return whole
+
+
+def first_of(keys: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    found, at = np.unique(keys, return_index=True)
+    return found, values[at]
+
+
+def sum_of(keys: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    found, at = np.unique(keys, return_inverse=True)
+    return found, np.bincount(at, values, minlength=len(found)).astype(np.int64)
+
+
+def gathered(rows: DataFrame, entries: Callable, merge: Callable) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """Part, keys and values of the entries of labelled texts, merged by key; rows has text and label.
+
+    Tasks merge what they hold before the shuffle; the driver takes one
+    partition after the other.  A key's part are the first bits of `pair_of(key >> 1)`.
+    """
+
+    def parts_of(held: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+        keys, values = merge(*map(np.concatenate, zip(*held, strict=True)))
+        part = (pair_of(keys >> 1) >> np.uint64(64 - PART_BITS)).astype(np.int32)
+        order = np.argsort(part, kind="stable")
+        parts, first = np.unique(part[order], return_index=True)
+        own = np.split(order, first[1:])
+        return pa.RecordBatch.from_arrays(
+            [pa.array(parts), *[pa.array([packed(x[places]) for places in own], pa.binary()) for x in (keys, values)]], ["part", "keys", "counts"]
+        )
+
+    def collect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
         for batch in batches:
             labels, done = batch.column("label").to_numpy(), 0
             for words, stems, bounds in tokens_of(batch.column("text").to_pylist()):
                 n = len(bounds) - 1
-                label = np.repeat(labels[done : done + n], np.diff(bounds)).astype(np.int64)
-                done += n
-                longs = (words_before(words, bounds).view(np.int64), words.view(np.int64), stems.view(np.int64), 1 - label, label)
-                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in longs], ["v", "w", "stem", "n0", "n1"])
+                held.append(entries(words, stems, bounds, np.repeat(labels[done : done + n], np.diff(bounds))))
+                done, size = done + n, size + len(words)
+                if size >= HELD:
+                    yield parts_of(held)
+                    held, size = [], 0
+        if size:
+            yield parts_of(held)
+
+    def together(group):
+        import pandas as pd
 
-    pairs = rows.select("text", "label").mapInArrow(count, "v long, w long, stem long, n0 long, n1 long")
-    # A sample's counts fit 31 bits.
-    return pairs.groupBy("v", "w", "stem").agg(*[F.sum(n).cast("int").alias(n) for n in ("n0", "n1")])
+        keys, values = merge(*[np.concatenate([unpacked(x) for x in group[c]]) for c in ("keys", "counts")])
+        return pd.DataFrame({"part": group["part"][:1], "keys": [packed(keys)], "counts": [packed(values)]})
+
+    schema = "part int, keys binary, counts binary"
+    found = rows.select("text", "label").mapInArrow(collect, schema).groupBy("part").applyInPandas(together, schema)
+    for row in found.toLocalIterator():
+        yield row["part"], unpacked(row["keys"]), unpacked(row["counts"])
 
 
 def models_of(rows: DataFrame, texts: DataFrame) -> Models:
-    """Models of a bounded sample of labelled texts, which comes to the driver as counted bigrams; shared counts of all texts."""
-    table = class_bigrams(rows).toArrow()
-    v, w, stem = (table[c].to_numpy().view(np.uint64) for c in ("v", "w", "stem"))
-    counts = [table[f"n{k}"].to_numpy() for k in (0, 1)]
-    del table
-
-    pa.default_memory_pool().release_unused()
-
-    def totals(names: np.ndarray, *weights: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
-        """Different names, the first place of each, and the sums of the weights over each."""
-        found, first, at = np.unique(names, return_index=True, return_inverse=True)
-        return found, first, [np.bincount(at, x, minlength=len(found)) for x in weights]
-
-    words, first, of_words = totals(w, *[n > 0 for n in counts])
-    stem_of = stem[first]
-    stems, _, of_stems = totals(stem_of, *of_words)
-    contexts, _, (seen0, seen1, taken0, taken1) = totals(v, *counts, *map(discount, counts))
-    pairs = pair_of(v, w)
-    del v, w, stem
-    left = [np.where(seen > 0, taken / np.maximum(seen, 1), 1.0) for seen, taken in ((seen0, taken0), (seen1, taken1))]
-    models = Models(
-        {"w": words, "stem": stem_of, "t0": of_words[0], "t1": of_words[1]},
-        {"stem": stems, "t0": of_stems[0], "t1": of_stems[1]},
-        {"pair": pairs, "n0": counts[0], "n1": counts[1]},
-        {"v": contexts, "s0": seen0, "s1": seen1, "left0": left[0], "left1": left[1]},
-    )
-    del pairs, counts
+    """Models of a bounded sample of labelled texts, which comes to the driver as counted bigrams; shared counts of all texts.
+
+    Words are numbered first, so that a bigram is one number, whose class is the last bit.
+    """
+    found = list(gathered(rows, lambda words, stems, *_: (words.view(np.int64), stems.view(np.int64)), first_of))
+    words, stem_of = (np.concatenate([np.zeros(0, np.int64), *[x[c] for x in found]]).view(np.uint64) for c in (1, 2))
+    order = np.argsort(words)
+    words, stem_of = words[order], stem_of[order]
+    names, start = rows.sparkSession.sparkContext.broadcast(words), len(words)
+
+    def bigrams(own: np.ndarray, _, bounds: np.ndarray, labels: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        ids, _ = find(names.value, own)
+        return (ids_before(ids, bounds, start) * (start + 1) + ids) * 2 + labels, np.ones(len(ids), np.int64)
+
+    seen, taken = ([np.zeros(start + 1) for _ in (0, 1)] for _ in range(2))
+    types = [np.zeros(start) for _ in (0, 1)]
+    pairs = [np.zeros(0, np.uint64)] * (1 << PART_BITS)
+    counts = [[np.zeros(0, np.uint8)] * (1 << PART_BITS) for _ in (0, 1)]
+    for part, codes, n in gathered(rows, bigrams, sum_of):
+        keys, at = np.unique(codes >> 1, return_inverse=True)
+        before, word = np.divmod(keys, start + 1)
+        pair = pair_of(keys)
+        order = np.argsort(pair)
+        pairs[part] = pair[order]
+        for k in (0, 1):
+            own = np.bincount(at, n * (codes & 1 == k), minlength=len(keys))
+            seen[k] += np.bincount(before, own, minlength=start + 1)
+            taken[k] += np.bincount(before, discount(own), minlength=start + 1)
+            types[k] += np.bincount(word, own > 0, minlength=start)
+            counts[k][part] = smallest(own[order])
+    names.destroy()
+    seen = [n.astype(np.int64) for n in seen]
+    models = Models(words, stem_of, joined(pairs), [joined(n) for n in counts], seen, taken, types)
     models.share_counts(*count_shared(texts, models.words, models.stems))
     return models
 
