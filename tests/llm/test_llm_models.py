@@ -5,6 +5,7 @@ import re
 import zlib
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 
 import corpus_pipeline
@@ -98,6 +99,44 @@ def test_classifier_edges(spark, edge_docs, no_docs, score):
     assert all(0 <= r.score <= 1 for r in score(edge_docs, some.limit(0)).collect())
 
 
+def test_network_equals_plain_convolution():
+    rng, net = np.random.default_rng(1), quality_net.Network.fresh(3)
+    net.bias[:] = rng.normal(0, 0.5, quality_net.FILTERS)
+    net.shift = 0.25
+    texts = [b"", b"abc", rng.integers(0, 256, 700, np.uint8).tobytes(), rng.integers(0, 256, 40000, np.uint8).tobytes()]
+    cuts = [quality_net.chunks_of(t) for t in texts]
+    got = net.scores(np.concatenate(cuts), np.cumsum([0, *map(len, cuts)]))
+    for text, value in zip(texts, got, strict=True):
+        answers = []
+        for at in range(0, max(1, len(text) - (quality_net.CHUNK - quality_net.STEP)), quality_net.STEP):
+            chunk = text[at : at + quality_net.CHUNK].ljust(quality_net.CHUNK, b"\0")
+            places = range(0, quality_net.CHUNK - quality_net.WIDTH + 1, quality_net.STRIDE)
+            every = [sum(net.filters[k][chunk[i + k]].astype(float) for k in range(quality_net.WIDTH)) for i in places]
+            answers.append(np.maximum(np.max(every, 0) + net.bias, 0))
+        logit = np.concatenate([np.mean(answers, 0), np.max(answers, 0)]) @ net.weights + net.shift
+        assert value == pytest.approx(1 / (1 + math.exp(-logit)), abs=1e-5)
+
+
+def test_quality_net_learns_from_whole_texts(spark):
+    ids = [i for i in range(1, 40) if zlib.crc32(str(i).encode()) % 5][:12]
+    texts = {i: "x" * 20000 * (k % 3) + f"end {i}" for k, i in enumerate(ids)}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    labels = spark.createDataFrame([(i, k % 2) for k, i in enumerate(ids)], "doc_id long, quality int")
+    cuts, marks = quality_net.training_rows(docs, labels, "quality", 4, "doc_id", "text")
+    assert len(cuts) == 8 and sorted(marks.tolist()) == [0] * 4 + [1] * 4
+    whole = {quality_net.chunks_of(t.encode()).tobytes() for t in texts.values()}
+    assert {c.tobytes() for c in cuts} <= whole
+
+
+def test_packed_numbers_come_back():
+    rng = np.random.default_rng(2)
+    for n in (0, 1, 2, 1000):
+        values = rng.integers(-(1 << 63), 1 << 63, n, np.int64)
+        assert (toxicity.unpacked(toxicity.packed(values)) == values).all()
+    parts = [np.arange(3, dtype=np.uint8), np.zeros(0, np.uint8), np.array([700], np.uint16)]
+    assert toxicity.joined(parts).tolist() == [0, 1, 2, 700]
+
+
 def test_chunks_cover_the_whole_text():
     for n in (0, 1, 511, 512, 513, 960, 961, 5000):
         data = bytes(k % 251 + 1 for k in range(n))

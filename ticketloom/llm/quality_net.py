@@ -25,21 +25,17 @@ STEP = 448
 WIDTH = 6
 STRIDE = 2
 FILTERS = 24
-# Labelled rows of each class to learn from, and chunks of one such row.
+# Labelled rows of each class to learn from, by all of their chunks.
 SAMPLE_ROWS = 2000
-SAMPLE_CHUNKS = 12
 EPOCHS = 8
 
 
-def chunks_of(data: bytes, most: int | None = None) -> np.ndarray:
-    """A text's overlapping chunks, the last one filled up with zeros; `most`: so many, evenly spread."""
+def chunks_of(data: bytes) -> np.ndarray:
+    """A text's overlapping chunks, the last one filled up with zeros."""
     n = max(1, -(-(len(data) - (CHUNK - STEP)) // STEP))
     padded = np.zeros((n - 1) * STEP + CHUNK, np.uint8)
     padded[: len(data)] = np.frombuffer(data, np.uint8)
-    starts = np.arange(n) * STEP
-    if most and n > most:
-        starts = starts[np.linspace(0, n - 1, most).astype(int)]
-    return padded[starts[:, None] + np.arange(CHUNK)]
+    return padded[np.arange(n)[:, None] * STEP + np.arange(CHUNK)]
 
 
 @dataclass
@@ -130,7 +126,7 @@ def held_out(doc_id: Column) -> Column:
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, label: str, rows: int, doc_id: str, text: str) -> tuple[list[np.ndarray], np.ndarray]:
-    """Chunks and labels of at most `rows` labelled rows of each class that aren't held out, the same ones every time."""
+    """All chunks and the labels of at most `rows` labelled rows of each class that aren't held out, the same ones every time."""
     own = labels.select(F.col(doc_id).alias("doc_id"), F.col(label).cast("int").alias("label")).where(
         F.col("label").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))
     )
@@ -141,7 +137,7 @@ def training_rows(docs: DataFrame, labels: DataFrame, label: str, rows: int, doc
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            cuts = [chunks_of(t.encode(), SAMPLE_CHUNKS).tobytes() for t in batch.column("text").to_pylist()]
+            cuts = [chunks_of(t.encode()).tobytes() for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("label"), pa.array(cuts, pa.binary())], ["doc_id", "label", "chunks"])
 
     got = picked.mapInArrow(cut, "doc_id long, label int, chunks binary").orderBy("doc_id", "chunks").limit(2 * rows).collect()
@@ -152,8 +148,8 @@ def score_quality(docs: DataFrame, labels: DataFrame, label: str = "quality", th
                   text: str = "text", rows: int = SAMPLE_ROWS) -> DataFrame:
     """doc_id, held_out, score and predicted of every row.
 
-    Learns from labelled rows whose crc32(doc_id) mod 5 isn't 0; null ids and
-    null labels teach nothing, a null id is not held out.  Null and empty
+    Learns from the whole texts of at most `rows` labelled rows of each class
+    whose crc32(doc_id) mod 5 isn't 0; null ids and null labels teach nothing, a null id is not held out.  Null and empty
     texts are one chunk of zeros.  Repeated rows score alike; other columns
     are not read.  With labels of one class only, every score leans to it.
     """
