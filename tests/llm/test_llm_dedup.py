@@ -139,3 +139,19 @@ def test_line_dedup_edges(edge_docs, no_docs):
     assert line_dedup.dedup_lines(no_docs).collect() == []
     kept = line_dedup.deduped_documents(edge_docs)
     assert kept.columns == edge_docs.columns and kept.count() == 12
+
+
+def test_a_batch_that_is_added_again_keeps_its_labels(spark):
+    index = exact_dedup.DigestIndex(spark, "digest_index_again", work_path(spark, "digest_index_again"), 4)
+    old = spark.createDataFrame([(1, "a b"), (2, "c")], "doc_id long, text string")
+    new = spark.createDataFrame([(7, "ab"), (8, "d"), (9, "d "), (9, "d "), (10, None), (11, "e")], "doc_id long, text string")
+    index.add(old, batch="first").collect()
+    labels = lambda rows: sorted((r.doc_id, r.keep_id, r.group_size, r.kept) for r in rows.collect())
+    want = [(7, 1, 1, False), (8, 9, 3, False), (9, 9, 3, False), (9, 9, 3, True), (10, 10, 1, True), (11, 11, 1, True)]
+    # As after a run that failed in the middle of its append: a part of the batch is there.
+    index.add(new.where("doc_id < 10"), batch="second").collect()
+    assert labels(index.add(new, batch="second")) == want
+    assert labels(index.add(new.orderBy("text").repartition(3), batch="second")) == want
+    assert index.read().count() == 5
+    assert labels(index.add(new, batch="third")) == [(i, k, n, False) for i, k, n, _ in want]
+    spark.sql("DROP TABLE digest_index_again")

@@ -43,9 +43,13 @@ class DigestIndex:
     def read(self) -> DataFrame:
         return self.spark.table(self.table)
 
-    def add(self, docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    def add(self, docs: DataFrame, doc_id: str = "doc_id", text: str = "text", batch: str | None = None) -> DataFrame:
         """Append the new texts of a batch; label every row of the batch.
 
+        A job that may be started again names its batch: the same rows under the
+        same name, after a run that failed before, in the middle of or after the
+        append, add what is missing of them and get the same labels.
+
         Returns row, doc_id, keep_id, group_size, kept and text_sha256, one row
         per row of `docs`.  Of equal texts of a batch the row with the most code
         points stays, then the smallest doc_id (null last), then the first row;
@@ -53,7 +57,7 @@ class DigestIndex:
         group_size are those of that batch.  Null texts count as empty, empty
         texts are equal, other columns are not read.
         """
-        batch = uuid.uuid4().hex
+        again, batch = batch is not None, batch or uuid.uuid4().hex
         rows = numbered(
             docs,
             "digests",
@@ -74,6 +78,9 @@ class DigestIndex:
             .saveAsTable(self.table)
         )
         index = self.read()
+        if again:
+            # An earlier run may have numbered the rows in another way.
+            index = index.drop("keep_row").join(groups.select("digest", F.col("best.row").alias("keep_row")), "digest")
         # A very large group would land in one task of the sort-merge join; its digest travels instead.
         # Groups of more than n / HOT_SHARE rows are fewer than HOT_SHARE, whatever n is.
         counts = rows.count()
