@@ -1,4 +1,5 @@
 import math
+import re
 
 import numpy as np
 import pytest
@@ -126,6 +127,75 @@ def test_vector_models_and_cross_validation(spark):
     assert M.cv_summary(scores).first()["mean_accuracy"] > 0.95
 
 
+def _matrix(df):
+    rows = sorted(df.collect(), key=lambda r: r["id"])
+    x, y = np.array([r["vec"] for r in rows]), np.array(["abc".index(r["label"]) for r in rows])
+    return x, y
+
+
+def test_logistic_regression_is_the_optimum(spark):
+    """Mean log loss and half the penalty, by plain gradient descent."""
+    df = M.with_features(_points(spark), "vec")
+    x, y = _matrix(df)
+    for c in (0.1, 1.0):
+        model = M.train(df, lambda rows, c=c: M.logreg(rows, c=c), "label").stages[-2]
+        reg, hot, w, b = 1 / (c * len(x)), np.eye(3)[y], np.zeros((3, 4)), np.zeros(3)
+
+        def loss(w, b):
+            z = x @ w.T + b
+            return (np.log(np.exp(z).sum(1)) - z[np.arange(len(x)), y]).mean() + reg / 2 * (w * w).sum()
+
+        for _ in range(20000):
+            p = np.exp(x @ w.T + b)
+            p = (p / p.sum(1, keepdims=True) - hot) / len(x)
+            w, b = w - 0.3 * (p.T @ x + reg * w), b - 0.3 * p.sum(0)
+        got, shift = model.coefficientMatrix.toArray(), np.array(model.interceptVector.toArray())
+        assert loss(got, shift) == pytest.approx(loss(w, b), abs=1e-4)
+        assert np.abs(got - w).max() < 0.05
+
+
+def test_linear_svm_is_the_optimum(spark):
+    """Mean hinge loss and half the penalty of one class against the rest, by plain subgradient steps."""
+    df = M.with_features(_points(spark), "vec")
+    x, y = _matrix(df)
+    reg, found = 1 / len(x), M.train(df, M.linear_svm, "label").stages[-2].models
+    for k, model in enumerate(found):
+        sign = np.where(y == k, 1, -1)
+
+        def loss(w, b):
+            return np.maximum(0, 1 - sign * (x @ w + b)).mean() + reg / 2 * (w * w).sum()
+
+        w, b, best = np.zeros(4), 0.0, np.inf
+        for step in range(1, 30001):
+            wrong = (sign * (x @ w + b) < 1) * sign
+            rate = 2 / np.sqrt(step)
+            w, b = w - rate * (reg * w - x.T @ wrong / len(x)), b + rate * wrong.mean()
+            best = min(best, loss(w, b))
+        assert loss(model.coefficients.toArray(), model.intercept) < best + 5e-3
+
+
+def test_tree_splits_where_gini_is_least(spark):
+    rng = np.random.default_rng(8)
+    x = rng.integers(0, 9, (300, 3)).astype(float)
+    y = np.where(rng.random(300) < 0.15, rng.integers(0, 3, 300), (x[:, 1] > 5) + ((x[:, 1] > 5) & (x[:, 2] > 5)).astype(int))
+    rows = [(i, v.tolist(), "abc"[k]) for i, (v, k) in enumerate(zip(x, y, strict=True))]
+    df = M.with_features(spark.createDataFrame(rows, "id int, vec array<double>, label string"), "vec")
+    printed = M.train(df, M.decision_tree(depth=1), "label").stages[-2].toDebugString
+    feature, threshold = re.search(r"If \(feature (\d+) <= ([\d.]+)\)", printed).groups()
+
+    def impurity(part):
+        return len(part) * (1 - sum((np.mean(part == k) if len(part) else 0) ** 2 for k in range(3)))
+
+    splits = {(j, t): impurity(y[x[:, j] <= t]) + impurity(y[x[:, j] > t]) for j in range(3) for t in np.arange(0.5, 8)}
+    assert splits[int(feature), float(threshold)] == pytest.approx(min(splits.values()))
+
+
+def test_a_tuned_model_is_kept_only_where_it_is_better(spark, sf_dir):
+    row = Q.tune_and_keep(spark, sf_dir).first()
+    assert row["accuracy_kept"] >= row["accuracy_before"] and row["replaced"] == (row["accuracy_kept"] > row["accuracy_before"])
+    assert row["solver"] in ("multinomial", "one-vs-rest") and row["c"] in (0.01, 0.1, 1.0, 10.0, 100.0)
+
+
 def test_grid_search_and_keep_if_better(spark):
     df = M.with_features(_points(spark, 60), "vec")
     results, best = M.grid_search(df, "label", "id", c_values=(0.1, 1.0), folds=3, max_iter=20)

@@ -6,6 +6,7 @@ stored embeddings; both use the hash split.
 
 from __future__ import annotations
 
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from ticketloom.functions import constants as K
@@ -23,6 +24,7 @@ from ticketloom.plans import sqltext as Q
 from ticketloom.plans.label_queries import CLEAN_MESSAGES_SQL, CLEAN_SQL, hash_rank_sql, messages_of
 from ticketloom.plans.registry import query, table, table_stream, text_table
 from ticketloom.plans.report_queries import DAY, WEEK, class_report_sql
+from ticketloom.plans.vector_queries import embed_sql
 from ticketloom.plans.views import ticket_view, tickets_of, with_views
 from ticketloom.session import broadcast_if_small, materialise, work_path
 from ticketloom.sources import logs as G
@@ -276,10 +278,28 @@ def _document_vectors(spark, sf_dir):
     return V.embed_texts(_documents(spark, sf_dir), "text", "vec", 64).select("doc_id", "vec")
 
 
-@query("hybrid_features", "SELECT doc_id, lang AS category FROM documents")
+HYBRID_SQL = f"""
+WITH weights AS ({tfidf_sql(2000, 2, 0.8).replace(", 6) AS weight", ", 15) AS weight")}),
+sums AS (SELECT doc_id, count(*) AS n_terms, sum(weight) AS terms FROM weights GROUP BY doc_id)
+SELECT doc_id, lang AS category, coalesce(n_terms, 0) AS n_terms, round(coalesce(terms, 0), 4) AS term_sum, round(list_sum(vec), 4) AS vector_sum
+FROM documents LEFT JOIN sums USING (doc_id) JOIN ({embed_sql("documents", "doc_id", "text")}) USING (doc_id)
+"""
+
+
+@query("hybrid_features", HYBRID_SQL)
 def hybrid_features(spark, sf_dir):
+    """Term weights and embedding of every document side by side: how many weights, and both sums."""
     both, _ = M.hybrid_features(_documents(spark, sf_dir), "doc_id", "text", _document_vectors(spark, sf_dir), "vec")
-    return both.filter(F.col("features").isNotNull()).select("doc_id", LABEL)
+    total = lambda values: F.aggregate(values, F.lit(0.0), lambda a, x: a + x)
+    split = both.withColumn("_values", vector_to_array("features")).withColumn("_terms", F.size("_values") - 64)
+    terms, vector = F.slice("_values", F.lit(1), F.col("_terms")), F.slice("_values", F.col("_terms") + 1, F.lit(64))
+    return split.select(
+        "doc_id",
+        LABEL,
+        F.size(F.filter(terms, lambda x: x != 0)).cast("long").alias("n_terms"),
+        F.round(total(terms), 4).alias("term_sum"),
+        F.round(total(vector), 4).alias("vector_sum"),
+    )
 
 
 @query("train_hybrid")
@@ -297,6 +317,17 @@ def reduce_dims(spark, sf_dir):
     return reduced.select("vec_id", F.size("reduced").alias("dims"))
 
 
+@query(
+    "reduce_dims_all",
+    "SELECT vec_id, round(sum((x - mean) * (x - mean)), 4) AS length FROM (SELECT vec_id, x, avg(x) OVER (PARTITION BY pos) AS mean "
+    "FROM (SELECT vec_id, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) AS pos FROM embeddings)) GROUP BY vec_id",
+)
+def reduce_dims_all(spark, sf_dir):
+    """With all components the projection only turns the centred vectors: squared lengths stay."""
+    reduced, _ = M.reduce_dims(_vectors(spark, sf_dir), "vec", 64)
+    return reduced.select("vec_id", F.round(F.aggregate("reduced", F.lit(0.0), lambda a, x: a + x * x), 4).alias("length"))
+
+
 def _knn_predictor(train, test):
     near = V.knn_classify(train, test.withColumnRenamed("vec_id", "qid"), LABEL, "vec_id", "qid", k=10)
     return test.select(F.col("vec_id").alias("qid"), LABEL).join(near, "qid")
@@ -351,6 +382,20 @@ def grid_search(spark, sf_dir):
     return results.withColumn("macro_f1", F.round("macro_f1", 4))
 
 
+@query("tune_and_keep")
+def tune_and_keep(spark, sf_dir):
+    """Tuned on a subset, refitted on all training rows, kept only where better on the test rows than the model in use."""
+    train, test = _vector_split(spark, sf_dir)
+    current = M.train_on_vectors(train, "vec", LABEL)
+    results, candidate = M.grid_search(train, LABEL, "vec_id", folds=3, tune_rows=20000)
+    before = M.score(test, current, LABEL)
+    kept, accuracy = M.keep_if_better(current, candidate, test, LABEL)
+    best = results.first()
+    row = (best["solver"], best["c"], round(best["macro_f1"], 4), kept is candidate, round(before, 4), round(accuracy, 4))
+    schema = "solver string, c double, macro_f1 double, replaced boolean, accuracy_before double, accuracy_kept double"
+    return spark.createDataFrame([row], schema)
+
+
 @query("cross_validate")
 def cross_validate(spark, sf_dir):
     fit = lambda part: M.train_on_vectors(part, "vec", LABEL)
@@ -387,14 +432,24 @@ def _language_model(spark, sf_dir):
     return M.train_logreg(usable, "clean_text", LABEL, min_df=2, max_features=5000)
 
 
-@query("save_model", "SELECT 'type' AS key, 'tfidf-logreg' AS value UNION ALL SELECT 'classes', 'de,en,es,fr'")
+SAVED_SQL = f"""
+SELECT 'type' AS key, 'tfidf-logreg' AS value UNION ALL SELECT 'classes', 'de,en,es,fr'
+UNION ALL SELECT 'predicted alike', CAST(count(*) AS VARCHAR) FROM ({Q.ticket_sql("documents", "doc_id", "text")}) WHERE clean_text <> ''
+"""
+
+
+@query("save_model", SAVED_SQL)
 def save_model(spark, sf_dir):
-    """Saved, loaded and asked for its classes."""
+    """Saved, loaded, asked for its classes and held against the model in memory on every document."""
     path = work_path(spark, "model")
     model = _language_model(spark, sf_dir)
     G.save_model(model, path, {"type": "tfidf-logreg", "classes": ",".join(model.stages[-1].getLabels())})
     loaded, config = G.load_model(spark, path)
-    rows = [("type", config["type"]), ("classes", ",".join(loaded.stages[-1].getLabels()))]
+    documents = C.compute_once(_documents(spark, sf_dir), clean_text=T.clean_ticket_text(F.col("text"))).filter("clean_text <> ''")
+    once = M.predict_batch(documents.select("doc_id", "clean_text"), model, ["doc_id", "clean_text"])
+    both = M.predict_batch(once.withColumnsRenamed({"prediction": "_class", "confidence": "_sure"}).drop("probability"), loaded, ["_class", "_sure"])
+    alike = both.filter((F.col("prediction") == F.col("_class")) & (F.abs(F.col("confidence") - F.col("_sure")) < 1e-9)).count()
+    rows = [("type", config["type"]), ("classes", ",".join(loaded.stages[-1].getLabels())), ("predicted alike", str(alike))]
     return spark.createDataFrame(rows, "key string, value string")
 
 
