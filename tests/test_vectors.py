@@ -3,6 +3,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from ticketloom.operators import evaluate as E
+from ticketloom.operators import sampling as S
 from ticketloom.operators import vectors as V
 
 
@@ -118,3 +119,30 @@ def test_rank_of_expected(spark):
     got = {r["qid"]: (r["hit"], r["rank"], r["top_categories"], r["top_category"]) for r in E.rank_of_expected(results, queries).collect()}
     assert got == {1: (True, 2, "a,b", "a"), 2: (False, None, "a", "a"), 3: (False, None, "", "Unknown")}
     assert E.search_miss_analysis(results, E.rank_of_expected(results, queries), 20).filter(F.col("qid") == 2).first()["n"] == 1
+
+
+def test_grid_search_within_one_split_table(spark):
+    """Both sides from one table, as in a split: the larger query set is joined block by block."""
+    m = _data(120)
+    rows = [(i, m[i].tolist(), "ab"[i % 2]) for i in range(len(m))]
+    table = spark.createDataFrame(rows, "id long, vec array<float>, g string")
+    split = S.stratified_split(table.select("id", "vec", F.col("g").alias("category")), "category", "id")
+    train, test = split.filter(~F.col("is_test")), split.filter("is_test").withColumnRenamed("id", "qid")
+    rows_of = lambda df: sorted(map(tuple, df.collect()))
+    want = rows_of(V.search(test, train, 5, metric="euclidean"))
+    assert rows_of(V.search(test, train, 5, metric="euclidean", max_shipped=0)) == want and len(want) == 24 * 5
+
+
+@pytest.mark.parametrize("corpus_slice", [16, 4096])
+def test_rows_that_tie_are_not_held(monkeypatch, corpus_slice):
+    monkeypatch.setattr(V, "CORPUS_SLICE", corpus_slice)
+    m = np.repeat(_data(40), 50, axis=0).astype(float)
+    ids, held, best = np.random.default_rng(2).permutation(len(m)), [], V._best
+    monkeypatch.setattr(V, "_best", lambda q, i, s, k: held.append(len(q)) or best(q, i, s, k))
+    q, found, s = V._top_candidates(V._prepare(m, "cosine"), ids, None, V._prepare(m, "cosine"), ids, None, 3, "cosine", True)
+    assert max(held) <= V.QUERY_SLICE * 3 * 5 and np.bincount(q).tolist() == [3] * len(m)
+    unit = m / np.linalg.norm(m, axis=1, keepdims=True)
+    for at in range(0, len(m), 97):
+        scores = np.round(unit @ unit[at], 6)
+        want = sorted((i for i in range(len(m)) if i != at), key=lambda i: (-scores[i], ids[i]))[:3]
+        assert found[q == at].tolist() == ids[want].tolist()

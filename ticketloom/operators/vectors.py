@@ -24,9 +24,11 @@ ship_by_value(__name__)
 
 # Query vectors shipped to every task: checked before use, see ``search``.
 MAX_SHIPPED_QUERIES = 4096
-# Rows of one block of the grid search, and queries scored at once.
-BLOCK_ROWS = 100_000
+# Rows of one block of the grid search, the fewest that a block is cut to, and the queries and rows scored at once.
+BLOCK_ROWS = 65_536
+LEAST_BLOCK_ROWS = 4096
 QUERY_SLICE = 256
+CORPUS_SLICE = 4096
 SCORE_DIGITS = 6
 DEFAULT_DIM = 256
 
@@ -134,10 +136,11 @@ def _prepare(matrix: np.ndarray, metric: str) -> np.ndarray:
 
 
 def _scores(q: np.ndarray, c: np.ndarray, metric: str) -> np.ndarray:
+    """Scores before rounding."""
     if metric == "cosine":
-        return np.round(q @ c.T, SCORE_DIGITS)
+        return q @ c.T
     squared = (q * q).sum(1)[:, None] + (c * c).sum(1)[None, :] - 2 * (q @ c.T)
-    return np.round(-np.sqrt(np.maximum(squared, 0)), SCORE_DIGITS)
+    return -np.sqrt(np.maximum(squared, 0))
 
 
 def _best(q: np.ndarray, ids: np.ndarray, s: np.ndarray, k: int):
@@ -152,24 +155,54 @@ def _best(q: np.ndarray, ids: np.ndarray, s: np.ndarray, k: int):
     return q[keep], ids[keep], s[keep]
 
 
+def _first_best(scores: np.ndarray, k: int) -> np.ndarray:
+    """Mask of the best k of every row; of equal scores the first columns."""
+    if scores.shape[1] <= k:
+        return scores > -np.inf
+    cut = -np.partition(-scores, k - 1, axis=1)[:, k - 1, None]
+    above, tie = scores > cut, scores == cut
+    tie &= np.cumsum(tie, axis=1, dtype=np.int32) <= k - above.sum(1)[:, None]
+    return (above | tie) & (scores > -np.inf)
+
+
 def _top_candidates(qm, q_ids, q_groups, cm, c_ids, c_groups, k, metric, exclude_self):
-    """Best k corpus rows of one block per query, including every tie at the k-th score."""
-    found = []
+    """Best k corpus rows of one block per query number: (query number, id, score).
+
+    The corpus is met in slices in order of id, so a later row that ties with
+    the k-th score so far has lost, and however many rows tie, no more than one
+    slice of scores and k rows per query are held.
+    """
+    order = np.argsort(c_ids, kind="stable")
+    cm, c_ids = cm[order], c_ids[order]
+    c_groups = None if c_groups is None else c_groups[order]
+    # A score that rounds to more than another rounded one exceeds it by more than this.
+    slack = 0.4 * 10.0**-SCORE_DIGITS
+    found = [(np.empty(0, np.int64), c_ids[:0], np.empty(0))]
     for lo in range(0, len(qm), QUERY_SLICE):
         part = slice(lo, lo + QUERY_SLICE)
-        scores = _scores(qm[part], cm, metric)
-        scores[np.isnan(scores)] = -np.inf
-        if q_groups is not None:
-            scores[q_groups[part][:, None] != c_groups[None, :]] = -np.inf
-        if exclude_self:
-            scores[q_ids[part][:, None] == c_ids[None, :]] = -np.inf
-        if scores.shape[1] > k:
-            cut = -np.partition(-scores, k - 1, axis=1)[:, k - 1]
-            mask = (scores >= cut[:, None]) & np.isfinite(scores)
-        else:
-            mask = np.isfinite(scores)
-        qi, ci = np.nonzero(mask)
-        found.append(_best(qi + lo, c_ids[ci], scores[qi, ci], k))
+        floor, best = np.full(len(qm[part]), -np.inf), found[0]
+        for at in range(0, len(cm), CORPUS_SLICE):
+            near = slice(at, at + CORPUS_SLICE)
+            scores = _scores(qm[part], cm[near], metric)
+            if q_groups is not None:
+                scores[q_groups[part][:, None] != c_groups[near][None, :]] = -np.inf
+            if exclude_self:
+                scores[q_ids[part][:, None] == c_ids[near][None, :]] = -np.inf
+            mask = scores > (floor + slack)[:, None]
+            if np.count_nonzero(mask) > 4 * k * len(floor):
+                scores = np.round(scores, SCORE_DIGITS)
+                scores[~(np.isfinite(scores) & (scores > floor[:, None]))] = -np.inf
+                mask = _first_best(scores, k)
+            qi, ci = np.nonzero(mask)
+            values = np.round(scores[qi, ci], SCORE_DIGITS)
+            new = np.isfinite(values) & (values > floor[qi])
+            if not new.any():
+                continue
+            best = _best(*(np.concatenate(x) for x in zip(best, (qi[new], c_ids[near][ci[new]], values[new]))), k)
+            last = np.flatnonzero(np.r_[np.diff(best[0]) > 0, True])
+            full = np.diff(np.r_[-1, last]) == k
+            floor[best[0][last[full]]] = best[2][last[full]]
+        found.append((best[0] + lo, *best[1:]))
     return [np.concatenate(x) for x in zip(*found)]
 
 
@@ -255,11 +288,19 @@ def _search_in_place(shipped, corpus, schema, dim, k, query_id, corpus_id, vec,
 
 def _search_on_grid(queries, corpus, schema, dim, k, query_id, corpus_id, vec, group, exclude_self, metric) -> DataFrame:
     """Queries and corpus cut into hash blocks of bounded size; one task per pair of blocks."""
-    q_blocks = max(1, -(-queries.count() // BLOCK_ROWS))
-    c_blocks = max(1, -(-corpus.count() // BLOCK_ROWS))
+    q_rows, c_rows = queries.count(), corpus.count()
+    q_blocks, c_blocks = max(1, -(-q_rows // BLOCK_ROWS)), max(1, -(-c_rows // BLOCK_ROWS))
+    cores = queries.sparkSession.sparkContext.defaultParallelism
+    while q_blocks * c_blocks < 2 * cores and max(q_rows / q_blocks, c_rows / c_blocks) > LEAST_BLOCK_ROWS:
+        if q_rows / q_blocks > c_rows / c_blocks:
+            q_blocks += 1
+        else:
+            c_blocks += 1
 
     def cut(df, key, blocks, name):
-        return df.withColumn(name, F.pmod(F.xxhash64(key), F.lit(blocks)).cast("int"))
+        # New columns: both sides may come from one table.
+        own = df.select(*[F.col(c).alias(c) for c in df.columns])
+        return own.withColumn(name, F.pmod(F.xxhash64(key), F.lit(blocks)).cast("int"))
 
     def spread(blocks, name):
         return F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias(name)
