@@ -136,3 +136,18 @@ def test_neighbour_index_in_blocks_and_of_nothing(spark, monkeypatch):
     assert max(index.blocks) > 1 and rows(index.search(queries, 3, exclude_self=True)) == want
     assert NeighbourIndex.build(corpus.limit(0)).search(queries, 3).collect() == []
     assert index.search(queries.limit(0), 3).collect() == []
+
+
+def test_neighbour_index_meets_groups_in_parts_and_small_steps(spark, monkeypatch):
+    import ticketloom.operators.neighbours as N
+
+    corpus = vectors(spark, 400)
+    queries = corpus.withColumnRenamed("id", "qid")
+    rows = lambda df: sorted((r.qid, r["rank"], r.id, r.score) for r in df.collect())
+    whole = NeighbourIndex.build(corpus, cells=12, probes=5)
+    want = rows(whole.search(queries, 3, exclude_self=True))
+    assert set(whole.groups) == {0} and len(want) == 1200
+    for name, value in {"CELL_ROWS": 60, "QUERY_ROWS": 50, "LEAST_QUERY_ROWS": 50, "DISTANCES": 500, "HELD": 10}.items():
+        monkeypatch.setattr(N, name, value)
+    index = NeighbourIndex.build(corpus, cells=12, probes=5)
+    assert len(set(index.groups)) > 3 and rows(index.search(queries, 3, exclude_self=True)) == want
