@@ -151,3 +151,43 @@ def test_neighbour_index_meets_groups_in_parts_and_small_steps(spark, monkeypatc
         monkeypatch.setattr(N, name, value)
     index = NeighbourIndex.build(corpus, cells=12, probes=5)
     assert len(set(index.groups)) > 3 and rows(index.search(queries, 3, exclude_self=True)) == want
+
+
+def test_bm25_takes_the_terms_out_of_every_text_once(spark):
+    """Also where a key has several rows: its length is that of all of them."""
+    rows = [(1, "a1 b1 b1 c1"), (2, "b1 d1"), (2, "b1 e1 f1"), (3, ""), (None, "a1 d1")]
+    read = spark.sparkContext.accumulator(0)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+
+    def seen(batches):
+        for batch in batches:
+            read.add(batch.num_rows)
+            yield batch
+
+    lists = R.term_lists(df, "text", keep=["doc_id"]).mapInArrow(seen, "doc_id long, terms array<string>")
+    stored, counted = [], R.counted_terms
+    R.counted_terms = lambda *args, **more: stored.append(args) or counted(*args, **more)
+    try:
+        got = sorted((r.doc_id, r.term, round(r.weight, 9)) for r in R.bm25_weights(lists, "doc_id").collect())
+    finally:
+        R.counted_terms = counted
+    mean, length = 11 / 5, {1: 4, 2: 5}
+    df_of = Counter(t for _, text in rows for t in set(text.split()))
+    want = []
+    for key, text in rows:
+        for t, tf in Counter(text.split()).items():
+            if key is not None:
+                idf = np.log(1 + (5 - df_of[t] + 0.5) / (df_of[t] + 0.5))
+                want.append((key, t, round(idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * length[key] / mean)), 9)))
+    assert [x[:2] for x in got] == [x[:2] for x in sorted(want)]
+    assert [x[2] for x in got] == pytest.approx([x[2] for x in sorted(want)], abs=1e-8)
+    # The terms once; that rows are counted and keys compared takes no text in a table.
+    assert len(stored) == 1 and read.value <= 3 * len(rows)
+
+
+def test_named_candidates_are_counted_in_the_tasks(spark, docs, texts):
+    names = ["w1", "w2", "w399", "absent"]
+    got = {r.term: (r.df, r.cf) for r in R.candidate_counts(R.term_lists(docs, "text"), names).collect()}
+    plain = {t: (sum(t in (x or "").split() for _, x, _ in texts), sum((x or "").split().count(t) for _, x, _ in texts)) for t in names}
+    assert got == {t: n for t, n in plain.items() if n[1]}
+    assert R.candidate_counts(R.term_lists(docs.limit(0), "text"), names).count() == 0
