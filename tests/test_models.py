@@ -9,6 +9,7 @@ from ticketloom.operators import evaluate as E
 from ticketloom.operators import features as X
 from ticketloom.operators import label as L
 from ticketloom.operators import models as M
+from ticketloom.operators import sampling as S
 from ticketloom.plans import model_queries as Q
 from ticketloom.sources import logs as G
 
@@ -230,3 +231,25 @@ def test_the_text_classifiers_see_ten_thousand_terms_and_bigrams(spark, sf_dir):
     features, _ = Q._text_features(spark, sf_dir)
     assert any(" " in t for t in terms)
     assert features.first()["features"].size == min(len(terms), 10000) and Q.TFIDF["max_features"] == 10000
+
+
+def test_split_in_place_marks_the_same_rows_and_moves_no_text(spark):
+    rows = [(i, "x" * 50 + str(i), [None, "a", "b", "c"][i % 4 if i % 7 else 0]) for i in range(200)]
+    df = spark.createDataFrame(rows, "id long, text string, label string").repartition(3)
+    marked = lambda d: sorted(((r.id, r.text, r.is_test) for r in d.collect()), key=str)
+    got = S.split_in_place(df, "label", "id")
+    assert marked(got) == marked(S.stratified_split(df, "label", "id")) and got.columns == [*df.columns, "is_test"]
+    # The rows themselves keep their partitions.
+    assert got.rdd.getNumPartitions() == 3
+    # Copies of keys, on the line between the parts as well, and rows without a key.
+    copies = df.unionByName(df).unionByName(df.filter("id < 5").withColumn("id", F.lit(None).cast("long")))
+    keys = lambda d: sorted(((r.id, r.is_test) for r in d.collect()), key=str)
+    assert keys(S.split_in_place(copies, "label", "id", 0.13)) == keys(S.stratified_split(copies, "label", "id", 0.13))
+
+
+def test_training_sets_use_the_cores_and_weights_do_not_gather_classes(spark):
+    cores = spark.sparkContext.defaultParallelism
+    df = spark.range(8000).select("id", F.when(F.col("id") % 2 == 0, "a").otherwise("b").alias("label")).coalesce(1)
+    assert X.sized(df, 8000).rdd.getNumPartitions() == cores
+    assert X.sized(df.repartition(16), 900).rdd.getNumPartitions() == 1
+    assert X.with_class_weight(df.repartition(9), "label").rdd.getNumPartitions() == 9
