@@ -252,4 +252,5 @@ def test_training_sets_use_the_cores_and_weights_do_not_gather_classes(spark):
     df = spark.range(8000).select("id", F.when(F.col("id") % 2 == 0, "a").otherwise("b").alias("label")).coalesce(1)
     assert X.sized(df, 8000).rdd.getNumPartitions() == cores
     assert X.sized(df.repartition(16), 900).rdd.getNumPartitions() == 1
+    assert X.sized(df.repartition(60), 500_000, M.GRID_ROWS_PER_TASK).rdd.getNumPartitions() == 10
     assert X.with_class_weight(df.repartition(9), "label").rdd.getNumPartitions() == 9

@@ -32,6 +32,8 @@ from ticketloom.session import materialise
 MAX_TREE_DEPTH = 30
 # Models of one grid or one-vs-rest set that are fitted at the same time.
 PARALLEL_FITS = 4
+# Rows of vectors that one task of a grid handles per pass: the driver gets a result of each task in each iteration.
+GRID_ROWS_PER_TASK = 50_000
 
 
 # --- estimators --------------------------------------------------------------------
@@ -268,7 +270,7 @@ def grid_search(
     rows = []
     try:
         n = assigned.count()
-        tuned = X.sized(assigned, n)
+        tuned = X.sized(assigned, n, GRID_ROWS_PER_TASK)
         solvers = {
             "multinomial": logreg(n, weight=weight, max_iter=max_iter),
             "one-vs-rest": one_vs_rest_logreg(n, max_iter=max_iter, weight=weight),
