@@ -191,3 +191,31 @@ def test_named_candidates_are_counted_in_the_tasks(spark, docs, texts):
     plain = {t: (sum(t in (x or "").split() for _, x, _ in texts), sum((x or "").split().count(t) for _, x, _ in texts)) for t in names}
     assert got == {t: n for t, n in plain.items() if n[1]}
     assert R.candidate_counts(R.term_lists(docs.limit(0), "text"), names).count() == 0
+
+
+def test_search_of_all_rows_by_blocks_is_brute_force(spark, monkeypatch):
+    """Frequent and rare terms, ties, keys in several rows, a null key, rows without a shared term; in one block and in many."""
+    rng = np.random.default_rng(5)
+    rows = []
+    for i in range(240):
+        for t in {int(x) for x in rng.zipf(1.4, 12) if x < 60} | ({900 + i} if i % 50 == 0 else set()):
+            rows.append((None if i == 7 else i if i < 230 else i - 40, f"t{t}", float(rng.integers(1, 4)) / 4))
+    corpus = spark.createDataFrame(rows, "id long, term string, weight double").repartition(5)
+    queries = corpus.filter("id % 3 = 0").withColumnRenamed("id", "qid").unionByName(
+        spark.createDataFrame([(5000, "nowhere", 1.0), (5001, "t1", 0.0)], "qid long, term string, weight double")
+    )
+    sums, want = {}, set()
+    for i, t, w in rows:
+        sums.setdefault(i, {}).setdefault(t, []).append(w)
+    for q in {i for i in sums if i is not None and i % 3 == 0}:
+        scores = []
+        for i, own in sums.items():
+            shared = own.keys() & sums[q].keys()
+            if shared:
+                scores.append((-round(sum(sum(own[t]) * sum(sums[q][t]) for t in shared), 6), -1 if i is None else i, i))
+        want |= {(q, i, -s, r) for r, (s, _, i) in enumerate(sorted(scores, key=lambda x: x[:2])[:4], 1)}
+    for block, matrix in ((R.BLOCK_ROWS, R.MATRIX_TERMS), (70, 3), (70, 0)):
+        monkeypatch.setattr(R, "BLOCK_ROWS", block)
+        monkeypatch.setattr(R, "MATRIX_TERMS", matrix)
+        got = R.top_k_of_all(corpus, queries, "id", "qid", 4).collect()
+        assert {(r.qid, r.id, r.score, r["rank"]) for r in got} == want
