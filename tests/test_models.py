@@ -3,6 +3,8 @@ import re
 
 import numpy as np
 import pytest
+from pyspark.ml.classification import GBTClassifier, OneVsRest
+from pyspark.ml.linalg import Vectors
 from pyspark.sql import functions as F
 
 from ticketloom.operators import evaluate as E
@@ -254,3 +256,27 @@ def test_training_sets_use_the_cores_and_weights_do_not_gather_classes(spark):
     assert X.sized(df.repartition(16), 900).rdd.getNumPartitions() == 1
     assert X.sized(df.repartition(60), 500_000, M.GRID_ROWS_PER_TASK).rdd.getNumPartitions() == 10
     assert X.with_class_weight(df.repartition(9), "label").rdd.getNumPartitions() == 9
+
+
+def test_boosting_on_sparse_rows_is_one_vs_rest_boosting(spark):
+    """Same first trees and predictions as MLlib's, one class after the other; features of few and of many values, an empty partition."""
+    rng = np.random.default_rng(4)
+    rows = []
+    for i in range(150):
+        x = np.where(rng.random(6) < 0.5, rng.random(6), 0.0)
+        x[4], x[5] = rng.integers(0, 3), 0.0
+        k = int(x[0] > 0.4) + int(x[1] > 0.5) if rng.random() < 0.9 else int(rng.integers(0, 3))
+        rows.append((i, Vectors.sparse(6, {j: float(v) for j, v in enumerate(x) if v}) if i % 3 else Vectors.dense(x), "abc"[k]))
+    df = spark.createDataFrame(rows, ["id", "features", "label"])
+    df = df.repartition(3).unionByName(df.limit(0)).cache()
+    plain = OneVsRest(classifier=GBTClassifier(maxIter=6, maxDepth=3, stepSize=0.1), labelCol="label_index")
+    own, other = M.train(df, M.gradient_boosting(rounds=6), "label"), M.train(df, plain, "label")
+    predicted = lambda m: sorted(map(tuple, M.predicted_labels(df, m, ["id"]).collect()))
+    assert predicted(own) == predicted(other)
+    # All classes grow in one round.
+    model = own.stages[-2]
+    assert [len(trees) for trees in model.trees] == [3] * 6
+    for k, theirs in enumerate(other.stages[-2].models):
+        printed = re.search(r"If \(feature (\d+) <= ([\d.]+)\)", theirs.trees[0].toDebugString).groups()
+        feature, split = model.trees[0][k]["splits"][0]
+        assert (feature, model.points[feature, split]) == (int(printed[0]), pytest.approx(float(printed[1])))
