@@ -280,3 +280,7 @@ def test_boosting_on_sparse_rows_is_one_vs_rest_boosting(spark):
         printed = re.search(r"If \(feature (\d+) <= ([\d.]+)\)", theirs.trees[0].toDebugString).groups()
         feature, split = model.trees[0][k]["splits"][0]
         assert (feature, model.points[feature, split]) == (int(printed[0]), pytest.approx(float(printed[1])))
+
+
+def test_forests_keep_the_nodes_of_rows_between_passes():
+    assert M.random_forest().getCacheNodeIds()
