@@ -284,3 +284,10 @@ def test_boosting_on_sparse_rows_is_one_vs_rest_boosting(spark):
 
 def test_forests_keep_the_nodes_of_rows_between_passes():
     assert M.random_forest().getCacheNodeIds()
+
+
+def test_the_language_model_learns_from_texts_that_are_cleaned_once(spark, sf_dir, monkeypatch):
+    seen = []
+    monkeypatch.setattr(M, "train_logreg", lambda df, *_, **__: seen.append(df))
+    Q._language_model(spark, sf_dir)
+    assert all("clean-texts" in f for f in seen[0].inputFiles()) and seen[0].inputFiles()

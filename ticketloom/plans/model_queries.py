@@ -428,8 +428,9 @@ def train_baseline(spark, sf_dir):
 def _language_model(spark, sf_dir):
     """Text model on ticket-cleaned documents, as the labeller applies it."""
     train, _ = _text_split(spark, sf_dir)
-    clean = train.select("doc_id", LABEL, T.clean_ticket_text(F.col("text")).alias("clean_text"))
-    usable = clean.filter(F.col("clean_text") != "")
+    clean = C.compute_once(train, clean_text=T.clean_ticket_text(F.col("text"))).select("doc_id", LABEL, "clean_text")
+    # Cleaned once and stored: counts, vocabulary and vectors each read these texts.
+    usable = materialise(clean.filter(F.col("clean_text") != ""), "clean-texts")
     return M.train_logreg(usable, "clean_text", LABEL, min_df=2, max_features=5000)
 
 
