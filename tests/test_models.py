@@ -3,7 +3,7 @@ import re
 
 import numpy as np
 import pytest
-from pyspark.ml.classification import GBTClassifier, OneVsRest
+from pyspark.ml.classification import DecisionTreeClassifier, GBTClassifier, OneVsRest
 from pyspark.ml.linalg import Vectors
 from pyspark.sql import functions as F
 
@@ -12,6 +12,7 @@ from ticketloom.operators import features as X
 from ticketloom.operators import label as L
 from ticketloom.operators import models as M
 from ticketloom.operators import sampling as S
+from ticketloom.operators import trees
 from ticketloom.plans import model_queries as Q
 from ticketloom.sources import logs as G
 
@@ -291,3 +292,64 @@ def test_the_language_model_learns_from_texts_that_are_cleaned_once(spark, sf_di
     monkeypatch.setattr(M, "train_logreg", lambda df, *_, **__: seen.append(df))
     Q._language_model(spark, sf_dir)
     assert all("clean-texts" in f for f in seen[0].inputFiles()) and seen[0].inputFiles()
+
+
+def _sparse_rows(spark, n=400):
+    rng = np.random.default_rng(6)
+    rows = []
+    for i in range(n):
+        x = np.where(rng.random(40) < 0.3, rng.random(40), 0.0)
+        x[1], x[2], x[3] = rng.integers(-2, 3), rng.integers(-3, 0), 0.0
+        k = int(x[0] > 0.4) + int(x[1] > 0) if rng.random() < 0.8 else int(rng.integers(0, 3))
+        rows.append((i, Vectors.sparse(40, {j: float(v) for j, v in enumerate(x) if v}) if i % 3 else Vectors.dense(x), "abc"[k]))
+    df = spark.createDataFrame(rows, ["id", "features", "label"])
+    return df.repartition(5).unionByName(df.filter("id < 40")).unionByName(df.limit(0)).cache()
+
+
+@pytest.mark.parametrize(("local_rows", "part", "cells"), [(20_000, 256, 4_000_000), (30, 16, 4000), (0, 7, 1)])
+def test_trees_on_sparse_rows_are_the_trees_of_mllib(spark, monkeypatch, local_rows, part, cells):
+    """Grown by one task, by groups of small nodes, or all by sums; negative values, copies of rows, an empty partition."""
+    for name, value in (("LOCAL_ROWS", local_rows), ("PART_FEATURES", part), ("PART_CELLS", cells), ("ENTRIES_AT_A_TIME", 500)):
+        monkeypatch.setattr(trees, name, value)
+    df = _sparse_rows(spark)
+    for depth in (0, 2, 30):
+        own = M.train(df, M.decision_tree(depth=depth), "label")
+        other = M.train(df, DecisionTreeClassifier(labelCol="label_index", maxDepth=depth), "label")
+        splits = lambda m: re.findall(r"If \(feature (\d+) <= ([-\d.eE]+)\)", m.stages[-2].toDebugString)
+        exact = lambda m: [(int(f), float(t)) for f, t in splits(m)]
+        assert exact(own) == exact(other) and own.stages[-2].numNodes == other.stages[-2].numNodes
+        predicted = lambda m: sorted(map(str, M.predict_batch(df, m, ["id"]).collect()))
+        assert predicted(own) == predicted(other)
+
+
+def test_trees_send_the_cells_that_rows_touch_not_a_table_of_all_features(spark, monkeypatch):
+    """A hundred thousand features: a bin of each for every row, or a table of them for every node, would be large."""
+    rng = np.random.default_rng(9)
+    rows = [(i, Vectors.sparse(100_000, {int(j): 1.0 for j in {i % 3, *rng.integers(3, 100_000, 5)}}), "abc"[i % 3]) for i in range(300)]
+    df = spark.createDataFrame(rows, ["id", "features", "label"]).repartition(3).cache()
+    sent = []
+    cells = trees._cells
+    monkeypatch.setattr(trees, "_cells", lambda *a: sent.append(cells(*a)) or sent[-1])
+    bins = trees.Bins(np.full((100_000, 1), 0.5))
+    rows = trees._rows(((r["features"], "abc".index(r["label"])) for r in df.collect()), bins)
+    assert len(rows.codes) == sum(len(r["features"].indices) for r in df.collect())
+    grown = trees._grown(rows, np.zeros(300, np.int64), trees.Tree(counts={0: np.array([100, 100, 100])}), bins, 30)
+    assert len(grown.splits) == 2 and max(len(keys) for keys, _ in sent) <= len(rows.codes)
+    assert M.score(df, M.train(df, M.decision_tree(), "label"), "label") == 1.0
+
+
+def test_trees_are_saved_and_loaded(spark, tmp_path):
+    df = _sparse_rows(spark, 120)
+    model = M.train(df, M.decision_tree(), "label")
+    G.save_model(model, str(tmp_path / "tree"), {"type": "tree"})
+    loaded, _ = G.load_model(spark, str(tmp_path / "tree"))
+    predicted = lambda m: sorted(map(str, M.predict_batch(df, m, ["id"]).collect()))
+    assert predicted(loaded) == predicted(model) and loaded.stages[-2].toDebugString == model.stages[-2].toDebugString
+
+
+def test_trees_refuse_what_mllib_refuses(spark):
+    df = _sparse_rows(spark, 30)
+    with pytest.raises(ValueError, match="depth"):
+        M.train(df, M.decision_tree(depth=31), "label")
+    with pytest.raises(ValueError, match="finite"):
+        trees._rows([(Vectors.dense([float("nan")]), 0.0)], trees.Bins(np.full((1, 1), 0.5)))
