@@ -5,6 +5,7 @@ import random
 import re
 from collections import Counter
 
+import numpy as np
 import public_tokenizers
 import pytest
 import sentencepiece
@@ -38,6 +39,48 @@ def test_spliced_counts_equal_whole_ones():
     assert token_counts.counts_of([solid], BPE, 64, 8) == encode_counts([solid])
 
 
+class Counting:
+    """A tokenizer that notes how many bytes it is given at once."""
+
+    def __init__(self, inner):
+        self.inner, self.sizes = inner, []
+
+    def encode_batch_fast(self, texts, **options):
+        self.sizes.append(sum(len(t.encode()) for t in texts))
+        return self.inner.encode_batch_fast(texts, **options)
+
+
+def test_equal_units_are_encoded_once_in_bounded_groups(monkeypatch):
+    rng, whole = random.Random(5), Tokenizer.from_file(BPE)
+    odd = ["\x85", "\xa0", "\u1680", "\u2003", "\u2028", "\u205f", "\u3000", "\x1c", "\x1f", "\x0b", "\r\n", " ", "  ", " \t "]
+    words = ["the", "cat's", "don't", "x'll.", "1,234.5", "<|endoftext|>", "a<|endoftext|>.", "😀", "Ünï", "été,", "日本語。", "(b)!", '"c"?!', "'s", ""]
+    mixed = ["".join(rng.choice(words) + rng.choice([*odd, ""]) for _ in range(rng.randint(0, 60))) for _ in range(600)]
+    plain = [" ".join(rng.choice(["alpha", "beta,", "gamma.", "delta"]) for _ in range(200)) for _ in range(200)]
+    rare = [" ".join(f"{rng.getrandbits(40):x}" for _ in range(50)) for _ in range(20)]
+    monkeypatch.setattr(token_counts, "ENCODED", 4096, raising=False)
+    for texts, most in ((plain, 100), (mixed, None), (rare, None)):
+        lib = Counting(whole)
+        monkeypatch.setitem(token_counts._LOADED, BPE, lib)
+        assert token_counts.counts_of(texts, BPE) == encode_counts(texts)
+        # Texts whose units hardly repeat are encoded whole.
+        assert sum(lib.sizes) <= (most or sum(len(t.encode()) for t in texts)) and max(lib.sizes) <= 4096
+    monkeypatch.setattr(token_counts, "REPEATS", 0)
+    monkeypatch.setitem(token_counts._LOADED, BPE, whole)
+    for texts in ([], [""], ["", "a", ""], [" "], ["\xa0  x"], ["a\xa0", "  x"], mixed, rare):
+        want = encode_counts(texts)
+        assert token_counts.count_by_units(whole, texts) == want
+        assert [token_counts.count_by_units(whole, [t]) for t in texts] == [[n] for n in want]
+        assert token_counts.counts_of(texts, BPE, 16, 4) == want
+
+
+def test_slices_hold_every_row_once():
+    rng = random.Random(6)
+    for sizes in ([], [0], [9], [0, 0, 9, 0], [rng.randint(0, 8) for _ in range(300)]):
+        cut = list(token_counts.slices(np.array(sizes, np.int64), 7))
+        assert [i for at, n in cut for i in range(at, at + n)] == list(range(len(sizes)))
+        assert all(n == 1 or sum(sizes[at : at + n]) <= 7 for at, n in cut)
+
+
 def test_token_count_edges(edge_docs, edge_rows, no_docs):
     got = Counter((r.doc_id, r.n_tokens) for r in token_counts.token_counts(edge_docs, BPE).collect())
     assert got == Counter((r[0], n) for r, n in zip(edge_rows, encode_counts([r[1] or "" for r in edge_rows]), strict=True))

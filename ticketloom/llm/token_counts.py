@@ -8,6 +8,12 @@ such a place and looks at nothing before it, so what follows is encoded alike
 whatever came before; special strings hold no white space, so none crosses it.
 Where an overlap holds no such place, it is doubled, up to the rest of the
 text; a text without any white space is thus encoded whole.
+
+Texts of one chunk are cut at all such places, and before a mark after an ASCII
+letter: no match of the pre-tokeniser and no special string holds a letter
+before one of MARKS.  What lies between two cuts is a unit.  Equal units of a
+slice of texts are encoded once, by the library, and a text has the tokens of
+its units; texts whose units hardly repeat are encoded whole.
 """
 
 from __future__ import annotations
@@ -15,16 +21,32 @@ from __future__ import annotations
 import os
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ticketloom.llm.common import text_of
+from ticketloom.llm.common import SPACE_BYTES, text_of
 from ticketloom.session import ship_by_value, spread
 
 CHUNK = 1 << 15
 OVERLAP = 1 << 10
 SPACES = " \t\n\r\x0b\x0c"
+# Bytes of text that a task takes at once, and of units that the library encodes at once: both bound memory.
+SLICE = 1 << 24
+ENCODED = 1 << 17
+# Occurrences of a unit, on average, from which it pays to encode units by themselves.
+REPEATS = 3
+MARKS = np.zeros(256, bool)
+MARKS[list(b'.,;:!?)"')] = True
+LETTERS = np.zeros(256, bool)
+LETTERS[65:91] = LETTERS[97:123] = True
+# Last two bytes of the white space that is not in SPACES, after which no unit ends.
+ODD_SPACES = np.zeros((256, 256), bool)
+ODD_SPACES[:, 0x1C:0x20] = True
+for _c in "\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000":
+    ODD_SPACES[tuple(_c.encode()[-2:])] = True
 
 _LOADED: dict[str, object] = {}
 
@@ -75,6 +97,53 @@ def count_long(encode, text: str, chunk: int = CHUNK, overlap: int = OVERLAP) ->
             wide *= 2
 
 
+def slices(sizes: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
+    """Runs of rows, first row and number, of at most so many bytes together; a longer row is alone."""
+    at, size = 0, 0
+    for i, n in enumerate(sizes.tolist()):
+        if i > at and size + n > most:
+            yield at, i - at
+            at, size = i, 0
+        size += n
+    if len(sizes):
+        yield at, len(sizes) - at
+
+
+def unit_starts(data: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """Where the units of joined texts begin, and the end of the last one; `bounds` are the texts' bounds."""
+    begins = np.zeros(len(data) + 1, bool)
+    begins[1:-1] = MARKS[data[1:]] & LETTERS[data[:-1]]
+    space = SPACE_BYTES[data]
+    at = np.flatnonzero(space[1:] & ~space[:-1]) + 1
+    begins[at[~ODD_SPACES[data[np.maximum(at - 2, 0)], data[at - 1]]]] = True
+    begins[bounds] = True
+    return np.flatnonzero(begins)
+
+
+def encoded_sizes(loaded, strings: pa.Array) -> np.ndarray:
+    """Tokens of every string, each encoded by itself."""
+    sizes = np.zeros(len(strings), np.int64)
+    for at, n in slices(pc.binary_length(strings).to_numpy(zero_copy_only=False), ENCODED):
+        part = loaded.encode_batch_fast(strings.slice(at, n).to_pylist(), add_special_tokens=False)
+        sizes[at : at + n] = [len(e) for e in part]
+    return sizes
+
+
+def count_by_units(loaded, texts: list[str]) -> list[int]:
+    """Tokens of each text; equal units of all the texts are encoded once, unless they repeat too little to gain by it."""
+    encoded = [t.encode() for t in texts]
+    bounds = np.cumsum([0, *map(len, encoded)])
+    data = np.frombuffer(b"".join(encoded), np.uint8)
+    starts = unit_starts(data, bounds).astype(np.int64)
+    buffers = [None, pa.py_buffer(starts), pa.py_buffer(data)]
+    units = pa.Array.from_buffers(pa.large_binary(), len(starts) - 1, buffers).dictionary_encode()
+    if REPEATS * len(units.dictionary) > len(units):
+        return encoded_sizes(loaded, pa.array(texts, pa.large_string())).tolist()
+    sizes = encoded_sizes(loaded, units.dictionary.cast(pa.large_string()))
+    before = np.concatenate([[0], np.cumsum(sizes[units.indices.to_numpy()])])
+    return np.diff(before[np.searchsorted(starts, bounds)]).tolist()
+
+
 def counts_of(texts: list[str], path: str, chunk: int = CHUNK, overlap: int = OVERLAP) -> list[int]:
     loaded = tokenizer(path)
 
@@ -83,10 +152,8 @@ def counts_of(texts: list[str], path: str, chunk: int = CHUNK, overlap: int = OV
 
     short = [i for i, t in enumerate(texts) if len(t) <= chunk]
     counts = [0] * len(texts)
-    for k in range(0, len(short), 64):
-        part = short[k : k + 64]
-        for i, e in zip(part, loaded.encode_batch_fast([texts[i] for i in part], add_special_tokens=False), strict=True):
-            counts[i] = len(e)
+    for i, n in zip(short, count_by_units(loaded, [texts[i] for i in short]), strict=True):
+        counts[i] = n
     for i in set(range(len(texts))) - set(short):
         counts[i] = count_long(starts, texts[i], chunk, overlap)
     return counts
@@ -104,8 +171,8 @@ def token_counts(docs: DataFrame, path: str, limit: int = 1024, doc_id: str = "d
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
+            for at, rows in slices(batch.column(2).to_numpy(zero_copy_only=False), SLICE):
+                part = batch.slice(at, rows)
                 n = counts_of(part.column(1).to_pylist(), path)
                 yield pa.RecordBatch.from_arrays(
                     [part.column(0), part.column(2), pa.array(n, pa.int64()), pa.array([x > limit for x in n], pa.bool_())],
