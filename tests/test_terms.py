@@ -219,3 +219,17 @@ def test_search_of_all_rows_by_blocks_is_brute_force(spark, monkeypatch):
         monkeypatch.setattr(R, "MATRIX_TERMS", matrix)
         got = R.top_k_of_all(corpus, queries, "id", "qid", 4).collect()
         assert {(r.qid, r.id, r.score, r["rank"]) for r in got} == want
+
+
+def test_search_of_all_rows_leaves_the_corpus_where_it_lies(spark, monkeypatch):
+    """However many blocks there are: no row travels, unless its key comes twice."""
+    rows = [(i, f"t{j}", 1.0 + j) for i in range(120) for j in (i % 7, 10 + i % 11)]
+    corpus = spark.createDataFrame(rows, "id long, term string, weight double").coalesce(4)
+    queries = corpus.withColumnRenamed("id", "qid")
+    plans, materialise = [], R.materialise
+    monkeypatch.setattr(R, "BLOCK_ROWS", 10)
+    monkeypatch.setattr(R, "materialise", lambda df, name: plans.append((name, df._jdf.queryExecution().toString())) or materialise(df, name))
+    assert R.top_k_of_all(corpus, queries, "id", "qid", 3).count() == 360
+    nearest = [plan for name, plan in plans if name == "nearest"]
+    # Only the nearest rows meet, by query.
+    assert len(nearest) == 12 and all("hashpartitioning(qid" in p and "hashpartitioning(id" not in p and "Join" not in p for p in nearest)
