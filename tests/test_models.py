@@ -3,10 +3,12 @@ import re
 
 import numpy as np
 import pytest
+from pyspark import RDD
 from pyspark.ml.classification import DecisionTreeClassifier, GBTClassifier, OneVsRest
 from pyspark.ml.linalg import Vectors
 from pyspark.sql import functions as F
 
+from ticketloom.operators import boosting
 from ticketloom.operators import evaluate as E
 from ticketloom.operators import features as X
 from ticketloom.operators import label as L
@@ -283,6 +285,27 @@ def test_boosting_on_sparse_rows_is_one_vs_rest_boosting(spark):
         assert (feature, model.points[feature, split]) == (int(printed[0]), pytest.approx(float(printed[1])))
 
 
+def test_boosting_moves_entries_once_whatever_the_parts(spark, monkeypatch):
+    """No level sums up by a shuffle; features in one part or in many, several partitions and none."""
+    rng = np.random.default_rng(8)
+    rows = []
+    for i in range(200):
+        x = np.where(rng.random(30) < 0.4, rng.integers(1, 9, 30) / 8, 0.0)
+        rows.append((Vectors.sparse(30, {j: float(v) for j, v in enumerate(x) if v}), "abc"[int(x[3] > 0.4) + int(x[17] > 0.3)]))
+    df = spark.createDataFrame(rows, ["features", "label"]).repartition(3).cache()
+    calls, partition_by = [], RDD.partitionBy
+    monkeypatch.setattr(RDD, "partitionBy", lambda self, *a, **k: calls.append(a) or partition_by(self, *a, **k))
+    found = []
+    for entries in (4_000_000, 40):
+        monkeypatch.setattr(boosting, "PART_ENTRIES", entries)
+        calls.clear()
+        model = M.train(df, M.gradient_boosting(rounds=4), "label").stages[-2]
+        # Split points and entries by feature.
+        assert len(calls) == 2
+        found.append([[tree["splits"] for tree in trees] for trees in model.trees])
+    assert found[0] == found[1] and all(tree for trees in found[0] for tree in trees)
+
+
 def test_forests_keep_the_nodes_of_rows_between_passes():
     assert M.random_forest().getCacheNodeIds()
 
